@@ -31,7 +31,8 @@ def build_session(master: str | None = None, app_name: str = "funnelworks", **co
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    for k, v in {**RECOMMENDED_CONF, "spark.ui.enabled": "false", **conf}.items():
+    quiet = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    for k, v in {**RECOMMENDED_CONF, **quiet, **conf}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
