@@ -3,195 +3,208 @@
 The reference ships no data, so tests and benchmarks use a deterministic,
 integer-only mapping of ``orders`` (FIXTURES.md section 2).  It is a pure
 projection plus one small aggregate, so the derived inputs grow with
-``orders``.  Every rule below is written so DuckDB can compute the same rows
-(``oracle/fixture.py``).
+``orders``.  The rules are written as Spark SQL expressions (one parse per
+column) over a few shared integer terms computed once per row.  The DuckDB
+oracle computes the same rows independently (``oracle/fixture.py``).
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelworks.sources import schemas
 
-NBSP = "\u00a0"
-TAB = "\t"
+NBSP = "\\u00a0"  # written inside Spark SQL string literals
+TAB = "\\t"
 
 
-class RawSources(NamedTuple):
-    leads: DataFrame
-    opportunities: DataFrame
-    expenses_advertising: DataFrame
-    expenses_salary: DataFrame
-
-
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"
-    )
-    k = F.col("o_orderkey")
-    return o.select(
-        k.alias("k"),
-        F.col("o_custkey").alias("c"),
-        F.col("o_orderstatus").alias("st"),
-        _div(k, 5).alias("j"),
-        F.add_months(F.to_date("o_orderdate"), 336).alias("bd"),
-    )
-
-
-def _ts(bd: Column, days: Column | int, hour: Column | int) -> Column:
+def _ts(days: str, hour: str) -> str:
     """timestamp_ntz at ``days`` after ``bd``, hour ``hour``."""
-    day = F.date_add(bd, days if isinstance(days, Column) else F.lit(days))
-    h = hour if isinstance(hour, Column) else F.lit(hour)
-    return F.timestamp_add("HOUR", h, day.cast("timestamp_ntz"))
+    return f"timestampadd(HOUR, {hour}, cast(date_add(bd, cast({days} AS INT)) AS TIMESTAMP_NTZ))"
 
 
-def _low(d: Column) -> Column:
+def _low(d: str) -> str:
     """The date 2000 years earlier (the raw tables store years too low)."""
-    return F.add_months(d, -24000)
+    return f"add_months({d}, -24000)"
 
 
-def _pad(x: Column, n: int) -> Column:
-    return F.lpad(x.cast("string"), n, "0")
+def _pad(x: str, n: int) -> str:
+    return f"lpad(cast({x} AS STRING), {n}, '0')"
 
 
-def _div(a: Column, b: int) -> Column:
-    """Integer division of a non-negative long (exact: the dividend is a multiple of b)."""
-    return ((a - a % b) / b).cast("long")
+def _s(x: str) -> str:
+    return f"cast({x} AS STRING)"
 
 
-def _if(p: Column, v: Column) -> Column:
-    return F.when(p, v)
+def _case(x: str, values: list) -> str:
+    """values[x] for x in 0..len-1 (None entries give null)."""
+    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None)
+    return f"CASE {x} {arms} END"
+
+
+_LEADS = {
+    "lead_id": "'L' || " + _s("k"),
+    "converted_opportunity_id": "CASE WHEN k % 5 = 0 THEN 'O' || " + _s("k") + " END",
+    "form_submission_date": f"CASE WHEN k % 3 = 0 THEN {_low('bd')} END",
+    "first_sales_call_date": f"CASE WHEN k % 10 < 7 THEN {_ts('k % 11', 'k % 24')} END",
+    "first_text_sent_date": f"CASE WHEN k % 4 = 1 THEN {_ts('k % 5', 'k % 13')} END",
+    "first_meeting_booked_date": f"CASE WHEN k % 5 < 2 THEN {_ts('12 + k % 9', '9')} END",
+    "last_sales_call_date": f"CASE WHEN k % 10 < 7 THEN {_ts('13 + k % 20', '8')} END",
+    "last_sales_activity_date": f"CASE WHEN k % 29 <> 0 THEN {_ts('15 + k % 30', '17')} END",
+    "last_sales_email_date": f"CASE WHEN k % 6 < 4 THEN {_ts('14 + k % 25', '11')} END",
+    "sales_call_count": "CASE WHEN k % 13 <> 0 THEN k % 17 END",
+    "sales_text_count": "CASE WHEN k % 11 <> 0 THEN k % 7 END",
+    "sales_email_count": "CASE WHEN k % 19 <> 0 THEN k % 5 END",
+    "predicted_sales_with_owner": (
+        "CASE WHEN k % 12 = 0 THEN NULL WHEN k % 12 = 1 THEN 'n/a' WHEN k % 12 = 2 THEN 'US$ 1.234,56' "
+        f"WHEN cents >= 100000 THEN 'US${NBSP}' || {_s('cents div 100000')} || '{NBSP}' || "
+        f"{_pad('(cents div 100) % 1000', 3)} || ',' || {_pad('cents % 100', 2)} "
+        f"ELSE 'US$ ' || {_s('cents div 100')} || ',' || {_pad('cents % 100', 2)} || '{TAB}' END"
+    ),
+    "marketplaces_used": _case("k % 4", ['["MarketA"]', '["MarketA", "MarketB"]', "[]", None]),
+    "online_ordering_used": _case("k % 3", ['["Direct"]', '["OrderX"]', None]),
+    "cuisine_types": (
+        "CASE WHEN k % 9 = 0 THEN NULL WHEN k % 9 = 1 THEN '[\"Pizza\"]' "
+        "WHEN k % 9 = 2 THEN '[\"Pizza\", \"Italian\"]' ELSE '[\"Thai\", \"Vegan\", \"Bar\"]' END"
+    ),
+    "location_count": "CASE WHEN k % 31 <> 0 THEN 1 + k % 4 END",
+    "connected_with_decision_maker": "CASE WHEN k % 8 <> 0 THEN k % 7 < 2 END",
+    "status": "CASE st WHEN 'F' THEN 'Converted' WHEN 'O' THEN 'Working' ELSE 'New' END",
+}
+
+_OPPORTUNITIES = {
+    "opportunity_id": "'O' || " + _s("k"),
+    "account_id": "CASE WHEN k % 35 <> 0 THEN 'A' || " + _s("c") + " END",
+    "stage_name": _case("s", ["Closed Won", "Closed Lost", "CLOSED LOST - no response", "Demo Set"]),
+    "lost_reason_c": "CASE WHEN s IN (1, 2) THEN "
+    + _case("j % 7", ["Price", "Timing", "Competitor", "Price", "No Decision", "Unknown / Not Specified", None])
+    + " END",
+    "closed_lost_notes_c": "CASE WHEN s IN (1, 2) AND j % 2 = 0 THEN 'note ' || " + _s("j") + " END",
+    "business_issue_c": _case("j % 3", ["Commission fees", "Low traffic", None]),
+    "how_did_you_hear_about_us_c": _case("j % 4", ["Google", "Referral", "Facebook", None]),
+    "demo_held": "CASE WHEN s = 0 THEN true WHEN s IN (1, 2) THEN j % 6 < 4 END",
+    "demo_set_date": f"CASE WHEN j % 23 <> 0 THEN {_low('date_add(bd, cast(20 + j % 6 AS INT))')} END",
+    "demo_time": f"CASE WHEN s <> 3 THEN {_ts('24 + j % 8', '10 + j % 9')} END",
+    "created_date": f"CASE WHEN NOT (dup = 1 AND k % 500 = 0) THEN {_ts('18 + j % 5 + 10 * dup', '12')} END",
+    "close_date": f"CASE WHEN s <> 3 THEN {_low('date_add(bd, cast(30 + j % 60 AS INT))')} END",
+    "last_sales_call_date_time": f"CASE WHEN j % 5 <> 0 THEN {_ts('22 + j % 9', '15')} END",
+}
+
+
+def _money_thousands(x: str) -> str:
+    return (
+        f"'US$ ' || {_s(f'{x} div 100000')} || '{NBSP}' || {_pad(f'({x} div 100) % 1000', 3)}"
+        f" || ',' || {_pad(f'{x} % 100', 2)}"
+    )
 
 
-def _pick(x: Column, values: list) -> Column:
-    """values[x] for x in 0..len-1 (None entries give null)."""
-    out = None
-    for i, v in enumerate(values):
-        lit = F.lit(v)
-        out = F.when(x == i, lit) if out is None else out.when(x == i, lit)
-    return out
+def _money_plain(x: str) -> str:
+    return f"'US$ ' || {_s(f'{x} div 100')} || ',' || {_pad(f'{x} % 100', 2)}"
+
+
+def _typed(exprs: dict[str, str], schema) -> list[str]:
+    return [f"cast(({exprs[f.name]}) AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.fields]
+
+
+class RawSources:
+    """The four raw inputs.  Each is built on first access, so a query that
+    needs only the expense tables never plans the lead and opportunity
+    mappings."""
+
+    def __init__(
+        self,
+        leads: DataFrame | None = None,
+        opportunities: DataFrame | None = None,
+        expenses_advertising: DataFrame | None = None,
+        expenses_salary: DataFrame | None = None,
+        orders: DataFrame | None = None,
+    ):
+        self._given = {
+            "leads": leads,
+            "opportunities": opportunities,
+            "expenses_advertising": expenses_advertising,
+            "expenses_salary": expenses_salary,
+        }
+        self._orders = orders
+
+    def __iter__(self):
+        return iter([self.leads, self.opportunities, self.expenses_advertising, self.expenses_salary])
+
+    def _pick(self, name: str, build) -> DataFrame:
+        given = self._given[name]
+        if given is not None:
+            return given
+        if self._orders is None:
+            raise ValueError(f"raw table {name!r} was not given")
+        return build(self._orders)
+
+    @cached_property
+    def leads(self) -> DataFrame:
+        return self._pick("leads", leads)
+
+    @cached_property
+    def opportunities(self) -> DataFrame:
+        return self._pick("opportunities", opportunities)
+
+    @cached_property
+    def expenses_advertising(self) -> DataFrame:
+        return self._pick("expenses_advertising", expenses_advertising)
+
+    @cached_property
+    def expenses_salary(self) -> DataFrame:
+        return self._pick("expenses_salary", expenses_salary)
+
+
+def orders_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared integer terms of the mapping, one row per order."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.selectExpr(
+        "o_orderkey AS k",
+        "o_custkey AS c",
+        "o_orderstatus AS st",
+        "o_orderkey div 5 AS j",
+        "add_months(to_date(o_orderdate), 336) AS bd",
+    )
 
 
 def leads(o: DataFrame) -> DataFrame:
-    k, c, bd = F.col("k"), F.col("c"), F.col("bd")
-    cents = (k * 7919 + c * 104729) % 4000000
-    big_money = F.concat(
-        F.lit("US$" + NBSP), _div(cents, 100000).cast("string"), F.lit(NBSP),
-        _pad(_div(cents, 100) % 1000, 3), F.lit(","), _pad(cents % 100, 2),
-    )
-    small_money = F.concat(
-        F.lit("US$ "), _div(cents, 100).cast("string"), F.lit(","), _pad(cents % 100, 2), F.lit(TAB)
+    return o.selectExpr("*", "(k * 7919 + c * 104729) % 4000000 AS cents").selectExpr(
+        *_typed(_LEADS, schemas.LEADS)
     )
-    predicted = (
-        F.when(k % 12 == 0, F.lit(None).cast("string"))
-        .when(k % 12 == 1, F.lit("n/a"))
-        .when(k % 12 == 2, F.lit("US$ 1.234,56"))
-        .when(cents >= 100000, big_money)
-        .otherwise(small_money)
-    )
-    status = F.when(F.col("st") == "F", "Converted").when(F.col("st") == "O", "Working").otherwise("New")
-    df = o.select(
-        F.concat(F.lit("L"), k.cast("string")).alias("lead_id"),
-        _if(k % 5 == 0, F.concat(F.lit("O"), k.cast("string"))).alias("converted_opportunity_id"),
-        _if(k % 3 == 0, _low(bd)).alias("form_submission_date"),
-        _if(k % 10 < 7, _ts(bd, (k % 11).cast("int"), (k % 24).cast("int"))).alias("first_sales_call_date"),
-        _if(k % 4 == 1, _ts(bd, (k % 5).cast("int"), (k % 13).cast("int"))).alias("first_text_sent_date"),
-        _if(k % 5 < 2, _ts(bd, (12 + k % 9).cast("int"), 9)).alias("first_meeting_booked_date"),
-        _if(k % 10 < 7, _ts(bd, (13 + k % 20).cast("int"), 8)).alias("last_sales_call_date"),
-        _if(k % 29 != 0, _ts(bd, (15 + k % 30).cast("int"), 17)).alias("last_sales_activity_date"),
-        _if(k % 6 < 4, _ts(bd, (14 + k % 25).cast("int"), 11)).alias("last_sales_email_date"),
-        _if(k % 13 != 0, (k % 17).cast("int")).alias("sales_call_count"),
-        _if(k % 11 != 0, (k % 7).cast("int")).alias("sales_text_count"),
-        _if(k % 19 != 0, (k % 5).cast("int")).alias("sales_email_count"),
-        predicted.alias("predicted_sales_with_owner"),
-        _pick(k % 4, ['["MarketA"]', '["MarketA", "MarketB"]', "[]", None]).alias("marketplaces_used"),
-        _pick(k % 3, ['["Direct"]', '["OrderX"]', None]).alias("online_ordering_used"),
-        F.when(k % 9 == 0, F.lit(None).cast("string"))
-        .when(k % 9 == 1, F.lit('["Pizza"]'))
-        .when(k % 9 == 2, F.lit('["Pizza", "Italian"]'))
-        .otherwise(F.lit('["Thai", "Vegan", "Bar"]'))
-        .alias("cuisine_types"),
-        _if(k % 31 != 0, (1 + k % 4).cast("int")).alias("location_count"),
-        _if(k % 8 != 0, k % 7 < 2).alias("connected_with_decision_maker"),
-        status.alias("status"),
-    )
-    return _conform(df, schemas.LEADS)
 
 
 def opportunities(o: DataFrame) -> DataFrame:
-    k, c, j, bd = F.col("k"), F.col("c"), F.col("j"), F.col("bd")
-    rows = o.filter((k % 5 == 0) & (k % 85 != 0)).withColumn(
-        "dup", F.explode(F.when(k % 250 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    )
-    dup = F.col("dup")
-    s = (j + dup) % 4
-    lost = s.isin(1, 2)
-    df = rows.select(
-        F.concat(F.lit("O"), k.cast("string")).alias("opportunity_id"),
-        _if(k % 35 != 0, F.concat(F.lit("A"), c.cast("string"))).alias("account_id"),
-        _pick(s, ["Closed Won", "Closed Lost", "CLOSED LOST - no response", "Demo Set"]).alias("stage_name"),
-        _if(lost, _pick(j % 7, ["Price", "Timing", "Competitor", "Price", "No Decision",
-                                "Unknown / Not Specified", None])).alias("lost_reason_c"),
-        _if(lost & (j % 2 == 0), F.concat(F.lit("note "), j.cast("string"))).alias("closed_lost_notes_c"),
-        _pick(j % 3, ["Commission fees", "Low traffic", None]).alias("business_issue_c"),
-        _pick(j % 4, ["Google", "Referral", "Facebook", None]).alias("how_did_you_hear_about_us_c"),
-        F.when(s == 0, F.lit(True)).when(lost, j % 6 < 4).alias("demo_held"),
-        _if(j % 23 != 0, _low(F.date_add(bd, (20 + j % 6).cast("int")))).alias("demo_set_date"),
-        _if(s != 3, _ts(bd, (24 + j % 8).cast("int"), (10 + j % 9).cast("int"))).alias("demo_time"),
-        _if(~((dup == 1) & (k % 500 == 0)), _ts(bd, (18 + j % 5 + 10 * dup).cast("int"), 12)).alias("created_date"),
-        _if(s != 3, _low(F.date_add(bd, (30 + j % 60).cast("int")))).alias("close_date"),
-        _if(j % 5 != 0, _ts(bd, (22 + j % 9).cast("int"), 15)).alias("last_sales_call_date_time"),
+    rows = o.where("k % 5 = 0 AND k % 85 <> 0").selectExpr(
+        "*", "explode(CASE WHEN k % 250 = 0 THEN array(0, 1) ELSE array(0) END) AS dup"
     )
-    return _conform(df, schemas.OPPORTUNITIES)
+    return rows.selectExpr("*", "(j + dup) % 4 AS s").selectExpr(*_typed(_OPPORTUNITIES, schemas.OPPORTUNITIES))
 
 
 def _monthly(o: DataFrame) -> DataFrame:
     """One row per month of ``bd``: month text, S = sum of keys, month index."""
-    m = F.trunc("bd", "month")
-    g = o.groupBy(m.alias("m")).agg(F.sum("k").alias("S"))
-    return g.select(
-        F.date_format("m", "MMM-yy").alias("month"),
-        F.col("S"),
-        (F.year("m") * 12 + F.month("m")).alias("mi"),
-    )
-
-
-def _scaled(S: Column, mult: int, mod: int, base: int) -> Column:
-    # base + (S * mult) mod m, computed as ((S mod m) * mult) mod m: same value, no overflow
-    return F.lit(base) + ((S % mod) * mult) % mod
+    g = o.groupBy(F.trunc("bd", "month").alias("m")).agg(F.sum("k").alias("S"))
+    return g.selectExpr("date_format(m, 'MMM-yy') AS month", "S", "year(m) * 12 + month(m) AS mi")
 
 
 def expenses_advertising(o: DataFrame) -> DataFrame:
-    g = _monthly(o).filter(F.col("mi") % 17 != 5)
-    a = _scaled(F.col("S"), 31, 2000000, 5000000)
-    text = F.concat(
-        F.lit("US$ "), _div(a, 100000).cast("string"), F.lit(NBSP),
-        _pad(_div(a, 100) % 1000, 3), F.lit(","), _pad(a % 100, 2),
-    )
-    return _conform(g.select("month", text.alias("advertising")), schemas.EXPENSES_ADVERTISING)
+    # (S * 31) mod 2000000 computed as ((S mod 2000000) * 31) mod 2000000: same value, no overflow
+    g = _monthly(o).where("mi % 17 <> 5").selectExpr("month", "5000000 + ((S % 2000000) * 31) % 2000000 AS a")
+    exprs = {"month": "month", "advertising": _money_thousands("a")}
+    return g.selectExpr(*_typed(exprs, schemas.EXPENSES_ADVERTISING))
 
 
 def expenses_salary(o: DataFrame) -> DataFrame:
-    g = _monthly(o).filter((F.col("mi") % 17 != 5) & (F.col("mi") % 19 != 7))
-
-    def text(x: Column) -> Column:
-        return F.concat(F.lit("US$ "), _div(x, 100).cast("string"), F.lit(","), _pad(x % 100, 2))
-
-    out_ = _scaled(F.col("S"), 17, 1200000, 3800000)
-    in_ = _scaled(F.col("S"), 13, 900000, 2000000)
-    return _conform(
-        g.select("month", text(out_).alias("outbound_sales_team"), text(in_).alias("inbound_sales_team")),
-        schemas.EXPENSES_SALARY,
+    g = _monthly(o).where("mi % 17 <> 5 AND mi % 19 <> 7").selectExpr(
+        "month",
+        "3800000 + ((S % 1200000) * 17) % 1200000 AS o",
+        "2000000 + ((S % 900000) * 13) % 900000 AS i",
     )
-
-
-def _conform(df: DataFrame, schema) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    exprs = {"month": "month", "outbound_sales_team": _money_plain("o"), "inbound_sales_team": _money_plain("i")}
+    return g.selectExpr(*_typed(exprs, schemas.EXPENSES_SALARY))
 
 
 def raw_sources_from_orders(spark: SparkSession, sf_dir: str) -> RawSources:
-    o = _orders(spark, sf_dir)
-    return RawSources(leads(o), opportunities(o), expenses_advertising(o), expenses_salary(o))
+    return RawSources(orders=orders_terms(spark, sf_dir))
