@@ -1,9 +1,19 @@
-"""Column -> Column building blocks.
-
-All of these are plain Catalyst expressions: they stay inside whole-stage
-codegen, need no Python at run time and are safe under ANSI mode (no
-expression here can raise on bad data: parsing uses ``try_*`` and every
-division is guarded).
+"""Column building blocks.
+
+Each helper comes in two forms: ``<name>_sql`` returns Spark SQL expression
+text (so helpers compose, e.g. ``safe_div(count_where_sql(p), "count(*)")``)
+and ``<name>`` wraps it in a :class:`Column` with ``F.expr``.  Arguments are
+SQL expressions too: a column name or any expression text.
+
+Why text: the resulting Catalyst expressions are identical to the
+``functions`` API ones, but building them costs one call into the JVM
+instead of one per operator, which matters for the wide projections and the
+dozens of aggregates of the marts (plan construction otherwise dominates the
+run time of small inputs).
+
+All expressions stay inside whole-stage codegen, need no Python at run time
+and are safe under ANSI mode (parsing uses ``try_*`` and every division is
+guarded).
 """
 
 from __future__ import annotations
@@ -17,11 +27,23 @@ from pyspark.sql import functions as F
 from funnelworks import config
 from funnelworks.config import DEFAULT, Assumptions
 
-ColumnOrName = Column | str
+
+def _q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _col(c: ColumnOrName) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def _unicode_literal(s: str) -> str:
+    """SQL string literal with every non-printable or non-ASCII character escaped."""
+    out = []
+    for ch in s:
+        if ch in "\\'":
+            out.append("\\" + ch)
+        elif 32 <= ord(ch) < 127:
+            out.append(ch)
+        else:
+            out.append(f"\\u{ord(ch):04x}")
+    return "'" + "".join(out) + "'"
 
 
 # ---------------------------------------------------------------------------
@@ -29,20 +51,31 @@ def _col(c: ColumnOrName) -> Column:
 # ---------------------------------------------------------------------------
 
 
-def fix_year_offset(c: ColumnOrName, years: int = DEFAULT.year_offset) -> Column:
+def fix_year_offset_sql(c: str, years: int = DEFAULT.year_offset) -> str:
+    return f"add_months({c}, {12 * years})"
+
+
+def fix_year_offset(c: str, years: int = DEFAULT.year_offset) -> Column:
     """Add ``years`` to a date whose year was stored too low (0024 -> 2024).
 
     ``add_months`` by a whole number of years keeps Feb 29 valid because the
     offset (2000) is a multiple of 400.  Applied unconditionally, as in the
     reference: a date that is already correct moves as well.
     """
-    return F.add_months(_col(c), 12 * years)
+    return F.expr(fix_year_offset_sql(c, years))
+
+
+def parse_currency_sql(
+    c: str, precision: int = DEFAULT.currency_precision, scale: int = DEFAULT.currency_scale
+) -> str:
+    no_prefix = f"replace({c}, {_q(config.CURRENCY_PREFIX)}, '')"
+    # translate: ',' -> '.', the remaining matching characters are deleted
+    matching = config.CURRENCY_DECIMAL_COMMA + "".join(config.CURRENCY_DROP_CHARS)
+    return f"try_cast(translate({no_prefix}, {_unicode_literal(matching)}, '.') AS DECIMAL({precision},{scale}))"
 
 
 def parse_currency(
-    c: ColumnOrName,
-    precision: int = DEFAULT.currency_precision,
-    scale: int = DEFAULT.currency_scale,
+    c: str, precision: int = DEFAULT.currency_precision, scale: int = DEFAULT.currency_scale
 ) -> Column:
     """Currency text -> decimal(precision, scale), or null when unparseable.
 
@@ -51,11 +84,7 @@ def parse_currency(
     one ``translate`` does them in a single pass.  Extra fraction digits are
     rounded half-up by the cast; '1.234,56' becomes '1.234.56' and so null.
     """
-    no_prefix = F.replace(_col(c), F.lit(config.CURRENCY_PREFIX), F.lit(""))
-    # translate: ',' -> '.', the remaining matching characters are deleted
-    matching = config.CURRENCY_DECIMAL_COMMA + "".join(config.CURRENCY_DROP_CHARS)
-    cleaned = F.translate(no_prefix, matching, ".")
-    return cleaned.try_cast(f"decimal({precision},{scale})")
+    return F.expr(parse_currency_sql(c, precision, scale))
 
 
 # ---------------------------------------------------------------------------
@@ -63,60 +92,84 @@ def parse_currency(
 # ---------------------------------------------------------------------------
 
 
-def parse_month(c: ColumnOrName, fmt: str = config.MONTH_TEXT_FORMAT) -> Column:
+def parse_month_sql(c: str, fmt: str = config.MONTH_TEXT_FORMAT) -> str:
+    return f"try_to_date({c}, {_q(fmt)})"
+
+
+def parse_month(c: str, fmt: str = config.MONTH_TEXT_FORMAT) -> Column:
     """'Jan-24' -> 2024-01-01 (any letter case); null when it does not parse."""
-    return F.try_to_date(_col(c), fmt)
+    return F.expr(parse_month_sql(c, fmt))
 
 
-def month_start(c: ColumnOrName) -> Column:
+def month_start_sql(c: str) -> str:
+    return f"trunc({c}, 'MM')"
+
+
+def month_start(c: str) -> Column:
     """First day of the month, as a DATE (``date_trunc`` would give a timestamp)."""
-    return F.trunc(_col(c), "month")
+    return F.expr(month_start_sql(c))
+
+
+def days_between_sql(start: str, end: str) -> str:
+    return f"datediff({end}, {start})"
 
 
-def days_between(start: ColumnOrName, end: ColumnOrName) -> Column:
+def days_between(start: str, end: str) -> Column:
     """Calendar days from ``start`` to ``end`` (end - start); null if either is null.
 
     Note the argument order: Spark's ``datediff`` takes (end, start).
     Timestamps are compared by their calendar date.
     """
-    return F.datediff(_col(end), _col(start))
+    return F.expr(days_between_sql(start, end))
 
 
-def safe_div(numerator: ColumnOrName, denominator: ColumnOrName) -> Column:
+def safe_div_sql(numerator: str, denominator: str) -> str:
+    return (
+        f"CASE WHEN ({denominator}) = 0 THEN CAST(0.0 AS DOUBLE) "
+        f"ELSE CAST({numerator} AS DOUBLE) / CAST({denominator} AS DOUBLE) END"
+    )
+
+
+def safe_div(numerator: str, denominator: str) -> Column:
     """Division that returns 0 for a zero denominator (null stays null).
 
     Both operands are read as double so the result type does not depend on
     the input decimal widths.  ``CASE`` is lazy, so the division is never
     evaluated for a zero denominator even with ANSI on.
     """
-    n, d = _col(numerator), _col(denominator)
-    return F.when(d == 0, F.lit(0.0)).otherwise(n.cast("double") / d.cast("double"))
+    return F.expr(safe_div_sql(numerator, denominator))
 
 
-def guarded_div(numerator: ColumnOrName, denominator: ColumnOrName, when: Column) -> Column:
+def guarded_div_sql(numerator: str, denominator: str, when: str) -> str:
+    return f"CASE WHEN {when} THEN CAST({numerator} AS DOUBLE) / CAST({denominator} AS DOUBLE) END"
+
+
+def guarded_div(numerator: str, denominator: str, when: str) -> Column:
     """``numerator / denominator`` as double where ``when`` holds, else null."""
-    return F.when(when, _col(numerator).cast("double") / _col(denominator).cast("double"))
+    return F.expr(guarded_div_sql(numerator, denominator, when))
+
+
+def exact_avg_sql(c: str) -> str:
+    return f"CASE WHEN count({c}) > 0 THEN CAST(sum({c}) AS DOUBLE) / count({c}) END"
 
 
-def exact_avg(c: ColumnOrName) -> Column:
+def exact_avg(c: str) -> Column:
     """Average that skips nulls and is independent of partitioning.
 
     The sum is exact (long or decimal) whatever the order rows arrive in, and
     there is a single rounding, the final division in double.  Null when there
     is no non-null input, like ``avg``.
     """
-    x = _col(c)
-    n = F.count(x)
-    return F.when(n > 0, F.sum(x).cast("double") / n)
+    return F.expr(exact_avg_sql(c))
 
 
-def count_where(predicate: Column) -> Column:
-    """Number of rows where ``predicate`` is true (null counts as false)."""
-    return F.count_if(predicate)
+def count_where_sql(predicate: str) -> str:
+    return f"count_if({predicate})"
 
 
-def money(value: Decimal | int | float, a: Assumptions = DEFAULT) -> Column:
-    return F.lit(Decimal(str(value))).cast(a.money_type)
+def count_where(predicate: str) -> Column:
+    """Number of rows where ``predicate`` is true (null counts as false)."""
+    return F.expr(count_where_sql(predicate))
 
 
 # ---------------------------------------------------------------------------
@@ -124,99 +177,134 @@ def money(value: Decimal | int | float, a: Assumptions = DEFAULT) -> Column:
 # ---------------------------------------------------------------------------
 
 
-def first_match(rules: Sequence[tuple[Column, str]], default: str | None) -> Column:
+def first_match_sql(rules: Sequence[tuple[str, str]], default: str | None) -> str:
     """Label of the first rule whose predicate is true, else ``default``.
 
     A null predicate does not match, exactly like a searched ``CASE``.
     """
+    default_sql = "NULL" if default is None else _q(default)
     if not rules:
-        return F.lit(default)
-    (p0, l0), *rest = rules
-    out = F.when(p0, F.lit(l0))
-    for p, label in rest:
-        out = out.when(p, F.lit(label))
-    return out.otherwise(F.lit(default))
+        return default_sql
+    arms = " ".join(f"WHEN {p} THEN {_q(label)}" for p, label in rules)
+    return f"CASE {arms} ELSE {default_sql} END"
+
+
+def first_match(rules: Sequence[tuple[str, str]], default: str | None) -> Column:
+    return F.expr(first_match_sql(rules, default))
+
+
+def bucketize_sql(
+    c: str, upper_bounds: Sequence[float | int], labels: Sequence[str], null_label: str | None = None
+) -> str:
+    if len(labels) != len(upper_bounds) + 1:
+        raise ValueError("need one more label than upper bounds")
+    rules = [(f"{c} IS NULL", null_label)] if null_label is not None else []
+    rules += [(f"{c} < {b}", lab) for b, lab in zip(upper_bounds, labels[:-1])]
+    return first_match_sql(rules, labels[-1])
 
 
 def bucketize(
-    c: ColumnOrName,
-    upper_bounds: Sequence[float | int],
-    labels: Sequence[str],
-    null_label: str | None = None,
+    c: str, upper_bounds: Sequence[float | int], labels: Sequence[str], null_label: str | None = None
 ) -> Column:
     """Threshold bucketing: ``labels[i]`` for ``c < upper_bounds[i]`` (first hit),
     ``labels[-1]`` otherwise; ``null_label`` for null input.
 
     ``len(labels)`` must be ``len(upper_bounds) + 1``.
     """
-    if len(labels) != len(upper_bounds) + 1:
-        raise ValueError("need one more label than upper bounds")
-    x = _col(c)
-    rules = [(x.isNull(), null_label)] if null_label is not None else []
-    rules += [(x < F.lit(b), lab) for b, lab in zip(upper_bounds, labels[:-1])]
-    return first_match(rules, labels[-1])
+    return F.expr(bucketize_sql(c, upper_bounds, labels, null_label))
 
 
-def stage_category(stage_name: ColumnOrName) -> Column:
-    """closed_won / closed_lost / open from a free-text stage name (case-insensitive)."""
-    s = _col(stage_name)
-    return first_match(
-        [(s.ilike("%closed won%"), config.CLOSED_WON), (s.ilike("%closed lost%"), config.CLOSED_LOST)],
+def stage_category_sql(stage_name: str) -> str:
+    return first_match_sql(
+        [(f"{stage_name} ILIKE '%closed won%'", config.CLOSED_WON),
+         (f"{stage_name} ILIKE '%closed lost%'", config.CLOSED_LOST)],
         config.OPEN,
     )
 
 
+def stage_category(stage_name: str) -> Column:
+    """closed_won / closed_lost / open from a free-text stage name (case-insensitive)."""
+    return F.expr(stage_category_sql(stage_name))
+
+
+def resolve_stage_sql(
+    stage_category_col: str, opportunity_id: str, first_meeting_booked_date: str, first_sales_call_date: str
+) -> str:
+    return first_match_sql(
+        [
+            (f"{stage_category_col} = {_q(config.CLOSED_WON)}", "closed_won"),
+            (f"{stage_category_col} = {_q(config.CLOSED_LOST)}", "closed_lost"),
+            (f"{opportunity_id} IS NOT NULL", "opportunity_open"),
+            (f"{first_meeting_booked_date} IS NOT NULL", "meeting_booked"),
+            (f"{first_sales_call_date} IS NOT NULL", "contacted"),
+        ],
+        "new_lead",
+    )
+
+
 def resolve_stage(
-    stage_category_col: ColumnOrName,
-    opportunity_id: ColumnOrName,
-    first_meeting_booked_date: ColumnOrName,
-    first_sales_call_date: ColumnOrName,
+    stage_category_col: str, opportunity_id: str, first_meeting_booked_date: str, first_sales_call_date: str
 ) -> Column:
     """Current funnel stage of a lead journey; the furthest stage wins.
 
     'contacted' tests the first *call* only: a lead reached by text alone stays
     'new_lead' (kept as in the reference).
     """
-    cat = _col(stage_category_col)
-    return first_match(
-        [
-            (cat == config.CLOSED_WON, "closed_won"),
-            (cat == config.CLOSED_LOST, "closed_lost"),
-            (_col(opportunity_id).isNotNull(), "opportunity_open"),
-            (_col(first_meeting_booked_date).isNotNull(), "meeting_booked"),
-            (_col(first_sales_call_date).isNotNull(), "contacted"),
-        ],
-        "new_lead",
+    return F.expr(
+        resolve_stage_sql(stage_category_col, opportunity_id, first_meeting_booked_date, first_sales_call_date)
     )
 
 
-def speed_to_lead_bucket(days_to_first_contact: ColumnOrName) -> Column:
-    d = _col(days_to_first_contact)
+def speed_to_lead_bucket_sql(days: str) -> str:
     same, nxt, week, late = config.SPEED_BUCKETS
-    return first_match([(d <= 0, same), (d == 1, nxt), (d.between(2, 7), week)], late)
+    return first_match_sql([(f"{days} <= 0", same), (f"{days} = 1", nxt), (f"{days} BETWEEN 2 AND 7", week)], late)
+
 
+def speed_to_lead_bucket(days_to_first_contact: str) -> Column:
+    return F.expr(speed_to_lead_bucket_sql(days_to_first_contact))
 
-def predicted_sales_tier(predicted_monthly_sales: ColumnOrName) -> Column:
-    return bucketize(
-        predicted_monthly_sales,
-        config.SALES_TIER_EDGES,
-        config.SALES_TIER_LABELS,
+
+def predicted_sales_tier_sql(predicted_monthly_sales: str) -> str:
+    return bucketize_sql(
+        predicted_monthly_sales, config.SALES_TIER_EDGES, config.SALES_TIER_LABELS,
         null_label=config.SALES_TIER_UNKNOWN,
     )
 
 
-def estimated_monthly_revenue(predicted_monthly_sales: ColumnOrName, a: Assumptions = DEFAULT) -> Column:
+def predicted_sales_tier(predicted_monthly_sales: str) -> Column:
+    return F.expr(predicted_sales_tier_sql(predicted_monthly_sales))
+
+
+# ---------------------------------------------------------------------------
+# Revenue model
+# ---------------------------------------------------------------------------
+
+
+def _dec(v: Decimal) -> str:
+    """Exact decimal literal (Spark reads 0.05 as DECIMAL(2,2))."""
+    return format(v, "f")
+
+
+def transaction_revenue_sql(predicted_monthly_sales: str, a: Assumptions = DEFAULT) -> str:
+    return f"CAST(coalesce({predicted_monthly_sales}, 0) * {_dec(a.take_rate)} AS {a.money_type})"
+
+
+def estimated_monthly_revenue_sql(predicted_monthly_sales: str, a: Assumptions = DEFAULT) -> str:
     """Subscription + take rate on predicted sales (null sales count as 0)."""
     return (
-        F.lit(a.monthly_subscription)
-        + F.coalesce(_col(predicted_monthly_sales), F.lit(0)) * F.lit(a.take_rate)
-    ).cast(a.money_type)
+        f"CAST({_dec(a.monthly_subscription)} + coalesce({predicted_monthly_sales}, 0) * {_dec(a.take_rate)}"
+        f" AS {a.money_type})"
+    )
 
 
-def transaction_revenue(predicted_monthly_sales: ColumnOrName, a: Assumptions = DEFAULT) -> Column:
-    return (F.coalesce(_col(predicted_monthly_sales), F.lit(0)) * F.lit(a.take_rate)).cast(a.money_type)
+def estimated_ltv_sql(predicted_monthly_sales: str, a: Assumptions = DEFAULT) -> str:
+    """(subscription + take_rate * predicted sales) * horizon, as money."""
+    return f"CAST({estimated_monthly_revenue_sql(predicted_monthly_sales, a)} * {a.ltv_months} AS {a.money_type})"
 
 
-def estimated_ltv(predicted_monthly_sales: ColumnOrName, a: Assumptions = DEFAULT) -> Column:
-    """(subscription + take_rate * predicted sales) * horizon, as money."""
-    return (estimated_monthly_revenue(predicted_monthly_sales, a) * F.lit(a.ltv_months)).cast(a.money_type)
+def estimated_ltv(predicted_monthly_sales: str, a: Assumptions = DEFAULT) -> Column:
+    return F.expr(estimated_ltv_sql(predicted_monthly_sales, a))
+
+
+def subscription_revenue_sql(a: Assumptions = DEFAULT) -> str:
+    return f"CAST({_dec(a.monthly_subscription)} AS {a.money_type})"

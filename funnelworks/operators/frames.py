@@ -2,36 +2,43 @@
 
 Each one is a composition of built-in operators chosen for how it behaves on
 a large cluster; the docstrings say what shuffles and why it stays balanced
-when one key holds a large share of the rows.
+when one key holds a large share of the rows.  Expressions are passed as
+Spark SQL text (see :mod:`funnelworks.functions.columns`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
 def dedupe_latest(
     df: DataFrame,
     key: str | Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[str],
     tiebreak: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Keep one row per ``key``: the first under ``order`` (then ``tiebreak``).
+    """Keep one row per ``key``: the first under ``order`` (SQL ordering terms,
+    e.g. ``"created_date DESC NULLS FIRST"``), then ``tiebreak``.
 
     ``row_number() = 1`` over a key window is planned as a partial
     ``WindowGroupLimit`` before the shuffle and a final one after it, so each
     map task forwards at most one row per key: a key that owns a third of the
     input costs one row per map task in the exchange, not a third of the data.
-    ``tiebreak`` columns (ascending, nulls first) make the choice deterministic
-    when the ordering ties, so results do not depend on task scheduling.
+    ``tiebreak`` columns (ascending, nulls first; default: all other columns)
+    make the choice deterministic when the ordering ties, so results do not
+    depend on task scheduling.
     """
-    keys = [key] if isinstance(key, str) else list(key)
+    keys = _keys(key)
     rest = [c for c in (tiebreak if tiebreak is not None else df.columns) if c not in keys]
-    w = Window.partitionBy(*keys).orderBy(*order, *[F.col(c).asc_nulls_first() for c in rest])
-    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
+    terms = list(order) + [f"{c} ASC NULLS FIRST" for c in rest]
+    window = f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(terms)})"
+    return df.selectExpr("*", f"{window} AS __rn").where("__rn = 1").drop("__rn")
 
 
 def month_spine(months: DataFrame, column: str, out: str | None = None) -> DataFrame:
@@ -43,10 +50,8 @@ def month_spine(months: DataFrame, column: str, out: str | None = None) -> DataF
     rows when the input has no non-null month.
     """
     out = out or column
-    bounds = months.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    return bounds.select(
-        F.explode(F.sequence(F.col("lo"), F.col("hi"), F.expr("interval 1 month"))).alias(out)
-    )
+    bounds = months.selectExpr(f"min({column}) AS lo", f"max({column}) AS hi")
+    return bounds.selectExpr(f"explode(sequence(lo, hi, interval 1 month)) AS {out}")
 
 
 def unpivot(
@@ -54,7 +59,7 @@ def unpivot(
     keep: Sequence[str],
     label_col: str,
     value_cols: Sequence[str],
-    branches: Sequence[tuple[str, Sequence[Column]]],
+    branches: Sequence[tuple[str, Sequence[str]]],
 ) -> DataFrame:
     """Wide -> long: one output row per branch for every input row.
 
@@ -63,13 +68,14 @@ def unpivot(
     ``value_cols``.  Planned as a single ``Generate(stack)`` over one scan,
     unlike a UNION ALL of projections which reads its input once per branch.
     """
-    args: list[Column] = [F.lit(len(branches))]
+    args = [str(len(branches))]
     for label, values in branches:
         if len(values) != len(value_cols):
             raise ValueError("each branch needs one expression per value column")
-        args.append(F.lit(label))
+        args.append("'" + label.replace("'", "\\'") + "'")
         args.extend(values)
-    return df.select(*keep, F.stack(*args).alias(label_col, *value_cols))
+    names = ", ".join([label_col, *value_cols])
+    return df.selectExpr(*keep, f"stack({', '.join(args)}) AS ({names})")
 
 
 def share_within(df: DataFrame, value: str, partition_by: Sequence[str], out: str) -> DataFrame:
@@ -78,8 +84,8 @@ def share_within(df: DataFrame, value: str, partition_by: Sequence[str], out: st
     Meant for frames that are already aggregated (one row per group member),
     so a window partition holds a bounded number of rows.
     """
-    total = F.sum(value).over(Window.partitionBy(*partition_by))
-    return df.withColumn(out, F.col(value).cast("double") / F.nullif(total, F.lit(0)).cast("double"))
+    total = f"sum({value}) OVER (PARTITION BY {', '.join(partition_by)})"
+    return df.selectExpr("*", f"CAST({value} AS DOUBLE) / CAST(nullif({total}, 0) AS DOUBLE) AS {out}")
 
 
 def left_join_sparse_key(
@@ -116,12 +122,13 @@ def left_join_sparse_key(
     if strategy == "salt":
         if salt_col is None:
             raise ValueError("salt strategy needs a unique non-null salt column")
-        k = F.coalesce(left[left_key], left[salt_col])
-        return left.join(right, (k == right[right_key]) & left[left_key].isNotNull(), "left")
+        salted = left.selectExpr("*", f"coalesce({left_key}, {salt_col}) AS __join_key")
+        cond = (salted["__join_key"] == right[right_key]) & salted[left_key].isNotNull()
+        return salted.join(right, cond, "left").drop("__join_key")
     if strategy != "split":
         raise ValueError(f"unknown strategy {strategy!r}")
-    keyed = left.filter(F.col(left_key).isNotNull())
-    unkeyed = left.filter(F.col(left_key).isNull())
+    keyed = left.where(f"{left_key} IS NOT NULL")
+    unkeyed = left.where(f"{left_key} IS NULL")
     joined = keyed.join(right, keyed[left_key] == right[right_key], "left")
-    padding = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]
-    return joined.unionByName(unkeyed.select(*left.columns, *padding))
+    padding = [f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in right.schema.fields]
+    return joined.unionByName(unkeyed.selectExpr("*", *padding))

@@ -16,15 +16,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 SUMMARY_COLUMNS = ["model", "test", "column_name", "violations"]
 
 
-def _summary(df: DataFrame, model: str, test: str, column: str, violations: Column) -> DataFrame:
-    return df.agg(violations.cast("long").alias("violations")).select(
-        F.lit(model).alias("model"), F.lit(test).alias("test"), F.lit(column).alias("column_name"), "violations"
+def _lit(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _in_list(values: Sequence[str]) -> str:
+    return "(" + ", ".join(_lit(v) for v in values) + ")"
+
+
+def _summary(df: DataFrame, model: str, test: str, column: str, violations_sql: str) -> DataFrame:
+    return df.selectExpr(f"CAST({violations_sql} AS BIGINT) AS violations").selectExpr(
+        f"{_lit(model)} AS model", f"{_lit(test)} AS test", f"{_lit(column)} AS column_name", "violations"
     )
 
 
@@ -34,23 +41,23 @@ def unique_check(df: DataFrame, model: str, column: str) -> DataFrame:
     A partial aggregate runs before the shuffle, so a value repeated in a
     third of the rows reaches the reducer as one row per map task.
     """
-    dups = df.filter(F.col(column).isNotNull()).groupBy(column).count().filter(F.col("count") > 1)
-    return _summary(dups, model, "unique", column, F.count(F.lit(1)))
+    dups = df.where(f"{column} IS NOT NULL").groupBy(column).count().where("count > 1")
+    return _summary(dups, model, "unique", column, "count(1)")
 
 
 def unique_combination_check(df: DataFrame, model: str, columns: Sequence[str]) -> DataFrame:
-    dups = df.groupBy(*columns).count().filter(F.col("count") > 1)
-    return _summary(dups, model, "unique_combination_of_columns", ",".join(columns), F.count(F.lit(1)))
+    dups = df.groupBy(*columns).count().where("count > 1")
+    return _summary(dups, model, "unique_combination_of_columns", ",".join(columns), "count(1)")
 
 
 def not_null_check(df: DataFrame, model: str, column: str) -> DataFrame:
-    return _summary(df, model, "not_null", column, F.count_if(F.col(column).isNull()))
+    return _summary(df, model, "not_null", column, f"count_if({column} IS NULL)")
 
 
 def accepted_values_check(df: DataFrame, model: str, column: str, values: Sequence[str]) -> DataFrame:
     """Distinct non-null values outside ``values``."""
-    bad = df.filter(F.col(column).isNotNull() & ~F.col(column).isin(list(values))).groupBy(column).count()
-    return _summary(bad, model, "accepted_values", column, F.count(F.lit(1)))
+    bad = df.where(f"{column} IS NOT NULL AND {column} NOT IN {_in_list(values)}").groupBy(column).count()
+    return _summary(bad, model, "accepted_values", column, "count(1)")
 
 
 def profile_checks(
@@ -69,19 +76,20 @@ def profile_checks(
     accepted = accepted or {}
     aggs, labels = [], []
     for c in not_null:
-        aggs.append(F.count_if(F.col(c).isNull()).cast("long"))
+        aggs.append(f"CAST(count_if({c} IS NULL) AS BIGINT)")
         labels.append(("not_null", c))
     for c, values in accepted.items():
-        bad = F.when(F.col(c).isNotNull() & ~F.col(c).isin(list(values)), F.col(c))
-        aggs.append(F.count_distinct(bad).cast("long"))
+        aggs.append(f"CAST(count(DISTINCT CASE WHEN {c} NOT IN {_in_list(values)} THEN {c} END) AS BIGINT)")
         labels.append(("accepted_values", c))
     if not aggs:
         raise ValueError("no checks given")
-    row = df.agg(*[a.alias(f"v{i}") for i, a in enumerate(aggs)])
-    stack_args = [F.lit(len(aggs))]
+    row = df.selectExpr(*[f"{a} AS v{i}" for i, a in enumerate(aggs)])
+    stack_args = [str(len(aggs))]
     for i, (test, c) in enumerate(labels):
-        stack_args += [F.lit(test), F.lit(c), F.col(f"v{i}")]
-    return row.select(F.lit(model).alias("model"), F.stack(*stack_args).alias("test", "column_name", "violations"))
+        stack_args += [_lit(test), _lit(c), f"v{i}"]
+    return row.selectExpr(
+        f"{_lit(model)} AS model", f"stack({', '.join(stack_args)}) AS (test, column_name, violations)"
+    )
 
 
 def relationship_check(
@@ -93,12 +101,10 @@ def relationship_check(
     so a key held by a third of the children costs one row per map task; the
     anti join then runs on distinct keys only.
     """
-    keys = child.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__k")).agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    parents = parent.select(F.col(parent_column).alias("__p")).filter(F.col("__p").isNotNull())
+    keys = child.where(f"{column} IS NOT NULL").groupBy(child[column].alias("__k")).count()
+    parents = parent.selectExpr(f"{parent_column} AS __p").where("__p IS NOT NULL")
     orphans = keys.join(parents, keys["__k"] == parents["__p"], "left_anti")
-    return _summary(orphans, model, "relationships", column, F.coalesce(F.sum("__n"), F.lit(0)))
+    return _summary(orphans, model, "relationships", column, "coalesce(sum(count), 0)")
 
 
 def reconcile(
@@ -106,7 +112,7 @@ def reconcile(
     source_column: str,
     model: DataFrame,
     model_column: str,
-    where: Column | None = None,
+    where: str | None = None,
     tolerance: Decimal = Decimal("0.01"),
     name: str = "reconcile",
 ) -> DataFrame:
@@ -117,25 +123,25 @@ def reconcile(
     aggregate over the tagged union of the two inputs, so there is no join.
     Empty inputs total 0.
     """
-    m = model.filter(where) if where is not None else model
-    tagged = source.select(F.lit(True).alias("__src"), F.col(source_column).alias("__v")).unionByName(
-        m.select(F.lit(False).alias("__src"), F.col(model_column).alias("__v"))
+    m = model.where(where) if where else model
+    tagged = source.selectExpr("true AS __src", f"{source_column} AS __v").unionByName(
+        m.selectExpr("false AS __src", f"{model_column} AS __v")
     )
-    totals = tagged.agg(
-        F.coalesce(F.sum(F.when(F.col("__src"), F.col("__v"))), F.lit(0)).alias("source_total"),
-        F.coalesce(F.sum(F.when(~F.col("__src"), F.col("__v"))), F.lit(0)).alias("model_total"),
+    totals = tagged.selectExpr(
+        "coalesce(sum(CASE WHEN __src THEN __v END), 0) AS source_total",
+        "coalesce(sum(CASE WHEN NOT __src THEN __v END), 0) AS model_total",
     )
-    diff = F.abs(F.col("source_total") - F.col("model_total"))
-    return totals.select(
-        F.lit(name).alias("check_name"),
+    tol = format(tolerance, "f")
+    return totals.selectExpr(
+        f"{_lit(name)} AS check_name",
         "source_total",
         "model_total",
-        diff.alias("difference"),
-        F.when(diff > F.lit(tolerance), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("violations"),
+        "abs(source_total - model_total) AS difference",
+        f"CAST(CASE WHEN abs(source_total - model_total) > {tol} THEN 1 ELSE 0 END AS BIGINT) AS violations",
     )
 
 
 def reconcile_summary(rec: DataFrame, model: str, column: str) -> DataFrame:
-    return rec.select(
-        F.lit(model).alias("model"), F.col("check_name").alias("test"), F.lit(column).alias("column_name"), "violations"
+    return rec.selectExpr(
+        f"{_lit(model)} AS model", "check_name AS test", f"{_lit(column)} AS column_name", "violations"
     )

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from funnelworks import config
 from funnelworks.functions.columns import (
-    fix_year_offset,
-    parse_currency,
-    parse_month,
-    predicted_sales_tier,
-    safe_div,
-    speed_to_lead_bucket,
+    fix_year_offset_sql,
+    parse_currency_sql,
+    parse_month_sql,
+    predicted_sales_tier_sql,
+    safe_div_sql,
+    speed_to_lead_bucket_sql,
 )
 from funnelworks.operators.frames import share_within, unpivot
 from funnelworks.plans import intermediate, quality_suite, staging
@@ -64,17 +64,17 @@ def unpivot_channels_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         label_col="channel",
         value_cols=["people_cost"],
         branches=[
-            (config.INBOUND, [F.col("inbound_team_cost")]),
-            (config.OUTBOUND, [F.col("outbound_team_cost")]),
+            (config.INBOUND, ["inbound_team_cost"]),
+            (config.OUTBOUND, ["outbound_team_cost"]),
         ],
     )
 
 
 def _stage_counts(m: Models) -> DataFrame:
     return m.fct_lead_funnel.groupBy("lead_created_month", "channel", "current_funnel_stage").agg(
-        F.count(F.lit(1)).alias("lead_count"),
-        F.count_if(F.col("is_converted")).alias("converted"),
-        F.count_if(F.col("demo_held")).alias("demos_held"),
+        F.expr("count(1) AS lead_count"),
+        F.expr("count_if(is_converted) AS converted"),
+        F.expr("count_if(demo_held) AS demos_held"),
     )
 
 
@@ -89,27 +89,27 @@ def share_within_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def safe_div_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demo rate per month x channel x stage; stages without opportunities give 0."""
     c = _stage_counts(models(spark, sf_dir))
-    return c.select(
+    return c.selectExpr(
         "lead_created_month", "channel", "current_funnel_stage", "converted", "demos_held",
-        safe_div("demos_held", "converted").alias("demo_rate"),
+        f"{safe_div_sql('demos_held', 'converted')} AS demo_rate",
     )
 
 
 def parse_currency_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct currency text of the three raw tables and its parsed value."""
     raw = models(spark, sf_dir).raw
-    texts = (
-        raw.leads.select(F.lit("predicted_sales_with_owner").alias("source_column"),
-                         F.col("predicted_sales_with_owner").alias("raw_text"))
-        .unionByName(raw.expenses_advertising.select(F.lit("advertising").alias("source_column"),
-                                                     F.col("advertising").alias("raw_text")))
-        .unionByName(raw.expenses_salary.select(F.lit("outbound_sales_team").alias("source_column"),
-                                                F.col("outbound_sales_team").alias("raw_text")))
-        .unionByName(raw.expenses_salary.select(F.lit("inbound_sales_team").alias("source_column"),
-                                                F.col("inbound_sales_team").alias("raw_text")))
+
+    def texts(df: DataFrame, col: str) -> DataFrame:
+        return df.selectExpr(f"'{col}' AS source_column", f"{col} AS raw_text")
+
+    all_texts = (
+        texts(raw.leads, "predicted_sales_with_owner")
+        .unionByName(texts(raw.expenses_advertising, "advertising"))
+        .unionByName(texts(raw.expenses_salary, "outbound_sales_team"))
+        .unionByName(texts(raw.expenses_salary, "inbound_sales_team"))
     )
-    return texts.groupBy("source_column", "raw_text").agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
-        "parsed_value", parse_currency("raw_text")
+    return all_texts.groupBy("source_column", "raw_text").count().selectExpr(
+        "source_column", "raw_text", "count AS n_rows", f"{parse_currency_sql('raw_text')} AS parsed_value"
     )
 
 
@@ -118,9 +118,9 @@ def fix_year_offset_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = models(spark, sf_dir).raw
 
     def part(df: DataFrame, id_col: str, col: str) -> DataFrame:
-        return df.filter(F.col(col).isNotNull()).select(
-            F.lit(col).alias("source_column"), F.col(id_col).alias("record_id"),
-            F.col(col).alias("raw_date"), fix_year_offset(col).alias("fixed_date"),
+        return df.where(f"{col} IS NOT NULL").selectExpr(
+            f"'{col}' AS source_column", f"{id_col} AS record_id", f"{col} AS raw_date",
+            f"{fix_year_offset_sql(col)} AS fixed_date",
         )
 
     return (
@@ -132,21 +132,22 @@ def fix_year_offset_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_month_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = models(spark, sf_dir).raw
-    months = raw.expenses_advertising.select(F.lit("expenses_advertising").alias("source_table"), "month").unionByName(
-        raw.expenses_salary.select(F.lit("expenses_salary_and_commissions").alias("source_table"), "month")
+    months = raw.expenses_advertising.selectExpr("'expenses_advertising' AS source_table", "month AS raw_text")
+    months = months.unionByName(
+        raw.expenses_salary.selectExpr("'expenses_salary_and_commissions' AS source_table", "month AS raw_text")
+    )
+    return months.groupBy("source_table", "raw_text").count().selectExpr(
+        "source_table", "raw_text", "count AS n_rows", f"{parse_month_sql('raw_text')} AS expense_month"
     )
-    return months.groupBy("source_table", F.col("month").alias("raw_text")).agg(
-        F.count(F.lit(1)).alias("n_rows")
-    ).withColumn("expense_month", parse_month("raw_text"))
 
 
 def bucketize_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = models(spark, sf_dir).fct_lead_funnel
-    return f.select(
+    return f.selectExpr(
         "lead_id", "channel", "days_lead_to_first_contact",
-        speed_to_lead_bucket("days_lead_to_first_contact").alias("response_speed_bucket"),
+        f"{speed_to_lead_bucket_sql('days_lead_to_first_contact')} AS response_speed_bucket",
         "predicted_monthly_sales",
-        predicted_sales_tier("predicted_monthly_sales").alias("predicted_sales_tier"),
+        f"{predicted_sales_tier_sql('predicted_monthly_sales')} AS predicted_sales_tier",
     )
 
 

@@ -6,49 +6,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelworks.functions.columns import (
-    count_where,
-    exact_avg,
-    predicted_sales_tier as sales_tier,
-    safe_div,
-    speed_to_lead_bucket,
+    count_where_sql,
+    exact_avg_sql,
+    predicted_sales_tier_sql,
+    safe_div_sql,
+    speed_to_lead_bucket_sql,
 )
 
 
+def _aggs(spec: dict[str, str]):
+    return [F.expr(f"{sql} AS {name}") for name, sql in spec.items()]
+
+
 def speed_to_lead(funnel: DataFrame) -> DataFrame:
     """Close rate and LTV by how fast a called lead was first contacted."""
-    won = F.col("is_closed_won")
-    total = F.count(F.lit(1))
+    won = count_where_sql("is_closed_won")
     return (
-        funnel.filter(F.col("first_sales_call_date").isNotNull())
-        .groupBy("channel", speed_to_lead_bucket("days_lead_to_first_contact").alias("response_speed_bucket"))
+        funnel.where("first_sales_call_date IS NOT NULL")
+        .groupBy("channel", F.expr(f"{speed_to_lead_bucket_sql('days_lead_to_first_contact')} AS response_speed_bucket"))
         .agg(
-            total.alias("lead_count"),
-            count_where(won).alias("won_count"),
-            safe_div(count_where(won), total).alias("close_rate"),
-            exact_avg("estimated_ltv_24mo").alias("avg_ltv_won"),
+            *_aggs(
+                {
+                    "lead_count": "count(1)",
+                    "won_count": won,
+                    "close_rate": safe_div_sql(won, "count(1)"),
+                    "avg_ltv_won": exact_avg_sql("estimated_ltv_24mo"),
+                }
+            )
         )
-        .orderBy(F.col("channel").asc_nulls_last(), F.col("response_speed_bucket").asc_nulls_last())
+        .orderBy("channel", "response_speed_bucket")
     )
 
 
 def predicted_sales_tier(funnel: DataFrame) -> DataFrame:
     """Conversion, LTV and LTV per activity by predicted monthly sales tier."""
-    won = F.col("is_closed_won")
-    total = F.count(F.lit(1))
-    won_ltv = F.when(won, F.col("estimated_ltv_24mo"))
+    won = count_where_sql("is_closed_won")
     return (
-        funnel.groupBy("channel", sales_tier("predicted_monthly_sales").alias("predicted_sales_tier"))
+        funnel.groupBy("channel", F.expr(f"{predicted_sales_tier_sql('predicted_monthly_sales')} AS predicted_sales_tier"))
         .agg(
-            total.alias("total_leads"),
-            count_where(F.col("is_converted")).alias("converted"),
-            count_where(won).alias("won"),
-            safe_div(count_where(won), total).alias("close_rate"),
-            exact_avg(won_ltv).alias("avg_ltv"),
-            exact_avg("total_activity_count").alias("avg_activities"),
-            safe_div(
-                F.sum(F.when(won, F.col("estimated_ltv_24mo")).otherwise(F.lit(0))),
-                F.sum("total_activity_count"),
-            ).alias("ltv_per_activity"),
+            *_aggs(
+                {
+                    "total_leads": "count(1)",
+                    "converted": count_where_sql("is_converted"),
+                    "won": won,
+                    "close_rate": safe_div_sql(won, "count(1)"),
+                    "avg_ltv": exact_avg_sql("CASE WHEN is_closed_won THEN estimated_ltv_24mo END"),
+                    "avg_activities": exact_avg_sql("total_activity_count"),
+                    "ltv_per_activity": safe_div_sql(
+                        "sum(CASE WHEN is_closed_won THEN estimated_ltv_24mo ELSE 0 END)", "sum(total_activity_count)"
+                    ),
+                }
+            )
         )
-        .orderBy(F.col("channel").asc_nulls_last(), F.col("predicted_sales_tier").asc_nulls_last())
+        .orderBy("channel", "predicted_sales_tier")
     )

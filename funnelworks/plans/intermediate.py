@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from funnelworks import config
 from funnelworks.config import DEFAULT, Assumptions
-from funnelworks.functions.columns import days_between, estimated_ltv, resolve_stage
+from funnelworks.functions.columns import days_between_sql, estimated_ltv_sql, resolve_stage_sql
 from funnelworks.operators.frames import left_join_sparse_key, month_spine, unpivot
 
+# (source column, output name) in output order
 _LEAD_COLUMNS = [
     "lead_id",
     "channel",
@@ -56,12 +56,8 @@ _OPPORTUNITY_COLUMNS = [
 ]
 
 
-def _pick(prefix: str, spec) -> list:
-    out = []
-    for c in spec:
-        src, dst = c if isinstance(c, tuple) else (c, c)
-        out.append(F.col(prefix + src).alias(dst))
-    return out
+def _pairs(spec) -> list[tuple[str, str]]:
+    return [c if isinstance(c, tuple) else (c, c) for c in spec]
 
 
 def lead_opportunity_joined(
@@ -78,30 +74,32 @@ def lead_opportunity_joined(
     join uses :func:`left_join_sparse_key` to keep those rows out of the
     shuffle.  The opportunity side is unique per key after the dedupe.
     """
-    lead_cols = [(c if isinstance(c, str) else c[0]) for c in _LEAD_COLUMNS] + ["converted_opportunity_id"]
-    leads = stg_leads.select(*[F.col(c).alias("l_" + c) for c in dict.fromkeys(lead_cols)])
-    opps = stg_opportunities.select(
-        *[F.col(c).alias("o_" + c) for c in [(x if isinstance(x, str) else x[0]) for x in _OPPORTUNITY_COLUMNS]]
-    )
+    lead_src = list(dict.fromkeys([s for s, _ in _pairs(_LEAD_COLUMNS)] + ["converted_opportunity_id"]))
+    leads = stg_leads.selectExpr(*[f"{c} AS l_{c}" for c in lead_src])
+    opps = stg_opportunities.selectExpr(*[f"{s} AS o_{s}" for s, _ in _pairs(_OPPORTUNITY_COLUMNS)])
     j = left_join_sparse_key(
         leads, opps, "l_converted_opportunity_id", "o_opportunity_id",
         strategy=join_strategy, salt_col="l_lead_id",
     )
-    won = F.col("o_stage_category") == config.CLOSED_WON
-    return j.select(
-        *_pick("l_", _LEAD_COLUMNS),
-        *_pick("o_", _OPPORTUNITY_COLUMNS),
-        resolve_stage(
-            "o_stage_category", "o_opportunity_id", "l_first_meeting_booked_date", "l_first_sales_call_date"
-        ).alias("current_funnel_stage"),
-        days_between("l_lead_created_date", "l_first_contact_date").alias("days_lead_to_first_contact"),
-        days_between("l_first_contact_date", "l_first_meeting_booked_date").alias("days_contact_to_meeting"),
-        days_between("l_first_meeting_booked_date", "o_demo_set_date").alias("days_meeting_booked_to_demo_set"),
-        days_between("o_demo_date", "o_close_date").alias("days_demo_held_to_close"),
-        days_between("l_lead_created_date", "o_created_date").alias("days_lead_to_opportunity"),
-        days_between("l_last_sales_activity_date", "o_close_date").alias("days_last_activity_to_close"),
-        days_between("l_lead_created_date", "o_close_date").alias("days_lead_to_close"),
-        F.when(won, estimated_ltv("l_predicted_monthly_sales", a)).alias("estimated_ltv_24mo"),
+    stage = resolve_stage_sql(
+        "o_stage_category", "o_opportunity_id", "l_first_meeting_booked_date", "l_first_sales_call_date"
+    )
+    velocity = {
+        "days_lead_to_first_contact": ("l_lead_created_date", "l_first_contact_date"),
+        "days_contact_to_meeting": ("l_first_contact_date", "l_first_meeting_booked_date"),
+        "days_meeting_booked_to_demo_set": ("l_first_meeting_booked_date", "o_demo_set_date"),
+        "days_demo_held_to_close": ("o_demo_date", "o_close_date"),
+        "days_lead_to_opportunity": ("l_lead_created_date", "o_created_date"),
+        "days_last_activity_to_close": ("l_last_sales_activity_date", "o_close_date"),
+        "days_lead_to_close": ("l_lead_created_date", "o_close_date"),
+    }
+    return j.selectExpr(
+        *[f"l_{s} AS {d}" for s, d in _pairs(_LEAD_COLUMNS)],
+        *[f"o_{s} AS {d}" for s, d in _pairs(_OPPORTUNITY_COLUMNS)],
+        f"{stage} AS current_funnel_stage",
+        *[f"{days_between_sql(start, end)} AS {name}" for name, (start, end) in velocity.items()],
+        f"CASE WHEN o_stage_category = '{config.CLOSED_WON}' THEN {estimated_ltv_sql('l_predicted_monthly_sales', a)}"
+        " END AS estimated_ltv_24mo",
     )
 
 
@@ -129,30 +127,32 @@ def monthly_expenses(
     what is actually small.
     """
     spine = expense_month_spine(stg_expenses_advertising, stg_expenses_salary)
-    zero = F.lit(0).cast(a.currency_type)
+    money = a.currency_type
+    zero = f"CAST(0 AS {money})"
     prep = (
         spine.join(stg_expenses_advertising, "expense_month", "left")
         .join(stg_expenses_salary, "expense_month", "left")
-        .select(
+        .selectExpr(
             "expense_month",
-            F.coalesce("advertising_spend", zero).alias("ad"),
-            F.coalesce("inbound_team_cost", zero).alias("inbound_people"),
-            F.coalesce("outbound_team_cost", zero).alias("outbound_people"),
+            f"coalesce(advertising_spend, {zero}) AS ad",
+            f"coalesce(inbound_team_cost, {zero}) AS inbound_people",
+            f"coalesce(outbound_team_cost, {zero}) AS outbound_people",
         )
     )
-    return unpivot(
+    long = unpivot(
         prep,
         keep=["expense_month"],
         label_col="channel",
         value_cols=["total_cost", "advertising_cost", "people_cost"],
         branches=[
-            (config.INBOUND, [F.col("ad") + F.col("inbound_people"), F.col("ad"), F.col("inbound_people")]),
-            (config.OUTBOUND, [F.col("outbound_people"), zero, F.col("outbound_people")]),
+            (config.INBOUND, ["ad + inbound_people", "ad", "inbound_people"]),
+            (config.OUTBOUND, ["outbound_people", zero, "outbound_people"]),
         ],
-    ).select(
+    )
+    return long.selectExpr(
         "expense_month",
         "channel",
-        F.col("total_cost").cast(a.currency_type).alias("total_cost"),
-        F.col("advertising_cost").cast(a.currency_type).alias("advertising_cost"),
-        F.col("people_cost").cast(a.currency_type).alias("people_cost"),
+        f"CAST(total_cost AS {money}) AS total_cost",
+        f"CAST(advertising_cost AS {money}) AS advertising_cost",
+        f"CAST(people_cost AS {money}) AS people_cost",
     )

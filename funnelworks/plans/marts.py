@@ -10,116 +10,132 @@ one row per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelworks import config
 from funnelworks.config import DEFAULT, Assumptions
 from funnelworks.functions.columns import (
-    count_where,
-    exact_avg,
-    guarded_div,
-    month_start,
-    safe_div,
-    transaction_revenue,
-    estimated_monthly_revenue,
+    count_where_sql,
+    estimated_monthly_revenue_sql,
+    exact_avg_sql,
+    guarded_div_sql,
+    month_start_sql,
+    safe_div_sql,
+    subscription_revenue_sql,
+    transaction_revenue_sql,
 )
 from funnelworks.operators.frames import share_within
 
 
+def _aggs(spec: dict[str, str]) -> list[Column]:
+    """{output name: SQL aggregate expression} -> aliased Columns."""
+    return [F.expr(f"{sql} AS {name}") for name, sql in spec.items()]
+
+
+def _avgs(spec: dict[str, str]) -> dict[str, str]:
+    """{output name: column} -> {output name: exact average expression}."""
+    return {name: exact_avg_sql(col) for name, col in spec.items()}
+
+
+VELOCITY = {
+    "days_lead_to_first_contact": "days_lead_to_first_contact",
+    "days_contact_to_meeting": "days_contact_to_meeting",
+    "days_meeting_to_demo_set": "days_meeting_booked_to_demo_set",
+    "days_demo_set_to_held": "days_demo_set_to_held",
+    "days_demo_held_to_close": "days_demo_held_to_close",
+    "days_lead_to_opportunity": "days_lead_to_opportunity",
+    "days_opp_to_close": "days_to_close",
+    "days_lead_to_close": "days_lead_to_close",
+    "days_last_activity_to_close": "days_last_activity_to_close",
+}
+
+
+def _velocity_avgs(rename: dict[str, str] | None = None, drop: tuple[str, ...] = ()) -> dict[str, str]:
+    rename = rename or {}
+    return {
+        "avg_" + rename.get(k, k): exact_avg_sql(col) for k, col in VELOCITY.items() if k not in drop
+    }
+
+
+_FUNNEL_PASSTHROUGH_1 = [
+    "lead_id", "opportunity_id", "account_id", "channel", "lead_status", "current_funnel_stage",
+    "stage_name AS opportunity_stage_name", "stage_category AS opportunity_stage_category",
+    "lost_reason", "closed_lost_notes", "business_issue", "attribution_source", "cuisine_types",
+]
+_FUNNEL_PASSTHROUGH_2 = [
+    "marketplaces_used", "online_ordering_used", "location_count", "connected_with_decision_maker",
+    "is_converted", "demo_held",
+]
+_FUNNEL_DATES = [
+    "form_submission_date", "first_sales_call_date", "first_text_sent_date", "first_meeting_booked_date",
+    "first_contact_date", "demo_set_date", "demo_time", "demo_date", "opportunity_created_date", "close_date",
+    "last_sales_activity_date", "lead_created_date",
+]
+_FUNNEL_MEASURES = [
+    "sales_call_count", "sales_text_count", "sales_email_count", "total_activity_count",
+    "days_lead_to_first_contact", "days_contact_to_meeting", "days_meeting_booked_to_demo_set",
+    "days_demo_set_to_held", "days_demo_held_to_close", "days_lead_to_opportunity", "days_to_close",
+    "days_lead_to_close", "days_last_activity_to_close", "predicted_monthly_sales",
+]
+
+
 def lead_funnel(journey: DataFrame, a: Assumptions = DEFAULT) -> DataFrame:
     """One row per lead with a known created month (the core fact, P7)."""
-    pms = F.col("predicted_monthly_sales")
-    stage = F.col("current_funnel_stage")
-    month = month_start("lead_created_date")
-    return journey.filter(month.isNotNull()).select(
-        "lead_id",
-        "opportunity_id",
-        "account_id",
-        "channel",
-        "lead_status",
-        "current_funnel_stage",
-        F.col("stage_name").alias("opportunity_stage_name"),
-        F.col("stage_category").alias("opportunity_stage_category"),
-        "lost_reason",
-        "closed_lost_notes",
-        "business_issue",
-        "attribution_source",
-        "cuisine_types",
+    month = month_start_sql("lead_created_date")
+    return journey.where(f"{month} IS NOT NULL").selectExpr(
+        *_FUNNEL_PASSTHROUGH_1,
         # string length of the list text, not a number of cuisines (as in the reference)
-        F.length("cuisine_types").alias("cuisine_count"),
-        "marketplaces_used",
-        "online_ordering_used",
-        "location_count",
-        "connected_with_decision_maker",
-        "is_converted",
-        "demo_held",
-        (stage == config.CLOSED_WON).alias("is_closed_won"),
-        (stage == config.CLOSED_LOST).alias("is_closed_lost"),
-        "form_submission_date",
-        "first_sales_call_date",
-        "first_text_sent_date",
-        "first_meeting_booked_date",
-        "first_contact_date",
-        "demo_set_date",
-        "demo_time",
-        "demo_date",
-        "opportunity_created_date",
-        "close_date",
-        "last_sales_activity_date",
-        "lead_created_date",
-        month.alias("lead_created_month"),
-        "sales_call_count",
-        "sales_text_count",
-        "sales_email_count",
-        "total_activity_count",
-        "days_lead_to_first_contact",
-        "days_contact_to_meeting",
-        "days_meeting_booked_to_demo_set",
-        "days_demo_set_to_held",
-        "days_demo_held_to_close",
-        "days_lead_to_opportunity",
-        "days_to_close",
-        "days_lead_to_close",
-        "days_last_activity_to_close",
-        "predicted_monthly_sales",
-        transaction_revenue(pms, a).alias("predicted_monthly_transaction_revenue"),
-        F.lit(a.monthly_subscription).cast(a.money_type).alias("monthly_subscription_revenue"),
-        estimated_monthly_revenue(pms, a).alias("predicted_monthly_total_revenue"),
+        "length(cuisine_types) AS cuisine_count",
+        *_FUNNEL_PASSTHROUGH_2,
+        f"current_funnel_stage = '{config.CLOSED_WON}' AS is_closed_won",
+        f"current_funnel_stage = '{config.CLOSED_LOST}' AS is_closed_lost",
+        *_FUNNEL_DATES,
+        f"{month} AS lead_created_month",
+        *_FUNNEL_MEASURES,
+        f"{transaction_revenue_sql('predicted_monthly_sales', a)} AS predicted_monthly_transaction_revenue",
+        f"{subscription_revenue_sql(a)} AS monthly_subscription_revenue",
+        f"{estimated_monthly_revenue_sql('predicted_monthly_sales', a)} AS predicted_monthly_total_revenue",
         "estimated_ltv_24mo",
     )
 
 
 def account_ltv(funnel: DataFrame) -> DataFrame:
     """Won deals rolled up per account x channel (P8)."""
-    won = funnel.filter(
-        F.col("is_closed_won") & F.col("lead_created_date").isNotNull() & F.col("account_id").isNotNull()
-    )
+    won = funnel.where("is_closed_won AND lead_created_date IS NOT NULL AND account_id IS NOT NULL")
     return won.groupBy("account_id", "channel").agg(
-        F.count(F.lit(1)).alias("total_won_deals"),
-        exact_avg("predicted_monthly_sales").alias("avg_predicted_monthly_sales"),
-        exact_avg("predicted_monthly_transaction_revenue").alias("avg_monthly_transaction_revenue"),
-        exact_avg("monthly_subscription_revenue").alias("avg_monthly_subscription_revenue"),
-        exact_avg("predicted_monthly_total_revenue").alias("avg_monthly_total_revenue"),
-        F.sum("predicted_monthly_total_revenue").alias("total_monthly_revenue"),
-        F.sum("estimated_ltv_24mo").alias("total_estimated_ltv_24mo"),
-        F.max("location_count").alias("location_count"),
-        F.max("cuisine_types").alias("cuisine_types"),
-        F.max(F.length("cuisine_types")).alias("cuisine_count"),
-        F.max("marketplaces_used").alias("marketplaces_used"),
-        F.max("online_ordering_used").alias("online_ordering_used"),
-        F.min("lead_created_date").alias("first_lead_created_date"),
-        F.min("close_date").alias("first_close_date"),
-        F.max("close_date").alias("latest_close_date"),
-        exact_avg("days_lead_to_close").alias("avg_days_lead_to_close"),
-        exact_avg("days_demo_held_to_close").alias("avg_days_demo_held_to_close"),
+        *_aggs(
+            {
+                "total_won_deals": "count(1)",
+                **_avgs(
+                    {
+                        "avg_predicted_monthly_sales": "predicted_monthly_sales",
+                        "avg_monthly_transaction_revenue": "predicted_monthly_transaction_revenue",
+                        "avg_monthly_subscription_revenue": "monthly_subscription_revenue",
+                        "avg_monthly_total_revenue": "predicted_monthly_total_revenue",
+                    }
+                ),
+                "total_monthly_revenue": "sum(predicted_monthly_total_revenue)",
+                "total_estimated_ltv_24mo": "sum(estimated_ltv_24mo)",
+                "location_count": "max(location_count)",
+                "cuisine_types": "max(cuisine_types)",
+                "cuisine_count": "max(length(cuisine_types))",
+                "marketplaces_used": "max(marketplaces_used)",
+                "online_ordering_used": "max(online_ordering_used)",
+                "first_lead_created_date": "min(lead_created_date)",
+                "first_close_date": "min(close_date)",
+                "latest_close_date": "max(close_date)",
+                **_avgs(
+                    {
+                        "avg_days_lead_to_close": "days_lead_to_close",
+                        "avg_days_demo_held_to_close": "days_demo_held_to_close",
+                    }
+                ),
+            }
+        )
     )
 
 
-def _velocity(prefix_names: dict[str, str]) -> list:
-    return [exact_avg(src).alias(dst) for dst, src in prefix_names.items()]
-
-
 def channel_economics(funnel: DataFrame, expenses: DataFrame, a: Assumptions = DEFAULT) -> DataFrame:
     """Volume, cost, conversion, CAC and velocity per created month x channel (P9).
 
@@ -128,115 +144,89 @@ def channel_economics(funnel: DataFrame, expenses: DataFrame, a: Assumptions = D
     it).  Both join inputs are aggregates of a few hundred rows; AQE sees
     their measured size and broadcasts at run time.
     """
-    won = F.col("is_closed_won")
-    outcomes = (
-        funnel.groupBy("lead_created_month", "channel")
-        .agg(
-            F.count(F.lit(1)).alias("total_leads"),
-            count_where(F.col("is_converted")).alias("converted_leads"),
-            count_where(F.col("demo_held")).alias("demos_held"),
-            count_where(won).alias("closed_won_deals"),
-            count_where(F.col("is_closed_lost")).alias("closed_lost_deals"),
-            *_velocity(
-                {
-                    "avg_days_to_first_contact": "days_lead_to_first_contact",
-                    "avg_days_contact_to_meeting": "days_contact_to_meeting",
-                    "avg_days_meeting_to_demo_set": "days_meeting_booked_to_demo_set",
-                    "avg_days_demo_set_to_held": "days_demo_set_to_held",
-                    "avg_days_demo_held_to_close": "days_demo_held_to_close",
-                    "avg_days_lead_to_opportunity": "days_lead_to_opportunity",
-                    "avg_days_opp_to_close": "days_to_close",
-                    "avg_days_lead_to_close": "days_lead_to_close",
-                    "avg_days_last_activity_to_close": "days_last_activity_to_close",
-                }
-            ),
-            exact_avg("total_activity_count").alias("avg_activities_per_lead"),
-            exact_avg(F.when(won, F.col("total_activity_count"))).alias("avg_activities_per_won_deal"),
+    outcomes = funnel.groupBy("lead_created_month", "channel").agg(
+        *_aggs(
+            {
+                "total_leads": "count(1)",
+                "converted_leads": count_where_sql("is_converted"),
+                "demos_held": count_where_sql("demo_held"),
+                "closed_won_deals": count_where_sql("is_closed_won"),
+                "closed_lost_deals": count_where_sql("is_closed_lost"),
+                **_velocity_avgs(rename={"days_lead_to_first_contact": "days_to_first_contact"}),
+                "avg_activities_per_lead": exact_avg_sql("total_activity_count"),
+                "avg_activities_per_won_deal": exact_avg_sql(
+                    "CASE WHEN is_closed_won THEN total_activity_count END"
+                ),
+            }
         )
-        .alias("o")
     )
-    e = expenses.alias("e")
-    zero = F.lit(0).cast(a.currency_type)
-    total_cost = F.coalesce(F.col("e.total_cost"), zero)
+    e = expenses.selectExpr(
+        "expense_month", "channel AS e_channel", "total_cost AS e_total_cost",
+        "advertising_cost AS e_advertising_cost", "people_cost AS e_people_cost",
+    )
+    zero = f"CAST(0 AS {a.currency_type})"
     joined = outcomes.join(
-        e,
-        (F.col("o.lead_created_month") == F.col("e.expense_month")) & (F.col("o.channel") == F.col("e.channel")),
-        "left",
-    ).filter(F.col("o.lead_created_month").isNotNull() & (total_cost > 0))
-    won_n = F.col("o.closed_won_deals")
-    return joined.select(
-        F.col("o.lead_created_month").alias("lead_created_month"),
-        F.col("o.channel").alias("channel"),
-        "o.total_leads",
-        "o.converted_leads",
-        "o.demos_held",
-        "o.closed_won_deals",
-        "o.closed_lost_deals",
-        total_cost.alias("total_cost"),
-        F.coalesce(F.col("e.advertising_cost"), zero).alias("advertising_cost"),
-        F.coalesce(F.col("e.people_cost"), zero).alias("people_cost"),
-        safe_div("o.converted_leads", "o.total_leads").alias("lead_to_opportunity_rate"),
-        safe_div("o.demos_held", "o.converted_leads").alias("opportunity_to_demo_rate"),
-        safe_div("o.closed_won_deals", "o.demos_held").alias("demo_to_close_rate"),
-        safe_div("o.closed_won_deals", "o.total_leads").alias("lead_to_close_rate"),
-        guarded_div(total_cost, won_n, won_n > 0).alias("cac"),
-        "o.avg_days_to_first_contact",
-        "o.avg_days_contact_to_meeting",
-        "o.avg_days_meeting_to_demo_set",
-        "o.avg_days_demo_set_to_held",
-        "o.avg_days_demo_held_to_close",
-        "o.avg_days_lead_to_opportunity",
-        "o.avg_days_opp_to_close",
-        "o.avg_days_lead_to_close",
-        "o.avg_days_last_activity_to_close",
-        "o.avg_activities_per_lead",
-        "o.avg_activities_per_won_deal",
+        e, (outcomes["lead_created_month"] == e["expense_month"]) & (outcomes["channel"] == e["e_channel"]), "left"
+    ).where(f"lead_created_month IS NOT NULL AND coalesce(e_total_cost, {zero}) > 0")
+    total_cost = f"coalesce(e_total_cost, {zero})"
+    velocity = [f"avg_{v}" for v in ["days_to_first_contact"] + list(VELOCITY)[1:]]
+    return joined.selectExpr(
+        "lead_created_month",
+        "channel",
+        "total_leads",
+        "converted_leads",
+        "demos_held",
+        "closed_won_deals",
+        "closed_lost_deals",
+        f"{total_cost} AS total_cost",
+        f"coalesce(e_advertising_cost, {zero}) AS advertising_cost",
+        f"coalesce(e_people_cost, {zero}) AS people_cost",
+        f"{safe_div_sql('converted_leads', 'total_leads')} AS lead_to_opportunity_rate",
+        f"{safe_div_sql('demos_held', 'converted_leads')} AS opportunity_to_demo_rate",
+        f"{safe_div_sql('closed_won_deals', 'demos_held')} AS demo_to_close_rate",
+        f"{safe_div_sql('closed_won_deals', 'total_leads')} AS lead_to_close_rate",
+        f"{guarded_div_sql(total_cost, 'closed_won_deals', 'closed_won_deals > 0')} AS cac",
+        *velocity,
+        "avg_activities_per_lead",
+        "avg_activities_per_won_deal",
     )
 
 
 def funnel_stage_conversion(funnel: DataFrame) -> DataFrame:
     """Stage volumes, stage-to-stage rates and velocity per month x channel (P10)."""
-    contacted = count_where(F.col("first_contact_date").isNotNull())
-    meetings = count_where(F.col("first_meeting_booked_date").isNotNull())
-    converted = count_where(F.col("is_converted"))
-    demos = count_where(F.col("demo_held"))
-    won = count_where(F.col("is_closed_won"))
-    total = F.count(F.lit(1))
-    dm = count_where(F.col("connected_with_decision_maker"))
-    converted_after_meeting = count_where(F.col("is_converted") & F.col("first_meeting_booked_date").isNotNull())
+    contacted = count_where_sql("first_contact_date IS NOT NULL")
+    meetings = count_where_sql("first_meeting_booked_date IS NOT NULL")
+    converted = count_where_sql("is_converted")
+    demos = count_where_sql("demo_held")
+    won = count_where_sql("is_closed_won")
+    dm = count_where_sql("connected_with_decision_maker")
+    total = "count(1)"
+    converted_after_meeting = count_where_sql("is_converted AND first_meeting_booked_date IS NOT NULL")
     return (
-        funnel.filter(F.col("lead_created_month").isNotNull())
+        funnel.where("lead_created_month IS NOT NULL")
         .groupBy("lead_created_month", "channel")
         .agg(
-            total.alias("total_leads"),
-            contacted.alias("contacted"),
-            dm.alias("connected_dm"),
-            meetings.alias("meetings_booked"),
-            converted.alias("opportunities_created"),
-            demos.alias("demos_held"),
-            won.alias("closed_won"),
-            count_where(F.col("is_closed_lost")).alias("closed_lost"),
-            safe_div(contacted, total).alias("rate_lead_to_contact"),
-            # not limited to contacted leads: can exceed 1 (as in the reference)
-            safe_div(dm, contacted).alias("rate_contact_to_dm"),
-            safe_div(meetings, contacted).alias("rate_contact_to_meeting"),
-            safe_div(converted_after_meeting, meetings).alias("rate_meeting_to_opportunity"),
-            safe_div(demos, converted).alias("rate_opportunity_to_demo"),
-            safe_div(won, demos).alias("rate_demo_to_close"),
-            safe_div(won, total).alias("rate_lead_to_close"),
-            *_velocity(
+            *_aggs(
                 {
-                    "avg_days_lead_to_contact": "days_lead_to_first_contact",
-                    "avg_days_contact_to_meeting": "days_contact_to_meeting",
-                    "avg_days_meeting_to_demo_set": "days_meeting_booked_to_demo_set",
-                    "avg_days_demo_set_to_held": "days_demo_set_to_held",
-                    "avg_days_demo_held_to_close": "days_demo_held_to_close",
-                    "avg_days_lead_to_opportunity": "days_lead_to_opportunity",
-                    "avg_days_opp_to_close": "days_to_close",
-                    "avg_days_lead_to_close": "days_lead_to_close",
-                    "avg_days_last_activity_to_close": "days_last_activity_to_close",
+                    "total_leads": total,
+                    "contacted": contacted,
+                    "connected_dm": dm,
+                    "meetings_booked": meetings,
+                    "opportunities_created": converted,
+                    "demos_held": demos,
+                    "closed_won": won,
+                    "closed_lost": count_where_sql("is_closed_lost"),
+                    "rate_lead_to_contact": safe_div_sql(contacted, total),
+                    # not limited to contacted leads: can exceed 1 (as in the reference)
+                    "rate_contact_to_dm": safe_div_sql(dm, contacted),
+                    "rate_contact_to_meeting": safe_div_sql(meetings, contacted),
+                    "rate_meeting_to_opportunity": safe_div_sql(converted_after_meeting, meetings),
+                    "rate_opportunity_to_demo": safe_div_sql(demos, converted),
+                    "rate_demo_to_close": safe_div_sql(won, demos),
+                    "rate_lead_to_close": safe_div_sql(won, total),
+                    **_velocity_avgs(rename={"days_lead_to_first_contact": "days_lead_to_contact"}),
                 }
-            ),
+            )
         )
     )
 
@@ -248,67 +238,77 @@ def loss_reason_analysis(funnel: DataFrame) -> DataFrame:
     label *before* grouping, so both end up in one group.  The share window
     runs over the aggregate (a handful of reasons per month x channel).
     """
-    lost = funnel.filter(F.col("lead_created_month").isNotNull() & F.col("is_closed_lost")).withColumn(
-        "lost_reason", F.coalesce(F.col("lost_reason"), F.lit(config.UNKNOWN_LOSS_REASON))
+    unknown = config.UNKNOWN_LOSS_REASON.replace("'", "\\'")
+    lost = funnel.where("lead_created_month IS NOT NULL AND is_closed_lost").selectExpr(
+        "lead_created_month", "channel", f"coalesce(lost_reason, '{unknown}') AS lost_reason",
+        "total_activity_count", "days_lead_to_close", "predicted_monthly_sales",
     )
     agg = lost.groupBy("lead_created_month", "channel", "lost_reason").agg(
-        F.count(F.lit(1)).alias("lost_count"),
-        exact_avg("total_activity_count").alias("avg_activities_before_loss"),
-        exact_avg("days_lead_to_close").alias("avg_days_to_loss"),
-        exact_avg("predicted_monthly_sales").alias("avg_predicted_sales_lost"),
+        *_aggs(
+            {
+                "lost_count": "count(1)",
+                **_avgs(
+                    {
+                        "avg_activities_before_loss": "total_activity_count",
+                        "avg_days_to_loss": "days_lead_to_close",
+                        "avg_predicted_sales_lost": "predicted_monthly_sales",
+                    }
+                ),
+            }
+        )
     )
     return share_within(agg, "lost_count", ["lead_created_month", "channel"], "pct_of_channel_losses").select(
-        "lead_created_month",
-        "channel",
-        "lost_reason",
-        "lost_count",
-        "pct_of_channel_losses",
-        "avg_activities_before_loss",
-        "avg_days_to_loss",
-        "avg_predicted_sales_lost",
+        "lead_created_month", "channel", "lost_reason", "lost_count", "pct_of_channel_losses",
+        "avg_activities_before_loss", "avg_days_to_loss", "avg_predicted_sales_lost",
     )
 
 
 def activity_efficiency(funnel: DataFrame) -> DataFrame:
     """Touches and velocity per month x channel x current stage (P12)."""
-    won = F.col("current_funnel_stage") == config.CLOSED_WON
+    velocity = _velocity_avgs(
+        rename={"days_lead_to_first_contact": "days_to_first_contact", "days_lead_to_close": "days_to_close"},
+        drop=("days_opp_to_close",),
+    )
     return (
-        funnel.filter(F.col("lead_created_month").isNotNull())
-        .groupBy("lead_created_month", "channel", F.col("current_funnel_stage").alias("outcome"))
+        funnel.where("lead_created_month IS NOT NULL")
+        .groupBy("lead_created_month", "channel", F.expr("current_funnel_stage AS outcome"))
         .agg(
-            F.count(F.lit(1)).alias("lead_count"),
-            F.sum("sales_call_count").alias("total_calls"),
-            F.sum("sales_text_count").alias("total_texts"),
-            F.sum("sales_email_count").alias("total_emails"),
-            F.sum("total_activity_count").alias("total_activities"),
-            exact_avg("sales_call_count").alias("avg_calls_per_lead"),
-            exact_avg("sales_text_count").alias("avg_texts_per_lead"),
-            exact_avg("sales_email_count").alias("avg_emails_per_lead"),
-            exact_avg("total_activity_count").alias("avg_activities_per_lead"),
-            *_velocity(
+            *_aggs(
                 {
-                    "avg_days_to_first_contact": "days_lead_to_first_contact",
-                    "avg_days_contact_to_meeting": "days_contact_to_meeting",
-                    "avg_days_meeting_to_demo_set": "days_meeting_booked_to_demo_set",
-                    "avg_days_demo_set_to_held": "days_demo_set_to_held",
-                    "avg_days_demo_held_to_close": "days_demo_held_to_close",
-                    "avg_days_lead_to_opportunity": "days_lead_to_opportunity",
-                    "avg_days_to_close": "days_lead_to_close",
-                    "avg_days_last_activity_to_close": "days_last_activity_to_close",
+                    "lead_count": "count(1)",
+                    "total_calls": "sum(sales_call_count)",
+                    "total_texts": "sum(sales_text_count)",
+                    "total_emails": "sum(sales_email_count)",
+                    "total_activities": "sum(total_activity_count)",
+                    **_avgs(
+                        {
+                            "avg_calls_per_lead": "sales_call_count",
+                            "avg_texts_per_lead": "sales_text_count",
+                            "avg_emails_per_lead": "sales_email_count",
+                            "avg_activities_per_lead": "total_activity_count",
+                        }
+                    ),
+                    **velocity,
+                    "avg_ltv_won_deals": exact_avg_sql(
+                        f"CASE WHEN current_funnel_stage = '{config.CLOSED_WON}' THEN estimated_ltv_24mo END"
+                    ),
                 }
-            ),
-            exact_avg(F.when(won, F.col("estimated_ltv_24mo"))).alias("avg_ltv_won_deals"),
+            )
         )
     )
 
 
 def ltv_by_close_month(account_ltv_df: DataFrame) -> DataFrame:
     """Accounts won, LTV and revenue per *first-close* month x channel."""
-    return account_ltv_df.groupBy(month_start("first_close_date").alias("close_month"), "channel").agg(
-        F.count(F.lit(1)).alias("accounts_won"),
-        F.sum("total_estimated_ltv_24mo").alias("total_ltv_24mo"),
-        exact_avg("total_estimated_ltv_24mo").alias("avg_ltv_per_account"),
-        F.avg("avg_monthly_total_revenue").alias("avg_monthly_revenue_per_account"),
+    return account_ltv_df.groupBy(F.expr(f"{month_start_sql('first_close_date')} AS close_month"), "channel").agg(
+        *_aggs(
+            {
+                "accounts_won": "count(1)",
+                "total_ltv_24mo": "sum(total_estimated_ltv_24mo)",
+                "avg_ltv_per_account": exact_avg_sql("total_estimated_ltv_24mo"),
+                "avg_monthly_revenue_per_account": "avg(avg_monthly_total_revenue)",
+            }
+        )
     )
 
 
@@ -318,29 +318,29 @@ def unit_economics(channel_econ: DataFrame, account_ltv_df: DataFrame) -> DataFr
     The two month clocks differ; they are joined as if equal, as in the
     reference, so ``accounts_won`` is not ``closed_won_deals``.
     """
-    c = channel_econ.alias("c")
-    lt = ltv_by_close_month(account_ltv_df).alias("l")
-    cac = F.col("c.cac")
-    avg_ltv = F.col("l.avg_ltv_per_account")
-    avg_rev = F.col("l.avg_monthly_revenue_per_account")
+    c = channel_econ.select(
+        "lead_created_month", "channel", "total_leads", "closed_won_deals", "total_cost", "cac",
+        "lead_to_close_rate",
+    )
+    lt = ltv_by_close_month(account_ltv_df).withColumnRenamed("channel", "l_channel")
     joined = c.join(
-        lt,
-        (F.col("c.lead_created_month") == F.col("l.close_month")) & (F.col("c.channel") == F.col("l.channel")),
-        "left",
-    ).filter(F.col("c.lead_created_month").isNotNull() & (F.coalesce(F.col("c.total_cost"), F.lit(0)) > 0))
-    cac_ok = cac.isNotNull() & (cac > 0)
-    return joined.select(
-        F.col("c.lead_created_month").alias("lead_created_month"),
-        F.col("c.channel").alias("channel"),
-        "c.total_leads",
-        "c.closed_won_deals",
-        "c.total_cost",
-        "c.cac",
-        "c.lead_to_close_rate",
-        F.coalesce(F.col("l.accounts_won"), F.lit(0).cast("long")).alias("accounts_won"),
-        "l.total_ltv_24mo",
-        "l.avg_ltv_per_account",
-        "l.avg_monthly_revenue_per_account",
-        guarded_div(avg_ltv, cac, cac_ok & avg_ltv.isNotNull()).alias("ltv_to_cac_ratio"),
-        guarded_div(cac, avg_rev, cac_ok & (avg_rev > 0)).alias("payback_period_months"),
+        lt, (c["lead_created_month"] == lt["close_month"]) & (c["channel"] == lt["l_channel"]), "left"
+    ).where("lead_created_month IS NOT NULL AND coalesce(total_cost, 0) > 0")
+    cac_ok = "cac IS NOT NULL AND cac > 0"
+    return joined.selectExpr(
+        "lead_created_month",
+        "channel",
+        "total_leads",
+        "closed_won_deals",
+        "total_cost",
+        "cac",
+        "lead_to_close_rate",
+        "coalesce(accounts_won, CAST(0 AS BIGINT)) AS accounts_won",
+        "total_ltv_24mo",
+        "avg_ltv_per_account",
+        "avg_monthly_revenue_per_account",
+        f"{guarded_div_sql('avg_ltv_per_account', 'cac', f'{cac_ok} AND avg_ltv_per_account IS NOT NULL')}"
+        " AS ltv_to_cac_ratio",
+        f"{guarded_div_sql('cac', 'avg_monthly_revenue_per_account', f'{cac_ok} AND avg_monthly_revenue_per_account > 0')}"
+        " AS payback_period_months",
     )

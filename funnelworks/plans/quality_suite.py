@@ -12,7 +12,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from funnelworks import config
 from funnelworks.operators import quality as Q
@@ -113,7 +112,7 @@ def reconcile_advertising(m: Models) -> DataFrame:
 def reconcile_inbound(m: Models) -> DataFrame:
     return Q.reconcile(
         m.stg_expenses_salary, "inbound_team_cost", m.int_monthly_expenses, "people_cost",
-        where=F.col("channel") == config.INBOUND,
+        where=f"channel = '{config.INBOUND}'",
         tolerance=m.a.reconcile_tolerance, name="assert_inbound_salary_matches_source",
     )
 
@@ -121,7 +120,7 @@ def reconcile_inbound(m: Models) -> DataFrame:
 def reconcile_outbound(m: Models) -> DataFrame:
     return Q.reconcile(
         m.stg_expenses_salary, "outbound_team_cost", m.int_monthly_expenses, "people_cost",
-        where=F.col("channel") == config.OUTBOUND,
+        where=f"channel = '{config.OUTBOUND}'",
         tolerance=m.a.reconcile_tolerance, name="assert_outbound_salary_matches_source",
     )
 

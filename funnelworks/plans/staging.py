@@ -7,16 +7,15 @@ opportunity dedupe, which shuffles once on ``opportunity_id``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from funnelworks import config
 from funnelworks.config import DEFAULT, Assumptions
 from funnelworks.functions.columns import (
-    days_between,
-    fix_year_offset,
-    parse_currency,
-    parse_month,
-    stage_category,
+    days_between_sql,
+    fix_year_offset_sql,
+    parse_currency_sql,
+    parse_month_sql,
+    stage_category_sql,
 )
 from funnelworks.operators.frames import dedupe_latest
 
@@ -24,40 +23,37 @@ from funnelworks.operators.frames import dedupe_latest
 def stg_leads(leads: DataFrame, a: Assumptions = DEFAULT) -> DataFrame:
     """One row per lead with channel, unified contact/created dates,
     activity total and parsed predicted sales."""
-    form = F.col("form_submission_date")
-    form_fixed = fix_year_offset(form, a.year_offset)
-    call = F.col("first_sales_call_date").cast("date")
-    text = F.col("first_text_sent_date").cast("date")
-    counts = ["sales_call_count", "sales_text_count", "sales_email_count"]
-    total_activity = F.coalesce(F.col(counts[0]), F.lit(0))
-    for c in counts[1:]:
-        total_activity = total_activity + F.coalesce(F.col(c), F.lit(0))
-    return leads.select(
+    form_fixed = fix_year_offset_sql("form_submission_date", a.year_offset)
+    call = "CAST(first_sales_call_date AS DATE)"
+    text = "CAST(first_text_sent_date AS DATE)"
+    money = parse_currency_sql("predicted_sales_with_owner", a.currency_precision, a.currency_scale)
+    return leads.selectExpr(
         "lead_id",
         "converted_opportunity_id",
-        F.when(form.isNotNull(), F.lit(config.INBOUND)).otherwise(F.lit(config.OUTBOUND)).alias("channel"),
-        form_fixed.alias("form_submission_date"),
-        call.alias("first_sales_call_date"),
-        text.alias("first_text_sent_date"),
+        f"CASE WHEN form_submission_date IS NOT NULL THEN '{config.INBOUND}' ELSE '{config.OUTBOUND}' END AS channel",
+        f"{form_fixed} AS form_submission_date",
+        f"{call} AS first_sales_call_date",
+        f"{text} AS first_text_sent_date",
         # a call wins over a text even when the text came first
-        F.coalesce(call, text).alias("first_contact_date"),
-        F.col("first_meeting_booked_date").cast("date").alias("first_meeting_booked_date"),
-        F.coalesce(form_fixed, call, text).alias("lead_created_date"),
+        f"coalesce({call}, {text}) AS first_contact_date",
+        "CAST(first_meeting_booked_date AS DATE) AS first_meeting_booked_date",
+        f"coalesce({form_fixed}, {call}, {text}) AS lead_created_date",
         "last_sales_call_date",
         "last_sales_activity_date",
         "last_sales_email_date",
-        *counts,
-        total_activity.alias("total_activity_count"),
-        parse_currency("predicted_sales_with_owner", a.currency_precision, a.currency_scale).alias(
-            "predicted_monthly_sales"
-        ),
+        "sales_call_count",
+        "sales_text_count",
+        "sales_email_count",
+        "coalesce(sales_call_count, 0) + coalesce(sales_text_count, 0) + coalesce(sales_email_count, 0)"
+        " AS total_activity_count",
+        f"{money} AS predicted_monthly_sales",
         "marketplaces_used",
         "online_ordering_used",
         "cuisine_types",
         "location_count",
         "connected_with_decision_maker",
         "status",
-        F.col("converted_opportunity_id").isNotNull().alias("is_converted"),
+        "converted_opportunity_id IS NOT NULL AS is_converted",
     )
 
 
@@ -88,7 +84,7 @@ def dedupe_opportunities(opportunities: DataFrame) -> DataFrame:
     return dedupe_latest(
         opportunities,
         "opportunity_id",
-        [F.col("created_date").desc_nulls_first()],
+        ["created_date DESC NULLS FIRST"],
         tiebreak=_OPP_TIEBREAK,
     )
 
@@ -96,46 +92,43 @@ def dedupe_opportunities(opportunities: DataFrame) -> DataFrame:
 def stg_opportunities(opportunities: DataFrame, a: Assumptions = DEFAULT) -> DataFrame:
     """One row per opportunity with stage category, fixed dates and velocity."""
     o = dedupe_opportunities(opportunities)
-    demo_set = fix_year_offset("demo_set_date", a.year_offset)
-    close = fix_year_offset("close_date", a.year_offset)
-    demo_date = F.col("demo_time").cast("date")
-    created = F.col("created_date").cast("date")
-    return o.select(
+    demo_set = fix_year_offset_sql("demo_set_date", a.year_offset)
+    close = fix_year_offset_sql("close_date", a.year_offset)
+    demo_date = "CAST(demo_time AS DATE)"
+    created = "CAST(created_date AS DATE)"
+    return o.selectExpr(
         "opportunity_id",
         "account_id",
         "stage_name",
-        stage_category("stage_name").alias("stage_category"),
-        F.col("lost_reason_c").alias("lost_reason"),
-        F.col("closed_lost_notes_c").alias("closed_lost_notes"),
-        F.col("business_issue_c").alias("business_issue"),
-        F.col("how_did_you_hear_about_us_c").alias("attribution_source"),
+        f"{stage_category_sql('stage_name')} AS stage_category",
+        "lost_reason_c AS lost_reason",
+        "closed_lost_notes_c AS closed_lost_notes",
+        "business_issue_c AS business_issue",
+        "how_did_you_hear_about_us_c AS attribution_source",
         "demo_held",
-        demo_set.alias("demo_set_date"),
+        f"{demo_set} AS demo_set_date",
         "demo_time",
-        demo_date.alias("demo_date"),
-        created.alias("created_date"),
-        close.alias("close_date"),
+        f"{demo_date} AS demo_date",
+        f"{created} AS created_date",
+        f"{close} AS close_date",
         "last_sales_call_date_time",
-        F.col("last_sales_call_date_time").cast("date").alias("last_sales_call_date"),
-        days_between(created, close).alias("days_to_close"),
-        days_between(demo_set, demo_date).alias("days_demo_set_to_held"),
+        "CAST(last_sales_call_date_time AS DATE) AS last_sales_call_date",
+        f"{days_between_sql(created, close)} AS days_to_close",
+        f"{days_between_sql(demo_set, demo_date)} AS days_demo_set_to_held",
     )
 
 
 def stg_expenses_advertising(expenses_advertising: DataFrame, a: Assumptions = DEFAULT) -> DataFrame:
-    return expenses_advertising.select(
-        parse_month("month").alias("expense_month"),
-        parse_currency("advertising", a.currency_precision, a.currency_scale).alias("advertising_spend"),
+    return expenses_advertising.selectExpr(
+        f"{parse_month_sql('month')} AS expense_month",
+        f"{parse_currency_sql('advertising', a.currency_precision, a.currency_scale)} AS advertising_spend",
     )
 
 
 def stg_expenses_salary(expenses_salary: DataFrame, a: Assumptions = DEFAULT) -> DataFrame:
-    return expenses_salary.select(
-        parse_month("month").alias("expense_month"),
-        parse_currency("outbound_sales_team", a.currency_precision, a.currency_scale).alias(
-            "outbound_team_cost"
-        ),
-        parse_currency("inbound_sales_team", a.currency_precision, a.currency_scale).alias(
-            "inbound_team_cost"
-        ),
+    p, s = a.currency_precision, a.currency_scale
+    return expenses_salary.selectExpr(
+        f"{parse_month_sql('month')} AS expense_month",
+        f"{parse_currency_sql('outbound_sales_team', p, s)} AS outbound_team_cost",
+        f"{parse_currency_sql('inbound_sales_team', p, s)} AS inbound_team_cost",
     )

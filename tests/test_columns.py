@@ -15,7 +15,7 @@ NB = "\u00a0"
 
 def one_col(spark, values, dtype, expr):
     df = spark.createDataFrame([(v,) for v in values], f"x {dtype}")
-    return [r[0] for r in df.select(expr(F.col("x"))).collect()]
+    return [r[0] for r in df.select(expr("x")).collect()]
 
 
 CURRENCY_GOLDEN = [

@@ -19,7 +19,7 @@ def test_dedupe_latest_nulls_first_then_latest(spark):
         ("c", None, "only"),
     ]
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v string")
-    got = dict((r.k, r.v) for r in FR.dedupe_latest(df, "k", [F.col("ts").desc_nulls_first()]).collect())
+    got = dict((r.k, r.v) for r in FR.dedupe_latest(df, "k", ["ts DESC NULLS FIRST"]).collect())
     assert got == {"a": "new", "b": "undated", "c": "only"}
 
 
@@ -27,13 +27,13 @@ def test_dedupe_latest_ties_are_deterministic(spark):
     rows = [("a", 1, "z"), ("a", 1, "m"), ("a", 1, "b")]
     df = spark.createDataFrame(rows, "k string, t int, v string")
     for n in (1, 3):
-        out = FR.dedupe_latest(df.repartition(n), "k", [F.col("t").desc()]).collect()
+        out = FR.dedupe_latest(df.repartition(n), "k", ["t DESC"]).collect()
         assert [r.v for r in out] == ["b"]
 
 
 def test_dedupe_plans_partial_limit_before_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"))
-    plan = FR.dedupe_latest(df, "k", [F.col("t").desc()])._jdf.queryExecution().executedPlan().toString()
+    plan = FR.dedupe_latest(df, "k", ["t DESC"])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
@@ -47,14 +47,14 @@ def test_month_spine_fills_gaps_and_handles_empty(spark):
 
 def test_unpivot_single_scan(spark):
     df = spark.createDataFrame([(1, 10, 20)], "id int, a int, b int")
-    out = FR.unpivot(df, ["id"], "label", ["v"], [("a", [F.col("a")]), ("b", [F.col("b")])])
+    out = FR.unpivot(df, ["id"], "label", ["v"], [("a", ["a"]), ("b", ["b"])])
     assert sorted(map(tuple, out.collect())) == [(1, "a", 10), (1, "b", 20)]
     assert "Generate" in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_unpivot_validates_branch_width():
     with pytest.raises(ValueError):
-        FR.unpivot(None, ["id"], "label", ["v", "w"], [("a", [F.col("a")])])
+        FR.unpivot(None, ["id"], "label", ["v", "w"], [("a", ["a"])])
 
 
 def test_share_within(spark):
