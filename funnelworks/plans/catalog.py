@@ -25,6 +25,7 @@ from funnelworks.functions.columns import (
 from funnelworks.operators.frames import share_within, unpivot
 from funnelworks.plans import intermediate, quality_suite, staging
 from funnelworks.plans.project import Models
+from funnelworks.session import checkpointed
 from funnelworks.sources.fixtures import raw_sources_from_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,7 +186,12 @@ def _reconcile(builder) -> Query:
 
 
 def data_quality_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_suite.run_checks(models(spark, sf_dir))
+    """All 40 tests.  The lead journey feeds a dozen of them (directly and
+    through every mart), so it is computed once into the shared checkpoint
+    folder instead of once per check."""
+    m = models(spark, sf_dir)
+    journey = checkpointed(m.int_lead_opportunity_joined)
+    return quality_suite.run_checks(Models(m.raw, overrides={"int_lead_opportunity_joined": journey}))
 
 
 PIPELINES = [

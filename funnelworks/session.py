@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the pipelines rely on.
 # - UTC session zone: inputs are timestamp_ntz/date, so results never depend on
@@ -31,7 +31,12 @@ def build_session(master: str | None = None, app_name: str = "funnelworks", **co
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    quiet = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    quiet = {
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        # remove checkpoint files once their frame is garbage-collected
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
     for k, v in {**RECOMMENDED_CONF, **quiet, **conf}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -65,3 +70,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     run = f"{name}-{spark.sparkContext.applicationId}-{os.getpid()}"
     return f"{base.rstrip('/')}/funnelworks/{run}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and return a frame that
+    reads it back: later stages and retries start from the files instead of
+    recomputing the lineage (never a node-local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

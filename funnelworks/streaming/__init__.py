@@ -1,0 +1,10 @@
+"""Streaming: intentionally empty.
+
+The models this library rebuilds are batch, full-rebuild transformations
+(staging and intermediate models are views, marts are tables rebuilt in
+full); they define no stream source, watermark, event-time window, state or
+late-data rule.  Adding incremental or streaming variants would be new
+operators with semantics of our own, so none are provided.  A scheduled
+rebuild is ``funnelworks.plans.build.build_project`` run by whatever already
+schedules the cluster's batch jobs.
+"""
