@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -88,6 +89,53 @@ def share_within(df: DataFrame, value: str, partition_by: Sequence[str], out: st
     return df.selectExpr("*", f"CAST({value} AS DOUBLE) / CAST(nullif({total}, 0) AS DOUBLE) AS {out}")
 
 
+HOT_KEY_ROWS = 1_000_000
+
+
+def skew_safe_left_join(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    spread_col: str,
+    hot_key_rows: int = HOT_KEY_ROWS,
+) -> DataFrame:
+    """Exact equi LEFT JOIN that splits hot keys over several reducers.
+
+    A first aggregate counts left rows per key (combined map-side, only the
+    key column is read).  A key with more than ``hot_key_rows`` rows gets
+    ``ceil(rows / hot_key_rows)`` buckets: its left rows pick a bucket by a
+    hash of ``spread_col`` and its right rows are replicated once per bucket,
+    so the join key becomes (key, bucket) and no reducer receives more than
+    about ``hot_key_rows`` rows of one key.  Cold keys use bucket 0 and are
+    joined as usual.  Every left row still meets every right row of its key
+    exactly once, so the result equals the plain join.
+
+    The hot-key table is broadcast: it holds at most
+    ``left rows / hot_key_rows`` keys (a proven bound), and the right side
+    grows by at most that many rows per extra bucket.
+    """
+    hot = (
+        left.groupBy(left_key)
+        .count()
+        .where(f"count > {int(hot_key_rows)}")
+        .selectExpr(f"{left_key} AS __hot_key", f"CAST(ceil(count / {int(hot_key_rows)}) AS INT) AS __buckets")
+    )
+    hot_b = F.broadcast(hot)
+    salted_left = left.join(hot_b, left[left_key] == hot_b["__hot_key"], "left").selectExpr(
+        *left.columns,
+        f"CASE WHEN __buckets IS NULL THEN 0 ELSE CAST(pmod(xxhash64({spread_col}), __buckets) AS INT) END"
+        " AS __bucket",
+    )
+    salted_right = right.join(hot_b, right[right_key] == hot_b["__hot_key"], "left").selectExpr(
+        *right.columns, "explode(sequence(0, coalesce(__buckets, 1) - 1)) AS __bucket_r"
+    )
+    cond = (salted_left[left_key] == salted_right[right_key]) & (
+        salted_left["__bucket"] == salted_right["__bucket_r"]
+    )
+    return salted_left.join(salted_right, cond, "left").drop("__bucket", "__bucket_r")
+
+
 def left_join_sparse_key(
     left: DataFrame,
     right: DataFrame,
@@ -95,6 +143,7 @@ def left_join_sparse_key(
     right_key: str,
     strategy: str = "split",
     salt_col: str | None = None,
+    hot_key_rows: int | None = HOT_KEY_ROWS,
 ) -> DataFrame:
     """LEFT JOIN on a nullable key that is null for most left rows.
 
@@ -111,6 +160,10 @@ def left_join_sparse_key(
       the reducers but are still shuffled.
     * ``"plain"``: the ordinary join, kept for comparison.
 
+    With ``split`` the keyed rows go through :func:`skew_safe_left_join`
+    (when ``hot_key_rows`` and ``salt_col`` are given), so a non-null key
+    shared by a large share of the rows is split as well.
+
     Output columns: all left columns then all right columns (right columns
     null when unmatched).  Right column names must not clash with left ones.
     """
@@ -129,6 +182,9 @@ def left_join_sparse_key(
         raise ValueError(f"unknown strategy {strategy!r}")
     keyed = left.where(f"{left_key} IS NOT NULL")
     unkeyed = left.where(f"{left_key} IS NULL")
-    joined = keyed.join(right, keyed[left_key] == right[right_key], "left")
+    if hot_key_rows and salt_col:
+        joined = skew_safe_left_join(keyed, right, left_key, right_key, salt_col, hot_key_rows)
+    else:
+        joined = keyed.join(right, keyed[left_key] == right[right_key], "left")
     padding = [f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in right.schema.fields]
     return joined.unionByName(unkeyed.selectExpr("*", *padding))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from funnelworks.plans.project import INTERMEDIATE, MARTS, STAGING, Models
 from funnelworks.plans import quality_suite
+from funnelworks.session import scratch_path
 from funnelworks.sources.io import as_view, read_table, write_table
 
 
@@ -28,13 +29,17 @@ def register_views(m: Models) -> None:
         as_view(m[name], name)
 
 
-def build_project(m: Models, out_dir: str, run_checks: bool = True) -> dict[str, str]:
+def build_project(m: Models, out_dir: str | None = None, run_checks: bool = True) -> dict[str, str]:
     """Write every mart under ``out_dir/<name>``; return name -> path.
 
+    Without ``out_dir`` the tables go to a per-run folder under the shared
+    ``spark.checkpoint.dir``.
+
     With ``run_checks`` the 40 data tests run against the built tables and
     their summary is written to ``out_dir/data_quality_summary``.
     """
     spark = m.raw.leads.sparkSession
+    out_dir = out_dir or scratch_path(spark, "build")
     paths: dict[str, str] = {}
 
     def materialize(name: str, df: DataFrame) -> DataFrame:
@@ -45,14 +50,14 @@ def build_project(m: Models, out_dir: str, run_checks: bool = True) -> dict[str,
 
     register_views(m)
     funnel = materialize("fct_lead_funnel", m.fct_lead_funnel)
-    built = Models(m.raw, m.a, m.join_strategy, overrides={"fct_lead_funnel": funnel})
+    built = m.with_overrides(fct_lead_funnel=funnel)
     stored: dict[str, DataFrame] = {"fct_lead_funnel": funnel}
     for name in ["fct_account_ltv", "fct_channel_economics"]:
         stored[name] = materialize(name, built[name])
-    final = Models(m.raw, m.a, m.join_strategy, overrides=stored)
+    final = m.with_overrides(**stored)
     for name in [n for n in MARTS if n not in stored]:
         stored[name] = materialize(name, final[name])
     if run_checks:
-        checked = Models(m.raw, m.a, m.join_strategy, overrides=stored)
+        checked = m.with_overrides(**stored)
         materialize("data_quality_summary", quality_suite.run_checks(checked))
     return paths

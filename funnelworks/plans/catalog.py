@@ -31,8 +31,8 @@ from funnelworks.sources.fixtures import raw_sources_from_orders
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def models(spark: SparkSession, sf_dir: str, join_strategy: str = "split") -> Models:
-    return Models(raw_sources_from_orders(spark, sf_dir), join_strategy=join_strategy)
+def models(spark: SparkSession, sf_dir: str, join_strategy: str = "split", **kwargs) -> Models:
+    return Models(raw_sources_from_orders(spark, sf_dir), join_strategy=join_strategy, **kwargs)
 
 
 def _model(name: str) -> Query:
@@ -191,7 +191,7 @@ def data_quality_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder instead of once per check."""
     m = models(spark, sf_dir)
     journey = checkpointed(m.int_lead_opportunity_joined)
-    return quality_suite.run_checks(Models(m.raw, overrides={"int_lead_opportunity_joined": journey}))
+    return quality_suite.run_checks(m.with_overrides(int_lead_opportunity_joined=journey))
 
 
 PIPELINES = [

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from funnelworks import config
 from funnelworks.config import DEFAULT, Assumptions
 from funnelworks.functions.columns import days_between_sql, estimated_ltv_sql, resolve_stage_sql
-from funnelworks.operators.frames import left_join_sparse_key, month_spine, unpivot
+from funnelworks.operators.frames import HOT_KEY_ROWS, left_join_sparse_key, month_spine, unpivot
 
 # (source column, output name) in output order
 _LEAD_COLUMNS = [
@@ -65,6 +65,7 @@ def lead_opportunity_joined(
     stg_opportunities: DataFrame,
     a: Assumptions = DEFAULT,
     join_strategy: str = "split",
+    hot_key_rows: int | None = HOT_KEY_ROWS,
 ) -> DataFrame:
     """One row per lead: the lead, its (deduped) opportunity if any, the
     current funnel stage, seven velocity measures and the 24-month LTV of won
@@ -72,14 +73,16 @@ def lead_opportunity_joined(
 
     The join key is null for every unconverted lead (most of them), so the
     join uses :func:`left_join_sparse_key` to keep those rows out of the
-    shuffle.  The opportunity side is unique per key after the dedupe.
+    shuffle; an opportunity referenced by more than ``hot_key_rows`` leads is
+    split over several reducers (``None`` turns that off).  The opportunity
+    side is unique per key after the dedupe.
     """
     lead_src = list(dict.fromkeys([s for s, _ in _pairs(_LEAD_COLUMNS)] + ["converted_opportunity_id"]))
     leads = stg_leads.selectExpr(*[f"{c} AS l_{c}" for c in lead_src])
     opps = stg_opportunities.selectExpr(*[f"{s} AS o_{s}" for s, _ in _pairs(_OPPORTUNITY_COLUMNS)])
     j = left_join_sparse_key(
         leads, opps, "l_converted_opportunity_id", "o_opportunity_id",
-        strategy=join_strategy, salt_col="l_lead_id",
+        strategy=join_strategy, salt_col="l_lead_id", hot_key_rows=hot_key_rows,
     )
     stage = resolve_stage_sql(
         "o_stage_category", "o_opportunity_id", "l_first_meeting_booked_date", "l_first_sales_call_date"

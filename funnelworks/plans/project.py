@@ -15,6 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from funnelworks.config import DEFAULT, Assumptions
+from funnelworks.operators.frames import HOT_KEY_ROWS
 from funnelworks.plans import insights, intermediate, marts, staging
 from funnelworks.sources.fixtures import RawSources
 
@@ -39,15 +40,24 @@ class Models:
         assumptions: Assumptions = DEFAULT,
         join_strategy: str = "split",
         overrides: dict[str, DataFrame] | None = None,
+        hot_key_rows: int | None = HOT_KEY_ROWS,
     ):
         self.raw = raw
         self.a = assumptions
         self.join_strategy = join_strategy
+        self.hot_key_rows = hot_key_rows
         self._overrides = dict(overrides or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def with_overrides(self, **tables: DataFrame) -> "Models":
+        """Same inputs and settings, with some models replaced by given frames
+        (typically stored tables)."""
+        return Models(
+            self.raw, self.a, self.join_strategy, {**self._overrides, **tables}, self.hot_key_rows
+        )
+
     def _get(self, name: str, build) -> DataFrame:
         return self._overrides[name] if name in self._overrides else build()
 
@@ -79,7 +89,7 @@ class Models:
         return self._get(
             "int_lead_opportunity_joined",
             lambda: intermediate.lead_opportunity_joined(
-                self.stg_leads, self.stg_opportunities, self.a, self.join_strategy
+                self.stg_leads, self.stg_opportunities, self.a, self.join_strategy, self.hot_key_rows
             ),
         )
 

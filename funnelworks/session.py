@@ -7,8 +7,8 @@ set here; a cluster's own configuration wins for everything else
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,8 +48,10 @@ def build_session(master: str | None = None, app_name: str = "funnelworks", **co
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` as the cluster sets it; only when it is
-    unset (a local test session) does it fall back to a fresh local folder.
+    Uses ``spark.checkpoint.dir`` as the cluster sets it.  Only a local-mode
+    session (tests, single-machine runs) may fall back to a fresh local
+    folder; on a cluster a node-local folder would not be readable by other
+    executors, so a missing setting is an error there.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
@@ -57,9 +59,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     )
     if configured:
         path = configured
-    else:
+    elif sc.master.startswith("local"):
         path = tempfile.mkdtemp(prefix="funnelworks-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
@@ -68,7 +72,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A per-run folder under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark)
-    run = f"{name}-{spark.sparkContext.applicationId}-{os.getpid()}"
+    run = f"{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
     return f"{base.rstrip('/')}/funnelworks/{run}"
 
 

@@ -108,3 +108,46 @@ def test_left_join_sparse_key_rejects_clashing_names(spark):
     right = spark.createDataFrame([("a", "b")], "x string, k2 string")
     with pytest.raises(ValueError):
         FR.left_join_sparse_key(left, right, "k", "k2")
+
+
+def _hot_inputs(spark):
+    # key "H" holds 100 of 130 keyed rows (a hot key), plus cold keys and one orphan
+    rows = [(f"L{i}", "H") for i in range(100)] + [(f"C{i}", f"K{i % 10}") for i in range(30)]
+    rows += [("X", "missing")]
+    left = spark.createDataFrame(rows, "lead string, fk string")
+    right = spark.createDataFrame([("H", -1)] + [(f"K{i}", i) for i in range(10)], "oid string, val int")
+    return left, right
+
+
+def test_skew_safe_join_equals_plain_join(spark):
+    left, right = _hot_inputs(spark)
+    expected = sorted(map(tuple, left.join(right, left.fk == right.oid, "left").collect()), key=str)
+    got = FR.skew_safe_left_join(left, right, "fk", "oid", "lead", hot_key_rows=10)
+    assert got.columns == ["lead", "fk", "oid", "val"]
+    assert sorted(map(tuple, got.collect()), key=str) == expected
+
+
+def test_skew_safe_join_spreads_a_hot_key(spark):
+    left, right = _hot_inputs(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        def biggest_partition(df):
+            return max(df.rdd.glom().map(len).collect())
+
+        plain = left.join(right, left.fk == right.oid, "left")
+        salted = FR.skew_safe_left_join(left, right, "fk", "oid", "lead", hot_key_rows=10)
+        assert biggest_partition(plain) >= 100
+        assert biggest_partition(salted) <= 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_split_join_uses_hot_key_path(spark):
+    left, right = _hot_inputs(spark)
+    expected = sorted(map(tuple, left.join(right, left.fk == right.oid, "left").collect()), key=str)
+    got = FR.left_join_sparse_key(left, right, "fk", "oid", strategy="split", salt_col="lead", hot_key_rows=10)
+    assert sorted(map(tuple, got.collect()), key=str) == expected
