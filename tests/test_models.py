@@ -199,3 +199,27 @@ def test_empty_inputs(spark):
     assert m.fct_unit_economics.count() == 0
     r = quality_suite.reconcile_outbound(m).first()
     assert (r.source_total, r.model_total, r.violations) == (0, 0, 0)
+
+
+def test_hot_opportunity_key_through_the_model_graph(spark):
+    """Forty leads on one opportunity with a 5-row budget: the journey is split
+    over 8 buckets and still equals the unsplit result."""
+    call = {"first_sales_call_date": T(2024, 1, 2, 9)}
+    leads = [lead(i, converted_opportunity_id="O1", **call) for i in range(40)] + [
+        lead(100, converted_opportunity_id="O2", **call), lead(101, **call)]
+    opps = [opp(1, stage_name="Closed Won", account_id="A"), opp(2, stage_name="Closed Lost", account_id="B")]
+    m = build(spark, leads=leads, opps=opps)
+    hot = Models(m.raw, hot_key_rows=5)
+    cold = Models(m.raw, hot_key_rows=None)
+    assert hot.int_lead_opportunity_joined.exceptAll(cold.int_lead_opportunity_joined).count() == 0
+    assert cold.int_lead_opportunity_joined.exceptAll(hot.int_lead_opportunity_joined).count() == 0
+    assert rows(hot.fct_account_ltv, "account_id", "total_won_deals") == [("A", 40)]
+    plan = hot.int_lead_opportunity_joined._jdf.queryExecution().executedPlan().toString()
+    assert "__hot_key" in plan or "__bucket" in plan
+
+
+def test_with_overrides_keeps_settings(spark):
+    m = build(spark)
+    m2 = Models(m.raw, join_strategy="salt", hot_key_rows=7).with_overrides(stg_leads=m.stg_leads)
+    assert (m2.join_strategy, m2.hot_key_rows) == ("salt", 7)
+    assert m2.stg_leads is m.stg_leads
