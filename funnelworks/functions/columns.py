@@ -172,6 +172,11 @@ def count_where(predicate: str) -> Column:
     return F.expr(count_where_sql(predicate))
 
 
+def named_aggs(spec: dict[str, str]) -> list[Column]:
+    """``{output name: SQL aggregate expression}`` -> aliased Columns for ``agg``."""
+    return [F.expr(f"{sql} AS {name}") for name, sql in spec.items()]
+
+
 # ---------------------------------------------------------------------------
 # Classification
 # ---------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelworks.functions.columns import (
+    named_aggs,
     count_where_sql,
     exact_avg_sql,
     predicted_sales_tier_sql,
@@ -14,10 +15,6 @@ from funnelworks.functions.columns import (
 )
 
 
-def _aggs(spec: dict[str, str]):
-    return [F.expr(f"{sql} AS {name}") for name, sql in spec.items()]
-
-
 def speed_to_lead(funnel: DataFrame) -> DataFrame:
     """Close rate and LTV by how fast a called lead was first contacted."""
     won = count_where_sql("is_closed_won")
@@ -25,7 +22,7 @@ def speed_to_lead(funnel: DataFrame) -> DataFrame:
         funnel.where("first_sales_call_date IS NOT NULL")
         .groupBy("channel", F.expr(f"{speed_to_lead_bucket_sql('days_lead_to_first_contact')} AS response_speed_bucket"))
         .agg(
-            *_aggs(
+            *named_aggs(
                 {
                     "lead_count": "count(1)",
                     "won_count": won,
@@ -44,7 +41,7 @@ def predicted_sales_tier(funnel: DataFrame) -> DataFrame:
     return (
         funnel.groupBy("channel", F.expr(f"{predicted_sales_tier_sql('predicted_monthly_sales')} AS predicted_sales_tier"))
         .agg(
-            *_aggs(
+            *named_aggs(
                 {
                     "total_leads": "count(1)",
                     "converted": count_where_sql("is_converted"),

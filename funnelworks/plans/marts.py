@@ -10,12 +10,13 @@ one row per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelworks import config
 from funnelworks.config import DEFAULT, Assumptions
 from funnelworks.functions.columns import (
+    named_aggs,
     count_where_sql,
     estimated_monthly_revenue_sql,
     exact_avg_sql,
@@ -28,11 +29,6 @@ from funnelworks.functions.columns import (
 from funnelworks.operators.frames import share_within
 
 
-def _aggs(spec: dict[str, str]) -> list[Column]:
-    """{output name: SQL aggregate expression} -> aliased Columns."""
-    return [F.expr(f"{sql} AS {name}") for name, sql in spec.items()]
-
-
 def _avgs(spec: dict[str, str]) -> dict[str, str]:
     """{output name: column} -> {output name: exact average expression}."""
     return {name: exact_avg_sql(col) for name, col in spec.items()}
@@ -104,7 +100,7 @@ def account_ltv(funnel: DataFrame) -> DataFrame:
     """Won deals rolled up per account x channel (P8)."""
     won = funnel.where("is_closed_won AND lead_created_date IS NOT NULL AND account_id IS NOT NULL")
     return won.groupBy("account_id", "channel").agg(
-        *_aggs(
+        *named_aggs(
             {
                 "total_won_deals": "count(1)",
                 **_avgs(
@@ -145,7 +141,7 @@ def channel_economics(funnel: DataFrame, expenses: DataFrame, a: Assumptions = D
     their measured size and broadcasts at run time.
     """
     outcomes = funnel.groupBy("lead_created_month", "channel").agg(
-        *_aggs(
+        *named_aggs(
             {
                 "total_leads": "count(1)",
                 "converted_leads": count_where_sql("is_converted"),
@@ -206,7 +202,7 @@ def funnel_stage_conversion(funnel: DataFrame) -> DataFrame:
         funnel.where("lead_created_month IS NOT NULL")
         .groupBy("lead_created_month", "channel")
         .agg(
-            *_aggs(
+            *named_aggs(
                 {
                     "total_leads": total,
                     "contacted": contacted,
@@ -244,7 +240,7 @@ def loss_reason_analysis(funnel: DataFrame) -> DataFrame:
         "total_activity_count", "days_lead_to_close", "predicted_monthly_sales",
     )
     agg = lost.groupBy("lead_created_month", "channel", "lost_reason").agg(
-        *_aggs(
+        *named_aggs(
             {
                 "lost_count": "count(1)",
                 **_avgs(
@@ -273,7 +269,7 @@ def activity_efficiency(funnel: DataFrame) -> DataFrame:
         funnel.where("lead_created_month IS NOT NULL")
         .groupBy("lead_created_month", "channel", F.expr("current_funnel_stage AS outcome"))
         .agg(
-            *_aggs(
+            *named_aggs(
                 {
                     "lead_count": "count(1)",
                     "total_calls": "sum(sales_call_count)",
@@ -301,7 +297,7 @@ def activity_efficiency(funnel: DataFrame) -> DataFrame:
 def ltv_by_close_month(account_ltv_df: DataFrame) -> DataFrame:
     """Accounts won, LTV and revenue per *first-close* month x channel."""
     return account_ltv_df.groupBy(F.expr(f"{month_start_sql('first_close_date')} AS close_month"), "channel").agg(
-        *_aggs(
+        *named_aggs(
             {
                 "accounts_won": "count(1)",
                 "total_ltv_24mo": "sum(total_estimated_ltv_24mo)",
