@@ -194,7 +194,7 @@ def data_quality_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_suite.run_checks(m.with_overrides(int_lead_opportunity_joined=journey))
 
 
-PIPELINES = [
+MODEL_QUERIES = [
     "stg_leads",
     "stg_opportunities",
     "stg_expenses_advertising",
@@ -213,7 +213,7 @@ PIPELINES = [
 ]
 
 QUERIES: dict[str, Query] = {
-    **{name: _model(name) for name in PIPELINES},
+    **{name: _model(name) for name in MODEL_QUERIES},
     "data_quality_summary": data_quality_summary_q,
     "dedupe_latest": dedupe_latest_q,
     "month_spine": month_spine_q,
