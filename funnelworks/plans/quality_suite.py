@@ -9,8 +9,6 @@ date have no created date) are reported as counts, not raised.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 
 from funnelworks import config
@@ -21,7 +19,15 @@ CHANNELS = list(config.CHANNELS)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    """UNION ALL of many frames as a balanced tree: each union is analyzed
+    once over its inputs, so planning grows n log n instead of n squared."""
+    frames = list(frames)
+    while len(frames) > 1:
+        frames = [
+            frames[i].unionByName(frames[i + 1]) if i + 1 < len(frames) else frames[i]
+            for i in range(0, len(frames), 2)
+        ]
+    return frames[0]
 
 
 def unique_checks(m: Models) -> list[DataFrame]:
