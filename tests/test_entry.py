@@ -55,3 +55,15 @@ def test_raw_sources_round_trip_through_files(spark, models_small):
         return [(f.name, f.dataType) for f in df.schema.fields]
 
     assert shape(m.raw.leads) == shape(models_small.raw.leads)
+
+
+def test_command_line_build(spark, models_small, capsys):
+    from funnelworks.__main__ import main
+
+    root = tempfile.mkdtemp(prefix="funnelworks-test-cli-")
+    write_raw_sources(models_small.raw, f"{root}/raw")
+    assert main(["--raw", f"{root}/raw", "--out", f"{root}/marts"]) == 0
+    assert main(["--raw", f"{root}/raw", "--out", f"{root}/marts2", "--fail-on-violations"]) == 1
+    out = capsys.readouterr().out
+    assert "FAIL\tleads\tnot_null\tform_submission_date\t1000" in out
+    assert spark.read.parquet(f"{root}/marts/fct_unit_economics").count() == 145
