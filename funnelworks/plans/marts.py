@@ -294,15 +294,36 @@ def activity_efficiency(funnel: DataFrame) -> DataFrame:
     )
 
 
-def ltv_by_close_month(account_ltv_df: DataFrame) -> DataFrame:
-    """Accounts won, LTV and revenue per *first-close* month x channel."""
+def mean_of_ratios_sql(total: str, count: str, money_scale: int = DEFAULT.money_scale, digits: int = 8) -> str:
+    """Mean over rows of ``total / count`` (``total`` decimal with ``money_scale``
+    decimals, ``count`` a positive integer), reproducible in any engine.
+
+    Each ratio is formed in integer arithmetic and rounded half-up to
+    ``digits`` decimals, the rounded values are summed exactly as longs, and a
+    single double division finishes the mean.  Averaging already-averaged
+    doubles instead would depend on the order the rows are added in.
+    Requires ``total >= 0`` (revenue always is).
+    """
+    unscaled = f"CAST({total} * {10 ** money_scale} AS BIGINT)"
+    ratio = f"(({unscaled} * {2 * 10 ** (digits - money_scale)} + {count}) div (2 * {count}))"
+    return f"CAST(sum({ratio}) AS DOUBLE) / (CAST(count({ratio}) AS DOUBLE) * {10 ** digits}D)"
+
+
+def ltv_by_close_month(account_ltv_df: DataFrame, a: Assumptions = DEFAULT) -> DataFrame:
+    """Accounts won, LTV and revenue per *first-close* month x channel.
+
+    ``avg_monthly_revenue_per_account`` is the mean over accounts of each
+    account's average monthly revenue (total revenue / won deals).
+    """
     return account_ltv_df.groupBy(F.expr(f"{month_start_sql('first_close_date')} AS close_month"), "channel").agg(
         *named_aggs(
             {
                 "accounts_won": "count(1)",
                 "total_ltv_24mo": "sum(total_estimated_ltv_24mo)",
                 "avg_ltv_per_account": exact_avg_sql("total_estimated_ltv_24mo"),
-                "avg_monthly_revenue_per_account": "avg(avg_monthly_total_revenue)",
+                "avg_monthly_revenue_per_account": mean_of_ratios_sql(
+                    "total_monthly_revenue", "total_won_deals", a.money_scale
+                ),
             }
         )
     )
