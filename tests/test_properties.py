@@ -152,3 +152,20 @@ def test_exact_avg_matches_model(spark, xs):
     vals = [x for x in xs if x is not None]
     assert got == (float(sum(vals)) / len(vals) if vals else None)
     assert df.agg(F.count_if(F.col("x") > 0)).first()[0] == sum(1 for x in vals if x > 0)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 10**9), st.integers(1, 50)), min_size=1, max_size=25))
+def test_mean_of_ratios_matches_model(spark, pairs):
+    """Each total/count rounded half-up at 8 decimals, summed exactly, one division."""
+    from fractions import Fraction
+
+    from funnelworks.plans.marts import mean_of_ratios_sql
+
+    rows = [(Decimal(t).scaleb(-4), n) for t, n in pairs]
+    df = spark.createDataFrame(rows, "total decimal(38,4), n bigint")
+    got = df.select(F.expr(mean_of_ratios_sql("total", "n"))).first()[0]
+    q = [int(Fraction(t) * 10**8 / n + Fraction(1, 2)) for t, n in rows]
+    assert got == float(sum(q)) / (len(q) * 1e8)
+    exact = sum(Fraction(t) / n for t, n in rows) / len(rows)
+    assert abs(got - float(exact)) <= 1e-8 + 1e-15 * abs(float(exact))
