@@ -169,3 +169,43 @@ def test_mean_of_ratios_matches_model(spark, pairs):
     assert got == float(sum(q)) / (len(q) * 1e8)
     exact = sum(Fraction(t) / n for t, n in rows) / len(rows)
     assert abs(got - float(exact)) <= 1e-8 + 1e-15 * abs(float(exact))
+
+
+# --- data-quality operators ----------------------------------------------------
+
+_VALS = st.one_of(st.none(), st.sampled_from(["a", "b", "c", "x", "y"]))
+
+
+@SETTINGS
+@given(st.lists(_VALS, min_size=1, max_size=40), st.lists(_VALS, max_size=10))
+def test_quality_checks_match_model(spark, child, parent):
+    from collections import Counter
+
+    from funnelworks.operators import quality as Q
+
+    cdf = spark.createDataFrame([(v,) for v in child], "c string")
+    pdf = spark.createDataFrame([(v,) for v in parent], "p string")
+    counts = Counter(v for v in child if v is not None)
+    allowed = ["a", "b"]
+    got = {r.test: r.violations for r in Q.profile_checks(cdf, "m", ["c"], {"c": allowed}).collect()}
+    assert got == {
+        "not_null": sum(v is None for v in child),
+        "accepted_values": len({v for v in child if v is not None and v not in allowed}),
+    }
+    assert Q.unique_check(cdf, "m", "c").first().violations == sum(1 for n in counts.values() if n > 1)
+    parents = {v for v in parent if v is not None}
+    orphans = sum(1 for v in child if v is not None and v not in parents)
+    assert Q.relationship_check(cdf, "m", "c", pdf, "p").first().violations == orphans
+
+
+@SETTINGS
+@given(st.lists(st.integers(-10**6, 10**6), max_size=20), st.lists(st.integers(-10**6, 10**6), max_size=20))
+def test_reconcile_matches_model(spark, src, mdl):
+    from funnelworks.operators import quality as Q
+
+    s = spark.createDataFrame([(Decimal(v).scaleb(-2),) for v in src], "v decimal(38,2)")
+    m = spark.createDataFrame([(Decimal(v).scaleb(-2),) for v in mdl], "w decimal(38,2)")
+    r = Q.reconcile(s, "v", m, "w").first()
+    st_, mt = sum(Decimal(v).scaleb(-2) for v in src), sum(Decimal(v).scaleb(-2) for v in mdl)
+    assert (r.source_total, r.model_total) == (st_, mt)
+    assert r.violations == (1 if abs(st_ - mt) > Decimal("0.01") else 0)
