@@ -33,19 +33,6 @@ def _q(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _unicode_literal(s: str) -> str:
-    """SQL string literal with every non-printable or non-ASCII character escaped."""
-    out = []
-    for ch in s:
-        if ch in "\\'":
-            out.append("\\" + ch)
-        elif 32 <= ord(ch) < 127:
-            out.append(ch)
-        else:
-            out.append(f"\\u{ord(ch):04x}")
-    return "'" + "".join(out) + "'"
-
-
 # ---------------------------------------------------------------------------
 # The two macros of the reference
 # ---------------------------------------------------------------------------
@@ -69,9 +56,12 @@ def parse_currency_sql(
     c: str, precision: int = DEFAULT.currency_precision, scale: int = DEFAULT.currency_scale
 ) -> str:
     no_prefix = f"replace({c}, {_q(config.CURRENCY_PREFIX)}, '')"
-    # translate: ',' -> '.', the remaining matching characters are deleted
+    # translate: ',' -> '.', the remaining matching characters are deleted.
+    # Characters are spelled with chr() so the expression does not depend on
+    # how the session unescapes string literals; Catalyst folds it to a constant.
     matching = config.CURRENCY_DECIMAL_COMMA + "".join(config.CURRENCY_DROP_CHARS)
-    return f"try_cast(translate({no_prefix}, {_unicode_literal(matching)}, '.') AS DECIMAL({precision},{scale}))"
+    chars = ", ".join(f"chr({ord(ch)})" for ch in matching)
+    return f"try_cast(translate({no_prefix}, concat({chars}), '.') AS DECIMAL({precision},{scale}))"
 
 
 def parse_currency(

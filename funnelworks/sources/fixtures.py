@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from funnelworks.sources import schemas
 
-NBSP = "\\u00a0"  # written inside Spark SQL string literals
-TAB = "\\t"
+NBSP = "chr(160)"  # SQL expressions, independent of string-literal escaping
+TAB = "chr(9)"
 
 
 def _ts(days: str, hour: str) -> str:
@@ -60,9 +60,9 @@ _LEADS = {
     "sales_email_count": "CASE WHEN k % 19 <> 0 THEN k % 5 END",
     "predicted_sales_with_owner": (
         "CASE WHEN k % 12 = 0 THEN NULL WHEN k % 12 = 1 THEN 'n/a' WHEN k % 12 = 2 THEN 'US$ 1.234,56' "
-        f"WHEN cents >= 100000 THEN 'US${NBSP}' || {_s('cents div 100000')} || '{NBSP}' || "
+        f"WHEN cents >= 100000 THEN 'US$' || {NBSP} || {_s('cents div 100000')} || {NBSP} || "
         f"{_pad('(cents div 100) % 1000', 3)} || ',' || {_pad('cents % 100', 2)} "
-        f"ELSE 'US$ ' || {_s('cents div 100')} || ',' || {_pad('cents % 100', 2)} || '{TAB}' END"
+        f"ELSE 'US$ ' || {_s('cents div 100')} || ',' || {_pad('cents % 100', 2)} || {TAB} END"
     ),
     "marketplaces_used": _case("k % 4", ['["MarketA"]', '["MarketA", "MarketB"]', "[]", None]),
     "online_ordering_used": _case("k % 3", ['["Direct"]', '["OrderX"]', None]),
@@ -96,7 +96,7 @@ _OPPORTUNITIES = {
 
 def _money_thousands(x: str) -> str:
     return (
-        f"'US$ ' || {_s(f'{x} div 100000')} || '{NBSP}' || {_pad(f'({x} div 100) % 1000', 3)}"
+        f"'US$ ' || {_s(f'{x} div 100000')} || {NBSP} || {_pad(f'({x} div 100) % 1000', 3)}"
         f" || ',' || {_pad(f'{x} % 100', 2)}"
     )
 

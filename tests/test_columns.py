@@ -137,3 +137,13 @@ def test_resolve_stage_first_match(spark):
     df = spark.createDataFrame(rows, "cat string, opp string, meet date, call date")
     got = [r[0] for r in df.select(C.resolve_stage("cat", "opp", "meet", "call")).collect()]
     assert got == ["closed_won", "closed_lost", "opportunity_open", "meeting_booked", "contacted", "new_lead"]
+
+
+def test_parse_currency_independent_of_literal_escaping(spark):
+    values = [v for v, _ in CURRENCY_GOLDEN]
+    spark.conf.set("spark.sql.parser.escapedStringLiterals", "true")
+    try:
+        got = one_col(spark, values, "string", C.parse_currency)
+    finally:
+        spark.conf.set("spark.sql.parser.escapedStringLiterals", "false")
+    assert got == [e for _, e in CURRENCY_GOLDEN]
