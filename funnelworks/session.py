@@ -40,12 +40,23 @@ def build_session(master: str | None = None, app_name: str = "funnelworks", **co
     for k, v in {**RECOMMENDED_CONF, **quiet, **conf}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for a Spark Connect client,
+    whose checkpoint folder is the server's own setting."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect has no driver-side context
+        return None
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder for checkpoints and intermediate tables.
 
     Uses ``spark.checkpoint.dir`` as the cluster sets it.  Only a local-mode
@@ -53,10 +64,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder; on a cluster a node-local folder would not be readable by other
     executors, so a missing setting is an error there.
     """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    sc = _context(spark)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if sc is None:
+        return configured
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or configured
     if configured:
         path = configured
     elif sc.master.startswith("local"):
@@ -72,7 +84,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A per-run folder under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark)
-    run = f"{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
+    sc = _context(spark)
+    app = sc.applicationId if sc is not None else "session"
+    run = f"{name}-{app}-{uuid.uuid4().hex[:12]}"
     return f"{base.rstrip('/')}/funnelworks/{run}"
 
 
