@@ -223,3 +223,23 @@ def test_with_overrides_keeps_settings(spark):
     m2 = Models(m.raw, join_strategy="salt", hot_key_rows=7).with_overrides(stg_leads=m.stg_leads)
     assert (m2.join_strategy, m2.hot_key_rows) == ("salt", 7)
     assert m2.stg_leads is m.stg_leads
+
+
+def test_custom_assumptions_flow_through(spark):
+    from dataclasses import replace
+
+    from funnelworks.config import DEFAULT
+
+    call = {"first_sales_call_date": T(2024, 1, 2, 9)}
+    m = build(
+        spark,
+        leads=[lead(1, converted_opportunity_id="O1", predicted_sales_with_owner="US$ 30000,00", **call)],
+        opps=[opp(1, stage_name="Closed Won", account_id="A")],
+    )
+    a = replace(DEFAULT, ltv_months=36, take_rate=Decimal("0.10"), monthly_subscription=Decimal("400.0"))
+    custom = Models(m.raw, a)
+    # (400 + 30000 * 0.10) * 36 = 122400; monthly revenue 3400
+    assert rows(custom.fct_lead_funnel, "estimated_ltv_24mo", "predicted_monthly_total_revenue") == [
+        (Decimal("122400.0000"), Decimal("3400.0000"))]
+    assert rows(custom.fct_account_ltv, "total_estimated_ltv_24mo", "avg_monthly_subscription_revenue") == [
+        (Decimal("122400.0000"), 400.0)]
