@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 from funnelworks.functions import columns as C
 from funnelworks.operators import frames as FR
 
-SETTINGS = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+SETTINGS = settings(
+    max_examples=int(__import__("os").environ.get("PROPERTY_EXAMPLES", "15")),
+    deadline=None,
+    derandomize=not __import__("os").environ.get("PROPERTY_RANDOM"),
+    suppress_health_check=[HealthCheck.function_scoped_fixture],
+)
 
 # --- currency text ---------------------------------------------------------
 
