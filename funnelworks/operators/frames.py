@@ -97,43 +97,36 @@ def skew_safe_left_join(
     right: DataFrame,
     left_key: str,
     right_key: str,
-    spread_col: str,
     hot_key_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
-    """Exact equi LEFT JOIN that splits hot keys over several reducers.
-
-    A first aggregate counts left rows per key (combined map-side, only the
-    key column is read).  A key with more than ``hot_key_rows`` rows gets
-    ``ceil(rows / hot_key_rows)`` buckets: its left rows pick a bucket by a
-    hash of ``spread_col`` and its right rows are replicated once per bucket,
-    so the join key becomes (key, bucket) and no reducer receives more than
-    about ``hot_key_rows`` rows of one key.  Cold keys use bucket 0 and are
-    joined as usual.  Every left row still meets every right row of its key
-    exactly once, so the result equals the plain join.
-
-    The hot-key table is broadcast: it holds at most
-    ``left rows / hot_key_rows`` keys (a proven bound), and the right side
-    grows by at most that many rows per extra bucket.
+    """Exact equi LEFT JOIN that keeps hot keys out of the shuffle.
+
+    A first aggregate counts left rows per key (combined map-side; only the
+    key column is read).  Keys with more than ``hot_key_rows`` rows are hot:
+
+    * hot left rows join a broadcast of the right rows of the hot keys, in
+      the tasks that read them: no shuffle, so a key holding a third of the
+      rows costs no more than any other rows;
+    * the remaining (cold) left rows take the ordinary shuffle join, whose
+      right side keeps any partitioning it already has on ``right_key`` (the
+      opportunity dedupe's), so the right side is not shuffled again.
+
+    Both broadcasts are bounded: there are at most ``left rows /
+    hot_key_rows`` hot keys, and the right side must hold at most one row per
+    key (the deduplicated opportunities do), so its hot part is no larger.
+    When no key is hot, adaptive execution prunes the hot branch at run time.
+    Result equals the plain join.
     """
     hot = (
-        left.groupBy(left_key)
-        .count()
-        .where(f"count > {int(hot_key_rows)}")
-        .selectExpr(f"{left_key} AS __hot_key", f"CAST(ceil(count / {int(hot_key_rows)}) AS INT) AS __buckets")
+        left.groupBy(left_key).count().where(f"count > {int(hot_key_rows)}").selectExpr(f"{left_key} AS __hot_key")
     )
     hot_b = F.broadcast(hot)
-    salted_left = left.join(hot_b, left[left_key] == hot_b["__hot_key"], "left").selectExpr(
-        *left.columns,
-        f"CASE WHEN __buckets IS NULL THEN 0 ELSE CAST(pmod(xxhash64({spread_col}), __buckets) AS INT) END"
-        " AS __bucket",
-    )
-    salted_right = right.join(hot_b, right[right_key] == hot_b["__hot_key"], "left").selectExpr(
-        *right.columns, "explode(sequence(0, coalesce(__buckets, 1) - 1)) AS __bucket_r"
-    )
-    cond = (salted_left[left_key] == salted_right[right_key]) & (
-        salted_left["__bucket"] == salted_right["__bucket_r"]
-    )
-    return salted_left.join(salted_right, cond, "left").drop("__bucket", "__bucket_r")
+    hot_left = left.join(hot_b, left[left_key] == hot_b["__hot_key"], "left_semi")
+    cold_left = left.join(hot_b, left[left_key] == hot_b["__hot_key"], "left_anti")
+    hot_right = right.join(hot_b, right[right_key] == hot_b["__hot_key"], "left_semi")
+    hot_joined = hot_left.join(F.broadcast(hot_right), hot_left[left_key] == hot_right[right_key], "left")
+    cold_joined = cold_left.join(right, cold_left[left_key] == right[right_key], "left")
+    return cold_joined.unionByName(hot_joined)
 
 
 def left_join_sparse_key(
@@ -161,8 +154,8 @@ def left_join_sparse_key(
     * ``"plain"``: the ordinary join, kept for comparison.
 
     With ``split`` the keyed rows go through :func:`skew_safe_left_join`
-    (when ``hot_key_rows`` and ``salt_col`` are given), so a non-null key
-    shared by a large share of the rows is split as well.
+    (unless ``hot_key_rows`` is None), so a non-null key shared by a large
+    share of the rows stays out of the shuffle as well.
 
     Output columns: all left columns then all right columns (right columns
     null when unmatched).  Right column names must not clash with left ones.
@@ -182,8 +175,8 @@ def left_join_sparse_key(
         raise ValueError(f"unknown strategy {strategy!r}")
     keyed = left.where(f"{left_key} IS NOT NULL")
     unkeyed = left.where(f"{left_key} IS NULL")
-    if hot_key_rows and salt_col:
-        joined = skew_safe_left_join(keyed, right, left_key, right_key, salt_col, hot_key_rows)
+    if hot_key_rows:
+        joined = skew_safe_left_join(keyed, right, left_key, right_key, hot_key_rows)
     else:
         joined = keyed.join(right, keyed[left_key] == right[right_key], "left")
     padding = [f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in right.schema.fields]

@@ -73,9 +73,10 @@ def lead_opportunity_joined(
 
     The join key is null for every unconverted lead (most of them), so the
     join uses :func:`left_join_sparse_key` to keep those rows out of the
-    shuffle; an opportunity referenced by more than ``hot_key_rows`` leads is
-    split over several reducers (``None`` turns that off).  The opportunity
-    side is unique per key after the dedupe.
+    shuffle; leads of an opportunity referenced more than ``hot_key_rows``
+    times join a broadcast of that opportunity instead of being shuffled
+    (``None`` turns that off).  The opportunity side is unique per key after
+    the dedupe, and the cold join reuses the dedupe's partitioning.
     """
     lead_src = list(dict.fromkeys([s for s, _ in _pairs(_LEAD_COLUMNS)] + ["converted_opportunity_id"]))
     leads = stg_leads.selectExpr(*[f"{c} AS l_{c}" for c in lead_src])

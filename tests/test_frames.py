@@ -122,7 +122,7 @@ def _hot_inputs(spark):
 def test_skew_safe_join_equals_plain_join(spark):
     left, right = _hot_inputs(spark)
     expected = sorted(map(tuple, left.join(right, left.fk == right.oid, "left").collect()), key=str)
-    got = FR.skew_safe_left_join(left, right, "fk", "oid", "lead", hot_key_rows=10)
+    got = FR.skew_safe_left_join(left, right, "fk", "oid", hot_key_rows=10)
     assert got.columns == ["lead", "fk", "oid", "val"]
     assert sorted(map(tuple, got.collect()), key=str) == expected
 
@@ -137,7 +137,7 @@ def test_skew_safe_join_spreads_a_hot_key(spark):
             return max(df.rdd.glom().map(len).collect())
 
         plain = left.join(right, left.fk == right.oid, "left")
-        salted = FR.skew_safe_left_join(left, right, "fk", "oid", "lead", hot_key_rows=10)
+        salted = FR.skew_safe_left_join(left, right, "fk", "oid", hot_key_rows=10)
         assert biggest_partition(plain) >= 100
         assert biggest_partition(salted) <= 60
     finally:
