@@ -214,3 +214,14 @@ def test_reconcile_matches_model(spark, src, mdl):
     st_, mt = sum(Decimal(v).scaleb(-2) for v in src), sum(Decimal(v).scaleb(-2) for v in mdl)
     assert (r.source_total, r.model_total) == (st_, mt)
     assert r.violations == (1 if abs(st_ - mt) > Decimal("0.01") else 0)
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.sampled_from(["k0", "k1", "k2"])), min_size=1, max_size=40),
+       st.lists(st.sampled_from(["k0", "k1", "k9"]), max_size=6), st.integers(1, 4))
+def test_hot_key_join_exact_with_duplicate_right_keys(spark, keys, right_keys, budget):
+    left = spark.createDataFrame([(f"L{i}", k) for i, k in enumerate(keys)], "lead string, fk string")
+    right = spark.createDataFrame([(k, i) for i, k in enumerate(right_keys)], "oid string, val int")
+    want = sorted(map(tuple, left.join(right, left.fk == right.oid, "left").collect()), key=str)
+    got = FR.left_join_sparse_key(left, right, "fk", "oid", strategy="split", hot_key_rows=budget)
+    assert sorted(map(tuple, got.collect()), key=str) == want
