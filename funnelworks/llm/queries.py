@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from funnelworks.llm import chat, secrets
+from funnelworks.llm import chat, decontaminate, secrets, sketch
 
 QUERIES = {
+    "op2_scaled_sketch": sketch.op2_scaled_sketch,
     "op3_secret_ledger": secrets.op3_secret_ledger,
+    "op7_template_windows": decontaminate.op7_template_windows,
     "op10_chat_format": chat.op10_chat_format,
 }
 
 ORACLE_SQL = {
+    "op2_scaled_sketch": sketch.OP2_SQL,
     "op3_secret_ledger": secrets.OP3_SQL,
+    "op7_template_windows": decontaminate.OP7_SQL,
     "op10_chat_format": chat.OP10_SQL,
 }
