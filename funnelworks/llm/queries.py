@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from funnelworks.llm import chat, decontaminate, secrets, sketch
+from funnelworks.llm import chat, decontaminate, packing, secrets, sketch, training_order
 
 QUERIES = {
     "op2_scaled_sketch": sketch.op2_scaled_sketch,
     "op3_secret_ledger": secrets.op3_secret_ledger,
+    "op4_training_order": training_order.op4_training_order,
+    "op6_power_of_two": packing.op6_power_of_two,
     "op7_template_windows": decontaminate.op7_template_windows,
     "op10_chat_format": chat.op10_chat_format,
 }
