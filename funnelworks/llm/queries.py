@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from funnelworks.llm import chat, decontaminate, packing, secrets, sketch, training_order
+from funnelworks.llm import chat, decontaminate, language, packing, secrets, sketch, training_order
 
 QUERIES = {
+    "op1_ppm_language": language.op1_ppm_language,
     "op2_scaled_sketch": sketch.op2_scaled_sketch,
     "op3_secret_ledger": secrets.op3_secret_ledger,
     "op4_training_order": training_order.op4_training_order,
