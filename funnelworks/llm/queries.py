@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from funnelworks.llm import chat, decontaminate, language, packing, secrets, sketch, training_order
+from funnelworks.llm import chat, decontaminate, language, packing, secrets, sketch, substrings, training_order
 
 QUERIES = {
     "op1_ppm_language": language.op1_ppm_language,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_training_order": training_order.op4_training_order,
     "op6_power_of_two": packing.op6_power_of_two,
     "op7_template_windows": decontaminate.op7_template_windows,
+    "op9_seed_extend": substrings.op9_seed_extend,
     "op10_chat_format": chat.op10_chat_format,
 }
 
@@ -18,5 +19,6 @@ ORACLE_SQL = {
     "op2_scaled_sketch": sketch.OP2_SQL,
     "op3_secret_ledger": secrets.OP3_SQL,
     "op7_template_windows": decontaminate.OP7_SQL,
+    "op9_seed_extend": substrings.OP9_SQL,
     "op10_chat_format": chat.OP10_SQL,
 }

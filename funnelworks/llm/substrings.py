@@ -257,3 +257,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op9_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), wins AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM docs, unnest(range(1, len(w) - 11)) u(i)
+), earliest AS (SELECT k, min(doc_id) AS least FROM wins GROUP BY k),
+gone AS (
+  SELECT DISTINCT r, i + j AS p FROM wins JOIN earliest USING (k), unnest(range(0, 13)) v(j) WHERE least < doc_id
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+  FROM (SELECT r, p, w[p] AS word FROM docs, unnest(range(1, len(w) + 1)) u(p)) ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
