@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from funnelworks.session import scratch_path
 
-_written: list[tuple[SparkSession, str]] = []
+#: Folders still to remove: path to session.
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,22 +20,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder (``spark.checkpoint.dir``)
     and return a frame that reads it: a lost executor costs a reread, never
-    the work before.  The folder goes when the driver's Python process ends."""
+    the work before.  The folder goes with ``discard``, or when the driver's
+    Python process ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
     if not _written:
         atexit.register(_remove_written)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    again = spark.read.schema(df.schema).parquet(path)
+    again._stored_at = path
+    return again
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of ``stored`` that nothing reads any more."""
+    path = df._stored_at
+    _remove(_written.pop(path), path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(hadoop).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the session has already ended; the cluster's cleanup takes it
             return
 
