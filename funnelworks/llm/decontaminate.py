@@ -4,7 +4,9 @@ A text becomes tokens (letter runs and numbers, punctuation ignored) and each
 token a template symbol: numbers, names (a capital first letter) and units (a
 known unit straight after a number) become typed placeholders, other tokens
 stay.  Windows of ``WINDOW`` symbols of the documents are joined by hash with
-those of the benchmark items, the symbols compared exactly, and the values in
+those of the benchmark items; only windows around a seed, the longest word of
+some benchmark window, can match, so only those are built.  The symbols are
+compared exactly, and the values in
 the slots checked: each benchmark value has to stand for one document value and
 the other way round, so a question with other numbers and names is caught and a
 chance template is not.  A window in which placeholders outnumber words counts
@@ -15,8 +17,8 @@ shorter items cannot identify a text and are ignored.  Copies of an item are
 one item, named by the least item_id.
 
 Defined results: a null text has no tokens; an empty benchmark or table gives no
-rows; rows that share a doc_id (or have none) count together; extra columns are
-ignored.
+rows; rows that share a doc_id (or have none) count together, and repeated rows
+once; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from funnelworks.llm.common import stored, table
 
 WINDOW = 13
 LEAST = 5
-#: Benchmark windows up to this many rows are broadcast (a window takes under
-#: 500 bytes); more are joined by shuffle.  The rows found are the same.
+#: Benchmark windows and seeds up to this many rows are broadcast (a row takes
+#: under 500 bytes); more are joined by shuffle.  The rows found are the same.
 BROADCAST_ROWS = 100_000
 
 TOKEN = r"\p{L}+|[0-9]+(?:[.,][0-9]+)*"
@@ -49,34 +51,31 @@ def _is_number(token: Column) -> Column:
     return token < "A"  # tokens start with a digit or a letter
 
 
-def template(toks: Column) -> Column:
-    """One symbol per token."""
+def _symbol(t: Column, before: Column) -> Column:
+    """The symbol of token ``t`` after token ``before`` (null at the start).
+    Plain ranges settle tokens that start in ASCII."""
+    first = F.substring(t, 1, 1)
+    return (
+        F.when(_is_number(t), NUMBER)
+        .when(t < "[", NAME)
+        .when((t >= "{") & (first != F.lower(first)), NAME)
+        .when(_is_number(before) & t.isin(UNITS), UNIT)
+        .otherwise(t)
+    )
 
-    def symbol(t: Column, i: Column) -> Column:
-        first = F.substring(t, 1, 1)
-        unit = t.isin(UNITS) & (i > 0) & _is_number(F.get(toks, i - 1))
-        return (
-            F.when(_is_number(t), NUMBER)
-            .when(first != F.lower(first), NAME)
-            .when(unit, UNIT)
-            .otherwise(t)
-        )
 
-    return F.transform(toks, symbol)
+def template(toks: Column, before: Column | None = None) -> Column:
+    """One symbol per token; ``before`` is the token ahead of the first, if any."""
 
+    def symbol(t: Column, i: Column) -> Column:
+        last = F.get(toks, i - 1)
+        return _symbol(t, last if before is None else F.when(i == 0, before).otherwise(last))
 
-def _windows(symbols: Column, n: int) -> Column:
-    """struct<n, i (from 0), h> of every window of ``n`` symbols."""
-    last = F.size(symbols) - n
-    window = lambda i: F.struct(
-        F.lit(n).alias("n"), i.alias("i"), F.xxhash64(F.slice(symbols, i + 1, F.lit(n))).alias("h")
-    )
-    none = F.array().cast("array<struct<n:int,i:int,h:bigint>>")
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window)).otherwise(none)
+    return F.transform(toks, symbol)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n, h, symbols and values of the benchmark's windows."""
+    """item_id, n, h, symbols, values and seed (token and its place) of the benchmark's windows."""
     items = (
         benchmark.select("item_id", tokens(F.col("text")).alias("values"))
         .groupBy("values").agg(F.min("item_id").alias("item_id"))
@@ -85,36 +84,52 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         .where(F.col("n") >= LEAST)
     )
     starts = items.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("values") - F.col("n") + 1)))
-    return starts.select(
+    windows = starts.select(
         "item_id",
         "n",
-        F.xxhash64(F.slice("symbols", F.col("i"), F.col("n"))).alias("h"),
         F.slice("symbols", F.col("i"), F.col("n")).alias("b_symbols"),
         F.slice("values", F.col("i"), F.col("n")).alias("b_values"),
     ).dropDuplicates(["item_id", "b_values"])
+    # a window of placeholders counts only with its own values, so any of them can be the seed
+    placed = F.transform(
+        "b_values",
+        lambda v, j: F.struct((~_is_slot(F.get("b_symbols", j))).alias("word"), F.length(v).alias("chars"), v.alias("token"), j.alias("at")),
+    )
+    return windows.withColumn("h", F.xxhash64("b_symbols")).withColumn("seed", F.array_max(placed))
+
+
+def _is_slot(symbol: Column) -> Column:
+    return symbol.isin(NUMBER, NAME, UNIT)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every consistent window: doc_id, text_key, item_id, i, exact."""
     wanted = stored(benchmark_windows(benchmark), "benchmark-windows")
-    sizes = {r["n"]: r["rows"] for r in wanted.groupBy("n").agg(F.count("*").alias("rows")).collect()}
-    small = sum(sizes.values()) <= BROADCAST_ROWS
-    lengths = sorted(sizes) or [WINDOW]  # at most WINDOW - LEAST + 1
+    small = wanted.count() <= BROADCAST_ROWS
+    seeds = wanted.select(F.col("seed.token").alias("token"), F.col("seed.at").alias("seed_at"), "n").distinct()
+    windows = wanted.drop("seed")
     read = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), tokens(F.col("text")).alias("toks"))
-    read = read.withColumn("symbols", template(F.col("toks")))
-    found = read.withColumn("w", F.explode(F.concat(*[_windows(F.col("symbols"), n) for n in lengths])))
+    # explode_outer and eqNullSafe keep the optimizer from testing whole token
+    # lists for null or emptiness, which would build them twice
     if small:
-        hits = found.select("doc_id", "text_key", "toks", "symbols", "w.n", "w.i", "w.h").join(F.broadcast(wanted), ["n", "h"])
+        met = read.select("*", F.posexplode_outer("toks").alias("at", "token")).join(F.broadcast(seeds), "token")
+        windows = F.broadcast(windows)
     else:
-        keys = found.select("doc_id", "text_key", "w.n", "w.i", "w.h").join(wanted, ["n", "h"]).distinct()
-        d, k = read.dropDuplicates(["doc_id", "text_key"]).alias("d"), keys.alias("k")
-        same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_key") == F.col("k.text_key"))
-        hits = k.join(d, same).select("k.*", "d.toks", "d.symbols")
-    here = hits.withColumn("symbols", F.slice("symbols", F.col("i") + 1, F.col("n"))).withColumn(
-        "values", F.slice("toks", F.col("i") + 1, F.col("n"))
+        # places move without the texts, and meet them again by key
+        places = read.select("doc_id", "text_key", F.posexplode_outer("toks").alias("at", "token")).join(seeds, "token")
+        d, p = read.dropDuplicates(["doc_id", "text_key"]).alias("d"), places.drop("token").distinct().alias("p")
+        same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_key") == F.col("p.text_key"))
+        met = p.join(d, same).select("p.*", "d.toks")
+    # the windows are cut out by generated code before anything copies a row, so a long text is not copied per window
+    cut = (
+        met.withColumn("i", F.col("at") - F.col("seed_at"))
+        .where((F.col("i") >= 0) & (F.col("i") + F.col("n") <= F.size("toks")))
+        .select("doc_id", "text_key", "i", "n", F.get("toks", F.col("i") - 1).alias("before"), F.slice("toks", F.greatest(F.col("i") + 1, F.lit(1)), F.col("n")).alias("values"))
     )
+    built = cut.withColumn("symbols", template(F.col("values"), F.col("before"))).withColumn("h", F.xxhash64("symbols"))
+    hits = built.join(windows, ["n", "h"])
     slots = F.filter(
-        F.transform("symbols", lambda s, j: F.when(s.isin(NUMBER, NAME, UNIT), F.struct(F.get("b_values", j).alias("b"), F.get("values", j).alias("d")))),
+        F.transform("symbols", lambda s, j: F.when(_is_slot(s), F.struct(F.get("b_values", j).alias("b"), F.get("values", j).alias("d")))),
         lambda p: p.isNotNull(),
     )
     pairs = F.size(F.array_distinct("slots"))
@@ -122,10 +137,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     exact = F.col("values") == F.col("b_values")
     mostly_words = F.size("slots") * 2 <= F.col("n")
     return (
-        here.where(F.col("symbols") == F.col("b_symbols"))
+        hits.where(F.col("symbols").eqNullSafe(F.col("b_symbols")))
         .withColumn("slots", slots)
         .where(exact | (one_to_one & mostly_words))
         .select("doc_id", "text_key", "item_id", "i", exact.alias("exact"))
+        .distinct()
     )
 
 
