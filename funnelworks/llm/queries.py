@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from funnelworks.llm import chat, decontaminate, language, packing, secrets, sketch, substrings, training_order
+from funnelworks.llm import chat, decontaminate, html, language, near, packing, secrets, sketch, substrings, training_order
 
 QUERIES = {
     "op1_ppm_language": language.op1_ppm_language,
     "op2_scaled_sketch": sketch.op2_scaled_sketch,
     "op3_secret_ledger": secrets.op3_secret_ledger,
     "op4_training_order": training_order.op4_training_order,
+    "op5_style_tree": html.op5_style_tree,
     "op6_power_of_two": packing.op6_power_of_two,
     "op7_template_windows": decontaminate.op7_template_windows,
+    "op8_weighted_minhash": near.op8_weighted_minhash,
     "op9_seed_extend": substrings.op9_seed_extend,
     "op10_chat_format": chat.op10_chat_format,
 }

@@ -166,13 +166,13 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, said), ",")
 
 
-def _blobs(docs: DataFrame) -> DataFrame:
+def blobs_of(docs: DataFrame) -> DataFrame:
     return docs.select(blob_id(F.col("text")).alias("blob_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = update_ledger(_blobs(docs), scratch_path(spark, "secret-ledger"))
+    ledger = update_ledger(blobs_of(docs), scratch_path(spark, "secret-ledger"))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     digests = blob_findings(ledger).select(
         "blob_id",
@@ -194,18 +194,23 @@ REDACTED = "[redacted]"
 
 
 def redact(docs: DataFrame, found: DataFrame, mask: str = REDACTED) -> DataFrame:
-    """``docs`` with every span replaced by ``mask``; overlapping spans share one."""
+    """``docs`` with every span of a text replaced by ``mask``; spans that
+    overlap share one.  All columns stay, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("read"), blob_id(F.col("text")).alias("blob_id"))
+    joined = rows.join(found.select("blob_id", F.col("found").alias("spans")), "blob_id", "left")
 
     def cut(acc: Column, s: Column) -> Column:
         merged = F.struct(acc["text"].alias("text"), F.greatest(acc["at"], s["stop"]).alias("at"))
-        until = F.substring("text", (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        until = F.substring("read", (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         extended = F.struct(F.concat(acc["text"], until, F.lit(mask)).alias("text"), s["stop"].alias("at"))
         return F.when(s["start"] < acc["at"], merged).otherwise(extended)
 
     whole = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-    rest = lambda acc: F.concat(acc["text"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text")))
-    clean = F.when(F.size("found") > 0, F.aggregate("found", whole, cut, rest)).otherwise(F.col("text"))
-    return findings(docs, found).withColumn("text", clean).drop("found", "blob_id")
+    rest = lambda acc: F.concat(acc["text"], F.substring("read", (acc["at"] + 1).cast("int"), F.length("read")))
+    clean = F.when(F.size("spans") > 0, F.aggregate("spans", whole, cut, rest)).otherwise(F.col("read"))
+    return joined.withColumn("clean", clean).select(
+        *[F.col("clean").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    )
 
 
 _BASE_ASSIGN = rf"({_NAMES})[\"'']?\x20*[:=]\x20*[\"'']?({_VALUE}+)"
