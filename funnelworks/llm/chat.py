@@ -50,6 +50,12 @@ class ChatTemplate:
         }
     )
 
+    def __post_init__(self) -> None:
+        if len(self.mark) < 2 or self.mark[0] in self.mark[1:] or "\\" in self.mark:
+            raise ValueError("a mark is two or more characters, its first one only once, and no backslash")
+        if not (self.turn_open.startswith(self.mark) and self.turn_close.startswith(self.mark)):
+            raise ValueError("control strings start with the mark")
+
 
 CHATML = ChatTemplate()
 
@@ -61,7 +67,12 @@ def escape(text: Column, template: ChatTemplate = CHATML) -> Column:
 
 
 def unescape(text: Column, template: ChatTemplate = CHATML) -> Column:
-    return F.regexp_replace(text, r"\\([\\" + template.mark[1] + r"])", "$1")
+    return F.regexp_replace(text, rf"\\(\\|{_literal(template.mark[1])})", "$1")
+
+
+def _literal(text: str) -> str:
+    """A pattern that matches ``text``."""
+    return "".join(c if c.isalnum() or c == "_" else "\\" + c for c in text)
 
 
 def escape_role(role: Column, template: ChatTemplate = CHATML) -> Column:
@@ -111,8 +122,7 @@ def format_chats(conversations: DataFrame, template: ChatTemplate = CHATML) -> D
 
 def read_back(formatted: DataFrame, template: ChatTemplate = CHATML) -> DataFrame:
     """Parse ``formatted`` and the loss mask: turns (role, text) and loss_text."""
-    opened = "".join("\\" + c if not c.isalnum() and c != "_" else c for c in template.turn_open)
-    pieces = F.filter(F.split("formatted", opened, -1), lambda _, i: i > 0)
+    pieces = F.filter(F.split("formatted", _literal(template.turn_open), -1), lambda _, i: i > 0)
 
     def turn(piece: Column) -> Column:
         cut = F.instr(piece, "\n")
