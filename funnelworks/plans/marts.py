@@ -294,22 +294,25 @@ def activity_efficiency(funnel: DataFrame) -> DataFrame:
     )
 
 
-def mean_of_ratios_sql(total: str, count: str, money_scale: int = DEFAULT.money_scale, digits: int = 8) -> str:
-    """Mean over rows of ``total / count`` (``total`` decimal with ``money_scale``
-    decimals, ``count`` a positive integer), reproducible in any engine.
-
-    Each ratio is formed in integer arithmetic and rounded half-up to
-    ``digits`` decimals, the rounded values are summed exactly as longs, and a
-    single double division finishes the mean.  Averaging already-averaged
-    doubles instead would depend on the order the rows are added in.
-    Requires ``total >= 0`` (revenue always is).
+#: Decimals of the per-account average revenue.
+RATIO_DIGITS = 8
+
+
+def mean_of_ratios_sql(total: str, count: str, digits: int = RATIO_DIGITS) -> str:
+    """Mean over rows of ``total / count`` (decimal by positive integer),
+    reproducible in any engine.
+
+    Each ratio is a decimal rounded half away from zero to ``digits`` decimals;
+    the ratios are summed exactly and a single double division finishes the
+    mean.  Averaging already-averaged doubles instead would depend on the order
+    the rows are added in.  Totals and sums of 30 digits before the point fit.
     """
-    unscaled = f"CAST({total} * {10 ** money_scale} AS BIGINT)"
-    ratio = f"(({unscaled} * {2 * 10 ** (digits - money_scale)} + {count}) div (2 * {count}))"
-    return f"CAST(sum({ratio}) AS DOUBLE) / (CAST(count({ratio}) AS DOUBLE) * {10 ** digits}D)"
+    whole = f"DECIMAL(38,{digits})"
+    ratio = f"CAST(CAST({total} AS {whole}) / CAST({count} AS DECIMAL(20,0)) AS {whole})"
+    return f"CAST(sum({ratio}) AS DOUBLE) / CAST(count({ratio}) AS DOUBLE)"
 
 
-def ltv_by_close_month(account_ltv_df: DataFrame, a: Assumptions = DEFAULT) -> DataFrame:
+def ltv_by_close_month(account_ltv_df: DataFrame) -> DataFrame:
     """Accounts won, LTV and revenue per *first-close* month x channel.
 
     ``avg_monthly_revenue_per_account`` is the mean over accounts of each
@@ -321,9 +324,7 @@ def ltv_by_close_month(account_ltv_df: DataFrame, a: Assumptions = DEFAULT) -> D
                 "accounts_won": "count(1)",
                 "total_ltv_24mo": "sum(total_estimated_ltv_24mo)",
                 "avg_ltv_per_account": exact_avg_sql("total_estimated_ltv_24mo"),
-                "avg_monthly_revenue_per_account": mean_of_ratios_sql(
-                    "total_monthly_revenue", "total_won_deals", a.money_scale
-                ),
+                "avg_monthly_revenue_per_account": mean_of_ratios_sql("total_monthly_revenue", "total_won_deals"),
             }
         )
     )

@@ -243,3 +243,32 @@ def test_custom_assumptions_flow_through(spark):
         (Decimal("122400.0000"), Decimal("3400.0000"))]
     assert rows(custom.fct_account_ltv, "total_estimated_ltv_24mo", "avg_monthly_subscription_revenue") == [
         (Decimal("122400.0000"), 400.0)]
+
+
+def _accounts(spark, rows):
+    return spark.createDataFrame(
+        [("a", "inbound", Decimal(total), n, Decimal(1)) for total, n in rows],
+        "account_id string, channel string, total_monthly_revenue decimal(38,4), total_won_deals long, total_estimated_ltv_24mo decimal(38,4)",
+    ).selectExpr("*", "DATE'2024-03-05' AS first_close_date")
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_revenue_per_account_over_large_and_negative_totals(spark, ansi):
+    from funnelworks.plans.marts import ltv_by_close_month
+
+    cases = [
+        ([("50000000000", 100_000_000)], 500.0),  # 1e8 won deals on one account
+        ([("46000000000000000", 92_000_000)], 500_000_000.0),
+        ([("40000000000", 1)] * 3, 4e10),
+        ([("100000000", 1)] * 2000, 1e8),
+        ([("-1", 3)], -0.33333333),
+        ([("-2", 3), ("1", 3)], -0.16666667),
+        ([("1", 3), ("2", 3)], 0.5),
+    ]
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for rows, want in cases:
+            got = ltv_by_close_month(_accounts(spark, rows)).first()["avg_monthly_revenue_per_account"]
+            assert got == pytest.approx(want, rel=1e-12), rows[0]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
