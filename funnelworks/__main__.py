@@ -1,7 +1,11 @@
 """Full rebuild from the command line (for ``spark-submit``).
 
-    spark-submit -m funnelworks --raw /shared/gtm/raw --out /shared/gtm/marts
     python -m funnelworks --raw DIR --out DIR [--no-checks] [--join-strategy split]
+    spark-submit path/to/funnelworks/__main__.py --raw /shared/gtm/raw --out /shared/gtm/marts
+    python -m funnelworks --raw-database gtm_case --database marts
+
+For ``spark-submit`` the folder that holds ``funnelworks`` has to be on
+``PYTHONPATH``.
 
 Reads ``<raw>/leads``, ``<raw>/opportunities``, ``<raw>/expenses_advertising``
 and ``<raw>/expenses_salary_and_commissions`` (Parquet by default), writes
@@ -20,13 +24,17 @@ from pyspark.sql import SparkSession
 from funnelworks.plans.build import build_project
 from funnelworks.plans.project import Models
 from funnelworks.session import RECOMMENDED_CONF, ensure_checkpoint_dir
-from funnelworks.sources.io import read_raw_sources
+from funnelworks.sources.io import raw_sources_from_tables, read_raw_sources
 
 
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="funnelworks", description=__doc__.splitlines()[0])
-    ap.add_argument("--raw", required=True, help="folder holding the four raw tables")
-    ap.add_argument("--out", required=True, help="folder for the mart tables")
+    raw_from = ap.add_mutually_exclusive_group(required=True)
+    raw_from.add_argument("--raw", help="folder holding the four raw tables")
+    raw_from.add_argument("--raw-database", help="catalog database holding them")
+    to = ap.add_mutually_exclusive_group(required=True)
+    to.add_argument("--out", help="folder for the mart tables")
+    to.add_argument("--database", help="catalog database for them")
     ap.add_argument("--format", default="parquet", help="format of the raw tables")
     ap.add_argument("--join-strategy", default="split", choices=["split", "salt", "plain"])
     ap.add_argument("--hot-key-rows", type=int, default=1_000_000,
@@ -42,14 +50,19 @@ def main(argv: list[str] | None = None) -> int:
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
 
-    raw = read_raw_sources(spark, args.raw, args.format)
+    if args.raw_database:
+        raw = raw_sources_from_tables(spark, args.raw_database)
+    else:
+        raw = read_raw_sources(spark, args.raw, args.format)
     models = Models(raw, join_strategy=args.join_strategy, hot_key_rows=args.hot_key_rows or None)
-    paths = build_project(models, args.out, run_checks=not args.no_checks)
+    paths = build_project(models, args.out, run_checks=not args.no_checks, database=args.database)
     for name, path in paths.items():
         print(f"{name}\t{path}")
     status = 0
     if not args.no_checks:
-        failing = spark.read.parquet(paths["data_quality_summary"]).where("violations > 0").collect()
+        summary = paths["data_quality_summary"]
+        results = spark.table(summary) if args.database else spark.read.parquet(summary)
+        failing = results.where("violations > 0").collect()
         for r in failing:
             print(f"FAIL\t{r.model}\t{r.test}\t{r.column_name}\t{r.violations}")
         status = 1 if (failing and args.fail_on_violations) else 0

@@ -1,16 +1,16 @@
 """Build the whole project: views for staging and intermediate models, tables
 for marts (full rebuild), then optionally the data tests.
 
-The lead funnel feeds six other marts and both analyses.  It is written once
-and every downstream mart reads the stored table, as the reference's marts
-read each other's tables.  That cuts the lineage at the funnel: a lost
-executor later re-runs only the small mart stages from the stored files, not
-the join and dedupe.  ``fct_unit_economics`` likewise reads the stored
+The lead journey (the main join) feeds the funnel and a dozen data tests, so it
+is stored once for the build.  The lead funnel feeds six other marts and both
+analyses: it is written once and every downstream mart reads the stored table,
+as the reference's marts read each other's tables.  A lost executor later
+re-runs only the small mart stages from the stored files, not the join and
+dedupe.  ``fct_unit_economics`` likewise reads the stored
 channel-economics and account-LTV tables.
 
-Tables are written unpartitioned: every consumer reads the whole funnel
-(column-pruned), and partitioning by month would make each write task emit a
-file per month.
+Tables are written unpartitioned (partitioning by month would make each write
+task emit a file per month); the funnel is range-clustered by month.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from funnelworks.plans.project import INTERMEDIATE, MARTS, STAGING, Models
 from funnelworks.plans import quality_suite
-from funnelworks.session import scratch_path
-from funnelworks.sources.io import as_view, read_table, write_table
+from funnelworks.session import discard, scratch_path, stored
+from funnelworks.sources.io import as_view, read_table, save_table, write_table
 
 
 def register_views(m: Models) -> None:
@@ -29,35 +29,45 @@ def register_views(m: Models) -> None:
         as_view(m[name], name)
 
 
-def build_project(m: Models, out_dir: str | None = None, run_checks: bool = True) -> dict[str, str]:
+def build_project(
+    m: Models, out_dir: str | None = None, run_checks: bool = True, database: str | None = None
+) -> dict[str, str]:
     """Write every mart under ``out_dir/<name>``; return name -> path.
 
-    Without ``out_dir`` the tables go to a per-run folder under the shared
-    ``spark.checkpoint.dir``.
+    With ``database`` the marts are catalog tables ``<database>.<name>``
+    instead, and the names are returned.  Without either the tables go to a
+    per-run folder under the shared ``spark.checkpoint.dir``.
 
     With ``run_checks`` the 40 data tests run against the built tables and
-    their summary is written to ``out_dir/data_quality_summary``.
+    their summary is stored as ``data_quality_summary`` beside them.
     """
     spark = m.raw.leads.sparkSession
-    out_dir = out_dir or scratch_path(spark, "build")
-    paths: dict[str, str] = {}
+    if database is None:
+        out_dir = out_dir or scratch_path(spark, "build")
+    places: dict[str, str] = {}
 
     def materialize(name: str, df: DataFrame) -> DataFrame:
-        path = f"{out_dir.rstrip('/')}/{name}"
-        write_table(df, path)
-        paths[name] = path
-        return read_table(spark, path)
+        if database is not None:
+            places[name] = f"{database}.{name}"
+            save_table(df, places[name])
+            return spark.table(places[name])
+        places[name] = f"{out_dir.rstrip('/')}/{name}"
+        write_table(df, places[name])
+        return read_table(spark, places[name])
 
     register_views(m)
-    funnel = materialize("fct_lead_funnel", m.fct_lead_funnel)
-    built = m.with_overrides(fct_lead_funnel=funnel)
-    stored: dict[str, DataFrame] = {"fct_lead_funnel": funnel}
+    journey = stored(m.int_lead_opportunity_joined, "journey")
+    based = m.with_overrides(int_lead_opportunity_joined=journey)
+    # clustered by month, so that a query over some months reads some files; the id splits a large month
+    funnel = materialize("fct_lead_funnel", based.fct_lead_funnel.repartitionByRange("lead_created_month", "lead_id"))
+    built = based.with_overrides(fct_lead_funnel=funnel)
+    tables: dict[str, DataFrame] = {"fct_lead_funnel": funnel}
     for name in ["fct_account_ltv", "fct_channel_economics"]:
-        stored[name] = materialize(name, built[name])
-    final = m.with_overrides(**stored)
-    for name in [n for n in MARTS if n not in stored]:
-        stored[name] = materialize(name, final[name])
+        tables[name] = materialize(name, built[name])
+    final = based.with_overrides(**tables)
+    for name in [n for n in MARTS if n not in tables]:
+        tables[name] = materialize(name, final[name])
     if run_checks:
-        checked = m.with_overrides(**stored)
-        materialize("data_quality_summary", quality_suite.run_checks(checked))
-    return paths
+        materialize("data_quality_summary", quality_suite.run_checks(based.with_overrides(**tables)))
+    discard(journey)
+    return places

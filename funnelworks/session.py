@@ -7,6 +7,7 @@ set here; a cluster's own configuration wins for everything else
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -92,9 +93,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/funnelworks/{run}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return a frame that
-    reads it back: later stages and retries start from the files instead of
-    recomputing the lineage (never a node-local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Folders of ``stored`` that are still to remove: path to session.
+_stored: dict[str, SparkSession] = {}
+
+
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and return a frame that
+    reads it: later stages and retries start from the files, and a reader of
+    few columns reads only those.  Runs a job.  The folder goes with
+    ``discard``, or when the driver's Python process ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.options(**options).parquet(path)
+    if not _stored:
+        atexit.register(_remove_stored)
+    _stored[path] = spark
+    again = spark.read.schema(df.schema).parquet(path)
+    again._stored_at = path
+    return again
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of ``stored`` that nothing reads any more."""
+    remove_path(_stored.pop(df._stored_at), df._stored_at)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _remove_stored() -> None:
+    for path, spark in _stored.items():
+        try:
+            remove_path(spark, path)
+        except Exception:  # the session has already ended; the cluster's cleanup takes it
+            return

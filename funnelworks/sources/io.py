@@ -8,8 +8,11 @@ models).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from funnelworks.session import remove_path
 from funnelworks.sources import schemas
 from funnelworks.sources.fixtures import RawSources
 
@@ -28,6 +31,18 @@ def read_raw_sources(spark: SparkSession, base_path: str, fmt: str = "parquet")
     )
 
 
+def raw_sources_from_tables(spark: SparkSession, database: str, names: dict[str, str] | None = None) -> RawSources:
+    """The four raw tables from the session catalog: ``<database>.<table>``,
+    or the table that ``names`` gives for one of them.  Columns are selected
+    by the fixed schemas, so other columns of the tables are not read."""
+
+    def read(name: str) -> DataFrame:
+        df = spark.table((names or {}).get(name, f"{database}.{name}"))
+        return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schemas.RAW_SCHEMAS[name].fields])
+
+    return RawSources(*[read(name) for name in schemas.RAW_SCHEMAS])
+
+
 def write_raw_sources(raw: RawSources, base_path: str, fmt: str = "parquet") -> None:
     names = ["leads", "opportunities", "expenses_advertising", "expenses_salary_and_commissions"]
     for name, df in zip(names, raw):
@@ -46,13 +61,52 @@ def write_table(
     partition_by: list[str] | None = None,
     fmt: str = "parquet",
 ) -> None:
-    """Full rebuild of a table model: overwrite the whole directory atomically
-    per job (the committer only publishes complete output, so a lost executor
-    causes task retries, never a half-written table)."""
-    w = df.write.mode("overwrite").format(fmt)
+    """Full rebuild of a table model under ``path``.
+
+    The new table is written aside and takes the old one's place only when it
+    is whole, so a failed rebuild leaves the old table readable.  The switch is
+    two renames (files are not copied on HDFS and local disks): a reader that
+    lists the folder between them finds no table and has to try again.
+    """
+    spark = df.sparkSession
+    aside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:12]}"
+    before = f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:12]}"
+    w = df.write.mode("error").format(fmt)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    try:
+        w.save(aside)
+    except Exception:
+        remove_path(spark, aside)
+        raise
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    replaced = store.exists(to(path))
+    if replaced and not store.rename(to(path), to(before)):
+        raise OSError(f"cannot move {path} aside")
+    if not store.rename(to(aside), to(path)):
+        if replaced:
+            store.rename(to(before), to(path))
+        raise OSError(f"cannot move the new table to {path}")
+    if replaced:
+        remove_path(spark, before)
+
+
+def save_table(df: DataFrame, name: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
+    """Full rebuild of a catalog table: written under a name of its own, then
+    renamed, so a failed rebuild leaves the old table as it was."""
+    spark = df.sparkSession
+    aside = f"{name}__new_{uuid.uuid4().hex[:12]}"
+    w = df.write.mode("error").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.save(path)
+    try:
+        w.saveAsTable(aside)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {aside}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
