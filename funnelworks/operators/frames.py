@@ -89,7 +89,18 @@ def share_within(df: DataFrame, value: str, partition_by: Sequence[str], out: st
     return df.selectExpr("*", f"CAST({value} AS DOUBLE) / CAST(nullif({total}, 0) AS DOUBLE) AS {out}")
 
 
+#: A key is hot from this many left rows on, but at most ``HOT_KEYS`` of them
+#: are treated so, the most frequent ones, whatever the input's size.
 HOT_KEY_ROWS = 1_000_000
+HOT_KEYS = 200
+
+
+def hot_keys(left: DataFrame, key: str, hot_key_rows: int) -> DataFrame:
+    """__hot_key: the ``HOT_KEYS`` most frequent keys of more than
+    ``hot_key_rows`` rows.  Only the key column is read; counts are combined
+    map-side and the top is taken per task before one task sees it."""
+    counts = left.where(f"{key} IS NOT NULL").groupBy(F.col(key).alias("__hot_key")).count()
+    return counts.where(f"count > {int(hot_key_rows)}").orderBy(F.desc("count"), "__hot_key").limit(HOT_KEYS).select("__hot_key")
 
 
 def skew_safe_left_join(
@@ -99,34 +110,29 @@ def skew_safe_left_join(
     right_key: str,
     hot_key_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
-    """Exact equi LEFT JOIN that keeps hot keys out of the shuffle.
-
-    A first aggregate counts left rows per key (combined map-side; only the
-    key column is read).  Keys with more than ``hot_key_rows`` rows are hot:
+    """Exact equi LEFT JOIN that keeps null and hot keys out of the shuffle.
+    ``right`` must hold at most one row per key.
 
-    * hot left rows join a broadcast of the right rows of the hot keys, in
-      the tasks that read them: no shuffle, so a key holding a third of the
-      rows costs no more than any other rows;
+    * left rows with a null key or one of the :func:`hot_keys` join a broadcast
+      of the hot keys' right rows, in the tasks that read them: no shuffle, so
+      a key holding a third of the rows costs no more than any other rows, and
+      a null key finds nothing there;
     * the remaining (cold) left rows take the ordinary shuffle join, whose
       right side keeps any partitioning it already has on ``right_key`` (the
-      opportunity dedupe's), so the right side is not shuffled again.
+      opportunity dedupe's), so the right side is not shuffled again.  Keys
+      that are frequent but not among the hottest are left to adaptive
+      execution there.
 
-    Both broadcasts are bounded: there are at most ``left rows /
-    hot_key_rows`` hot keys, and the right side must hold at most one row per
-    key (the deduplicated opportunities do), so its hot part is no larger.
-    When no key is hot, adaptive execution prunes the hot branch at run time.
-    Result equals the plain join.
+    Both broadcasts hold at most ``HOT_KEYS`` rows.  Result equals the plain
+    join.
     """
-    hot = (
-        left.groupBy(left_key).count().where(f"count > {int(hot_key_rows)}").selectExpr(f"{left_key} AS __hot_key")
-    )
-    hot_b = F.broadcast(hot)
-    hot_left = left.join(hot_b, left[left_key] == hot_b["__hot_key"], "left_semi")
-    cold_left = left.join(hot_b, left[left_key] == hot_b["__hot_key"], "left_anti")
-    hot_right = right.join(hot_b, right[right_key] == hot_b["__hot_key"], "left_semi")
-    hot_joined = hot_left.join(F.broadcast(hot_right), hot_left[left_key] == hot_right[right_key], "left")
-    cold_joined = cold_left.join(right, cold_left[left_key] == right[right_key], "left")
-    return cold_joined.unionByName(hot_joined)
+    hot = F.broadcast(hot_keys(left, left_key, hot_key_rows))
+    hot_right = F.broadcast(right.join(hot, right[right_key] == hot["__hot_key"], "left_semi"))
+    marked = left.join(hot, left[left_key] == hot["__hot_key"], "left")
+    stays = marked.where(F.col(left_key).isNull() | F.col("__hot_key").isNotNull()).drop("__hot_key")
+    cold = left.join(hot, left[left_key] == hot["__hot_key"], "left_anti").where(F.col(left_key).isNotNull())
+    in_place = stays.join(hot_right, stays[left_key] == hot_right[right_key], "left")
+    return cold.join(right, cold[left_key] == right[right_key], "left").unionByName(in_place)
 
 
 def left_join_sparse_key(
@@ -137,6 +143,7 @@ def left_join_sparse_key(
     strategy: str = "split",
     salt_col: str | None = None,
     hot_key_rows: int | None = HOT_KEY_ROWS,
+    right_unique: bool = False,
 ) -> DataFrame:
     """LEFT JOIN on a nullable key that is null for most left rows.
 
@@ -153,9 +160,10 @@ def left_join_sparse_key(
       the reducers but are still shuffled.
     * ``"plain"``: the ordinary join, kept for comparison.
 
-    With ``split`` the keyed rows go through :func:`skew_safe_left_join`
-    (unless ``hot_key_rows`` is None), so a non-null key shared by a large
-    share of the rows stays out of the shuffle as well.
+    With ``split`` and a right side known to be unique per key
+    (``right_unique``), :func:`skew_safe_left_join` also keeps non-null hot
+    keys out of the shuffle, unless ``hot_key_rows`` is None.  A right side
+    that may repeat a key is never broadcast by hint.
 
     Output columns: all left columns then all right columns (right columns
     null when unmatched).  Right column names must not clash with left ones.
@@ -173,11 +181,10 @@ def left_join_sparse_key(
         return salted.join(right, cond, "left").drop("__join_key")
     if strategy != "split":
         raise ValueError(f"unknown strategy {strategy!r}")
+    if hot_key_rows is not None and right_unique:
+        return skew_safe_left_join(left, right, left_key, right_key, hot_key_rows)
     keyed = left.where(f"{left_key} IS NOT NULL")
     unkeyed = left.where(f"{left_key} IS NULL")
-    if hot_key_rows:
-        joined = skew_safe_left_join(keyed, right, left_key, right_key, hot_key_rows)
-    else:
-        joined = keyed.join(right, keyed[left_key] == right[right_key], "left")
+    joined = keyed.join(right, keyed[left_key] == right[right_key], "left")
     padding = [f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in right.schema.fields]
     return joined.unionByName(unkeyed.selectExpr("*", *padding))

@@ -83,7 +83,7 @@ def lead_opportunity_joined(
     opps = stg_opportunities.selectExpr(*[f"{s} AS o_{s}" for s, _ in _pairs(_OPPORTUNITY_COLUMNS)])
     j = left_join_sparse_key(
         leads, opps, "l_converted_opportunity_id", "o_opportunity_id",
-        strategy=join_strategy, salt_col="l_lead_id", hot_key_rows=hot_key_rows,
+        strategy=join_strategy, salt_col="l_lead_id", hot_key_rows=hot_key_rows, right_unique=True,
     )
     stage = resolve_stage_sql(
         "o_stage_category", "o_opportunity_id", "l_first_meeting_booked_date", "l_first_sales_call_date"
