@@ -15,17 +15,21 @@ from pyspark.sql import functions as F
 
 from funnelworks import config
 from funnelworks.functions.columns import (
+    days_between_sql,
     fix_year_offset_sql,
     parse_currency_sql,
     parse_month_sql,
     predicted_sales_tier_sql,
+    resolve_stage_sql,
     safe_div_sql,
     speed_to_lead_bucket_sql,
+    stage_category_sql,
 )
+from funnelworks.operators import quality as Q
 from funnelworks.operators.frames import share_within, unpivot
 from funnelworks.plans import intermediate, quality_suite, staging
 from funnelworks.plans.project import Models
-from funnelworks.session import checkpointed
+from funnelworks.session import stored
 from funnelworks.sources.fixtures import raw_sources_from_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,21 +157,38 @@ def bucketize_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_stage_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = models(spark, sf_dir).int_lead_opportunity_joined
-    return j.select(
-        "lead_id", "stage_category", "opportunity_id", "first_meeting_booked_date", "first_sales_call_date",
-        "current_funnel_stage",
+    """Every raw opportunity row as if it were a lead's: whether the demo was
+    held decides if the journey has the opportunity at all."""
+    rows = models(spark, sf_dir).raw.opportunities.selectExpr(
+        "opportunity_id AS record_id",
+        f"CASE WHEN demo_held THEN {stage_category_sql('stage_name')} END AS category",
+        "CASE WHEN demo_held THEN opportunity_id END AS opportunity",
+        "demo_time AS meeting",
+        "last_sales_call_date_time AS call",
     )
+    stage = resolve_stage_sql("category", "opportunity", "meeting", "call")
+    return rows.selectExpr("record_id", "category", "opportunity", "meeting", "call", f"{stage} AS funnel_stage")
 
 
 def days_between_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = models(spark, sf_dir).int_lead_opportunity_joined
-    return j.select(
-        "lead_id", "days_lead_to_first_contact", "days_contact_to_meeting", "days_meeting_booked_to_demo_set",
-        "days_demo_held_to_close", "days_lead_to_opportunity", "days_last_activity_to_close", "days_lead_to_close",
+    """Day counts between raw dates and timestamps, in both directions."""
+    pairs = {
+        "form_to_call": ("form_submission_date", "first_sales_call_date"),
+        "call_to_meeting": ("first_sales_call_date", "first_meeting_booked_date"),
+        "meeting_to_text": ("first_meeting_booked_date", "first_text_sent_date"),
+        "email_to_activity": ("last_sales_email_date", "last_sales_activity_date"),
+    }
+    return models(spark, sf_dir).raw.leads.selectExpr(
+        "lead_id", *[f"{days_between_sql(start, end)} AS {name}" for name, (start, end) in pairs.items()]
     )
 
 
+def lead_join_hot_keys_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lead journey with every repeated opportunity key treated as hot, so
+    that the hot branch of the join takes rows."""
+    return models(spark, sf_dir, hot_key_rows=1).int_lead_opportunity_joined
+
+
 # --- data quality ----------------------------------------------------------------
 
 
@@ -185,12 +206,48 @@ def _reconcile(builder) -> Query:
     return q
 
 
+def accepted_values_found_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted-values checks against lists that leave values out."""
+    m = models(spark, sf_dir)
+    return quality_suite.union_checks(
+        [
+            Q.accepted_values_check(m.stg_opportunities, "stg_opportunities", "stage_category", [config.CLOSED_WON]),
+            Q.accepted_values_check(m.stg_leads, "stg_leads", "channel", [config.INBOUND]),
+            Q.profile_checks(m.raw.opportunities, "opportunities", accepted={"stage_name": ["Closed Won"]}),
+        ]
+    )
+
+
+def relationship_orphans_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw leads that point to an opportunity that does not exist."""
+    m = models(spark, sf_dir)
+    return Q.relationship_check(m.raw.leads, "leads", "converted_opportunity_id", m.stg_opportunities, "opportunity_id")
+
+
+def unique_combination_found_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = models(spark, sf_dir)
+    return quality_suite.union_checks(
+        [
+            Q.unique_combination_check(m.raw.opportunities, "opportunities", ["account_id", "stage_name"]),
+            Q.unique_combination_check(m.int_monthly_expenses, "int_monthly_expenses", ["channel"]),
+        ]
+    )
+
+
+def reconcile_found_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three reconciliations against a model that lacks the second half of every year."""
+    m = models(spark, sf_dir)
+    part = m.with_overrides(int_monthly_expenses=m.int_monthly_expenses.where("month(expense_month) <= 6"))
+    checks = (quality_suite.reconcile_advertising, quality_suite.reconcile_inbound, quality_suite.reconcile_outbound)
+    return quality_suite.union_checks([check(part) for check in checks])
+
+
 def data_quality_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 40 tests.  The lead journey feeds a dozen of them (directly and
-    through every mart), so it is computed once into the shared checkpoint
-    folder instead of once per check."""
+    through every mart), so it is stored once in the shared folder instead of
+    computed once per check; that job runs when the query is built."""
     m = models(spark, sf_dir)
-    journey = checkpointed(m.int_lead_opportunity_joined)
+    journey = stored(m.int_lead_opportunity_joined, "journey")
     return quality_suite.run_checks(m.with_overrides(int_lead_opportunity_joined=journey))
 
 
@@ -226,6 +283,11 @@ QUERIES: dict[str, Query] = {
     "bucketize": bucketize_q,
     "resolve_stage": resolve_stage_q,
     "days_between": days_between_q,
+    "lead_join_hot_keys": lead_join_hot_keys_q,
+    "accepted_values_found": accepted_values_found_q,
+    "relationship_orphans": relationship_orphans_q,
+    "unique_combination_found": unique_combination_found_q,
+    "reconcile_found": reconcile_found_q,
     "unique_violations": _checks(quality_suite.unique_checks),
     "not_null_violations": _checks(quality_suite.not_null_checks),
     "accepted_values_violations": _checks(quality_suite.accepted_values_checks),

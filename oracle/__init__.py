@@ -216,13 +216,50 @@ SELECT lead_id, channel, days_lead_to_first_contact,
             ELSE 'tier_4_30k_plus' END AS predicted_sales_tier
 FROM fct_lead_funnel""",
     "resolve_stage": """
-SELECT lead_id, stage_category, opportunity_id, first_meeting_booked_date, first_sales_call_date,
-       current_funnel_stage
-FROM int_lead_opportunity_joined""",
+SELECT opportunity_id AS record_id, kind AS category, opp AS opportunity, demo_time AS meeting,
+       last_sales_call_date_time AS call,
+       coalesce(nullif(kind, 'open'), CASE WHEN opp IS NOT NULL THEN 'opportunity_open' END,
+                if(demo_time IS NULL, NULL, 'meeting_booked'), if(last_sales_call_date_time IS NULL, 'new_lead', 'contacted'))
+           AS funnel_stage
+FROM (SELECT *, if(demo_held, opportunity_id, NULL) AS opp,
+             CASE WHEN NOT coalesce(demo_held, false) THEN NULL
+                  WHEN contains(lower(stage_name), 'closed won') THEN 'closed_won'
+                  WHEN contains(lower(stage_name), 'closed lost') THEN 'closed_lost' ELSE 'open' END AS kind
+      FROM raw_opportunities)""",
     "days_between": """
-SELECT lead_id, days_lead_to_first_contact, days_contact_to_meeting, days_meeting_booked_to_demo_set,
-       days_demo_held_to_close, days_lead_to_opportunity, days_last_activity_to_close, days_lead_to_close
-FROM int_lead_opportunity_joined""",
+SELECT lead_id,
+       CAST(CAST(first_sales_call_date AS DATE) - form_submission_date AS INTEGER) AS form_to_call,
+       CAST(CAST(first_meeting_booked_date AS DATE) - CAST(first_sales_call_date AS DATE) AS INTEGER) AS call_to_meeting,
+       CAST(CAST(first_text_sent_date AS DATE) - CAST(first_meeting_booked_date AS DATE) AS INTEGER) AS meeting_to_text,
+       CAST(CAST(last_sales_activity_date AS DATE) - CAST(last_sales_email_date AS DATE) AS INTEGER) AS email_to_activity
+FROM raw_leads""",
+    "lead_join_hot_keys": "SELECT * FROM int_lead_opportunity_joined",
+    "accepted_values_found": _union(
+        [
+            accepted_sql("stg_opportunities", "stg_opportunities", "stage_category", "('closed_won')"),
+            accepted_sql("stg_leads", "stg_leads", "channel", "('inbound')"),
+            accepted_sql("raw_opportunities", "opportunities", "stage_name", "('Closed Won')"),
+        ]
+    ),
+    "relationship_orphans": _row(
+        "leads", "relationships", "converted_opportunity_id",
+        "raw_leads WHERE converted_opportunity_id NOT IN (SELECT opportunity_id FROM raw_opportunities)",
+    ),
+    "unique_combination_found": _union(
+        [
+            _row("opportunities", "unique_combination_of_columns", "account_id,stage_name",
+                 "(FROM (SELECT DISTINCT account_id, stage_name, count(*) OVER (PARTITION BY account_id, stage_name) AS n "
+                 "FROM raw_opportunities) WHERE n > 1)"),
+            _row("int_monthly_expenses", "unique_combination_of_columns", "channel",
+                 "(SELECT channel FROM int_monthly_expenses GROUP BY 1 HAVING count(*) > 1)"),
+        ]
+    ),
+    "reconcile_found": _union(
+        [
+            f"SELECT * FROM ({sql.replace('FROM int_monthly_expenses', 'FROM (FROM int_monthly_expenses WHERE month(expense_month) <= 6)')})"
+            for sql in RECONCILE.values()
+        ]
+    ),
     "unique_violations": _union(UNIQUE),
     "not_null_violations": _union(NOT_NULL),
     "accepted_values_violations": _union(ACCEPTED),

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+
+import pytest
 
 import __spark_entry__ as entry
 from funnelworks.plans.build import build_project
-from funnelworks.sources.io import read_raw_sources, write_raw_sources
+from funnelworks.sources.io import raw_sources_from_tables, read_raw_sources, save_table, write_raw_sources, write_table
+from funnelworks.sources.schemas import RAW_SCHEMAS
 from funnelworks.plans.project import MARTS, Models
 
 
@@ -17,8 +22,11 @@ def test_entry_runs_and_has_rows(spark):
 
 
 def test_queries_and_oracles_cover_survey_keys():
-    keys = set(entry.queries())
-    assert keys == set(entry.oracle_sql())
+    import re
+
+    own = lambda names: {k for k in names if not re.match(r"op\d+_|pipeline$", k)}
+    keys = own(entry.queries())
+    assert keys == own(entry.oracle_sql())
     pipelines = {
         "stg_leads", "stg_opportunities", "stg_expenses_advertising", "stg_expenses_salary",
         "int_lead_opportunity_joined", "int_monthly_expenses", "fct_lead_funnel", "fct_account_ltv",
@@ -30,6 +38,7 @@ def test_queries_and_oracles_cover_survey_keys():
         "dedupe_latest", "month_spine", "unpivot_channels", "share_within", "parse_currency", "fix_year_offset",
         "parse_month", "safe_div", "bucketize", "resolve_stage", "days_between", "unique_violations",
         "not_null_violations", "accepted_values_violations", "relationship_violations",
+        "lead_join_hot_keys", "accepted_values_found", "relationship_orphans", "unique_combination_found", "reconcile_found",
         "unique_combination_violations", "reconcile_advertising", "reconcile_inbound", "reconcile_outbound",
     }
     assert pipelines | operators == keys
@@ -67,3 +76,43 @@ def test_command_line_build(spark, models_small, capsys):
     out = capsys.readouterr().out
     assert "FAIL\tleads\tnot_null\tform_submission_date\t1000" in out
     assert spark.read.parquet(f"{root}/marts/fct_unit_economics").count() == 145
+
+
+def test_failed_rebuild_keeps_the_old_table(spark):
+    out = tempfile.mkdtemp(prefix="funnelworks-test-rebuild-")
+    good = spark.range(10)
+    bad = spark.range(10).selectExpr("CASE WHEN id = 7 THEN raise_error('lost') ELSE id END AS id")
+    write_table(good, f"{out}/t")
+    with pytest.raises(Exception, match="lost"):
+        write_table(bad, f"{out}/t")
+    assert spark.read.parquet(f"{out}/t").count() == 10 and os.listdir(out) == ["t"]
+    write_table(spark.range(3), f"{out}/t")
+    assert spark.read.parquet(f"{out}/t").count() == 3 and os.listdir(out) == ["t"]
+
+
+def test_catalog_tables_as_sources_and_sinks(spark, models_small):
+    tag = uuid.uuid4().hex[:8]
+    spark.sql(f"CREATE DATABASE raw_{tag}")
+    spark.sql(f"CREATE DATABASE marts_{tag}")
+    for name, df in zip(RAW_SCHEMAS, models_small.raw):
+        df.selectExpr("*", "1 AS other").write.saveAsTable(f"raw_{tag}.{name}")
+    m = Models(raw_sources_from_tables(spark, f"raw_{tag}"))
+    places = build_project(m, database=f"marts_{tag}")
+    assert set(places) == set(MARTS) | {"data_quality_summary"}
+    funnel = spark.table(f"marts_{tag}.fct_lead_funnel")
+    assert funnel.count() == 1300
+    with pytest.raises(Exception, match="lost"):
+        save_table(spark.range(9).selectExpr("raise_error('lost') AS x"), f"marts_{tag}.fct_lead_funnel")
+    assert spark.table(f"marts_{tag}.fct_lead_funnel").count() == 1300
+    save_table(spark.range(4), f"marts_{tag}.fct_lead_funnel")
+    spark.catalog.refreshTable(f"marts_{tag}.fct_lead_funnel")
+    assert spark.table(f"marts_{tag}.fct_lead_funnel").count() == 4
+    assert {t.name for t in spark.catalog.listTables(f"marts_{tag}") if not t.isTemporary} == set(places)
+    for side in ("raw", "marts"):
+        spark.sql(f"DROP DATABASE {side}_{tag} CASCADE")
+
+
+@pytest.mark.parametrize(("name", "second"), [("speed_to_lead", "response_speed_bucket"), ("predicted_sales_tier", "predicted_sales_tier")])
+def test_insights_are_in_order(models_small, name, second):
+    rows = [(r["channel"], r[second]) for r in models_small[name].collect()]
+    assert len(rows) > 4 and rows == sorted(rows) and all(None not in r for r in rows)

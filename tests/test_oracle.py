@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as entry
+from funnelworks.plans.catalog import QUERIES
+from oracle import ORACLE_SQL as ORACLE
 from tests.conftest import SF_SMALL
 from tools.compare import duck, norm, spark_type
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
-
 # Floats are compared exactly (repr): every average is an exact sum and a
 # single final division, so both engines produce the same doubles.
 FLOAT_DIGITS: dict[str, int] = {}

@@ -38,19 +38,20 @@ def _find(node, name):
 
 
 def test_unconverted_leads_are_not_shuffled(spark):
-    """With the split join the null-key branch reaches the union with no
-    Exchange, while the keyed branch is the (shuffled) join."""
+    """The branch of null and hot keys reaches the union with its left rows
+    unshuffled: broadcast joins only."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         j = models(spark, SF_SMALL).int_lead_opportunity_joined
         union = _find(j._jdf.queryExecution().executedPlan(), "Union")
-        assert union is not None
-        # nested unions are flattened: cold join, hot-key branch, null-key leads
-        kids = [union.children().apply(i).toString() for i in range(union.children().size())]
-        assert "SortMergeJoin" in kids[0] and "Exchange" in kids[0]
-        unkeyed = kids[-1]
-        assert "Exchange" not in unkeyed and "Join" not in unkeyed and "Scan" in unkeyed
+        cold, stays = [union.children().apply(i) for i in range(2)]
+        assert "SortMergeJoin" in cold.toString() and union.children().size() == 2
+        assert "SortMergeJoin" not in stays.toString().split("BroadcastExchange")[0]
+        node = stays
+        while node.children().size():  # down the streamed side to the scan
+            assert node.nodeName() not in ("Exchange", "SortMergeJoin", "ShuffledHashJoin")
+            node = node.children().apply(0)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -75,8 +76,8 @@ def test_unit_economics_reuses_the_funnel_exchanges(spark):
 
 
 def test_split_predicates_reach_the_parquet_scans(spark, models_small):
-    """On stored raw tables the keyed / null-key branches filter in the scan,
-    and the hot-key count reads the key column only."""
+    """On stored raw tables the cold branch filters in the scan, the hot-key
+    count reads the key column only, and the leads are read three times."""
     import re
     import tempfile
 
@@ -85,12 +86,28 @@ def test_split_predicates_reach_the_parquet_scans(spark, models_small):
 
     out = tempfile.mkdtemp(prefix="funnelworks-test-pushdown-")
     write_raw_sources(models_small.raw, out)
-    p = plan_of(Models(read_raw_sources(spark, out)).int_lead_opportunity_joined)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # shows reused exchanges as such
+    try:
+        p = plan_of(Models(read_raw_sources(spark, out)).int_lead_opportunity_joined)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
     scans = re.findall(r"FileScan parquet \[([^\]]*)\].*?PushedFilters: (\[[^\]]*\])", p)
-    pushed = [f for _, f in scans]
-    assert "[IsNull(converted_opportunity_id)]" in pushed
-    assert "[IsNotNull(converted_opportunity_id)]" in pushed
-    assert any(cols.startswith("converted_opportunity_id#") and "," not in cols for cols, _ in scans)
+    leads = [(cols, pushed) for cols, pushed in scans if "converted_opportunity_id#" in cols]
+    assert len(leads) == 3
+    assert sum(pushed == "[IsNotNull(converted_opportunity_id)]" for _, pushed in leads) >= 2
+    assert any(cols.startswith("converted_opportunity_id#") and "," not in cols for cols, _ in leads)
+
+
+def test_checks_read_the_stored_journey(spark):
+    """The 40 checks hold no lead join, and a check of one column reads one."""
+    import re
+
+    p = plan_of(QUERIES["data_quality_summary"](spark, SF_SMALL))
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\][^\n]*/journey-", p)
+    assert scans and min(len(s.split(",")) for s in scans) == 1
+    assert "orders.parquet" in p and "converted_opportunity_id" not in "".join(
+        line for line in p.splitlines() if "Join" in line
+    )
 
 
 def test_opportunities_are_shuffled_once(spark):
