@@ -105,14 +105,19 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.options(**options).parquet(path)
-    if not _stored:
-        atexit.register(_remove_stored)
-    _stored[path] = spark
+    remove_at_end(spark, path)
     again = spark.read.schema(df.schema).parquet(path)
     again._stored_at = path
     return again
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Remove the folder when the driver's Python process ends."""
+    if not _stored:
+        atexit.register(_remove_stored)
+    _stored[path] = spark
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table of ``stored`` that nothing reads any more."""
     remove_path(_stored.pop(df._stored_at), df._stored_at)
