@@ -1,57 +1,19 @@
-"""Shared helpers: tables in the shared folder, positions in a total order."""
+"""Shared helpers: the test tables, positions in a total order."""
 
 from __future__ import annotations
 
-import atexit
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.session import scratch_path
+from funnelworks.session import discard, stored
 
-#: Folders still to remove: path to session.
-_written: dict[str, SparkSession] = {}
+__all__ = ["discard", "stored", "table", "with_position"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder (``spark.checkpoint.dir``)
-    and return a frame that reads it: a lost executor costs a reread, never
-    the work before.  The folder goes with ``discard``, or when the driver's
-    Python process ends."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_remove_written)
-    _written[path] = spark
-    again = spark.read.schema(df.schema).parquet(path)
-    again._stored_at = path
-    return again
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a table of ``stored`` that nothing reads any more."""
-    path = df._stored_at
-    _remove(_written.pop(path), path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove_written() -> None:
-    for path, spark in _written.items():
-        try:
-            _remove(spark, path)
-        except Exception:  # the session has already ended; the cluster's cleanup takes it
-            return
-
-
 def with_position(df: DataFrame, *order: Column, position: str = "position", name: str = "ordered") -> DataFrame:
     """``df`` plus a gapless position from 0 in the given total order.
 

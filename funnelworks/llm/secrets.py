@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from funnelworks.llm.common import table
-from funnelworks.session import scratch_path
+from funnelworks.session import remove_at_end, scratch_path
 
 
 @dataclass(frozen=True)
@@ -166,13 +166,20 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, said), ",")
 
 
+def own_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger of ``docs`` alone, in the shared folder until the driver ends."""
+    path = scratch_path(docs.sparkSession, "secret-ledger")
+    remove_at_end(docs.sparkSession, path)
+    return update_ledger(blobs_of(docs), path)
+
+
 def blobs_of(docs: DataFrame) -> DataFrame:
     return docs.select(blob_id(F.col("text")).alias("blob_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = update_ledger(blobs_of(docs), scratch_path(spark, "secret-ledger"))
+    ledger = own_ledger(docs)
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     digests = blob_findings(ledger).select(
         "blob_id",

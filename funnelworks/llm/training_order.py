@@ -27,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm.common import table
+from funnelworks.llm.common import stored, table
 from funnelworks.llm.tokens import default_ranks_path, token_ids
-from funnelworks.session import scratch_path
 
 LENGTH = 512
 PER_SHARD = 16_384
@@ -102,10 +101,8 @@ def in_training_order(
 ) -> DataFrame:
     """One row per record, dealt by shard and sorted by slot within it."""
     spark = docs.sparkSession
-    path = scratch_path(spark, "sequences")
     rows = sequences(docs, ranks, length).withColumn("at", F.monotonically_increasing_id())
-    rows.write.option("compression", "zstd").parquet(path)
-    numbered = spark.read.schema(rows.schema).parquet(path)
+    numbered = stored(rows, "sequences", compression="zstd")
     part = F.shiftright("at", 33).alias("part")
     sizes = sorted((r["part"], r["n"]) for r in numbered.groupBy(part).agg(F.count("*").alias("n")).collect())
     starts, n = [], 0
