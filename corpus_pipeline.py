@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from funnelworks.llm import decontaminate, language, near, packing, secrets
 from funnelworks.llm.common import stored, table
-from funnelworks.session import scratch_path
 
 #: Bits a byte of the best language from which on a text is in no learned language.
 REJECT_BITS = 14.0
@@ -46,8 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ledger = secrets.update_ledger(secrets.blobs_of(docs), scratch_path(spark, "secret-ledger"))
-    clean = secrets.redact(docs, secrets.blob_findings(ledger))
+    clean = secrets.redact(docs, secrets.blob_findings(secrets.own_ledger(docs)))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
