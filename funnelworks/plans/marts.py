@@ -96,37 +96,59 @@ def lead_funnel(journey: DataFrame, a: Assumptions = DEFAULT) -> DataFrame:
     )
 
 
+_LTV_AVERAGES = {
+    "avg_predicted_monthly_sales": "predicted_monthly_sales",
+    "avg_monthly_transaction_revenue": "predicted_monthly_transaction_revenue",
+    "avg_monthly_subscription_revenue": "monthly_subscription_revenue",
+    "avg_monthly_total_revenue": "predicted_monthly_total_revenue",
+    "avg_days_lead_to_close": "days_lead_to_close",
+    "avg_days_demo_held_to_close": "days_demo_held_to_close",
+}
+
+
 def account_ltv(funnel: DataFrame) -> DataFrame:
-    """Won deals rolled up per account x channel (P8)."""
+    """Won deals rolled up per account x channel (P8).
+
+    A maximum of text cannot live in a hash aggregate's buffer, so the won
+    rows are first reduced with their text columns as keys, by hashing; the
+    second step takes the maxima over the few rows an account has left.
+    """
     won = funnel.where("is_closed_won AND lead_created_date IS NOT NULL AND account_id IS NOT NULL")
-    return won.groupBy("account_id", "channel").agg(
+    texts = ["cuisine_types", "marketplaces_used", "online_ordering_used"]
+    first = won.groupBy("account_id", "channel", *texts).agg(
         *named_aggs(
             {
-                "total_won_deals": "count(1)",
-                **_avgs(
-                    {
-                        "avg_predicted_monthly_sales": "predicted_monthly_sales",
-                        "avg_monthly_transaction_revenue": "predicted_monthly_transaction_revenue",
-                        "avg_monthly_subscription_revenue": "monthly_subscription_revenue",
-                        "avg_monthly_total_revenue": "predicted_monthly_total_revenue",
-                    }
-                ),
-                "total_monthly_revenue": "sum(predicted_monthly_total_revenue)",
-                "total_estimated_ltv_24mo": "sum(estimated_ltv_24mo)",
-                "location_count": "max(location_count)",
+                "deals": "count(1)",
+                **{f"s_{name}": f"sum({c})" for name, c in _LTV_AVERAGES.items()},
+                **{f"n_{name}": f"count({c})" for name, c in _LTV_AVERAGES.items()},
+                "ltv": "sum(estimated_ltv_24mo)",
+                "locations": "max(location_count)",
+                "first_lead": "min(lead_created_date)",
+                "first_close": "min(close_date)",
+                "last_close": "max(close_date)",
+            }
+        )
+    )
+    average = {
+        name: f"CASE WHEN sum(n_{name}) > 0 THEN CAST(sum(s_{name}) AS DOUBLE) / sum(n_{name}) END" for name in _LTV_AVERAGES
+    }
+    names = list(_LTV_AVERAGES)
+    return first.groupBy("account_id", "channel").agg(
+        *named_aggs(
+            {
+                "total_won_deals": "sum(deals)",
+                **{name: average[name] for name in names[:4]},
+                "total_monthly_revenue": "sum(s_avg_monthly_total_revenue)",
+                "total_estimated_ltv_24mo": "sum(ltv)",
+                "location_count": "max(locations)",
                 "cuisine_types": "max(cuisine_types)",
                 "cuisine_count": "max(length(cuisine_types))",
                 "marketplaces_used": "max(marketplaces_used)",
                 "online_ordering_used": "max(online_ordering_used)",
-                "first_lead_created_date": "min(lead_created_date)",
-                "first_close_date": "min(close_date)",
-                "latest_close_date": "max(close_date)",
-                **_avgs(
-                    {
-                        "avg_days_lead_to_close": "days_lead_to_close",
-                        "avg_days_demo_held_to_close": "days_demo_held_to_close",
-                    }
-                ),
+                "first_lead_created_date": "min(first_lead)",
+                "first_close_date": "min(first_close)",
+                "latest_close_date": "max(last_close)",
+                **{name: average[name] for name in names[4:]},
             }
         )
     )

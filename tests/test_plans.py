@@ -62,6 +62,17 @@ def test_aggregates_are_partial_then_final(spark):
     assert p.count("HashAggregate") >= 2
 
 
+def test_won_rows_are_hashed_not_sorted(spark, models_small):
+    """Account LTV reduces raw won rows in a hash aggregate; only its result,
+    keyed by the text columns, meets the sort aggregate of their maxima."""
+    from funnelworks.plans import marts
+
+    won = spark.createDataFrame(models_small.fct_lead_funnel.limit(5).collect(), models_small.fct_lead_funnel.schema)
+    lines = plan_of(marts.account_ltv(won)).splitlines()
+    kinds = [next(k for k in ("HashAggregate", "SortAggregate") if k in line) for line in lines if "Aggregate" in line]
+    assert kinds[-2:] == ["HashAggregate", "HashAggregate"] and "ObjectHash" not in "".join(lines)
+
+
 def test_unit_economics_reuses_the_funnel_exchanges(spark):
     """Both branches of unit economics derive from the same join; identical
     shuffles are computed once (ReusedExchange) when AQE is off."""
