@@ -50,6 +50,8 @@ from funnelworks.llm.common import stored, table
 LEAST_IMPORTANCE = 0.3
 LEAST_PAGES = 8
 DAMPING = 0.9
+#: Elements nested deeper become siblings, as in browsers.
+DEPTH = 512
 #: Noise paths of up to this many hosts are broadcast (some hundred bytes a
 #: host); more are joined by shuffle.  The texts are the same.
 BROADCAST_HOSTS = 50_000
@@ -163,13 +165,20 @@ def parse(page: str) -> Node:
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = close.end() if close else len(page)
-        elif tag not in VOID:
+        elif tag not in VOID and len(stack) < DEPTH:
             stack.append(node)
     if at < len(page):
         stack[-1].children.append(page[at:])
     return root
 
 
+def _below(path: str, node: Node) -> str:
+    """The path of a node in ``path``; inline elements have their block's."""
+    if node.tag not in BLOCKS:
+        return path
+    return f"{path}>{node.label}" if path else node.label
+
+
 def clean(text: str) -> str:
     return " ".join(references.unescape(text).split())
 
@@ -198,9 +207,9 @@ def blocks(node: Node, skip, path: str = "", inside: bool = False) -> Iterator[t
         if node.tag == "br":
             pieces.append(" ")
             continue
-        here = f"{path}>{node.label}" if path else node.label
         inside = inside or node.is_article
         is_block = node.tag in BLOCKS
+        here = _below(path, node)
         if is_block:
             todo.append(("flush", None, path, inside))
         for child in reversed(node.children):
@@ -222,7 +231,7 @@ def nodes(root: Node) -> Iterator[tuple[str, str, Node]]:
         path, node, inside = todo.pop()
         if _by_name(node, path, inside):
             continue
-        here = f"{path}>{node.label}" if path else node.label
+        here = _below(path, node)
         if node.tag in BLOCKS:
             yield path, here, node
         inside = inside or node.is_article
@@ -250,7 +259,7 @@ def main_text(page: str | None, noise: frozenset[str] = frozenset()) -> str:
     root = parse(page or "")
 
     def by_tree(node: Node, path: str, inside: bool) -> bool:
-        return _by_name(node, path, inside) or (f"{path}>{node.label}" if path else node.label) in noise
+        return _by_name(node, path, inside) or _below(path, node) in noise
 
     for skip in (by_tree, _by_name) if noise else (_by_name,):
         parts = _outermost(root, "article", skip) or _outermost(root, "main", skip) or [(root, "", False)]
@@ -270,7 +279,7 @@ def _outermost(root: Node, tag: str, skip) -> list[tuple[Node, str, bool]]:
         if node.tag == tag:
             found.append((node, path, inside))
             continue
-        here = f"{path}>{node.label}" if path else node.label
+        here = _below(path, node)
         todo += [(c, here, inside or node.is_article) for c in reversed(node.children) if not isinstance(c, str)]
     return found
 
