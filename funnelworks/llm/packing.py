@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm.common import table, with_position
+from funnelworks.llm.common import stored, table, with_position
 from funnelworks.llm.tokens import default_ranks_path, token_ids
 
 MAX_LENGTH = 2048
@@ -57,7 +57,8 @@ def pieces(docs: DataFrame, ranks: str | None = None, longest: int = MAX_LENGTH)
 def pack(docs: DataFrame, ranks: str | None = None, longest: int = MAX_LENGTH) -> DataFrame:
     """Every piece with its sequence: sequence_id, and offset 0 in it."""
     order = [F.col("length").desc(), *map(F.col, ("doc_id", "start", "ids_crc32", "doc_tokens"))]
-    placed = with_position(pieces(docs, ranks, longest), *order, position="sequence_id", name="pieces")
+    cut = stored(pieces(docs, ranks, longest), "pieces")  # else the sort's sampling would encode every text again
+    placed = with_position(cut, *order, position="sequence_id", name="sequences")
     return placed.withColumn("offset", F.lit(0).cast("long"))
 
 
