@@ -39,9 +39,9 @@ from funnelworks.llm.words import Words, column_words, inside_text, run_hashes
 
 LEAST = 13
 SEED = 5
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 4 << 20
 #: Of texts whose anchors or windows share a range of hashes.
-RANGE_BYTES = 48 << 20
+RANGE_BYTES = 16 << 20
 
 _FIRST = np.iinfo(np.int64).min
 
