@@ -42,7 +42,7 @@ ORDER = 4
 SAMPLE_BYTES = 4 << 20
 LEAST_COUNT = 24
 #: With four languages; more share the same number of table entries.
-NODES = 16_384
+NODES = 8_192
 LANGUAGES = 64
 PIECE_BYTES = 1 << 18
 #: Code lengths are counted in this part of a bit.
@@ -155,41 +155,47 @@ def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER,
     seen = counts.groupBy("k", context).agg(F.sum("n").alias("total")).where((F.col("total") >= least) & (F.col("k") > 0))
     kept = seen.orderBy(F.col("total").desc(), "k", "context").limit(nodes * 4 // max(4, languages))
     wanted = counts.withColumn("context", F.shiftright("gram", 8)).join(F.broadcast(kept.select("k", "context")), ["k", "context"])
-    rows = wanted.select("lang", "k", "gram", "n").unionByName(counts.where("k = 0").select("lang", "k", "gram", "n")).toPandas()
-    return build(rows.itertuples(index=False), order)
+    rows = wanted.select("lang", "k", "gram", "n").unionByName(counts.where("k = 0").select("lang", "k", "gram", "n")).toArrow()
+    return build(*(rows[c].to_numpy() for c in ("lang", "k", "gram", "n")), order)
 
 
-def build(rows, order: int = ORDER) -> Model:
-    """The model of counts (lang, k, gram, n): gram holds k context bytes, oldest first, and the byte after them."""
-    rows = [(str(lang), int(k), int(gram), int(n)) for lang, k, gram, n in rows]
-    languages = sorted({r[0] for r in rows})
-    place = {lang: i for i, lang in enumerate(languages)}
+def build(langs, ks, grams, ns, order: int = ORDER) -> Model:
+    """The model of counts, given as columns: language, number k of context
+    bytes, the k + 1 bytes as a number (oldest first, the one that followed
+    last), and how often they were seen."""
+    languages, lang = np.unique(np.asarray(langs, object).astype(str), return_inverse=True)
+    ks, grams, ns = (np.asarray(c, np.int64) for c in (ks, grams, ns))
     symbol = np.zeros(256, np.int32)
-    for i, b in enumerate(sorted({gram & 255 for _, k, gram, _ in rows if k == 0})):
-        symbol[b] = i + 1
-    width = int(symbol.max()) + 1 if rows else 1
-    follow: dict[tuple[int, ...], np.ndarray] = {}
-    for lang, k, gram, n in rows:
-        context = tuple(int(symbol[gram >> 8 * j & 255]) for j in range(k, 0, -1))
-        if context not in follow:
-            follow[context] = np.zeros((width, len(languages)), np.int64)
-        follow[context][symbol[gram & 255], place[lang]] += n
-    contexts = sorted((c for c in follow if all(c[i:] in follow for i in range(len(c) + 1))), key=lambda c: (len(c), c))
-    number = {c: i for i, c in enumerate(contexts)}
-    child = np.full((max(len(contexts), 1) + 1, width), max(len(contexts), 1), np.int32)
-    bits = np.full((max(len(contexts), 1), width, max(len(languages), 1)), 8.0)
-    for c, i in number.items():
-        shorter = np.full((width, len(languages)), 8.0) if not c else bits[number[c[1:]]]
-        counts = follow[c]
+    known = np.unique(grams[ks == 0] & 255)
+    symbol[known] = np.arange(1, len(known) + 1)
+    width, n_languages = len(known) + 1, max(len(languages), 1)
+    # a context is its length and bytes; a child comes after its parent, the context one byte shorter
+    keys = (ks << 32) | (grams >> 8)
+    contexts = np.unique(keys)
+    number = {int(c): i for i, c in enumerate(contexts)}
+    starts = np.append(np.searchsorted(np.sort(keys), contexts), len(keys))
+    by_context = np.argsort(keys, kind="stable")
+    n = max(len(contexts), 1)
+    child = np.full((n + 1, width), n, np.int32)
+    bits = np.full((n, width, n_languages), 8.0)
+    for i, c in enumerate(contexts.tolist()):
+        k, own = c >> 32, c & 0xFFFFFFFF
+        parent = number.get((k - 1) << 32 | own & ((1 << 8 * (k - 1)) - 1)) if k else None
+        if k and parent is None:
+            continue  # cannot be reached
+        rows = by_context[starts[i] : starts[i + 1]]
+        counts = np.zeros((width, n_languages), np.int64)
+        np.add.at(counts, (symbol[grams[rows] & 255], lang[rows]), ns[rows])
         total, distinct = counts.sum(0), (counts > 0).sum(0)
         whole = total + distinct
         with np.errstate(divide="ignore", invalid="ignore"):
             escape = np.where(total > 0, np.log2(whole) - np.log2(distinct), 0.0)
+            shorter = bits[parent] if k else 8.0
             bits[i] = np.where(counts > 0, np.log2(whole) - np.log2(counts), escape + shorter)
-        if c:
-            child[number[c[1:]], c[0]] = i
-    cost = np.round(bits * UNIT).astype(np.int32).reshape(-1, max(len(languages), 1))
-    return Model(languages, symbol, child, cost, order)
+        if k:
+            child[parent, symbol[own >> 8 * (k - 1)]] = i
+    cost = np.round(bits * UNIT).astype(np.int32).reshape(-1, n_languages)
+    return Model(languages.tolist(), symbol, child, cost, order)
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:

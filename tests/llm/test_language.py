@@ -24,6 +24,12 @@ def grams(order):
     return out
 
 
+def model_of(order):
+    counted = grams(order)
+    langs, ks, numbers = zip(*counted)
+    return language.build(langs, ks, numbers, list(counted.values()), order)
+
+
 def plain_bits(text, lang, order, contexts):
     """PPM, method C, with the contexts that the model kept."""
     counts = defaultdict(Counter)
@@ -55,7 +61,7 @@ def plain_bits(text, lang, order, contexts):
 
 @pytest.mark.parametrize("order", [0, 1, 2, 3])
 def test_code_lengths_equal_plain_ppm(order, monkeypatch):
-    model = language.build([(lang, k, g, n) for (lang, k, g), n in grams(order).items()], order)
+    model = model_of(order)
     contexts = {t.encode()[i : i + k] for _, t in TRAIN for k in range(1, order + 1) for i in range(len(t.encode()) - k)}
     texts = ["the chat", "", "été et l'hat", "zzz\x00", "e", "then the hat and le chapeau " * 5]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
@@ -68,7 +74,7 @@ def test_code_lengths_equal_plain_ppm(order, monkeypatch):
 
 
 def test_odd_rows(spark):
-    model = language.build([(lang, k, g, n) for (lang, k, g), n in grams(2).items()], 2)
+    model = model_of(2)
     rows = [(1, "the hat", "fr"), (2, None, "en"), (3, "12 34!", "en"), (4, "le chat", None), (None, "the hat", None), (6, "", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumnRenamed("score", "lang")
     got = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
