@@ -18,9 +18,11 @@ site style tree:
 Branches below ``LEAST_IMPORTANCE`` go, on hosts of ``LEAST_PAGES`` pages or
 more; furniture by name goes on every host.  Plain text elements (paragraphs,
 headings, lists ...) inside an article are never judged on their own, so a line
-that many articles repeat stays.  Where a page marks its article (``article``,
-``main``) the text is taken from there alone.  If the tree leaves a page
-nothing, its branches come back.
+that many articles repeat stays.  Pages of a host with the same paths, styles
+and blocks count once, however often they occur.  Where a page marks its article
+(``article``, ``main``) the text is taken from there alone, and low branches
+that hold most of an article's text, or all but its headings, stay.  If the tree
+leaves a page nothing, its branches come back.
 
 White space inside a block becomes one space, blocks are joined by one line
 feed, character references are decoded; nothing else is changed.
@@ -35,7 +37,7 @@ from __future__ import annotations
 
 import html as references
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 from math import log
@@ -49,6 +51,8 @@ from funnelworks.llm.common import stored, table
 
 LEAST_IMPORTANCE = 0.3
 LEAST_PAGES = 8
+#: An article of which the low branches are more than this part keeps them.
+MOST = 0.6
 DAMPING = 0.9
 #: Elements nested deeper become siblings, as in browsers.
 DEPTH = 512
@@ -89,6 +93,7 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 #: Furniture outside an article only: an article's own header holds its title.
 OUTER_NAMES = frozenset(["header", "topbar", "hero"])
 ARTICLE = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"
@@ -262,13 +267,41 @@ def main_text(page: str | None, noise: frozenset[str] = frozenset()) -> str:
         return _by_name(node, path, inside) or _below(path, node) in noise
 
     for skip in (by_tree, _by_name) if noise else (_by_name,):
-        parts = _outermost(root, "article", skip) or _outermost(root, "main", skip) or [(root, "", False)]
-        texts = [text for node, path, inside in parts for _, text in blocks(node, skip, path, inside)]
+        for tag in ("article", "main"):
+            if texts := _article_texts(root, tag, skip):
+                break
+        else:
+            texts = [text for _, text in blocks(root, skip)]
         if texts:
             return "\n".join(texts)
     return ""
 
 
+def _article_texts(root: Node, tag: str, skip) -> list[str]:
+    """The blocks of the page's ``tag`` nodes without the branches to skip,
+    unless those hold most of the text."""
+    parts = _outermost(root, tag, _by_name)
+    named = [list(blocks(node, _by_name, path, inside)) for node, path, inside in parts]
+    if skip is _by_name:
+        return [text for part in named for _, text in part]
+    found = {id(node) for node, _, _ in _outermost(root, tag, skip)}
+    if _holds_most(sum(named, []), [b for (node, _, _), part in zip(parts, named) if id(node) in found for b in part]):
+        found = {id(node) for node, _, _ in parts}
+    texts: list[str] = []
+    for (node, path, inside), part in zip(parts, named):
+        if id(node) in found:
+            left = list(blocks(node, lambda n, p, i, top=node: n is not top and skip(n, p, i), path, inside))
+            texts += [text for _, text in (part if _holds_most(part, left) else left)]
+    return texts
+
+
+def _holds_most(blocks: list[tuple[str, str]], left: list[tuple[str, str]]) -> bool:
+    """Whether what is not ``left`` of the blocks is most of them, or all but headings."""
+    if sum(len(t) for _, t in left) < (1 - MOST) * sum(len(t) for _, t in blocks):
+        return True
+    return len(left) < len(blocks) and all(path.rpartition(">")[2].split(".")[0] in HEADINGS for path, _ in left)
+
+
 def _outermost(root: Node, tag: str, skip) -> list[tuple[Node, str, bool]]:
     """The ``tag`` nodes that stand in no other one, in page order."""
     found, todo = [], [(root, "", False)]
@@ -295,22 +328,26 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: Counter = Counter()
+            rows = {}
             for name, page in zip(batch.column(0), batch.column(1)):
-                name = name.as_py()
-                rows.update((name, *f) for f in page_features(page.as_py()))
-                rows[name, "", "", "m", 0] += 1
-            columns = list(zip(*(key + (n,) for key, n in rows.items()))) or [[]] * 6
-            types = [pa.string()] * 4 + [pa.int64()] * 2
+                found = page_features(page.as_py())
+                digest = blake2b(repr(found).encode("utf-8", "replace"), digest_size=16).digest()
+                rows.setdefault((name.as_py(), digest), [*found, ("", "", "m", 0)])
+            names, digests = zip(*rows) if rows else ((), ())
+            features = [[dict(zip(("path", "parent", "kind", "value"), f)) for f in found] for found in rows.values()]
+            kind = pa.list_(pa.struct([("path", pa.string()), ("parent", pa.string()), ("kind", pa.string()), ("value", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], names=["host", "path", "parent", "kind", "value", "n"]
+                [pa.array(names, pa.string()), pa.array(digests, pa.binary()), pa.array(features, kind)], names=["host", "page", "found"]
             )
 
-    features = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(
-        read, "host string, path string, parent string, kind string, value long, n long"
+    read_pages = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(
+        read, "host string, page binary, found array<struct<path: string, parent: string, kind: string, value: long>>"
     )
+    # copies of a page count once; its features are far smaller than its html
+    distinct = read_pages.groupBy("host", "page").agg(F.first("found").alias("found"))
+    features = distinct.select("host", F.explode("found").alias("f")).select("host", "f.*")
     # by value first, which spreads a large host over all tasks; a row per node is left of it
-    each = features.groupBy("host", "path", "parent", "kind", "value").agg(F.sum("n").alias("k"))
+    each = features.groupBy("host", "path", "parent", "kind", "value").agg(F.count("*").alias("k"))
     return each.groupBy("host", "path", "parent", "kind").agg(
         F.sum("k").alias("n"), F.count("*").alias("values"), F.sum(F.col("k") * F.log("k")).alias("k_ln_k")
     )

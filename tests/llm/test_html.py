@@ -85,6 +85,19 @@ def test_style_tree_removes_low_branches(spark):
     assert len(rows) == 40
 
 
+def test_copies_of_an_article_keep_their_text(spark):
+    """Copies of a page, and pages that differ in little, hold no noise for what they repeat."""
+    page = "<body><div class=wrap><article><h1>Title</h1><div class=body><p>The whole text of it.</p></div></article></div></body>"
+    rows = [(i, f"http://copies.example.com/?utm={i}", page) for i in range(12)]
+    rows += [(100 + i, "http://mirror.example.com/", page.replace("</body>", f"<p>page {i}</p></body>")) for i in range(12)]
+    # one page in many copies beside others: a block of every other page is no site block
+    rows += [(200 + i, "http://mixed.example.com/", f"<div class=a><p>Shared {min(i, 9)}</p></div><p>text {min(i, 9)}</p>") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    assert {got[i] for i in (*range(12), *range(100, 112))} == {"Title\nThe whole text of it."}
+    assert got[203] == "Shared 3\ntext 3" and got[399] == "Shared 9\ntext 9"
+
+
 def test_shuffled_noise_gives_the_same(spark, monkeypatch):
     want = sorted(map(tuple, html.extract(site(spark)).collect()), key=str)
     monkeypatch.setattr(html, "BROADCAST_HOSTS", 0)
