@@ -20,9 +20,12 @@ more; furniture by name goes on every host.  Plain text elements (paragraphs,
 headings, lists ...) inside an article are never judged on their own, so a line
 that many articles repeat stays.  Pages of a host with the same paths, styles
 and blocks count once, however often they occur.  Where a page marks its article
-(``article``, ``main``) the text is taken from there alone, and low branches
-that hold most of an article's text, or all but its headings, stay.  If the tree
-leaves a page nothing, its branches come back.
+(``article``, ``main``) the text is taken from there alone: from the main element
+where that has text of its own beside articles (and no less than the articles
+outside it), else from the articles.  Inside an article only the classes of
+containers tell furniture, as names of headings, paragraphs and sections there
+are anchors.  Low branches that hold most of an article's text, or all but its
+headings, stay.  If the tree leaves a page nothing, its branches come back.
 
 White space inside a block becomes one space, blocks are joined by one line
 feed, character references are decoded; nothing else is changed.
@@ -108,15 +111,21 @@ _DIGITS = re.compile(r"\d+")
 class Node:
     """An element with its children in order (nodes, and text as str)."""
 
-    __slots__ = ("children", "furniture", "label", "outer", "tag")
+    __slots__ = ("children", "furniture", "label", "outer", "tag", "within")
 
-    def __init__(self, tag: str, rest: str = "") -> None:
-        self.tag, self.children, self.outer = tag, [], tag == "header"
+    def __init__(self, tag: str, rest: str = "", within: str = "") -> None:
+        """``within``: the innermost kind of article around it, '' outside."""
+        self.tag, self.children, self.outer, self.within = tag, [], tag == "header", within
         self.furniture, self.label = tag in FURNITURE_TAGS, tag
         if rest.strip(" \t\r\n/"):
             given = {k.lower(): references.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(rest)}
-            names = f"{given.get('class', '')} {given.get('id', '')}".lower()
-            found = set(_NAMES.findall(names))
+            names = f"{given.get('class', '')} {given.get('id', '')}"
+            if within and tag not in ARTICLE:
+                if tag not in BLOCKS or tag in PLAIN:
+                    names = ""
+                elif within == "article" or tag != "div":
+                    names = given.get("class", "")
+            found = set(_NAMES.findall(names.lower()))
             roles = set(given.get("role", "").lower().split())
             hidden = "hidden" in given or "display:none" in given.get("style", "").replace(" ", "").lower()
             if tag not in ARTICLE | {"body", "html"} or roles & FURNITURE_ROLES or "comment" in found:
@@ -159,7 +168,9 @@ def parse(page: str) -> Node:
                 break
             if stack[k].tag in SCOPES:
                 break
-        node = Node(tag, found["rest"])
+        holder = stack[-1]
+        within = "article" if "article" in (holder.tag, holder.within) else "main" if holder.tag == "main" else holder.within
+        node = Node(tag, found["rest"], within)
         if tag in ARTICLE and not node.furniture and not met_article:
             # what holds the article is no furniture, whatever its class says ("with-sidebar")
             met_article = True
@@ -267,7 +278,7 @@ def main_text(page: str | None, noise: frozenset[str] = frozenset()) -> str:
         return _by_name(node, path, inside) or _below(path, node) in noise
 
     for skip in (by_tree, _by_name) if noise else (_by_name,):
-        for tag in ("article", "main"):
+        for tag in ("main", "article") if _own_main(root) else ("article", "main"):
             if texts := _article_texts(root, tag, skip):
                 break
         else:
@@ -277,6 +288,24 @@ def main_text(page: str | None, noise: frozenset[str] = frozenset()) -> str:
     return ""
 
 
+def _own_main(root: Node) -> bool:
+    """Whether the main elements have text outside articles, and no less text
+    than the articles that are not in them."""
+
+    def size(node: Node, path: str, inside: bool, skip=_by_name) -> int:
+        return sum(len(text) for _, text in blocks(node, skip, path, inside))
+
+    def no_article(node: Node, path: str, inside: bool) -> bool:
+        return node.tag == "article" or _by_name(node, path, inside)
+
+    mains = _outermost(root, "main", _by_name)
+    if not any(size(*m, no_article) for m in mains):
+        return False
+    held = {id(a) for m, path, inside in mains for a, _, _ in _outermost(m, "article", _by_name, path, inside)}
+    outside = sum(size(*a) for a in _outermost(root, "article", _by_name) if id(a[0]) not in held)
+    return sum(size(*m) for m in mains) >= outside
+
+
 def _article_texts(root: Node, tag: str, skip) -> list[str]:
     """The blocks of the page's ``tag`` nodes without the branches to skip,
     unless those hold most of the text."""
@@ -302,9 +331,9 @@ def _holds_most(blocks: list[tuple[str, str]], left: list[tuple[str, str]]) -> b
     return len(left) < len(blocks) and all(path.rpartition(">")[2].split(".")[0] in HEADINGS for path, _ in left)
 
 
-def _outermost(root: Node, tag: str, skip) -> list[tuple[Node, str, bool]]:
+def _outermost(root: Node, tag: str, skip, path: str = "", inside: bool = False) -> list[tuple[Node, str, bool]]:
     """The ``tag`` nodes that stand in no other one, in page order."""
-    found, todo = [], [(root, "", False)]
+    found, todo = [], [(root, path, inside)]
     while todo:
         node, path, inside = todo.pop()
         if skip(node, path, inside):

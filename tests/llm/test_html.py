@@ -62,6 +62,23 @@ def test_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><h2 id="related-work">R</h2><p class=notice>n</p><p>a</p></article>', "R\nn\na"),
+        ('<article><section id="search"><h2 id="social-history">S</h2>b</section><div class="share-box">x</div></article>', "S\nb"),
+        ('<main><h2 id="alert">A</h2><p>c <span class=widget>d</span></p><div id=comments>x</div></main>', "A\nc d"),
+        ("<main><h1>T</h1><p>the text</p><article><p>teaser</p></article></main>", "T\nthe text\nteaser"),
+        ("<main><h1>T</h1><p>the text</p></main><article><p>teaser</p></article>", "T\nthe text"),
+        ("<main><article><p>a</p></article><nav>x</nav></main>", "a"),
+        ("<main><p>Skip</p></main><article><p>the long text</p></article>", "the long text"),
+        ('<h2 id="related-work">out</h2><p>in</p>', "in"),
+    ],
+)
+def test_names_in_articles_and_main(page, text):
+    assert html.main_text(page) == text
+
+
 def site(spark):
     """A host whose pages share a block with a telling name nowhere, and small hosts."""
     rows = []
