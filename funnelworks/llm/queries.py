@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from funnelworks.llm import chat, decontaminate, html, language, near, packing, secrets, sketch, substrings, training_order
+from funnelworks.llm import (
+    centroids,
+    chat,
+    decontaminate,
+    html,
+    importance,
+    language,
+    near,
+    packing,
+    secrets,
+    sketch,
+    substrings,
+    training_order,
+)
 
 QUERIES = {
     "op1_ppm_language": language.op1_ppm_language,
@@ -15,6 +28,8 @@ QUERIES = {
     "op8_weighted_minhash": near.op8_weighted_minhash,
     "op9_seed_extend": substrings.op9_seed_extend,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_importance_resampling": importance.op11_importance_resampling,
+    "op13_ptolemaic_pivots": centroids.op13_ptolemaic_pivots,
 }
 
 ORACLE_SQL = {
@@ -23,4 +38,6 @@ ORACLE_SQL = {
     "op7_template_windows": decontaminate.OP7_SQL,
     "op9_seed_extend": substrings.OP9_SQL,
     "op10_chat_format": chat.OP10_SQL,
+    "op11_importance_resampling": importance.OP11_SQL,
+    "op13_ptolemaic_pivots": centroids.OP13_SQL,
 }
