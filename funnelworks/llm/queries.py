@@ -8,6 +8,7 @@ from funnelworks.llm import (
     decontaminate,
     html,
     importance,
+    katz,
     language,
     near,
     packing,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_seed_extend": substrings.op9_seed_extend,
     "op10_chat_format": chat.op10_chat_format,
     "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_katz_backoff": katz.op12_katz_backoff,
     "op13_ptolemaic_pivots": centroids.op13_ptolemaic_pivots,
 }
 
