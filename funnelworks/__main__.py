@@ -9,9 +9,9 @@ For ``spark-submit`` the folder that holds ``funnelworks`` has to be on
 
 Reads ``<raw>/leads``, ``<raw>/opportunities``, ``<raw>/expenses_advertising``
 and ``<raw>/expenses_salary_and_commissions`` (Parquet by default), writes
-every mart to ``<out>/<name>`` and, unless ``--no-checks``, the data-test
-summary to ``<out>/data_quality_summary``; prints the failing tests.  Exit
-status 1 when a test fails and ``--fail-on-violations`` is given.
+every mart as a new version under ``<out>/<name>`` and, unless ``--no-checks``,
+the data-test summary under ``<out>/data_quality_summary``, publishes them by
+one commit and prints their folders and the failing tests.  Exit status 1 when a test fails and ``--fail-on-violations`` is given.
 """
 
 from __future__ import annotations

@@ -9,6 +9,9 @@ re-runs only the small mart stages from the stored files, not the join and
 dedupe.  ``fct_unit_economics`` likewise reads the stored
 channel-economics and account-LTV tables.
 
+All tables of a build are published by one commit when they are whole
+(:mod:`funnelworks.sources.versions`).
+
 Tables are written unpartitioned (partitioning by month would make each write
 task emit a file per month); the funnel is range-clustered by month.
 """
@@ -20,7 +23,8 @@ from pyspark.sql import DataFrame
 from funnelworks.plans.project import INTERMEDIATE, MARTS, STAGING, Models
 from funnelworks.plans import quality_suite
 from funnelworks.session import discard, scratch_path, stored
-from funnelworks.sources.io import as_view, read_table, save_table, write_table
+from funnelworks.sources.io import as_view, show_table
+from funnelworks.sources.versions import Pending, Store
 
 
 def register_views(m: Models) -> None:
@@ -32,32 +36,43 @@ def register_views(m: Models) -> None:
 def build_project(
     m: Models, out_dir: str | None = None, run_checks: bool = True, database: str | None = None
 ) -> dict[str, str]:
-    """Write every mart under ``out_dir/<name>``; return name -> path.
+    """Write every mart as a new version under ``out_dir/<name>`` and publish
+    them together, by one commit, when all are written; return name -> folder
+    of the new version.  ``read_table(spark, f"{out_dir}/<name>")`` reads the
+    current version.  A build that fails or stops publishes nothing.
 
-    With ``database`` the marts are catalog tables ``<database>.<name>``
-    instead, and the names are returned.  Without either the tables go to a
-    per-run folder under the shared ``spark.checkpoint.dir``.
+    With ``database`` the marts are catalog names ``<database>.<name>``
+    instead, switched one after the other at the end, and the names are
+    returned.  Without either the tables go to a per-run folder under the
+    shared ``spark.checkpoint.dir``.
 
-    With ``run_checks`` the 40 data tests run against the built tables and
-    their summary is stored as ``data_quality_summary`` beside them.
+    With ``run_checks`` the 40 data tests run against the new tables before
+    they are published, and their summary is stored as
+    ``data_quality_summary`` beside them.
     """
     spark = m.raw.leads.sparkSession
-    if database is None:
-        out_dir = out_dir or scratch_path(spark, "build")
-    places: dict[str, str] = {}
+    if database is not None:
+        out_dir = f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/marts.versions"
+    out_dir = out_dir or scratch_path(spark, "build")
+    register_views(m)
+    journey = stored(m.int_lead_opportunity_joined, "journey")
+    try:
+        with Store(spark, out_dir).begin() as pending:
+            places = _write_marts(m.with_overrides(int_lead_opportunity_joined=journey), pending, run_checks)
+            if database is not None:
+                places = {name: show_table(spark, f"{database}.{name}", path) for name, path in places.items()}
+    finally:
+        discard(journey)
+    return places
+
+
+def _write_marts(based: Models, pending: Pending, run_checks: bool) -> dict[str, str]:
+    spark, places = based.raw.leads.sparkSession, {}
 
     def materialize(name: str, df: DataFrame) -> DataFrame:
-        if database is not None:
-            places[name] = f"{database}.{name}"
-            save_table(df, places[name])
-            return spark.table(places[name])
-        places[name] = f"{out_dir.rstrip('/')}/{name}"
-        write_table(df, places[name])
-        return read_table(spark, places[name])
+        places[name] = pending.write(df, name)
+        return spark.read.parquet(places[name])
 
-    register_views(m)
-    journey = stored(m.int_lead_opportunity_joined, "journey")
-    based = m.with_overrides(int_lead_opportunity_joined=journey)
     # clustered by month, so that a query over some months reads some files; the id splits a large month
     funnel = materialize("fct_lead_funnel", based.fct_lead_funnel.repartitionByRange("lead_created_month", "lead_id"))
     built = based.with_overrides(fct_lead_funnel=funnel)
@@ -69,5 +84,4 @@ def build_project(
         tables[name] = materialize(name, final[name])
     if run_checks:
         materialize("data_quality_summary", quality_suite.run_checks(based.with_overrides(**tables)))
-    discard(journey)
     return places

@@ -2,19 +2,16 @@
 
 Raw inputs are read with their declared schema (no inference pass); models
 are either registered as temporary views (lazy, like the reference's view
-models) or written as Parquet tables with a full rebuild (like its table
-models).
+models) or rebuilt as versioned Parquet tables (like its table models).
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from funnelworks.session import remove_path
 from funnelworks.sources import schemas
 from funnelworks.sources.fixtures import RawSources
+from funnelworks.sources.versions import Store, current_path
 
 
 def read_raw_sources(spark: SparkSession, base_path: str, fmt: str = "parquet") -> RawSources:
@@ -60,54 +57,45 @@ def write_table(
     path: str,
     partition_by: list[str] | None = None,
     fmt: str = "parquet",
-) -> None:
-    """Full rebuild of a table model under ``path``.
+) -> str:
+    """Full rebuild of a table model as a new version under ``path``, published
+    by one commit (:mod:`funnelworks.sources.versions`): a writer that fails or
+    stops at any point leaves the old table readable.  Returns the version's
+    folder; :func:`read_table` finds the current one."""
+    with Store(df.sparkSession, path).begin() as pending:
+        return pending.write(df, "", partition_by, fmt)
+
 
-    The new table is written aside and takes the old one's place only when it
-    is whole, so a failed rebuild leaves the old table readable.  The switch is
-    two renames (files are not copied on HDFS and local disks): a reader that
-    lists the folder between them finds no table and has to try again.
+def save_table(df: DataFrame, name: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
+    """Full rebuild of a catalog table: a new version beside the old one, under
+    the database's folder, and ``name`` as a view of it.
+
+    Replacing the view is one change of the catalog, also when columns change,
+    so the name always stands for a whole table.  A table of that name, saved
+    by something else, is dropped the first time.
     """
     spark = df.sparkSession
-    aside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:12]}"
-    before = f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:12]}"
-    w = df.write.mode("error").format(fmt)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
+    database, _, table = name.rpartition(".")
+    database = database or spark.catalog.currentDatabase()
+    store = Store(spark, f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/{table}.versions")
+    pending = store.begin()
     try:
-        w.save(aside)
+        path = pending.write(df, "", partition_by, fmt)
     except Exception:
-        remove_path(spark, aside)
+        pending.abandon()
         raise
-    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    store = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    replaced = store.exists(to(path))
-    if replaced and not store.rename(to(path), to(before)):
-        raise OSError(f"cannot move {path} aside")
-    if not store.rename(to(aside), to(path)):
-        if replaced:
-            store.rename(to(before), to(path))
-        raise OSError(f"cannot move the new table to {path}")
-    if replaced:
-        remove_path(spark, before)
+    show_table(spark, name, path, fmt)
+    pending.commit()
 
 
-def save_table(df: DataFrame, name: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
-    """Full rebuild of a catalog table: written under a name of its own, then
-    renamed, so a failed rebuild leaves the old table as it was."""
-    spark = df.sparkSession
-    aside = f"{name}__new_{uuid.uuid4().hex[:12]}"
-    w = df.write.mode("error").format(fmt)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    try:
-        w.saveAsTable(aside)
-    except Exception:
-        spark.sql(f"DROP TABLE IF EXISTS {aside}")
-        raise
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
+def show_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> str:
+    """Let the catalog name stand for the files of one version; returns the name."""
+    if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+        spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {fmt}.`{path}`")
+    return name
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+    """The current version of the table at ``path``."""
+    return spark.read.format(fmt).load(current_path(spark, path))
