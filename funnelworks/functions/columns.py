@@ -167,6 +167,20 @@ def named_aggs(spec: dict[str, str]) -> list[Column]:
     return [F.expr(f"{sql} AS {name}") for name, sql in spec.items()]
 
 
+def hash_with_texts_sql() -> str:
+    """0, to add to a count of an aggregate that also has a ``max`` or ``min``
+    of text.
+
+    Text does not fit the fixed-width buffers of a hash aggregate, so Spark
+    would sort the rows by their keys on both sides of the shuffle.  An
+    aggregate with a function on objects hashes with a buffer that holds text
+    as well, and this one collects nothing.  How many keys a task keeps before
+    it sorts after all is ``spark.sql.objectHashAggregate.sortBased.fallbackThreshold``
+    (raised in ``session.RECOMMENDED_CONF``).
+    """
+    return "size(collect_set(CAST(NULL AS INT)))"
+
+
 # ---------------------------------------------------------------------------
 # Classification
 # ---------------------------------------------------------------------------

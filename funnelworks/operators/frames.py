@@ -9,6 +9,8 @@ Spark SQL text (see :mod:`funnelworks.functions.columns`).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,11 +84,19 @@ def unpivot(
 def share_within(df: DataFrame, value: str, partition_by: Sequence[str], out: str) -> DataFrame:
     """``value / sum(value) over (partition by ...)`` as double; null when the sum is 0.
 
-    Meant for frames that are already aggregated (one row per group member),
-    so a window partition holds a bounded number of rows.
+    The totals are an aggregate with a map-side combine, joined back, instead
+    of a window, which would gather all members of a group in one task.  The
+    join has no hint: adaptive execution broadcasts the totals when they are
+    measured to be small, and splits a large group's partition otherwise.
+    ``df`` is planned twice; over an aggregate the second use reads the shuffle
+    of the first.
     """
-    total = f"sum({value}) OVER (PARTITION BY {', '.join(partition_by)})"
-    return df.selectExpr("*", f"CAST({value} AS DOUBLE) / CAST(nullif({total}, 0) AS DOUBLE) AS {out}")
+    keys = [f"__k{i}" for i in range(len(partition_by))]
+    named = df.groupBy(*[F.col(c).alias(k) for c, k in zip(partition_by, keys)])
+    totals = named.agg(F.expr(f"nullif(sum({value}), 0) AS __total"))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(partition_by, keys)]
+    share = f"CAST({value} AS DOUBLE) / CAST(__total AS DOUBLE) AS {out}"
+    return df.join(totals, reduce(and_, same)).selectExpr(*df.columns, share)
 
 
 #: A key is hot from this many left rows on, but at most ``HOT_KEYS`` of them

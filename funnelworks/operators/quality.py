@@ -14,9 +14,11 @@ pass (:func:`profile_checks`).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 SUMMARY_COLUMNS = ["model", "test", "column_name", "violations"]
 
@@ -50,6 +52,42 @@ def unique_combination_check(df: DataFrame, model: str, columns: Sequence[str])
     return _summary(dups, model, "unique_combination_of_columns", ",".join(columns), "count(1)")
 
 
+def uniqueness_checks(
+    df: DataFrame, model: str, unique: Sequence[str] = (), combinations: Sequence[Sequence[str]] = ()
+) -> DataFrame:
+    """All uniqueness checks of one frame with one scan and one shuffle.
+
+    Grouping sets: each row is sent once per distinct key, tagged with its set
+    and combined map-side, and all sets are aggregated together.
+    """
+    sets = list(dict.fromkeys([(c,) for c in unique] + [tuple(c) for c in combinations]))
+    if not sets:
+        raise ValueError("no checks given")
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+
+    def number(s: tuple[str, ...]) -> int:  # of a grouping set: a bit for each column it leaves out
+        return sum(1 << i for i, c in enumerate(reversed(columns)) if c not in s)
+
+    counted = df.groupingSets([list(s) for s in sets], *columns).agg(F.grouping_id().alias("__set"), F.count("*").alias("__n"))
+    found, labels = [], []
+    for c in unique:
+        found.append(f"count_if(__set = {number((c,))} AND {c} IS NOT NULL)")
+        labels.append(("unique", c))
+    for c in combinations:
+        found.append(f"count_if(__set = {number(tuple(c))})")
+        labels.append(("unique_combination_of_columns", ",".join(c)))
+    row = counted.where("__n > 1").selectExpr(*[f"CAST({f} AS BIGINT) AS v{i}" for i, f in enumerate(found)])
+    return _stacked(row, model, labels)
+
+
+def _stacked(row: DataFrame, model: str, labels: Sequence[tuple[str, str]]) -> DataFrame:
+    """A summary row per check from one row of violations v0, v1, ..."""
+    args = [str(len(labels))]
+    for i, (test, c) in enumerate(labels):
+        args += [_lit(test), _lit(c), f"v{i}"]
+    return row.selectExpr(f"{_lit(model)} AS model", f"stack({', '.join(args)}) AS (test, column_name, violations)")
+
+
 def not_null_check(df: DataFrame, model: str, column: str) -> DataFrame:
     return _summary(df, model, "not_null", column, f"count_if({column} IS NULL)")
 
@@ -83,13 +121,47 @@ def profile_checks(
         labels.append(("accepted_values", c))
     if not aggs:
         raise ValueError("no checks given")
-    row = df.selectExpr(*[f"{a} AS v{i}" for i, a in enumerate(aggs)])
-    stack_args = [str(len(aggs))]
-    for i, (test, c) in enumerate(labels):
-        stack_args += [_lit(test), _lit(c), f"v{i}"]
-    return row.selectExpr(
-        f"{_lit(model)} AS model", f"stack({', '.join(stack_args)}) AS (test, column_name, violations)"
-    )
+    return _stacked(df.selectExpr(*[f"{a} AS v{i}" for i, a in enumerate(aggs)]), model, labels)
+
+
+@dataclass
+class Profile:
+    """The not_null and accepted_values checks of a frame, counted while its
+    rows are written.  Write ``df``, then ask for ``summary``."""
+
+    model: str
+    not_null: Sequence[str]
+    accepted: dict[str, Sequence[str]]
+    df: DataFrame
+    observation: Observation
+
+    def summary(self, written: DataFrame) -> DataFrame:
+        """A summary row per check.  ``written``: the stored rows, read only
+        where a column has unaccepted values, to count the distinct ones."""
+        told = self.observation.get
+        rows = [(self.model, "not_null", c, told[f"null_{c}"]) for c in self.not_null]
+        found = [c for c in self.accepted if told[f"other_{c}"]]
+        rows += [(self.model, "accepted_values", c, 0) for c in self.accepted if c not in found]
+        known = written.sparkSession.createDataFrame(rows, "model string, test string, column_name string, violations long")
+        if not found:
+            return known
+        return known.unionByName(profile_checks(written, self.model, accepted={c: self.accepted[c] for c in found}))
+
+
+def observed_profile(
+    df: DataFrame, model: str, not_null: Sequence[str] = (), accepted: dict[str, Sequence[str]] | None = None
+) -> Profile:
+    """Count the violations of these checks as ``df`` is written, without
+    another pass.  The counts are taken in the tasks that write, each of which
+    ends once, so a lost executor does not count rows twice; do not add
+    operators that shuffle before writing ``Profile.df``."""
+    accepted = accepted or {}
+    metrics = [F.expr(f"count_if({c} IS NULL) AS null_{c}") for c in not_null]
+    metrics += [F.expr(f"count_if({c} NOT IN {_in_list(v)}) AS other_{c}") for c, v in accepted.items()]
+    if not metrics:
+        raise ValueError("no checks given")
+    observation = Observation()
+    return Profile(model, list(not_null), accepted, df.observe(observation, *metrics), observation)
 
 
 def relationship_check(

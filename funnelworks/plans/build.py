@@ -3,12 +3,15 @@ for marts (full rebuild), then optionally the data tests.
 
 The lead journey (the main join) feeds the funnel and a dozen data tests, so it
 is stored once for the build.  The lead funnel feeds six other marts and both
-analyses: it is written once and every downstream mart reads the stored table,
-as the reference's marts read each other's tables.  A lost executor later
-re-runs only the small mart stages from the stored files, not the join and
-dedupe.  ``fct_unit_economics`` likewise reads the stored
+analyses: it is written once.  The account-LTV mart reads it, and one rollup of
+it feeds the four marts by month and channel, so it is scanned twice in all.
+A lost executor later re-runs only the small mart stages from the stored files,
+not the join and dedupe.  ``fct_unit_economics`` reads the stored
 channel-economics and account-LTV tables.
 
+The not_null and accepted_values tests of every table written are counted while
+it is written, so they scan no table again.
+
 All tables of a build are published by one commit when they are whole
 (:mod:`funnelworks.sources.versions`).
 
@@ -55,33 +58,35 @@ def build_project(
         out_dir = f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/marts.versions"
     out_dir = out_dir or scratch_path(spark, "build")
     register_views(m)
-    journey = stored(m.int_lead_opportunity_joined, "journey")
+    summaries: dict[str, DataFrame] = {}
+    joined = "int_lead_opportunity_joined"
+    journey = quality_suite.written(joined, m[joined], lambda df: stored(df, "journey"), summaries)
+    rollup = None
     try:
         with Store(spark, out_dir).begin() as pending:
-            places = _write_marts(m.with_overrides(int_lead_opportunity_joined=journey), pending, run_checks)
+            based = m.with_overrides(int_lead_opportunity_joined=journey)
+            built: dict[str, DataFrame] = {}
+
+            def write(name: str, df: DataFrame) -> None:
+                save = lambda df: spark.read.parquet(pending.write(df, name))
+                built[name] = quality_suite.written(name, df, save, summaries)
+
+            # clustered by month, so that a query over some months reads some files; the id splits a large month
+            funnel = based.fct_lead_funnel.repartitionByRange("lead_created_month", "lead_id")
+            write("fct_lead_funnel", funnel)
+            based = based.with_overrides(**built)
+            rollup = stored(based.funnel_rollup, "rollup")
+            based = based.with_overrides(funnel_rollup=rollup).over_rollup()
+            for name in MARTS[1:]:  # the last, unit economics, reads two of the others
+                write(name, based[name])
+                based = based.with_overrides(**built)
+            if run_checks:
+                write("data_quality_summary", quality_suite.run_checks(based, summaries))
+            places = {name: pending.path(name) for name in built}
             if database is not None:
                 places = {name: show_table(spark, f"{database}.{name}", path) for name, path in places.items()}
     finally:
         discard(journey)
-    return places
-
-
-def _write_marts(based: Models, pending: Pending, run_checks: bool) -> dict[str, str]:
-    spark, places = based.raw.leads.sparkSession, {}
-
-    def materialize(name: str, df: DataFrame) -> DataFrame:
-        places[name] = pending.write(df, name)
-        return spark.read.parquet(places[name])
-
-    # clustered by month, so that a query over some months reads some files; the id splits a large month
-    funnel = materialize("fct_lead_funnel", based.fct_lead_funnel.repartitionByRange("lead_created_month", "lead_id"))
-    built = based.with_overrides(fct_lead_funnel=funnel)
-    tables: dict[str, DataFrame] = {"fct_lead_funnel": funnel}
-    for name in ["fct_account_ltv", "fct_channel_economics"]:
-        tables[name] = materialize(name, built[name])
-    final = based.with_overrides(**tables)
-    for name in [n for n in MARTS if n not in tables]:
-        tables[name] = materialize(name, final[name])
-    if run_checks:
-        materialize("data_quality_summary", quality_suite.run_checks(based.with_overrides(**tables)))
+        if rollup is not None:
+            discard(rollup)
     return places

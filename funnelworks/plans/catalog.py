@@ -8,6 +8,7 @@ operator-level queries that exercise one building block each.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +29,19 @@ from funnelworks.functions.columns import (
 from funnelworks.operators import quality as Q
 from funnelworks.operators.frames import share_within, unpivot
 from funnelworks.plans import intermediate, quality_suite, staging
+from funnelworks.plans.build import build_project
 from funnelworks.plans.project import Models
-from funnelworks.session import stored
-from funnelworks.sources.fixtures import raw_sources_from_orders
+from funnelworks.session import remove_at_end, scratch_path, stored
+from funnelworks.sources.fixtures import RawSources, raw_sources_from_orders
+from funnelworks.sources.io import (
+    as_view,
+    read_raw_sources,
+    read_table,
+    save_bucketed,
+    write_raw_sources,
+    write_table,
+)
+from funnelworks.sources.versions import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -242,13 +253,93 @@ def reconcile_found_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_suite.union_checks([check(part) for check in checks])
 
 
+def uniqueness_found_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four uniqueness checks of the raw opportunities in one shuffle."""
+    return Q.uniqueness_checks(
+        models(spark, sf_dir).raw.opportunities,
+        "opportunities",
+        unique=["opportunity_id", "account_id", "close_date"],
+        combinations=[["account_id", "stage_name"], ["opportunity_id", "stage_name", "close_date"]],
+    )
+
+
+def checks_while_written_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks that find violations, counted while the rows are stored."""
+    m, out = models(spark, sf_dir), []
+    for name, df, not_null, accepted in [
+        ("stg_leads", m.stg_leads, ["lead_id", "lead_created_date"], {"channel": [config.INBOUND]}),
+        ("opportunities", m.raw.opportunities, ["opportunity_id", "close_date"], {"stage_name": ["Closed Won"]}),
+        ("stg_opportunities", m.stg_opportunities, ["opportunity_id"], {"stage_category": list(config.STAGE_CATEGORIES)}),
+    ]:
+        profile = Q.observed_profile(df, name, not_null, accepted)
+        out.append(profile.summary(stored(profile.df, name)))
+    return quality_suite.union_checks(out)
+
+
+# --- sources and sinks -----------------------------------------------------------
+
+
+def source_scan_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw opportunities, written as files and read with their declared schema."""
+    path = scratch_path(spark, "raw")
+    remove_at_end(spark, path)
+    write_raw_sources(models(spark, sf_dir).raw, path)
+    return read_raw_sources(spark, path).opportunities
+
+
+def view_sink_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads and their first calls per channel, from the staging model's view by name."""
+    as_view(models(spark, sf_dir).stg_leads, "stg_leads")
+    return spark.sql(
+        "SELECT channel, count(1) AS leads, count(first_sales_call_date) AS called FROM stg_leads GROUP BY channel"
+    )
+
+
+def table_sink_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mart's table as a reader finds it after a build of half the months,
+    a rebuild of all, and one that stopped before its commit."""
+    mart = models(spark, sf_dir).fct_funnel_stage_conversion
+    path = scratch_path(spark, "published")
+    remove_at_end(spark, path)
+    write_table(mart.where("month(lead_created_month) <= 6"), path)
+    write_table(mart, path)
+    Store(spark, path).begin().write(mart.limit(1))
+    return read_table(spark, path)
+
+
+def _over_rollup(name: str) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = models(spark, sf_dir)
+        return m.with_overrides(funnel_rollup=stored(m.funnel_rollup, "rollup")).over_rollup()[name]
+
+    return q
+
+
+def built_quality_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data tests as a whole build stores them beside its marts."""
+    path = scratch_path(spark, "build")
+    remove_at_end(spark, path)
+    build_project(models(spark, sf_dir), path)
+    return read_table(spark, f"{path}/data_quality_summary")
+
+
+def bucketed_join_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lead journey over opportunities stored bucketed by the join key."""
+    m, path = models(spark, sf_dir), scratch_path(spark, "bucketed")
+    remove_at_end(spark, path)
+    table = save_bucketed(m.raw.opportunities, f"opportunities_{uuid.uuid4().hex[:12]}", "opportunity_id", 8, path)
+    raw = RawSources(m.raw.leads, table, m.raw.expenses_advertising, m.raw.expenses_salary)
+    return Models(raw).int_lead_opportunity_joined
+
+
 def data_quality_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 40 tests.  The lead journey feeds a dozen of them (directly and
     through every mart), so it is stored once in the shared folder instead of
     computed once per check; that job runs when the query is built."""
-    m = models(spark, sf_dir)
-    journey = stored(m.int_lead_opportunity_joined, "journey")
-    return quality_suite.run_checks(m.with_overrides(int_lead_opportunity_joined=journey))
+    m, done = models(spark, sf_dir), {}
+    name = "int_lead_opportunity_joined"
+    journey = quality_suite.written(name, m[name], lambda df: stored(df, "journey"), done)
+    return quality_suite.run_checks(m.with_overrides(int_lead_opportunity_joined=journey), done)
 
 
 MODEL_QUERIES = [
@@ -288,6 +379,17 @@ QUERIES: dict[str, Query] = {
     "relationship_orphans": relationship_orphans_q,
     "unique_combination_found": unique_combination_found_q,
     "reconcile_found": reconcile_found_q,
+    "uniqueness_found": uniqueness_found_q,
+    "checks_while_written": checks_while_written_q,
+    "source_scan": source_scan_q,
+    "view_sink": view_sink_q,
+    "table_sink": table_sink_q,
+    "rollup_channel_economics": _over_rollup("fct_channel_economics"),
+    "rollup_stage_conversion": _over_rollup("fct_funnel_stage_conversion"),
+    "rollup_loss_reasons": _over_rollup("fct_loss_reason_analysis"),
+    "rollup_activity_efficiency": _over_rollup("fct_activity_efficiency"),
+    "built_quality_summary": built_quality_summary_q,
+    "bucketed_join": bucketed_join_q,
     "unique_violations": _checks(quality_suite.unique_checks),
     "not_null_violations": _checks(quality_suite.not_null_checks),
     "accepted_values_violations": _checks(quality_suite.accepted_values_checks),

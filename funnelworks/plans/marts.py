@@ -17,15 +17,16 @@ from funnelworks import config
 from funnelworks.config import DEFAULT, Assumptions
 from funnelworks.functions.columns import (
     named_aggs,
-    count_where_sql,
     estimated_monthly_revenue_sql,
     exact_avg_sql,
     guarded_div_sql,
+    hash_with_texts_sql,
     month_start_sql,
     safe_div_sql,
     subscription_revenue_sql,
     transaction_revenue_sql,
 )
+from funnelworks.functions.measures import FROM_ROWS, Measures, Rollup
 from funnelworks.operators.frames import share_within
 
 
@@ -47,10 +48,12 @@ VELOCITY = {
 }
 
 
-def _velocity_avgs(rename: dict[str, str] | None = None, drop: tuple[str, ...] = ()) -> dict[str, str]:
+def _velocity_avgs(
+    q: Measures, rename: dict[str, str] | None = None, drop: tuple[str, ...] = ()
+) -> dict[str, str]:
     rename = rename or {}
     return {
-        "avg_" + rename.get(k, k): exact_avg_sql(col) for k, col in VELOCITY.items() if k not in drop
+        "avg_" + rename.get(k, k): q.mean(col) for k, col in VELOCITY.items() if k not in drop
     }
 
 
@@ -107,77 +110,59 @@ _LTV_AVERAGES = {
 
 
 def account_ltv(funnel: DataFrame) -> DataFrame:
-    """Won deals rolled up per account x channel (P8).
-
-    A maximum of text cannot live in a hash aggregate's buffer, so the won
-    rows are first reduced with their text columns as keys, by hashing; the
-    second step takes the maxima over the few rows an account has left.
-    """
+    """Won deals rolled up per account x channel (P8): one shuffle, rows of an
+    account combined by hashing in the tasks that read them."""
     won = funnel.where("is_closed_won AND lead_created_date IS NOT NULL AND account_id IS NOT NULL")
-    texts = ["cuisine_types", "marketplaces_used", "online_ordering_used"]
-    first = won.groupBy("account_id", "channel", *texts).agg(
-        *named_aggs(
-            {
-                "deals": "count(1)",
-                **{f"s_{name}": f"sum({c})" for name, c in _LTV_AVERAGES.items()},
-                **{f"n_{name}": f"count({c})" for name, c in _LTV_AVERAGES.items()},
-                "ltv": "sum(estimated_ltv_24mo)",
-                "locations": "max(location_count)",
-                "first_lead": "min(lead_created_date)",
-                "first_close": "min(close_date)",
-                "last_close": "max(close_date)",
-            }
-        )
-    )
-    average = {
-        name: f"CASE WHEN sum(n_{name}) > 0 THEN CAST(sum(s_{name}) AS DOUBLE) / sum(n_{name}) END" for name in _LTV_AVERAGES
-    }
+    average = _avgs(_LTV_AVERAGES)
     names = list(_LTV_AVERAGES)
-    return first.groupBy("account_id", "channel").agg(
+    return won.groupBy("account_id", "channel").agg(
         *named_aggs(
             {
-                "total_won_deals": "sum(deals)",
+                "total_won_deals": f"count(1) + {hash_with_texts_sql()}",
                 **{name: average[name] for name in names[:4]},
-                "total_monthly_revenue": "sum(s_avg_monthly_total_revenue)",
-                "total_estimated_ltv_24mo": "sum(ltv)",
-                "location_count": "max(locations)",
+                "total_monthly_revenue": "sum(predicted_monthly_total_revenue)",
+                "total_estimated_ltv_24mo": "sum(estimated_ltv_24mo)",
+                "location_count": "max(location_count)",
                 "cuisine_types": "max(cuisine_types)",
                 "cuisine_count": "max(length(cuisine_types))",
                 "marketplaces_used": "max(marketplaces_used)",
                 "online_ordering_used": "max(online_ordering_used)",
-                "first_lead_created_date": "min(first_lead)",
-                "first_close_date": "min(first_close)",
-                "latest_close_date": "max(last_close)",
+                "first_lead_created_date": "min(lead_created_date)",
+                "first_close_date": "min(close_date)",
+                "latest_close_date": "max(close_date)",
                 **{name: average[name] for name in names[4:]},
             }
         )
     )
 
 
-def channel_economics(funnel: DataFrame, expenses: DataFrame, a: Assumptions = DEFAULT) -> DataFrame:
+def _outcomes(q: Measures) -> dict[str, str]:
+    return {
+        "total_leads": q.rows(),
+        "converted_leads": q.where("is_converted"),
+        "demos_held": q.where("demo_held"),
+        "closed_won_deals": q.where("is_closed_won"),
+        "closed_lost_deals": q.where("is_closed_lost"),
+        **_velocity_avgs(q, rename={"days_lead_to_first_contact": "days_to_first_contact"}),
+        "avg_activities_per_lead": q.mean("total_activity_count"),
+        "avg_activities_per_won_deal": q.mean("CASE WHEN is_closed_won THEN total_activity_count END"),
+    }
+
+
+def channel_economics(
+    funnel: DataFrame, expenses: DataFrame, a: Assumptions = DEFAULT, q: Measures = FROM_ROWS
+) -> DataFrame:
     """Volume, cost, conversion, CAC and velocity per created month x channel (P9).
 
     Cost is looked up for the *lead-created* month.  Months without cost are
     dropped, which also makes the left join an inner join (Catalyst rewrites
     it).  Both join inputs are aggregates of a few hundred rows; AQE sees
     their measured size and broadcasts at run time.
+
+    ``funnel``: the lead funnel, or its rollup with ``q`` the rollup's measures
+    (so for the marts below).
     """
-    outcomes = funnel.groupBy("lead_created_month", "channel").agg(
-        *named_aggs(
-            {
-                "total_leads": "count(1)",
-                "converted_leads": count_where_sql("is_converted"),
-                "demos_held": count_where_sql("demo_held"),
-                "closed_won_deals": count_where_sql("is_closed_won"),
-                "closed_lost_deals": count_where_sql("is_closed_lost"),
-                **_velocity_avgs(rename={"days_lead_to_first_contact": "days_to_first_contact"}),
-                "avg_activities_per_lead": exact_avg_sql("total_activity_count"),
-                "avg_activities_per_won_deal": exact_avg_sql(
-                    "CASE WHEN is_closed_won THEN total_activity_count END"
-                ),
-            }
-        )
-    )
+    outcomes = funnel.groupBy("lead_created_month", "channel").agg(*named_aggs(_outcomes(q)))
     e = expenses.selectExpr(
         "expense_month", "channel AS e_channel", "total_cost AS e_total_cost",
         "advertising_cost AS e_advertising_cost", "people_cost AS e_people_cost",
@@ -210,110 +195,123 @@ def channel_economics(funnel: DataFrame, expenses: DataFrame, a: Assumptions = D
     )
 
 
-def funnel_stage_conversion(funnel: DataFrame) -> DataFrame:
+def _conversion(q: Measures) -> dict[str, str]:
+    contacted = q.where("first_contact_date IS NOT NULL")
+    meetings = q.where("first_meeting_booked_date IS NOT NULL")
+    converted = q.where("is_converted")
+    demos = q.where("demo_held")
+    won = q.where("is_closed_won")
+    dm = q.where("connected_with_decision_maker")
+    total = q.rows()
+    converted_after_meeting = q.where("is_converted AND first_meeting_booked_date IS NOT NULL")
+    return {
+        "total_leads": total,
+        "contacted": contacted,
+        "connected_dm": dm,
+        "meetings_booked": meetings,
+        "opportunities_created": converted,
+        "demos_held": demos,
+        "closed_won": won,
+        "closed_lost": q.where("is_closed_lost"),
+        "rate_lead_to_contact": safe_div_sql(contacted, total),
+        # not limited to contacted leads: can exceed 1 (as in the reference)
+        "rate_contact_to_dm": safe_div_sql(dm, contacted),
+        "rate_contact_to_meeting": safe_div_sql(meetings, contacted),
+        "rate_meeting_to_opportunity": safe_div_sql(converted_after_meeting, meetings),
+        "rate_opportunity_to_demo": safe_div_sql(demos, converted),
+        "rate_demo_to_close": safe_div_sql(won, demos),
+        "rate_lead_to_close": safe_div_sql(won, total),
+        **_velocity_avgs(q, rename={"days_lead_to_first_contact": "days_lead_to_contact"}),
+    }
+
+
+def funnel_stage_conversion(funnel: DataFrame, q: Measures = FROM_ROWS) -> DataFrame:
     """Stage volumes, stage-to-stage rates and velocity per month x channel (P10)."""
-    contacted = count_where_sql("first_contact_date IS NOT NULL")
-    meetings = count_where_sql("first_meeting_booked_date IS NOT NULL")
-    converted = count_where_sql("is_converted")
-    demos = count_where_sql("demo_held")
-    won = count_where_sql("is_closed_won")
-    dm = count_where_sql("connected_with_decision_maker")
-    total = "count(1)"
-    converted_after_meeting = count_where_sql("is_converted AND first_meeting_booked_date IS NOT NULL")
-    return (
-        funnel.where("lead_created_month IS NOT NULL")
-        .groupBy("lead_created_month", "channel")
-        .agg(
-            *named_aggs(
-                {
-                    "total_leads": total,
-                    "contacted": contacted,
-                    "connected_dm": dm,
-                    "meetings_booked": meetings,
-                    "opportunities_created": converted,
-                    "demos_held": demos,
-                    "closed_won": won,
-                    "closed_lost": count_where_sql("is_closed_lost"),
-                    "rate_lead_to_contact": safe_div_sql(contacted, total),
-                    # not limited to contacted leads: can exceed 1 (as in the reference)
-                    "rate_contact_to_dm": safe_div_sql(dm, contacted),
-                    "rate_contact_to_meeting": safe_div_sql(meetings, contacted),
-                    "rate_meeting_to_opportunity": safe_div_sql(converted_after_meeting, meetings),
-                    "rate_opportunity_to_demo": safe_div_sql(demos, converted),
-                    "rate_demo_to_close": safe_div_sql(won, demos),
-                    "rate_lead_to_close": safe_div_sql(won, total),
-                    **_velocity_avgs(rename={"days_lead_to_first_contact": "days_lead_to_contact"}),
-                }
-            )
-        )
-    )
+    months = funnel.where("lead_created_month IS NOT NULL").groupBy("lead_created_month", "channel")
+    return months.agg(*named_aggs(_conversion(q)))
+
 
+def _loss_reason_sql() -> str:
+    unknown = config.UNKNOWN_LOSS_REASON.replace("'", "\\'")
+    return f"coalesce(lost_reason, '{unknown}')"
 
-def loss_reason_analysis(funnel: DataFrame) -> DataFrame:
+
+def _losses(q: Measures) -> dict[str, str]:
+    return {
+        "lost_count": q.rows(),
+        "avg_activities_before_loss": q.mean("total_activity_count"),
+        "avg_days_to_loss": q.mean("days_lead_to_close"),
+        "avg_predicted_sales_lost": q.mean("predicted_monthly_sales"),
+    }
+
+
+def loss_reason_analysis(funnel: DataFrame, q: Measures = FROM_ROWS) -> DataFrame:
     """Closed-lost deals per month x channel x reason with the reason's share (P11).
 
     The missing reason is folded into the explicit 'Unknown / Not Specified'
-    label *before* grouping, so both end up in one group.  The share window
-    runs over the aggregate (a handful of reasons per month x channel).
+    label *before* grouping, so both end up in one group.  The total of a
+    month x channel is an aggregate of its own, so no task holds all reasons.
     """
-    unknown = config.UNKNOWN_LOSS_REASON.replace("'", "\\'")
-    lost = funnel.where("lead_created_month IS NOT NULL AND is_closed_lost").selectExpr(
-        "lead_created_month", "channel", f"coalesce(lost_reason, '{unknown}') AS lost_reason",
-        "total_activity_count", "days_lead_to_close", "predicted_monthly_sales",
-    )
-    agg = lost.groupBy("lead_created_month", "channel", "lost_reason").agg(
-        *named_aggs(
-            {
-                "lost_count": "count(1)",
-                **_avgs(
-                    {
-                        "avg_activities_before_loss": "total_activity_count",
-                        "avg_days_to_loss": "days_lead_to_close",
-                        "avg_predicted_sales_lost": "predicted_monthly_sales",
-                    }
-                ),
-            }
-        )
-    )
+    lost = funnel.where("lead_created_month IS NOT NULL AND is_closed_lost")
+    reasons = lost.groupBy("lead_created_month", "channel", F.expr(f"{_loss_reason_sql()} AS lost_reason"))
+    agg = reasons.agg(*named_aggs(_losses(q)))
     return share_within(agg, "lost_count", ["lead_created_month", "channel"], "pct_of_channel_losses").select(
         "lead_created_month", "channel", "lost_reason", "lost_count", "pct_of_channel_losses",
         "avg_activities_before_loss", "avg_days_to_loss", "avg_predicted_sales_lost",
     )
 
 
-def activity_efficiency(funnel: DataFrame) -> DataFrame:
-    """Touches and velocity per month x channel x current stage (P12)."""
+def _activities(q: Measures) -> dict[str, str]:
     velocity = _velocity_avgs(
+        q,
         rename={"days_lead_to_first_contact": "days_to_first_contact", "days_lead_to_close": "days_to_close"},
         drop=("days_opp_to_close",),
     )
-    return (
-        funnel.where("lead_created_month IS NOT NULL")
-        .groupBy("lead_created_month", "channel", F.expr("current_funnel_stage AS outcome"))
-        .agg(
-            *named_aggs(
-                {
-                    "lead_count": "count(1)",
-                    "total_calls": "sum(sales_call_count)",
-                    "total_texts": "sum(sales_text_count)",
-                    "total_emails": "sum(sales_email_count)",
-                    "total_activities": "sum(total_activity_count)",
-                    **_avgs(
-                        {
-                            "avg_calls_per_lead": "sales_call_count",
-                            "avg_texts_per_lead": "sales_text_count",
-                            "avg_emails_per_lead": "sales_email_count",
-                            "avg_activities_per_lead": "total_activity_count",
-                        }
-                    ),
-                    **velocity,
-                    "avg_ltv_won_deals": exact_avg_sql(
-                        f"CASE WHEN current_funnel_stage = '{config.CLOSED_WON}' THEN estimated_ltv_24mo END"
-                    ),
-                }
-            )
-        )
+    won_ltv = f"CASE WHEN current_funnel_stage = '{config.CLOSED_WON}' THEN estimated_ltv_24mo END"
+    return {
+        "lead_count": q.rows(),
+        "total_calls": q.total("sales_call_count"),
+        "total_texts": q.total("sales_text_count"),
+        "total_emails": q.total("sales_email_count"),
+        "total_activities": q.total("total_activity_count"),
+        "avg_calls_per_lead": q.mean("sales_call_count"),
+        "avg_texts_per_lead": q.mean("sales_text_count"),
+        "avg_emails_per_lead": q.mean("sales_email_count"),
+        "avg_activities_per_lead": q.mean("total_activity_count"),
+        **velocity,
+        "avg_ltv_won_deals": q.mean(won_ltv),
+    }
+
+
+def activity_efficiency(funnel: DataFrame, q: Measures = FROM_ROWS) -> DataFrame:
+    """Touches and velocity per month x channel x current stage (P12)."""
+    stages = funnel.where("lead_created_month IS NOT NULL").groupBy(
+        "lead_created_month", "channel", F.expr("current_funnel_stage AS outcome")
     )
+    return stages.agg(*named_aggs(_activities(q)))
+
+
+def rollup_measures() -> Rollup:
+    """What the marts P9 to P12 ask of a rollup."""
+    q = Rollup()
+    for mart in (_outcomes, _conversion, _losses, _activities):
+        mart(q)
+    return q
+
+
+def funnel_rollup(funnel: DataFrame) -> DataFrame:
+    """Counts and exact sums of the funnel from which P9 to P12 add up theirs.
+
+    One row per month x channel x stage, and for lost deals x reason: finer
+    than the groups of each of these marts.  So one pass over the leads with
+    one map-side aggregate and one shuffle feeds all four, without a copy of
+    every lead for each grouping.
+    """
+    keys = funnel.where("lead_created_month IS NOT NULL").groupBy(
+        "lead_created_month", "channel", "current_funnel_stage", "is_closed_lost",
+        F.expr(f"CASE WHEN is_closed_lost THEN {_loss_reason_sql()} END AS lost_reason"),
+    )
+    return keys.agg(*named_aggs(rollup_measures().parts))
 
 
 #: Decimals of the per-account average revenue.

@@ -105,6 +105,22 @@ class Models:
     def fct_lead_funnel(self) -> DataFrame:
         return self._get("fct_lead_funnel", lambda: marts.lead_funnel(self.int_lead_opportunity_joined, self.a))
 
+    @cached_property
+    def funnel_rollup(self) -> DataFrame:
+        """Counts and sums behind four of the marts; no model of its own."""
+        return self._get("funnel_rollup", lambda: marts.funnel_rollup(self.fct_lead_funnel))
+
+    def over_rollup(self) -> "Models":
+        """The same models, with the marts that can be added up from
+        ``funnel_rollup`` read from it.  Pays when the rollup is stored."""
+        q, rollup = marts.rollup_measures(), self.funnel_rollup
+        return self.with_overrides(
+            fct_channel_economics=marts.channel_economics(rollup, self.int_monthly_expenses, self.a, q),
+            fct_funnel_stage_conversion=marts.funnel_stage_conversion(rollup, q),
+            fct_loss_reason_analysis=marts.loss_reason_analysis(rollup, q),
+            fct_activity_efficiency=marts.activity_efficiency(rollup, q),
+        )
+
     @cached_property
     def fct_account_ltv(self) -> DataFrame:
         return self._get("fct_account_ltv", lambda: marts.account_ltv(self.fct_lead_funnel))

@@ -9,6 +9,8 @@ date have no created date) are reported as counts, not raised.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from funnelworks import config
@@ -41,49 +43,79 @@ def unique_checks(m: Models) -> list[DataFrame]:
     ]
 
 
-def _profiles(m: Models, not_null: bool, accepted: bool) -> list[DataFrame]:
-    """(model, not_null columns, accepted_values) for every tested model."""
-    spec = [
-        ("leads", m.raw.leads, ["lead_id", "form_submission_date"], {}),
-        ("opportunities", m.raw.opportunities, ["opportunity_id"], {}),
-        ("stg_leads", m.stg_leads, ["lead_id", "lead_created_date"], {"channel": CHANNELS}),
-        (
-            "stg_opportunities",
-            m.stg_opportunities,
-            ["opportunity_id"],
-            {"stage_category": list(config.STAGE_CATEGORIES)},
-        ),
-        ("stg_expenses_advertising", m.stg_expenses_advertising, ["expense_month"], {}),
-        ("stg_expenses_salary", m.stg_expenses_salary, ["expense_month"], {}),
-        ("int_lead_opportunity_joined", m.int_lead_opportunity_joined, ["lead_id"], {"channel": CHANNELS}),
-        (
-            "int_monthly_expenses",
-            m.int_monthly_expenses,
-            ["expense_month", "channel", "total_cost", "advertising_cost", "people_cost"],
-            {"channel": CHANNELS},
-        ),
-        (
-            "fct_lead_funnel",
-            m.fct_lead_funnel,
-            ["lead_id"],
-            {"channel": CHANNELS, "current_funnel_stage": list(config.FUNNEL_STAGES)},
-        ),
-        ("fct_account_ltv", m.fct_account_ltv, ["account_id"], {"channel": CHANNELS}),
-        ("fct_channel_economics", m.fct_channel_economics, ["lead_created_month"], {"channel": CHANNELS}),
-        (
-            "fct_funnel_stage_conversion",
-            m.fct_funnel_stage_conversion,
-            ["lead_created_month"],
-            {"channel": CHANNELS},
-        ),
-        ("fct_unit_economics", m.fct_unit_economics, ["lead_created_month"], {"channel": CHANNELS}),
-    ]
-    out = []
-    for model, df, nn, acc in spec:
+#: (model, its frame, not_null columns, accepted_values) of every tested model.
+PROFILES = [
+    ("leads", lambda m: m.raw.leads, ["lead_id", "form_submission_date"], {}),
+    ("opportunities", lambda m: m.raw.opportunities, ["opportunity_id"], {}),
+    ("stg_leads", lambda m: m.stg_leads, ["lead_id", "lead_created_date"], {"channel": CHANNELS}),
+    (
+        "stg_opportunities",
+        lambda m: m.stg_opportunities,
+        ["opportunity_id"],
+        {"stage_category": list(config.STAGE_CATEGORIES)},
+    ),
+    ("stg_expenses_advertising", lambda m: m.stg_expenses_advertising, ["expense_month"], {}),
+    ("stg_expenses_salary", lambda m: m.stg_expenses_salary, ["expense_month"], {}),
+    ("int_lead_opportunity_joined", lambda m: m.int_lead_opportunity_joined, ["lead_id"], {"channel": CHANNELS}),
+    (
+        "int_monthly_expenses",
+        lambda m: m.int_monthly_expenses,
+        ["expense_month", "channel", "total_cost", "advertising_cost", "people_cost"],
+        {"channel": CHANNELS},
+    ),
+    (
+        "fct_lead_funnel",
+        lambda m: m.fct_lead_funnel,
+        ["lead_id"],
+        {"channel": CHANNELS, "current_funnel_stage": list(config.FUNNEL_STAGES)},
+    ),
+    ("fct_account_ltv", lambda m: m.fct_account_ltv, ["account_id"], {"channel": CHANNELS}),
+    ("fct_channel_economics", lambda m: m.fct_channel_economics, ["lead_created_month"], {"channel": CHANNELS}),
+    (
+        "fct_funnel_stage_conversion",
+        lambda m: m.fct_funnel_stage_conversion,
+        ["lead_created_month"],
+        {"channel": CHANNELS},
+    ),
+    ("fct_unit_economics", lambda m: m.fct_unit_economics, ["lead_created_month"], {"channel": CHANNELS}),
+]
+
+
+def observed(name: str, df: DataFrame) -> Q.Profile | None:
+    """The not_null and accepted_values checks of model ``name``, to be counted
+    while ``df``, its rows, are written; None if it has none."""
+    for model, _, not_null, accepted in PROFILES:
+        if model == name:
+            return Q.observed_profile(df, model, not_null, accepted)
+    return None
+
+
+def written(
+    name: str, df: DataFrame, write: Callable[[DataFrame], DataFrame], summaries: dict[str, DataFrame]
+) -> DataFrame:
+    """Write model ``name`` by ``write``, which returns the stored rows.  Its
+    not_null and accepted_values checks are counted on the way, and their
+    summary goes to ``summaries``, for :func:`run_checks`."""
+    profile = observed(name, df)
+    if profile is None:
+        return write(df)
+    table = write(profile.df)
+    summaries[name] = profile.summary(table)
+    return table
+
+
+def _profiles(
+    m: Models, not_null: bool, accepted: bool, done: dict[str, DataFrame] | None = None
+) -> list[DataFrame]:
+    """Summaries of the models' profiles; ``done``: those known already."""
+    done, out = done or {}, []
+    for model, frame, nn, acc in PROFILES:
         nn = nn if not_null else []
         acc = acc if accepted else {}
-        if nn or acc:
-            out.append(Q.profile_checks(df, model, not_null=nn, accepted=acc))
+        if model in done:
+            out.append(done[model])
+        elif nn or acc:
+            out.append(Q.profile_checks(frame(m), model, not_null=nn, accepted=acc))
     return out
 
 
@@ -139,11 +171,13 @@ def reconcile_checks(m: Models) -> list[DataFrame]:
     ]
 
 
-def run_checks(m: Models) -> DataFrame:
-    """All 40 declared tests: one summary row each."""
+def run_checks(m: Models, done: dict[str, DataFrame] | None = None) -> DataFrame:
+    """All 40 declared tests: one summary row each.  ``done``: summaries of the
+    not_null and accepted_values checks of models that were counted while
+    their tables were written (:func:`observed`)."""
     return _union(
         unique_checks(m)
-        + _profiles(m, not_null=True, accepted=True)
+        + _profiles(m, not_null=True, accepted=True, done=done)
         + relationship_checks(m)
         + unique_combination_checks(m)
         + reconcile_checks(m)

@@ -24,6 +24,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # accounts a task combines by hashing (some hundred bytes each) before it sorts
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
 }
 
 

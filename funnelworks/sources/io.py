@@ -35,7 +35,11 @@ def raw_sources_from_tables(spark: SparkSession, database: str, names: dict[str,
 
     def read(name: str) -> DataFrame:
         df = spark.table((names or {}).get(name, f"{database}.{name}"))
-        return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schemas.RAW_SCHEMAS[name].fields])
+        own = {f.name: f.dataType for f in df.schema.fields}
+        # a column of the right type stays as it is, and with it the table's buckets
+        return df.select(
+            *[f.name if own.get(f.name) == f.dataType else df[f.name].cast(f.dataType).alias(f.name) for f in schemas.RAW_SCHEMAS[name].fields]
+        )
 
     return RawSources(*[read(name) for name in schemas.RAW_SCHEMAS])
 
@@ -46,6 +50,21 @@ def write_raw_sources(raw: RawSources, base_path: str, fmt: str = "parquet") ->
         df.write.mode("overwrite").format(fmt).save(f"{base_path}/{name}")
 
 
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Store a raw table in the catalog, dealt by a hash of ``key`` into
+    ``buckets`` files that are sorted by it, and return it.
+
+    Whatever groups or joins the table by ``key`` later reads the buckets as
+    they lie: opportunities stored so are neither shuffled for their dedupe nor
+    for the join with the leads.  Choose the number such that a bucket fits a
+    task (some 100 MB), and a key that is unique or nearly so; rows of a null
+    or frequent key would share a bucket.
+    """
+    w = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (w.option("path", path) if path else w).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def as_view(df: DataFrame, name: str) -> DataFrame:
     """Register a model as a temporary view (nothing is computed)."""
     df.createOrReplaceTempView(name)

@@ -254,6 +254,37 @@ FROM raw_leads""",
                  "(SELECT channel FROM int_monthly_expenses GROUP BY 1 HAVING count(*) > 1)"),
         ]
     ),
+    "uniqueness_found": _union(
+        [
+            unique_sql("raw_opportunities", "opportunities", "opportunity_id"),
+            unique_sql("raw_opportunities", "opportunities", "account_id"),
+            unique_sql("raw_opportunities", "opportunities", "close_date"),
+            _row("opportunities", "unique_combination_of_columns", "account_id,stage_name",
+                 "(FROM raw_opportunities SELECT account_id, stage_name GROUP BY ALL HAVING count(*) > 1)"),
+            _row("opportunities", "unique_combination_of_columns", "opportunity_id,stage_name,close_date",
+                 "(FROM raw_opportunities SELECT opportunity_id, stage_name, close_date GROUP BY ALL HAVING count(*) > 1)"),
+        ]
+    ),
+    "checks_while_written": _union(
+        [
+            not_null_sql("stg_leads", "stg_leads", "lead_id"),
+            not_null_sql("stg_leads", "stg_leads", "lead_created_date"),
+            accepted_sql("stg_leads", "stg_leads", "channel", "('inbound')"),
+            not_null_sql("raw_opportunities", "opportunities", "opportunity_id"),
+            not_null_sql("raw_opportunities", "opportunities", "close_date"),
+            accepted_sql("raw_opportunities", "opportunities", "stage_name", "('Closed Won')"),
+            not_null_sql("stg_opportunities", "stg_opportunities", "opportunity_id"),
+            accepted_sql("stg_opportunities", "stg_opportunities", "stage_category", STAGE_CATEGORIES),
+        ]
+    ),
+    "source_scan": "SELECT * FROM raw_opportunities",
+    "view_sink": "SELECT channel, count(*) AS leads, count(first_sales_call_date) AS called FROM stg_leads GROUP BY channel",
+    "table_sink": "SELECT * FROM fct_funnel_stage_conversion",
+    "rollup_channel_economics": "SELECT * FROM fct_channel_economics",
+    "rollup_stage_conversion": "SELECT * FROM fct_funnel_stage_conversion",
+    "rollup_loss_reasons": "SELECT * FROM fct_loss_reason_analysis",
+    "rollup_activity_efficiency": "SELECT * FROM fct_activity_efficiency",
+    "bucketed_join": "SELECT * FROM int_lead_opportunity_joined",
     "reconcile_found": _union(
         [
             f"SELECT * FROM ({sql.replace('FROM int_monthly_expenses', 'FROM (FROM int_monthly_expenses WHERE month(expense_month) <= 6)')})"
@@ -268,6 +299,8 @@ FROM raw_leads""",
     **RECONCILE,
 }
 
+FINAL["built_quality_summary"] = FINAL["data_quality_summary"]
+
 ORACLE_SQL: dict[str, str] = {k: PRELUDE + v for k, v in FINAL.items()}
 
 __all__ = ["ORACLE_SQL", "PRELUDE", "FINAL", "avg"]

@@ -39,6 +39,8 @@ def test_queries_and_oracles_cover_survey_keys():
         "not_null_violations", "accepted_values_violations", "relationship_violations",
         "lead_join_hot_keys", "accepted_values_found", "relationship_orphans", "unique_combination_found", "reconcile_found",
         "unique_combination_violations", "reconcile_advertising", "reconcile_inbound", "reconcile_outbound",
+        "uniqueness_found", "checks_while_written", "source_scan", "view_sink", "table_sink", "rollup_channel_economics",
+        "rollup_stage_conversion", "rollup_loss_reasons", "rollup_activity_efficiency", "built_quality_summary", "bucketed_join",
     }
     assert pipelines | operators == keys
 
