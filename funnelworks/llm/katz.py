@@ -13,17 +13,20 @@ the seen ones.  A history that the discounts leave nothing gets a total larger
 by one; a history never seen has alpha 1.  At the lowest order the mass that
 is left is that of all unknown tokens together, so every P(. | h) sums to 1.
 
-The model is a stored table, partitioned by order and range of hashes: a row a
-range, holding its n-grams, their counts and their histories' sums.  Texts are
-dealt by groups; a group asks each range once for each distinct n-gram, however
-often it occurs, and gets probabilities and backoff weights in the order of
-its question, from which each token is evaluated recursively.  An n-gram's
-range is that of its history, so that a history's sum is formed in one place;
-histories of a large share of all tokens are split over several ranges, and
-their sums (a bounded number) completed on the driver.
-
-Tokens and n-grams are 64-bit hashes; different ones with equal hashes (one in
-2**64 a pair) would count as one.
+The model is a stored table, partitioned by order and range: a row a range,
+holding its n-grams, their counts and their histories' sums.  Words are known
+by 64-bit hashes to the lowest order's table only, which numbers them; a
+longer n-gram is the number of its history, an n-gram of the order below, and
+that of its last token.  Texts are dealt by groups; order by order a group asks
+each range once for each distinct n-gram, however often it occurs, and gets
+numbers, probabilities and backoff weights in the order of its question, from
+which each token is evaluated recursively.  An n-gram's range is that of its
+history, so that a history's sum is formed in one place; histories of a large
+share of all tokens are split over several ranges, and their sums (a bounded
+number) completed on the driver.  All that moves is packed: sorted numbers, as
+differences, and compressed.
+
+Different words with equal hashes (one in 2**64 a pair) would count as one.
 
 Defined results: a null text counts as empty (the end alone); without training
 texts every token has probability 1 as the one unknown token; equal texts have
@@ -41,6 +44,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +65,9 @@ SPLIT_SHARE = 1e-5
 
 END = np.uint64(0x0E4D_0E4D_0E4D_0E4D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a word's number; 0 is every unknown word.
+_WORD_BITS = np.uint64(40)
+_ZSTD = pa.Codec("zstd", 1)
 _TABLE = "order int, r int, keys binary, histories binary, runs binary, counts binary, hist binary, low binary, stats array<long>"
 
 
@@ -68,13 +75,29 @@ _TABLE = "order int, r int, keys binary, histories binary, runs binary, counts b
 
 
 def ints(values: np.ndarray) -> bytes:
-    """Whole numbers from 0 in the smallest width that holds them."""
+    """Whole numbers from 0, compressed by bytes of equal weight."""
     kind = np.min_scalar_type(int(values.max(initial=0)))
-    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), kind.itemsize).T)
+    return bytes([kind.itemsize]) + len(values).to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
 
 
 def from_ints(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(_ZSTD.decompress(data[9:], width * n, asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def rising(values: np.ndarray, runs: np.ndarray) -> bytes:
+    """Numbers that rise within runs (from ``runs``), as differences."""
+    step = np.diff(values, prepend=0)
+    step[runs] = values[runs]
+    return ints(step)
+
+
+def from_rising(data: bytes, sizes: np.ndarray) -> np.ndarray:
+    total = np.cumsum(from_ints(data))
+    ends = np.cumsum(sizes)
+    return total - np.repeat(np.concatenate([[0], total[ends[:-1] - 1]]), sizes) if len(sizes) else total
 
 
 def floats(values: np.ndarray) -> bytes:
@@ -94,10 +117,6 @@ def _joined(column: pa.ChunkedArray, read) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts or [np.zeros(0, np.int64)]), np.array([len(p) for p in parts], np.int64)
 
 
-def _hashes(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint64)
-
-
 # -- n-grams of a block of texts
 
 
@@ -123,11 +142,11 @@ class Tokens:
 
 @dataclass
 class Hot:
-    """Histories split over ranges: their keys in order, the number of parts
+    """Histories split over ranges: their numbers in order, the number of parts
     and, once their table is there, their totals and backoff weights."""
 
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     total: np.ndarray | None = None
     alpha: np.ndarray | None = None
 
@@ -142,7 +161,8 @@ class Hot:
 @dataclass
 class Grams:
     """The distinct n-grams of a block by range, history and key.  ``at``:
-    places in the tokens that end one; ``which``: its number."""
+    places in the tokens that end one; ``which``: its number; ``keys``: hashes
+    of words at the lowest order (history 0), else the words' numbers."""
 
     at: np.ndarray
     which: np.ndarray
@@ -151,38 +171,63 @@ class Grams:
     ranges: np.ndarray
 
     @staticmethod
-    def of(text: Tokens, order: int, hot: Hot, ranges: int) -> Grams:
-        place = np.arange(len(text.tokens)) - np.repeat(text.first[:-1], np.diff(text.first))
-        at = np.flatnonzero(place >= order - 1)
-        key, before = text.tokens, np.zeros(len(text.tokens), np.uint64)
-        for _ in range(order - 1):  # one token more in front
-            before = np.concatenate([before[:1], key[:-1]])
-            key = mix(before * _STEP + text.tokens)
-        keys, begin, which = np.unique(key[at], return_index=True, return_inverse=True)
-        history = before[at[begin]]
-        if order == 1:
-            dealt = mix(keys)
-        else:
-            is_hot, number = hot.find(history)
-            part = np.where(is_hot, keys % np.maximum(hot.parts[number], np.uint64(1)), np.uint64(0)) if len(hot.keys) else np.uint64(0)
-            dealt = mix(history + part * _STEP)
-        r = ((dealt >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        by = np.lexsort((keys, history, r))
-        number = np.empty(len(by), np.int64)
-        number[by] = np.arange(len(by))
-        return Grams(at, number[which], keys[by], history[by], r[by])
+    def of_words(text: Tokens, ranges: int) -> Grams:
+        keys, which = np.unique(text.tokens, return_inverse=True)
+        r = _range(keys, ranges)  # mixed hashes are in the order of their ranges
+        by = np.lexsort((keys, r))
+        return Grams(np.arange(len(which)), _back(by)[which], keys[by], np.zeros(len(keys), np.int64), r[by])
+
+    @staticmethod
+    def of(history: np.ndarray, word: np.ndarray, hot: Hot, ranges: int) -> Grams:
+        """By place in the tokens the number of the n-gram of the order below
+        that ends before it (0: none), and the word's number (0: unknown)."""
+        at = np.flatnonzero(history)
+        histories, own = np.unique(history[at], return_inverse=True)
+        pairs, which = np.unique(own.astype(np.uint64) << _WORD_BITS | word[at].astype(np.uint64), return_inverse=True)
+        own, word = (pairs >> _WORD_BITS).astype(np.int64), (pairs & ((np.uint64(1) << _WORD_BITS) - np.uint64(1))).astype(np.int64)
+        is_hot, place = hot.find(histories)
+        part = np.where(is_hot, hot.parts[place], 1) if len(hot.keys) else np.ones(len(histories), np.int64)
+        dealt = histories.astype(np.uint64)[own] + (word % part[own]).astype(np.uint64) * _STEP
+        r = _range(mix(dealt), ranges)
+        by = np.argsort(r, kind="stable")
+        return Grams(at, _back(by)[which], word[by], histories[own][by], r[by])
 
     def runs(self) -> np.ndarray:
         """Where a history's n-grams in a range begin."""
         return _run_starts(self.ranges, self.history)
 
-    def by_range(self) -> Iterator[tuple[int, slice, slice]]:
-        """(range, its n-grams, its runs)."""
-        there, begin = np.unique(self.ranges, return_index=True)
+    def by_range(self) -> Iterator[tuple[int, slice, bytes, bytes, bytes]]:
+        """(range, its n-grams, and packed: keys, histories, sizes of their runs)."""
         runs = self.runs()
+        size = np.diff(np.append(runs, len(self.keys)))
+        there, begin = np.unique(self.ranges, return_index=True)
         cut = np.searchsorted(runs, np.append(begin, len(self.keys)))
         for i, (r, a, b) in enumerate(zip(there.tolist(), begin, np.append(begin[1:], len(self.keys)))):
-            yield r, slice(a, b), slice(cut[i], cut[i + 1])
+            run = slice(cut[i], cut[i + 1])
+            yield r, slice(a, b), *packed_keys(self.keys[a:b], self.history[runs[run]], size[run])
+
+
+def packed_keys(keys: np.ndarray, histories: np.ndarray, size: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    begin = np.cumsum(size) - size
+    own = keys.tobytes() if keys.dtype == np.uint64 else rising(keys, begin)
+    return own, rising(histories, np.zeros(1, np.int64)), ints(size)
+
+
+def unpacked_keys(order: int, keys: bytes, histories: bytes, size: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = from_ints(size)
+    own = np.frombuffer(keys, np.uint64) if order == 1 else from_rising(keys, size)
+    return own, from_ints(histories).cumsum(), size
+
+
+def _range(mixed: np.ndarray, ranges: int) -> np.ndarray:
+    return ((mixed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _back(by: np.ndarray) -> np.ndarray:
+    """The place that each number of a permutation goes to."""
+    out = np.empty(len(by), np.int64)
+    out[by] = np.arange(len(by))
+    return out
 
 
 def _run_starts(*columns: np.ndarray) -> np.ndarray:
@@ -202,10 +247,12 @@ def _rows(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
 @dataclass
 class Level:
     """Of one order: discounts (0 to CUTOFF, and 1 beyond), the split
-    histories, and the size of the lowest order's probabilities."""
+    histories, how many n-grams the ranges before each range hold, and the
+    lowest order's total and what is left for unknown words."""
 
     discount: np.ndarray
     hot: Hot
+    before: np.ndarray
     total: float = 1.0
     left: float = 1.0
 
@@ -247,53 +294,43 @@ def discounts(n: list[int]) -> np.ndarray:
     return out
 
 
-def _count(order: int, hot: Hot, ranges: int):
-    """Rows of a block's n-grams for their ranges; ``low``: by number the
-    lower order's probability."""
-
-    def rows(text: Tokens, low=None) -> pa.Table:
-        found = Grams.of(text, order, hot, ranges)
-        counts = np.bincount(found.which, minlength=len(found.keys))
-        lower_order = np.zeros(len(found.keys))
-        if low is not None:
-            lower_order[found.which] = low[found.at]
-        runs = found.runs()
-        size = np.diff(np.append(runs, len(found.keys)))
-        return _rows(
-            [
-                (r, found.keys[s].tobytes(), found.history[runs[u]].tobytes(), ints(size[u]), ints(counts[s]), floats(lower_order[s]))
-                for r, s, u in found.by_range()
-            ],
-            [("r", pa.int32()), ("keys", pa.binary()), ("histories", pa.binary()), ("runs", pa.binary()), ("counts", pa.binary()), ("low", pa.binary())],
-        )
-
-    return rows
+_SENT = [(c, pa.int32() if c == "r" else pa.binary()) for c in ("r", "keys", "histories", "runs", "counts", "low", "of")]
+_SENT_SQL = "r int, keys binary, histories binary, runs binary, counts binary, low binary, of binary"
 
 
-_COUNTS = "r int, keys binary, histories binary, runs binary, counts binary, low binary"
+def _counted(found: Grams, low: np.ndarray, of: np.ndarray) -> pa.Table:
+    """Rows of a block's n-grams for their ranges; ``low``, ``of``: by place in
+    the tokens the lower order's count and its history's total."""
+    counts = np.bincount(found.which, minlength=len(found.keys))
+    lower = np.zeros((2, len(found.keys)), np.int64)
+    lower[:, found.which] = low[found.at], of[found.at]
+    return _rows([(r, *packed, ints(counts[s]), ints(lower[0, s]), ints(lower[1, s])) for r, s, *packed in found.by_range()], _SENT)
 
 
-def _merge(order: int):
-    """One row of the table from all rows sent to a range."""
+def _merge(order: int, below: Level | None):
+    """One row of the table from all rows sent to a range; ``below``: the
+    level of the lower order."""
 
     def merge(sent: pa.Table) -> pa.Table:
-        keys, _ = _joined(sent["keys"], _hashes)
-        size, _ = _joined(sent["runs"], from_ints)
-        history = np.repeat(_joined(sent["histories"], _hashes)[0], size)
-        counts, low = _joined(sent["counts"], from_ints)[0], _joined(sent["low"], from_floats)[0]
-        distinct, begin, which = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.zeros(len(distinct), np.int64)
+        parts = [unpacked_keys(order, *row) for row in zip(*(sent[c].to_pylist() for c in ("keys", "histories", "runs")))]
+        keys = np.concatenate([k for k, _, _ in parts])
+        history = np.concatenate([np.repeat(h, size) for _, h, size in parts])
+        counts, low, of = (_joined(sent[c], from_ints)[0] for c in ("counts", "low", "of"))
+        if order == 1:
+            _, begin, which = np.unique(keys, return_index=True, return_inverse=True)
+        else:
+            own = np.unique(history, return_inverse=True)[1].astype(np.uint64) << _WORD_BITS
+            _, begin, which = np.unique(own | keys.astype(np.uint64), return_index=True, return_inverse=True)
+        total = np.zeros(len(begin), np.int64)
         np.add.at(total, which, counts)
-        history, low = history[begin], low[begin]
-        by = np.lexsort((distinct, history))
-        distinct, history, low, total = distinct[by], history[by], low[by], total[by]
+        keys, history = keys[begin], history[begin]
+        low = below.mass(low[begin]) / of[begin] if below else np.zeros(len(begin))
         runs = _run_starts(history)
         hist = np.stack([np.add.reduceat(np.where(total > CUTOFF, total, 0) if r > CUTOFF else total == r, runs, dtype=np.int64) for r in range(1, CUTOFF + 2)], 1)
         n = [int((total == r).sum()) for r in range(1, CUTOFF + 2)]
-        row = (
-            order, sent["r"][0].as_py(), distinct.tobytes(), history[runs].tobytes(), ints(np.diff(np.append(runs, len(distinct)))), ints(total),
-            ints(hist.ravel()), floats(np.add.reduceat(low, runs)), [*n, int(total.sum()), len(distinct)],
-        )
+        packed = packed_keys(keys, history[runs], np.diff(np.append(runs, len(keys))))
+        sums = ints(hist.T.ravel()), floats(np.add.reduceat(low, runs))
+        row = (order, sent["r"][0].as_py(), *packed, ints(total), *sums, [*n, int(total.sum()), len(keys)])
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64())]
         names = ["order", "r", "keys", "histories", "runs", "counts", "hist", "low", "stats"]
         return _rows([row], list(zip(names, kinds)))
@@ -301,17 +338,21 @@ def _merge(order: int):
     return merge
 
 
-def _hot_rows(tables: DataFrame, more_than: int) -> DataFrame:
-    """Keys and counts of the n-grams of more than so many occurrences."""
+def _hist(data: bytes) -> np.ndarray:
+    return from_ints(data).reshape(CUTOFF + 1, -1).T
+
+
+def _hot_rows(tables: DataFrame, before: np.ndarray, more_than: int) -> DataFrame:
+    """Numbers and counts of the n-grams of more than so many occurrences."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for r, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts = from_ints(counts)
-                some = counts > more_than
-                yield pa.RecordBatch.from_arrays([pa.array(_hashes(keys)[some].view(np.int64)), pa.array(counts[some])], names=["key", "n"])
+                some = np.flatnonzero(counts > more_than)
+                yield pa.RecordBatch.from_arrays([pa.array(some + 1 + before[r]), pa.array(counts[some])], names=["key", "n"])
 
-    return tables.select("keys", "counts").mapInArrow(find, "key long, n long")
+    return tables.select("r", "counts").mapInArrow(find, "key long, n long")
 
 
 def _hot_sums(tables: DataFrame, hot: Hot) -> DataFrame:
@@ -320,13 +361,10 @@ def _hot_sums(tables: DataFrame, hot: Hot) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, history, hist, low in zip(*(c.to_pylist() for c in batch.columns)):
-                history = _hashes(history)
-                some, place = hot.find(history)
-                sums = from_ints(hist).reshape(-1, CUTOFF + 1)[some]
+                some, place = hot.find(from_ints(history).cumsum())
                 arrays = [place[some], np.full(some.sum(), r, np.int64), from_floats(low)[some]]
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, arrays), pa.array(sums.tolist(), pa.list_(pa.int64()))], names=["place", "r", "low", "hist"]
-                )
+                sums = pa.array(_hist(hist)[some].tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), sums], names=["place", "r", "low", "hist"])
 
     return tables.select("r", "histories", "hist", "low").mapInArrow(find, "place long, r long, low double, hist array<long>")
 
@@ -350,10 +388,29 @@ def piece_bytes(texts: DataFrame) -> tuple[int, int]:
 
 
 def _dealt(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows with their group, by a hash of id and text."""
+    """g, a group by a hash of id and text, and rows: some of the group's rows,
+    compressed, as the texts move to their group several times."""
     size, piece = piece_bytes(docs)
     group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // piece)).cast("int")
-    return docs.select(*columns, group.alias("g"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = batch.column(0).to_numpy()
+            by = np.argsort(g, kind="stable")
+            there, begin = np.unique(g[by], return_index=True)
+            packed = []
+            for rows in np.split(by, begin[1:]) if len(there) else []:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(batch.take(pa.array(rows)))
+                packed.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(packed, pa.binary())], names=["g", "rows"])
+
+    return docs.select(group.alias("g"), *columns).mapInArrow(pack, "g int, rows binary")
+
+
+def _unpacked(group: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in group["rows"]])
 
 
 def learn(docs: DataFrame, order: int = ORDER) -> Model:
@@ -369,34 +426,35 @@ def learn(docs: DataFrame, order: int = ORDER) -> Model:
     for k in range(1, order + 1):
         hot = Hot()
         if k == 1:
-            count = _count(1, hot, ranges)
 
-            def alone(batches, count=count):
+            def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    yield from count(Tokens.of(batch.column(0))).to_batches()
+                    text = Tokens.of(batch.column(0))
+                    nothing = np.zeros(len(text.tokens), np.int64)
+                    yield from _counted(Grams.of_words(text, ranges), nothing, nothing).to_batches()
 
-            sent = docs.select("text").mapInArrow(alone, _COUNTS)
+            sent = docs.select("text").mapInArrow(words_of, _SENT_SQL)
         else:
             # at most 1 / SPLIT_SHARE of them
             share = max(1, int(max(model.tokens / (4 * ranges), SPLIT_SHARE * model.tokens)))
-            found = _hot_rows(model.tables.where(F.col("order") == k - 1), share).collect()
-            keys = np.array([r["key"] for r in found], np.int64).view(np.uint64)
-            by = np.argsort(keys)
-            hot = Hot(keys[by], np.array([-(-r["n"] // share) for r in found], np.uint64)[by])
-            told = _answers(dealt, model, [k - 1])
-            sent = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_count_group(k, hot, model), _COUNTS)
+            below = model.tables.where(F.col("order") == k - 1)
+            found = sorted((r["key"], -(-r["n"] // share)) for r in _hot_rows(below, model.levels[-1].before, share).collect())
+            hot = Hot(*(np.array([r[i] for r in found], np.int64) for i in (0, 1)))
+            told = _answers(dealt, model, k - 1, k - 1)
+            sent = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_count_group(model, hot), _SENT_SQL)
         with _shuffles_released(spark):
-            sent.groupBy("r").applyInArrow(_merge(k), _TABLE).write.mode("append").partitionBy("order").parquet(path)
+            sent.groupBy("r").applyInArrow(_merge(k, model.levels[-1] if k > 1 else None), _TABLE).write.mode("append").partitionBy("order").parquet(path)
         model = _with_level(model, spark.read.schema(_TABLE).parquet(path), k, hot)
     return model
 
 
 def _with_level(model: Model, tables: DataFrame, k: int, hot: Hot) -> Model:
     own = tables.where(F.col("order") == k)
-    width = CUTOFF + 3
-    sums = own.agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(width)]).first()
-    *n, total, distinct = [int(x or 0) for x in sums]
-    level = Level(discounts(n), hot)
+    sums = np.zeros((model.ranges, CUTOFF + 3), np.int64)
+    for r in own.select("r", "stats").collect():  # a row a range
+        sums[r["r"]] = r["stats"]
+    *n, total, distinct = sums.sum(0).tolist()
+    level = Level(discounts(n), hot, np.cumsum(sums[:, -1]) - sums[:, -1])
     if k == 1:
         big = total - sum((r + 1) * n[r] for r in range(CUTOFF))
         whole, left = level.history(np.array([[*n[:CUTOFF], big]]), np.zeros(1))
@@ -414,118 +472,187 @@ def _with_level(model: Model, tables: DataFrame, k: int, hot: Hot) -> Model:
 # -- questions and answers
 
 
-def _ask(levels: dict[int, Hot], ranges: int):
-    schema = [("k", pa.int32()), ("r", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("histories", pa.binary()), ("runs", pa.binary())]
+_ASKED = [("k", pa.int32()), ("r", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("histories", pa.binary()), ("runs", pa.binary())]
+_ASKED_SQL = "k int, r int, g int, keys binary, histories binary, runs binary"
+_TOLD = [(c, pa.int32() if len(c) == 1 else pa.binary()) for c in ("g", "k", "r", "counts", "numbers", "totals", "alpha")]
+_TOLD_SQL = "g int, k int, r int, counts binary, numbers binary, totals binary, alpha binary"
 
-    def ask(group: pa.Table) -> pa.Table:
-        text, g, rows = Tokens.of(group["text"]), group["g"][0].as_py(), []
-        for k, hot in levels.items():
-            found = Grams.of(text, k, hot, ranges)
-            runs = found.runs()
-            size = np.diff(np.append(runs, len(found.keys)))
-            rows += [(k, r, g, found.keys[s].tobytes(), found.history[runs[u]].tobytes(), ints(size[u])) for r, s, u in found.by_range()]
-        return _rows(rows, schema)
-
-    return ask
 
+def _asked(k: int, g: int, found: Grams) -> pa.Table:
+    return _rows([(k, r, g, *packed) for r, _, *packed in found.by_range()], _ASKED)
 
-def _answer(levels: dict[int, Level]):
-    schema = [("g", pa.int32()), ("k", pa.int32()), ("r", pa.int32()), ("counts", pa.binary()), ("prob", pa.binary()), ("alpha", pa.binary())]
 
+def _answer(k: int, level: Level, numbered: bool):
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return _rows([], schema)
-        k = asked["k"][0].as_py()
-        level = levels[k]
         if held.num_rows:
             row = held.to_pylist()[0]
-            keys, counts, histories = _hashes(row["keys"]), from_ints(row["counts"]), _hashes(row["histories"])
-            total, alpha = level.history(from_ints(row["hist"]).reshape(-1, CUTOFF + 1), from_floats(row["low"]))
+            keys, histories, size = unpacked_keys(k, row["keys"], row["histories"], row["runs"])
+            counts = from_ints(row["counts"])
+            total, alpha = level.history(_hist(row["hist"]), from_floats(row["low"]))
             hot, place = level.hot.find(histories)
             if hot.any():
                 total[hot], alpha[hot] = level.hot.total[place[hot]], level.hot.alpha[place[hot]]
-            prob = level.mass(counts) / (level.total if k == 1 else np.repeat(total, from_ints(row["runs"])))
-            by = np.argsort(keys)
-            keys, counts, prob = keys[by], counts[by], prob[by]
+            if k == 1:
+                total[:] = level.total
+            else:
+                keys = np.repeat(np.arange(len(size)), size).astype(np.uint64) << _WORD_BITS | keys.astype(np.uint64)
         rows = []
-        for g, r, wanted, before in zip(*(asked[c].to_pylist() for c in ("g", "r", "keys", "histories"))):
-            wanted, before = _hashes(wanted), _hashes(before)
-            n, p, a = np.zeros(len(wanted), np.int64), np.zeros(len(wanted)), np.ones(len(before))
+        for g, r, *packed in zip(*(asked[c].to_pylist() for c in ("g", "r", "keys", "histories", "runs"))):
+            wanted, before, size = unpacked_keys(k, *packed)
+            begin = np.cumsum(size) - size
+            n, t, a = np.zeros(len(wanted), np.int64), np.ones(len(before), np.int64), np.ones(len(before))
+            numbers = np.zeros(0, np.int64)
             if held.num_rows:
+                if k > 1:
+                    run = np.minimum(np.searchsorted(histories, before), len(histories) - 1)
+                    there = histories[run] == before
+                    a[there], t[there] = alpha[run[there]], total[run[there]]
+                    known = np.repeat(there, size) & (wanted > 0)
+                    wanted = np.repeat(run, size).astype(np.uint64) << _WORD_BITS | wanted.astype(np.uint64)
+                else:
+                    known = np.ones(len(wanted), bool)
+                    t[:] = int(level.total)
                 place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                there = keys[place] == wanted
-                n[there], p[there] = counts[place[there]], prob[place[there]]
-                place = np.minimum(np.searchsorted(histories, before), len(histories) - 1)
-                there = histories[place] == before
-                a[there] = alpha[place[there]]
+                there = known & (keys[place] == wanted)
+                n[there] = counts[place[there]]
+                if numbered:
+                    numbers = place[there] + 1 + level.before[r]
             hot, place = level.hot.find(before)
             if hot.any():
                 a[hot] = level.hot.alpha[place[hot]]
-            rows.append((g, k, r, ints(n), floats(p), floats(a)))
-        return _rows(rows, schema)
+            a = a[np.add.reduceat(n == 0, begin, dtype=np.int64) > 0]  # where something has to back off
+            rows.append((g, k, r, ints(n), rising(numbers, np.zeros(min(1, len(numbers)), np.int64)), ints(t), a.tobytes()))
+        return _rows(rows, _TOLD)
 
     return answer
 
 
-def _answers(dealt: DataFrame, model: Model, orders: list[int]) -> DataFrame:
-    """Per group, order and range, in the order of the question: counts and
-    probabilities of its n-grams (0 if not seen), backoff weights of its histories."""
-    levels = {k: model.levels[k - 1] for k in orders}
-    asked = dealt.groupBy("g").applyInArrow(
-        _ask({k: level.hot for k, level in levels.items()}, model.ranges),
-        "k int, r int, g int, keys binary, histories binary, runs binary",
-    )
-    held = model.tables.where(F.col("order").isin(orders)).withColumnRenamed("order", "k")
-    return asked.groupBy("k", "r").cogroup(held.groupBy("k", "r")).applyInArrow(
-        _answer(levels), "g int, k int, r int, counts binary, prob binary, alpha binary"
-    )
+@dataclass
+class Answers:
+    """To a group's question at one order, by number of the n-gram: counts,
+    numbers (0 if not seen, or where no longer n-gram needs them), their histories' totals and, for n-grams not
+    seen, their histories' backoff weights."""
+
+    counts: np.ndarray
+    numbers: np.ndarray
+    total: np.ndarray
+    alpha: np.ndarray
 
+    @staticmethod
+    def of(told: pa.Table, k: int, found: Grams) -> Answers:
+        told = told.filter(pc.equal(told["k"], k)).sort_by("r")
+        counts, total = (_joined(told[c], from_ints)[0] for c in ("counts", "totals"))
+        numbers = np.zeros(len(counts), np.int64)
+        told_numbers = np.concatenate([np.zeros(0, np.int64), *(from_ints(x).cumsum() for x in told["numbers"].to_pylist())])
+        if len(told_numbers):
+            numbers[counts > 0] = told_numbers
+        runs = found.runs()
+        size = np.diff(np.append(runs, len(found.keys)))
+        alpha = np.ones(len(runs))
+        if len(runs):
+            alpha[np.add.reduceat(counts == 0, runs, dtype=np.int64) > 0] = _joined(told["alpha"], np.frombuffer)[0]
+        return Answers(counts, numbers, np.repeat(total, size), np.repeat(alpha, size))
+
+
+class Reading:
+    """A group's texts, and order by order what was answered."""
 
-def _read(told: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, probabilities and backoff weights of an order, by range."""
-    told = told.filter(pc.equal(told["k"], k)).sort_by("r")
-    return tuple(_joined(told[c], read)[0] for c, read in (("counts", from_ints), ("prob", from_floats), ("alpha", from_floats)))
+    def __init__(self, group: pa.Table, levels: list[Level], ranges: int):
+        self.rows, self.levels, self.ranges = _unpacked(group), levels, ranges
+        self.text = Tokens.of(self.rows["text"])
+        self.word = self.number = self.count = self.total = self.chance = None
+
+    def grams(self, k: int, hot: Hot) -> Grams:
+        if k == 1:
+            return Grams.of_words(self.text, self.ranges)
+        history = np.concatenate([[0], self.number[:-1]])
+        history[self.text.first[:-1]] = 0
+        return Grams.of(history, self.word, hot, self.ranges)
+
+    def take(self, told: pa.Table, orders: int) -> None:
+        """Read the answers up to an order: by place in the tokens ``chance``,
+        the probability, backing off where the n-gram was not seen; ``count``
+        and ``number`` of the n-gram, 0 if not seen, and ``total``, its history's."""
+        size = len(self.text.tokens)
+        for k in range(1, orders + 1):
+            level = self.levels[k - 1]
+            found = self.grams(k, level.hot)
+            own = Answers.of(told, k, found)
+            self.number, self.count, self.total = np.zeros(size, np.int64), np.zeros(size, np.int64), np.ones(size, np.int64)
+            for mine, theirs in ((self.number, own.numbers), (self.count, own.counts), (self.total, own.total)):
+                mine[found.at] = theirs[found.which]
+            seen = level.mass(self.count) / self.total
+            if k == 1:
+                self.word, self.known = self.number, self.count
+                self.chance = np.where(self.count > 0, seen, level.left)
+            else:
+                at = found.at
+                self.chance[at] = np.where(self.count[at] > 0, seen[at], own.alpha[found.which] * self.chance[at])
 
 
-def _count_group(order: int, hot: Hot, model: Model):
-    count, ranges, lower_hot = _count(order, hot, model.ranges), model.ranges, model.levels[order - 2].hot
+def _ask_words(model: Model):
+    levels, ranges = model.levels, model.ranges
+
+    def ask(group: pa.Table) -> pa.Table:
+        return _asked(1, group["g"][0].as_py(), Reading(group, levels, ranges).grams(1, levels[0].hot))
+
+    return ask
+
+
+def _ask(k: int, model: Model):
+    levels, ranges = model.levels, model.ranges
+
+    def ask(group: pa.Table, told: pa.Table) -> pa.Table:
+        reading = Reading(group, levels, ranges)
+        reading.take(told, k - 1)
+        return _asked(k, group["g"][0].as_py(), reading.grams(k, levels[k - 1].hot))
+
+    return ask
+
+
+def _answers(dealt: DataFrame, model: Model, orders: int, numbered: int) -> DataFrame:
+    """Per group, order (up to ``orders``) and range the answers to its
+    questions, which at each order are in numbers answered at the one before.
+    Numbers are told up to the order ``numbered``."""
+    told = None
+    for k in range(1, orders + 1):
+        groups = dealt.groupBy("g")
+        if k == 1:
+            asked = groups.applyInArrow(_ask_words(model), _ASKED_SQL)
+        else:
+            asked = groups.cogroup(told.groupBy("g")).applyInArrow(_ask(k, model), _ASKED_SQL)
+        held = model.tables.where(F.col("order") == k)
+        own = asked.groupBy("r").cogroup(held.groupBy("r")).applyInArrow(_answer(k, model.levels[k - 1], k <= numbered), _TOLD_SQL)
+        told = own if told is None else told.unionByName(own)
+    return told
+
+
+def _count_group(model: Model, hot: Hot):
+    levels, ranges, order = model.levels, model.ranges, model.order + 1
 
     def rows(group: pa.Table, told: pa.Table) -> pa.Table:
-        text = Tokens.of(group["text"])
-        found = Grams.of(text, order - 1, lower_hot, ranges)
-        low = np.zeros(len(text.tokens))
-        low[found.at] = _read(told, order - 1)[1][found.which]
-        return count(text, low)
+        reading = Reading(group, levels, ranges)
+        reading.take(told, order - 1)
+        return _counted(reading.grams(order, hot), reading.count, reading.total)
 
     return rows
 
 
 def _score_group(model: Model):
-    order, ranges, hots, left = model.order, model.ranges, [level.hot for level in model.levels], model.levels[0].left
-    tokens, distinct = model.tokens, model.distinct
+    levels, ranges, order, tokens, distinct = model.levels, model.ranges, model.order, model.tokens, model.distinct
 
     def score(group: pa.Table, told: pa.Table) -> pa.Table:
-        text = Tokens.of(group["text"])
-        for k in range(1, order + 1):
-            found = Grams.of(text, k, hots[k - 1], ranges)
-            counts, prob, alpha = _read(told, k)
-            own = prob[found.which]
-            if k == 1:
-                known = counts[found.which]
-                chance = np.where(own > 0, own, left)
-            else:
-                runs = found.runs()
-                weight = np.repeat(alpha, np.diff(np.append(runs, len(found.keys))))[found.which]
-                chance[found.at] = np.where(own > 0, own, weight * chance[found.at])
-        base = np.log10((known + 0.1) / (tokens + 0.1 * (distinct + 1)))
-        begin = text.first[:-1]
+        reading = Reading(group, levels, ranges)
+        reading.take(told, order)
+        base = np.log10((reading.known + 0.1) / (tokens + 0.1 * (distinct + 1)))
+        first = reading.text.first
         return pa.table(
             {
-                "doc_id": group["doc_id"],
-                "n_tokens": np.diff(text.first),
-                "n_known": np.add.reduceat((known > 0).astype(np.int64), begin),
-                "base_score": np.add.reduceat(base, begin),
-                "score": np.add.reduceat(np.log10(chance), begin),
+                "doc_id": reading.rows["doc_id"],
+                "n_tokens": np.diff(first),
+                "n_known": np.add.reduceat((reading.known > 0).astype(np.int64), first[:-1]),
+                "base_score": np.add.reduceat(base, first[:-1]),
+                "score": np.add.reduceat(np.log10(reading.chance), first[:-1]),
             }
         )
 
@@ -535,7 +662,7 @@ def _score_group(model: Model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10) of every row."""
     dealt = _dealt(docs, ["doc_id", "text"])
-    told = _answers(dealt, model, list(range(1, model.order + 1)))
+    told = _answers(dealt, model, model.order, model.order - 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(
         _score_group(model), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
