@@ -179,6 +179,62 @@ def relationship_check(
     return _summary(orphans, model, "relationships", column, "coalesce(sum(count), 0)")
 
 
+#: A bitmap aggregate of Spark holds so many bits.
+BITMAP_BITS = 1 << 15
+#: Bits a key: with three bits set, about one key in sixty is taken for a parent's.
+BITS_PER_KEY = 10
+#: A filter of more bitmaps (4 KB each) is not sent to every task.
+MOST_BITMAPS = 1 << 14
+
+
+def key_filter(keys: DataFrame, column: str, bitmaps: int) -> DataFrame:
+    """A Bloom filter of the keys: __bitmap, __bits, a row for each of
+    ``bitmaps`` that is not empty.  A key has three bits in one bitmap; the
+    bits are combined map-side, so no key is shuffled."""
+    places = keys.where(f"{column} IS NOT NULL").selectExpr(
+        f"{_bitmap_sql(column, bitmaps)} AS __bitmap", f"explode(array({', '.join(_bits_sql(column))})) AS __bit"
+    )
+    return places.groupBy("__bitmap").agg(F.expr("bitmap_construct_agg(__bit) AS __bits"))
+
+
+def _bitmap_sql(key: str, bitmaps: int) -> str:
+    return f"pmod(xxhash64({key}), {bitmaps}L)"
+
+
+def _bits_sql(key: str) -> list[str]:
+    return [f"pmod(shiftright(xxhash64({key}, 1), {20 * i}), {BITMAP_BITS}L)" for i in range(3)]
+
+
+def _set_sql(bit: str) -> str:
+    byte = f"conv(hex(substring(__bits, CAST({bit} DIV 8 AS INT) + 1, 1)), 16, 10)"
+    return f"getbit(CAST({byte} AS BIGINT), CAST({bit} % 8 AS INT)) = 1"
+
+
+def filtered_relationship_check(
+    child: DataFrame, model: str, column: str, parent: DataFrame, parent_column: str
+) -> DataFrame:
+    """:func:`relationship_check` for children of which many have no parent.
+
+    A Bloom filter of the parents' keys, sized from their count (a job), goes
+    to every task that reads children.  Rows outside it are orphans at once and
+    are not shuffled; those inside take the exact join, so the count is exact.
+    Parents too many for a filter of ``MOST_BITMAPS`` take the plain check.
+    Where nearly every child has its parent, the plain check does less.
+    """
+    parents = parent.selectExpr(f"{parent_column} AS __p").where("__p IS NOT NULL")
+    bitmaps = max(1, -(-parents.count() * BITS_PER_KEY // BITMAP_BITS))
+    if bitmaps > MOST_BITMAPS:
+        return relationship_check(child, model, column, parent, parent_column)
+    keys = child.where(f"{column} IS NOT NULL").selectExpr(f"{column} AS __k", f"{_bitmap_sql(column, bitmaps)} AS __at")
+    held = F.broadcast(key_filter(parents, "__p", bitmaps))
+    inside = " AND ".join(["__bits IS NOT NULL", *(_set_sql(bit) for bit in _bits_sql("__k"))])
+    marked = keys.join(held, keys["__at"] == held["__bitmap"], "left").selectExpr("__k", f"{inside} AS __inside")
+    outside = marked.where("NOT __inside").selectExpr("count(1) AS n")
+    unsure = marked.where("__inside").groupBy("__k").count()
+    missing = unsure.join(parents, unsure["__k"] == parents["__p"], "left_anti").selectExpr("sum(count) AS n")
+    return _summary(outside.unionByName(missing), model, "relationships", column, "coalesce(sum(n), 0)")
+
+
 def reconcile(
     source: DataFrame,
     source_column: str,

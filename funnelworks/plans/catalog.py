@@ -235,6 +235,18 @@ def relationship_orphans_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.relationship_check(m.raw.leads, "leads", "converted_opportunity_id", m.stg_opportunities, "opportunity_id")
 
 
+def relationship_orphans_filtered_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same check with a filter of the opportunities' keys, and of leads
+    whose keys mostly name nothing."""
+    m = models(spark, sf_dir)
+    wrong = m.raw.leads.withColumn("converted_opportunity_id", F.expr("concat(converted_opportunity_id, right(lead_id, 1))"))
+    checks = [
+        Q.filtered_relationship_check(df, name, "converted_opportunity_id", m.stg_opportunities, "opportunity_id")
+        for name, df in (("leads", m.raw.leads), ("leads_renamed", wrong))
+    ]
+    return quality_suite.union_checks(checks)
+
+
 def unique_combination_found_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = models(spark, sf_dir)
     return quality_suite.union_checks(
@@ -377,6 +389,7 @@ QUERIES: dict[str, Query] = {
     "lead_join_hot_keys": lead_join_hot_keys_q,
     "accepted_values_found": accepted_values_found_q,
     "relationship_orphans": relationship_orphans_q,
+    "relationship_orphans_filtered": relationship_orphans_filtered_q,
     "unique_combination_found": unique_combination_found_q,
     "reconcile_found": reconcile_found_q,
     "uniqueness_found": uniqueness_found_q,

@@ -245,6 +245,15 @@ FROM raw_leads""",
         "leads", "relationships", "converted_opportunity_id",
         "raw_leads WHERE converted_opportunity_id NOT IN (SELECT opportunity_id FROM raw_opportunities)",
     ),
+    "relationship_orphans_filtered": _union(
+        [
+            _row("leads", "relationships", "converted_opportunity_id",
+                 "raw_leads WHERE converted_opportunity_id NOT IN (SELECT opportunity_id FROM raw_opportunities)"),
+            _row("leads_renamed", "relationships", "converted_opportunity_id",
+                 "(SELECT converted_opportunity_id || right(lead_id, 1) AS k FROM raw_leads) "
+                 "WHERE k NOT IN (SELECT opportunity_id FROM raw_opportunities)"),
+        ]
+    ),
     "unique_combination_found": _union(
         [
             _row("opportunities", "unique_combination_of_columns", "account_id,stage_name",

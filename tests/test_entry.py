@@ -41,6 +41,7 @@ def test_queries_and_oracles_cover_survey_keys():
         "unique_combination_violations", "reconcile_advertising", "reconcile_inbound", "reconcile_outbound",
         "uniqueness_found", "checks_while_written", "source_scan", "view_sink", "table_sink", "rollup_channel_economics",
         "rollup_stage_conversion", "rollup_loss_reasons", "rollup_activity_efficiency", "built_quality_summary", "bucketed_join",
+        "relationship_orphans_filtered",
     }
     assert pipelines | operators == keys
 

@@ -128,6 +128,41 @@ def test_uniqueness_checks_equal_single_ones_in_one_shuffle(spark):
     assert [r["violations"] for r in Q.uniqueness_checks(df.limit(0), "t", ["a"], [["a", "b"]]).collect()] == [0, 0]
 
 
+# -- relationships
+
+
+@pytest.mark.parametrize("most", [1 << 14, 3, 0])
+def test_filtered_relationship_check_is_exact(spark, monkeypatch, most):
+    """Sound children, orphans, nulls and a hot orphan; parents in one bitmap, in several, too many for any."""
+    monkeypatch.setattr(Q, "MOST_BITMAPS", most)
+    parents = spark.range(6000).selectExpr("concat('p', id) AS k").unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS k"))
+    child = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 5 = 0 THEN 'gone' ELSE concat('p', id) END AS c")
+    for few in (parents, parents.limit(1), parents.limit(0)):
+        few = stored(few, "parents")
+        same(Q.filtered_relationship_check(child, "t", "c", few, "k"), Q.relationship_check(child, "t", "c", few, "k"))
+    same(Q.filtered_relationship_check(child.limit(0), "t", "c", parents, "k"), Q.relationship_check(child.limit(0), "t", "c", parents, "k"))
+
+
+def test_filter_holds_every_key_and_few_others(spark):
+    keys = spark.range(20_000).selectExpr("concat('p', id) AS k")
+    held = Q.key_filter(keys, "k", 7)
+    asked = spark.range(40_000).selectExpr("concat('p', id) AS k", "id < 20000 AS own").withColumn("at", F.expr(Q._bitmap_sql("k", 7)))
+    inside = " AND ".join(Q._set_sql(bit) for bit in Q._bits_sql("k"))
+    told = asked.join(held, asked["at"] == held["__bitmap"]).groupBy("own").agg(F.expr(f"count_if({inside}) AS n")).collect()
+    n = {r["own"]: r["n"] for r in told}
+    assert n[True] == 20_000 and n[False] < 0.03 * 20_000
+
+
+def test_orphans_outside_the_filter_are_not_shuffled(spark):
+    """Orphans are told where they are read, by a join with the broadcast filter."""
+    parents = stored(spark.range(1000).selectExpr("concat('p', id) AS k"), "parents")
+    child = stored(spark.range(100_000).selectExpr("concat('x', id) AS c"), "child")
+    out = Q.filtered_relationship_check(child, "t", "c", parents, "k")
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString()
+    assert out.first()["violations"] == 100_000 and "BroadcastHashJoin" in final and "bitmap_construct_agg" in final
+
+
 # -- shares
 
 
