@@ -41,10 +41,12 @@ LEAKY = [
 
 @pytest.fixture(scope="module")
 def odd_dir(spark):
-    """All tables as files: documents, benchmark and conversations with odd rows and extra columns."""
+    """All tables as files, with odd rows and extra columns."""
     folder = tempfile.mkdtemp(prefix="funnelworks-test-odd-")
     docs = [(i * 3, t, "g", 1) for i, t in enumerate([*TEXTS, *LEAKY])]
     spark.createDataFrame(docs, "doc_id long, text string, position string, h int").write.parquet(f"{folder}/documents.parquet")
+    vectors = [(i // 2, [0.01 * ((i * j) % 19 - 9) for j in range(64)]) for i in range(50)] + [(None, [0.5] * 64), (7, None), (8, [0.5]), (9, [None] * 64)]
+    spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, embedding array<float>, x int").write.parquet(f"{folder}/embeddings.parquet")
     bench = [(9 - i, t, "w") for i, t in enumerate(BENCH)]
     spark.createDataFrame(bench, "item_id long, text string, values string").write.parquet(f"{folder}/benchmark.parquet")
     talk = [
@@ -77,7 +79,7 @@ def test_query_equals_its_oracle(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_odd_rows_equal_the_oracle(spark, odd_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{odd_dir}/{t}.parquet/*.parquet')")
     same_rows(spark, con, name, odd_dir)
 
