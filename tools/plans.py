@@ -26,6 +26,10 @@ DEFAULT = [
     "fct_loss_reason_analysis",
     "fct_channel_economics",
     "reconcile_advertising",
+    "rollup_stage_conversion",
+    "uniqueness_found",
+    "relationship_orphans_filtered",
+    "bucketed_join",
 ]
 
 
