@@ -12,8 +12,8 @@ that two documents share reaches to its full length both ways, and windows are
 joined on all their words with the least doc_id that has them; windows that
 overlap merge into maximal repeats.
 
-Everything moves packed, by groups of documents (a hash of the id, about
-``GROUP_BYTES`` of text each) and by ranges of hashes: a group sends each
+Everything moves packed, by groups of rows (a hash of id and text, about
+``GROUP_BYTES`` of text each; so rows without an id, or of one id, spread) and by ranges of hashes: a group sends each
 anchor or window once, however many of its documents hold it, so a passage that
 every document shares costs one entry per group, and no task gathers the
 documents of one key.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelworks.llm.common import table
-from funnelworks.llm.words import Words, column_words, inside_text, run_hashes
+from funnelworks.llm.words import Words, column_words, inside_text, mix, run_hashes
 
 LEAST = 13
 SEED = 5
@@ -68,7 +68,7 @@ def _window_anchors(block: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     while have < LEAST - SEED + 1:  # least of so many neighbours, doubling
         step = min(have, LEAST - SEED + 1 - have)
         least, have = np.minimum(least[:-step], least[step:]), have + step
-    return starts, doc, least[starts]
+    return starts, doc, mix(least[starts])  # least hashes are small: mixed, they fill their ranges evenly
 
 
 def _changes(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -241,7 +241,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     document repeats, joined by one space."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, ranges = 1 + size // GROUP_BYTES, 1 + size // RANGE_BYTES
-    group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")
+    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")
     grouped = docs.select(F.col("doc_id").cast("long"), "text", group.alias("g"))
     anchors = grouped.groupBy("g").applyInArrow(_anchors_of_group(ranges), "r int, g int, keys binary, shared binary")
     shared = anchors.groupBy("r").applyInArrow(_shared_anchors, "g int, keys binary")

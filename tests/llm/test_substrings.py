@@ -6,6 +6,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from funnelworks.llm import substrings
@@ -70,6 +72,31 @@ def test_odd_rows_and_many_groups(spark, monkeypatch):
     assert result(substrings.remove_repeats(docs)) == want
 
 
+def test_rows_without_an_id_spread(spark, monkeypatch):
+    """Rows of one id, or none, are dealt over the groups; anchors fill their ranges evenly."""
+    pick = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    passage = " ".join(pick.choice(words) for _ in range(30))
+    rows = [(pick.choice([None, None, 4]), " ".join(pick.choice(words) for _ in range(60)) + (passage if i % 3 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 8_000)
+    monkeypatch.setattr(substrings, "RANGE_BYTES", 16_000)
+    sizes, ranges = [], []
+    windows = substrings._windows_of_group
+
+    def counted(n):
+        ranges.append(n)
+        return windows(n)
+
+    monkeypatch.setattr(substrings, "_windows_of_group", counted)
+    done = substrings.remove_repeats(docs)
+    assert result(done) == brute(rows)
+    block = next(b for _, b in substrings._blocks(pa.chunked_array([pa.array([t for _, t in rows])])))
+    anchors = np.unique(substrings._window_anchors(block)[2])
+    sizes = [s.stop - s.start for _, s in substrings._by_range(anchors, 16)]
+    assert len(sizes) == 16 and max(sizes) < 2 * min(sizes) and ranges[0] > 5
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.remove_repeats(none).collect() == []
