@@ -7,13 +7,15 @@ a key.  Rows go to range partitions of the slots, one a shard, and become
 records of fixed stride: record r of shard s is slot s * per_shard + r, at byte
 r * stride, so a reader seeks to any step and reads on from there.
 
-The numbered sequences are stored once (``spark.checkpoint.dir``); their table
-fixes the numbering, and a lost task or a later run with the same key repeats
-the same slots.
+Numbers follow a total order (doc_id, a hash of the text, place in the text),
+whatever partitions the documents come in: the same documents and key give the
+same slots in any run.  The numbered sequences are stored once
+(``spark.checkpoint.dir``), so a lost task repeats its slots as well.
 
 Defined results: a null or empty text is one sequence of the end id; repeated
 rows are sequences of their own; an empty table gives no rows; extra columns
-are ignored; a null doc_id is kept as null.
+are ignored; a null doc_id is kept as null and comes first; an id that a record
+cannot hold (another vocabulary) is an error.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from funnelworks.llm.common import stored, table
 from funnelworks.llm.tokens import default_ranks_path, token_ids
+from funnelworks.llm.words import mix
 
 LENGTH = 512
 PER_SHARD = 16_384
@@ -42,13 +45,6 @@ RECORDS = "shard long, record long, slot long, doc_id long, seq long, n_tokens i
 SHARDS = "shard long, first_slot long, records long, bytes long, crc32 long, file string"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer (xor-shift and multiply)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def permute(numbers: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
     """The keyed permutation of 0..n-1, or its inverse.
 
@@ -64,9 +60,9 @@ def permute(numbers: np.ndarray, n: int, key: int, inverse: bool = False) -> np.
         left, right = x >> shift, x & low
         for k in reversed(keys) if inverse else keys:
             if inverse:
-                left, right = right ^ (_mix(left ^ k) & low), left
+                left, right = right ^ (mix(left ^ k) & low), left
             else:
-                left, right = right, left ^ (_mix(right ^ k) & low)
+                left, right = right, left ^ (mix(right ^ k) & low)
         return (left << shift) | right
 
     out = through(np.asarray(numbers, np.uint64))
@@ -75,6 +71,13 @@ def permute(numbers: np.ndarray, n: int, key: int, inverse: bool = False) -> np.
     return out.astype(np.int64)
 
 
+def fitting(ids: np.ndarray) -> np.ndarray:
+    """The ids in a record's type; an error where one does not fit."""
+    if len(ids) and ids.max() > np.iinfo(ID_TYPE).max:
+        raise ValueError(f"token id {ids.max()} does not fit in {ID_TYPE.itemsize} bytes")
+    return ids.astype(ID_TYPE)
+
+
 def sequences(docs: DataFrame, ranks: str | None = None, length: int = LENGTH) -> DataFrame:
     """doc_id, seq, n_tokens, ids: each document's ids, closed by the end id, cut every ``length``."""
     path = ranks or default_ranks_path()
@@ -83,7 +86,7 @@ def sequences(docs: DataFrame, ranks: str | None = None, length: int = LENGTH) -
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = token_ids(text.as_py(), path).astype(ID_TYPE)
+                ids = fitting(token_ids(text.as_py(), path))
                 for k, at in enumerate(range(0, len(ids), length)):
                     part = ids[at : at + length]
                     rows.append((doc_id, k, len(part), part.tobytes()))
@@ -101,7 +104,10 @@ def in_training_order(
 ) -> DataFrame:
     """One row per record, dealt by shard and sorted by slot within it."""
     spark = docs.sparkSession
-    rows = sequences(docs, ranks, length).withColumn("at", F.monotonically_increasing_id())
+    # ranges of the total order, each sorted: a sequence's place follows from the order alone
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit("")))]
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = sequences(ordered, ranks, length).withColumn("at", F.monotonically_increasing_id())
     numbered = stored(rows, "sequences", compression="zstd")
     part = F.shiftright("at", 33).alias("part")
     sizes = sorted((r["part"], r["n"]) for r in numbered.groupBy(part).agg(F.count("*").alias("n")).collect())

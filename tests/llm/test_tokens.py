@@ -99,6 +99,19 @@ def test_permutation_is_a_bijection(n):
         assert np.abs(np.corrcoef(numbers, training_order.permute(numbers, n, 7))[0, 1]) < 0.1
 
 
+def test_slots_do_not_depend_on_the_partitions(spark, odd):
+    more = odd.unionByName(spark.createDataFrame([(i % 7, f"text {i} " * (i % 40), "x") for i in range(200)], odd.schema))
+    rows = lambda docs: sorted((r["slot"], r["doc_id"], r["seq"], bytes(r["bytes"])) for r in training_order.in_training_order(docs, 5, length=16).fillna(-1, ["doc_id"]).collect())
+    first = rows(more)
+    assert rows(more.repartition(3)) == first and rows(more.coalesce(1)) == first and rows(more.repartition(11, "text")) == first
+
+
+def test_ids_that_do_not_fit_are_an_error():
+    assert training_order.fitting(np.array([0, 65_535], np.uint32)).tolist() == [0, 65_535]
+    with pytest.raises(ValueError):
+        training_order.fitting(np.array([65_536], np.uint32))
+
+
 def test_training_order_round_trip(odd, reference):
     records = training_order.in_training_order(odd, key=5, length=16, per_shard=100).cache()
     rows = sorted(records.collect(), key=lambda r: r["slot"])
