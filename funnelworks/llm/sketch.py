@@ -17,9 +17,10 @@ or ``8`` (one in eight).  Equal texts have equal fingerprints.
 
 Defined results: a null text counts as empty and has the fingerprint ``1:``;
 the likeness of two empty sketches is 1 when the fingerprints are equal and 0
-otherwise; rows that agree in doc_id and text are returned once; rows with
-equal doc_id are ordered by a hash of their text; a null doc_id sorts first; an
-empty table gives no rows; extra columns are ignored.
+otherwise; repeated rows are returned each; rows with equal doc_id are ordered
+by the MD5 of their text, so of a repeated row's copies each but the last has the
+same text next; a null doc_id sorts first; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,9 +101,11 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Each distinct (doc_id, text) with the head and fingerprint of the next
-    document in ascending doc_id (after the last: the first): doc_id, text,
-    head (its first floor(n_chars / 4) code points are asked for), next_print.
+    """The documents with the head and fingerprint of the next one in ascending
+    doc_id (after the last: the first): doc_id, text, head (as many code points
+    as asked for), next_print, copies (how many rows this one stands for).  A
+    repeated row gives two: its last copy, and the ones before it, whose next
+    one is a copy again (next_print is null: the text's own).
 
     Only ids and lengths are sorted.  The texts are dealt once, by key; what a
     document's predecessor needs of it (a quarter text and a sketch) moves to it.
@@ -110,7 +113,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     keyed = docs.select(
         "doc_id",
         F.coalesce("doc_id", F.lit(0)).alias("k"),
-        F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))).alias("tie"),
+        F.concat(F.when(F.col("doc_id").isNull(), "-").otherwise("+"), F.md5(F.coalesce("text", F.lit("")))).alias("tie"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     rows = keyed.groupBy("doc_id", "k", "tie").agg(F.floor(F.first(F.length("text")) / 4).cast("int").alias("quarter"))
@@ -122,7 +125,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.struct("doc_id", "k", "tie", "quarter").alias("prev"),
     )
     links = after.join(before, "position").select("k", "tie", "prev")
-    texts = keyed.groupBy("k", "tie").agg(F.first("text").alias("text"))
+    texts = keyed.groupBy("k", "tie").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     sent = texts.join(links, ["k", "tie"]).select(
         F.col("prev.k").alias("k"),
         F.col("prev.tie").alias("tie"),
@@ -130,7 +133,19 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.substring("text", F.lit(1), F.col("prev.quarter")).alias("head"),
         fingerprint(sketch(F.col("text"))).alias("next_print"),
     )
-    return texts.join(sent, ["k", "tie"]).select("doc_id", "text", "head", "next_print")
+    last = F.struct("head", "next_print", F.lit(1).cast("long").alias("copies"))
+    own_head = F.substring("text", F.lit(1), F.floor(F.length("text") / 4).cast("int"))
+    earlier = F.struct(own_head.alias("head"), F.lit(None).cast("string").alias("next_print"), (F.col("n") - 1).alias("copies"))
+    ways = F.when(F.col("n") > 1, F.array(last, earlier)).otherwise(F.array(last))
+    return texts.join(sent, ["k", "tie"]).select("doc_id", "text", F.explode(ways).alias("way")).select("doc_id", "text", "way.*")
+
+
+def each_copy(rows: DataFrame) -> DataFrame:
+    """Every row as often as its column ``copies`` says, in lists of bounded length."""
+    step = 1 << 16
+    parts = rows.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(step).cast("long"))))
+    left = F.least(F.col("copies") - F.col("_from"), F.lit(step)).cast("int")
+    return parts.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), left))).drop("_from", "_copy", "copies")
 
 
 def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,11 +161,13 @@ def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
             sketch(F.col("text")).alias("own"),
             sketch(F.col("edited")).alias("changed"),
             "next_print",
+            "copies",
         )
-        .withColumn("next", parse(F.col("next_print")))
+        .withColumn("next", F.when(F.col("next_print").isNull(), F.col("own")).otherwise(parse(F.col("next_print"))))
     )
     own, changed, nxt = F.col("own"), F.col("changed"), F.col("next")
-    return prints.select(
+    done = prints.select(
+        "copies",
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -160,30 +177,31 @@ def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(own, nxt).alias("near_next"),
         containment(own, nxt).alias("held_by_next"),
     )
+    return each_copy(done)
 
 
 def _sql_sketch(name: str, text: str) -> str:
     """CTEs that add ``<name>_all`` (hashes) and ``<name>`` (kept, sorted) for a text column."""
     return f"""
-{name}_words AS (SELECT doc_id, list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM docs),
-{name}_all AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE
+{name}_words AS (SELECT r, list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM docs),
+{name}_all AS (SELECT r, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE
     list_transform(range(1, greatest(len(w) - {WORDS - 1}, 1) + 1),
                    lambda i: substr(md5(array_to_string(w[i:i + {WORDS - 1}], ' ')), 1, {DIGITS})) END AS h FROM {name}_words),
-{name} AS (SELECT doc_id, len(h) <= {DENSE} AS dense, list_sort(list_distinct(
+{name} AS (SELECT r, len(h) <= {DENSE} AS dense, list_sort(list_distinct(
     CASE WHEN len(h) <= {DENSE} THEN h ELSE list_filter(h, lambda x: x < '{BELOW}') END)) AS h FROM {name}_all)"""
 
 
 OP2_SQL = f"""
 WITH docs AS (
-  SELECT doc_id, text, n, quarter, substr(text, 1, n - quarter) || substr(next_text, 1, quarter) AS edited, next_id
-  FROM (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, length(coalesce(text, '')) // 4 AS quarter,
-               coalesce(lead(coalesce(text, '')) OVER o, first(coalesce(text, '')) OVER o) AS next_text,
-               coalesce(lead(doc_id) OVER o, first(doc_id) OVER o) AS next_id
-        FROM documents WINDOW o AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+  SELECT r, doc_id, text, n, quarter, substr(text, 1, n - quarter) || substr(next_text, 1, quarter) AS edited, next_r
+  FROM (SELECT r, doc_id, text, length(text) AS n, length(text) // 4 AS quarter,
+               coalesce(lead(text) OVER o, first(text) OVER o) AS next_text, coalesce(lead(r) OVER o, first(r) OVER o) AS next_r
+        FROM (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)
+        WINDOW o AS (ORDER BY doc_id NULLS FIRST, md5(text), r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 ), {_sql_sketch("own", "text")}, {_sql_sketch("changed", "edited")},
 sides AS (
   SELECT d.doc_id, d.n, d.edited, o.dense AS od, o.h AS oh, c.dense AS cd, c.h AS ch, x.dense AS xd, x.h AS xh
-  FROM docs d JOIN own o USING (doc_id) JOIN changed c USING (doc_id) JOIN own x ON x.doc_id = d.next_id
+  FROM docs d JOIN own o USING (r) JOIN changed c USING (r) JOIN own x ON x.r = d.next_r
 ), cut AS (
   SELECT *, CASE WHEN od AND cd OR NOT od THEN oh ELSE list_filter(oh, lambda v: v < '{BELOW}') END AS o1,
             CASE WHEN od AND cd OR NOT cd THEN ch ELSE list_filter(ch, lambda v: v < '{BELOW}') END AS c1,
