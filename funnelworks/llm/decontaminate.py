@@ -9,16 +9,21 @@ some benchmark window, can match, so only those are built.  The symbols are
 compared exactly, and the values in
 the slots checked: each benchmark value has to stand for one document value and
 the other way round, so a question with other numbers and names is caught and a
-chance template is not.  A window in which placeholders outnumber words counts
-only with the very same values.
-
-An item of ``LEAST`` to ``WINDOW`` - 1 tokens is one window of its own length;
-shorter items cannot identify a text and are ignored.  Copies of an item are
-one item, named by the least item_id.
-
-Defined results: a null text has no tokens; an empty benchmark or table gives no
-rows; rows that share a doc_id (or have none) count together, and repeated rows
-once; extra columns are ignored.
+chance template is not.  That holds when both windows have the same slot pattern
+(which slots are equal to which), so benchmark windows of one template and
+pattern are one row to join with, named by the least item_id: a document window
+meets at most one template, however many items were made from it
+(``template_items`` lists them).  A window in which placeholders outnumber words
+counts only with the very same values, whatever its symbols.
+
+A window counts for the item whose very values it has (of several the least
+item_id), else for its template's.  An item of fewer than ``WINDOW`` tokens is one window of its
+own length; with fewer than ``LEAST`` tokens it counts with its very values only.
+
+Defined results: a null text has no tokens, and an item without tokens matches
+nothing; an empty benchmark or table gives no rows; rows that share a doc_id (or
+have none) count together, and repeated rows once; items without an id are named
+by null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +35,10 @@ from funnelworks.llm.common import stored, table
 
 WINDOW = 13
 LEAST = 5
-#: Benchmark windows and seeds up to this many rows are broadcast (a row takes
-#: under 500 bytes); more are joined by shuffle.  The rows found are the same.
+#: Benchmark windows and seeds up to this many rows, and bytes of their tokens,
+#: are broadcast; more are joined by shuffle.  The rows found are the same.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 TOKEN = r"\p{L}+|[0-9]+(?:[.,][0-9]+)*"
 UNITS = (
@@ -75,13 +81,13 @@ def template(toks: Column, before: Column | None = None) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n, h, symbols, values and seed (token and its place) of the benchmark's windows."""
+    """item_id, n, symbols, values and seed (token and its place) of the benchmark's windows."""
     items = (
         benchmark.select("item_id", tokens(F.col("text")).alias("values"))
         .groupBy("values").agg(F.min("item_id").alias("item_id"))
         .withColumn("symbols", template(F.col("values")))
         .withColumn("n", F.least(F.size("values"), F.lit(WINDOW)))
-        .where(F.col("n") >= LEAST)
+        .where(F.col("n") > 0)
     )
     starts = items.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("values") - F.col("n") + 1)))
     windows = starts.select(
@@ -89,31 +95,62 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         "n",
         F.slice("symbols", F.col("i"), F.col("n")).alias("b_symbols"),
         F.slice("values", F.col("i"), F.col("n")).alias("b_values"),
-    ).dropDuplicates(["item_id", "b_values"])
+    ).dropDuplicates(["item_id", "b_symbols", "b_values"])
     # a window of placeholders counts only with its own values, so any of them can be the seed
     placed = F.transform(
         "b_values",
         lambda v, j: F.struct((~_is_slot(F.get("b_symbols", j))).alias("word"), F.length(v).alias("chars"), v.alias("token"), j.alias("at")),
     )
-    return windows.withColumn("h", F.xxhash64("b_symbols")).withColumn("seed", F.array_max(placed))
+    return windows.withColumn("seed", F.array_max(placed))
 
 
 def _is_slot(symbol: Column) -> Column:
     return symbol.isin(NUMBER, NAME, UNIT)
 
 
+def _slots(symbols: Column, values: Column) -> Column:
+    """The values in a window's slots, in order."""
+    return F.filter(values, lambda v, j: _is_slot(F.get(symbols, j)))
+
+
+def _pattern(slots: Column) -> Column:
+    """For each slot the place of the first slot with its value."""
+    return F.transform(slots, lambda v: F.array_position(slots, v).cast("int"))
+
+
+def _templates(windows: DataFrame) -> DataFrame:
+    """item_id, n, b_symbols, b_pattern of the windows that count as templates."""
+    slots = _slots(F.col("b_symbols"), F.col("b_values"))
+    able = windows.where(F.col("n") >= LEAST).withColumn("slots", slots).where(F.size("slots") * 2 <= F.col("n"))
+    return able.select("item_id", "n", "b_symbols", _pattern(F.col("slots")).alias("b_pattern"))
+
+
+def template_items(benchmark: DataFrame) -> DataFrame:
+    """Which items share a template: template (the least item_id, as ``matches``
+    names it), n, symbols, pattern, item_id; a row for each item."""
+    each = _templates(benchmark_windows(benchmark)).distinct()
+    named = each.groupBy("n", "b_symbols", "b_pattern").agg(F.min("item_id").alias("template"))
+    return each.join(named, ["n", "b_symbols", "b_pattern"]).select(
+        "template", "n", F.col("b_symbols").alias("symbols"), F.col("b_pattern").alias("pattern"), "item_id"
+    )
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every consistent window: doc_id, text_key, item_id, i, exact."""
+    """Every consistent window, once: doc_id, text_key, item_id, n, i, exact."""
     wanted = stored(benchmark_windows(benchmark), "benchmark-windows")
-    small = wanted.count() <= BROADCAST_ROWS
+    sizes = wanted.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.array_join("b_values", " "))).alias("bytes")).first()
+    small = sizes["rows"] <= BROADCAST_ROWS and (sizes["bytes"] or 0) <= BROADCAST_BYTES
     seeds = wanted.select(F.col("seed.token").alias("token"), F.col("seed.at").alias("seed_at"), "n").distinct()
-    windows = wanted.drop("seed")
+    templates = _templates(wanted).groupBy("n", "b_symbols", "b_pattern").agg(F.min("item_id").alias("t_item"))
+    templates = templates.withColumn("t_h", F.xxhash64("b_symbols", "b_pattern")).withColumnRenamed("n", "t_n")
+    same_values = wanted.groupBy("n", "b_values").agg(F.min("item_id").alias("e_item"))
+    same_values = same_values.withColumn("e_h", F.xxhash64("b_values")).withColumnRenamed("n", "e_n")
     read = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), tokens(F.col("text")).alias("toks"))
     # explode_outer and eqNullSafe keep the optimizer from testing whole token
     # lists for null or emptiness, which would build them twice
     if small:
         met = read.select("*", F.posexplode_outer("toks").alias("at", "token")).join(F.broadcast(seeds), "token")
-        windows = F.broadcast(windows)
+        templates, same_values = F.broadcast(templates), F.broadcast(same_values)
     else:
         # places move without the texts, and meet them again by key
         places = read.select("doc_id", "text_key", F.posexplode_outer("toks").alias("at", "token")).join(seeds, "token")
@@ -126,28 +163,28 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .where((F.col("i") >= 0) & (F.col("i") + F.col("n") <= F.size("toks")))
         .select("doc_id", "text_key", "i", "n", F.get("toks", F.col("i") - 1).alias("before"), F.slice("toks", F.greatest(F.col("i") + 1, F.lit(1)), F.col("n")).alias("values"))
     )
-    built = cut.withColumn("symbols", template(F.col("values"), F.col("before"))).withColumn("h", F.xxhash64("symbols"))
-    hits = built.join(windows, ["n", "h"])
-    slots = F.filter(
-        F.transform("symbols", lambda s, j: F.when(_is_slot(s), F.struct(F.get("b_values", j).alias("b"), F.get("values", j).alias("d")))),
-        lambda p: p.isNotNull(),
+    built = (
+        cut.withColumn("symbols", template(F.col("values"), F.col("before")))
+        .withColumn("pattern", _pattern(_slots(F.col("symbols"), F.col("values"))))
+        .withColumn("h", F.xxhash64("symbols", "pattern"))
+        .withColumn("vh", F.xxhash64("values"))
+    )
+    same_template = (
+        (F.col("n") == F.col("t_n")) & (F.col("h") == F.col("t_h"))
+        & F.col("symbols").eqNullSafe(F.col("b_symbols")) & F.col("pattern").eqNullSafe(F.col("b_pattern"))
     )
-    pairs = F.size(F.array_distinct("slots"))
-    one_to_one = (pairs == F.size(F.array_distinct("slots.b"))) & (pairs == F.size(F.array_distinct("slots.d")))
-    exact = F.col("values") == F.col("b_values")
-    mostly_words = F.size("slots") * 2 <= F.col("n")
+    same = (F.col("n") == F.col("e_n")) & (F.col("vh") == F.col("e_h")) & F.col("values").eqNullSafe(F.col("b_values"))
     return (
-        hits.where(F.col("symbols").eqNullSafe(F.col("b_symbols")))
-        .withColumn("slots", slots)
-        .where(exact | (one_to_one & mostly_words))
-        .select("doc_id", "text_key", "item_id", "i", exact.alias("exact"))
+        built.join(templates, same_template, "left").join(same_values, same, "left")
+        .where(F.col("t_n").isNotNull() | F.col("e_n").isNotNull())
+        .select("doc_id", "text_key", F.when(F.col("e_n").isNotNull(), F.col("e_item")).otherwise(F.col("t_item")).alias("item_id"), "n", "i", F.col("e_n").isNotNull().alias("exact"))
         .distinct()
     )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold a benchmark item: doc_id, item_id, windows found and
-    how many of them have the item's own values."""
+    """Documents that hold a benchmark item: doc_id, item_id (of the item or its
+    template), windows found and how many of them have the item's own values."""
     return matches(docs, benchmark).groupBy("doc_id", "item_id").agg(
         F.count("*").alias("n_windows"), F.count(F.when(F.col("exact"), 1)).alias("n_exact")
     )
@@ -170,27 +207,36 @@ _SYMBOLS_SQL = f"""list_transform(v, lambda t, i: CASE WHEN t < 'A' THEN '{NUMBE
     WHEN substr(t, 1, 1) <> lower(substr(t, 1, 1)) THEN '{NAME}'
     WHEN t IN ({_UNITS_SQL}) AND i > 1 AND v[i - 1] < 'A' THEN '{UNIT}' ELSE t END)"""
 
+_SLOTS_SQL = f"""list_filter(list_transform(range(1, {{n}} + 1), lambda j: CASE WHEN {{s}}[j] IN ('{NUMBER}', '{NAME}', '{UNIT}') THEN {{v}}[j] END),
+    lambda x: x IS NOT NULL)"""
+
 OP7_SQL = rf"""
 WITH items AS (
   SELECT v, min(item_id) AS item_id FROM (SELECT item_id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS v FROM benchmark) GROUP BY v
-), item_symbols AS (SELECT item_id, v, {_SYMBOLS_SQL} AS s, least(len(v), {WINDOW}) AS n FROM items WHERE len(v) >= {LEAST}),
+), item_symbols AS (SELECT item_id, v, {_SYMBOLS_SQL} AS s, least(len(v), {WINDOW}) AS n FROM items WHERE len(v) > 0),
 bench AS (
   SELECT DISTINCT item_id, n, s[i:i + n - 1] AS bs, v[i:i + n - 1] AS bv
   FROM item_symbols, unnest(range(1, len(v) - n + 2)) u(i)
-), sizes AS (SELECT DISTINCT n FROM bench),
-docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS v FROM documents),
+), bench_slots AS (SELECT *, {_SLOTS_SQL.format(n="n", s="bs", v="bv")} AS sv FROM bench),
+templates AS (
+  SELECT n, bs, list_transform(sv, lambda x: list_position(sv, x)) AS bp, min(item_id) AS t_item, true AS is_template
+  FROM bench_slots WHERE n >= {LEAST} AND 2 * len(sv) <= n GROUP BY n, bs, bp
+), same_values AS (SELECT n, bv, min(item_id) AS e_item, true AS is_exact FROM bench GROUP BY n, bv),
+sizes AS (SELECT DISTINCT n FROM bench),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '{TOKEN}') AS v FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
 doc_symbols AS (SELECT r, doc_id, v, {_SYMBOLS_SQL} AS s FROM docs),
 wins AS (
   SELECT r, doc_id, n, i, s[i:i + n - 1] AS ds, v[i:i + n - 1] AS dv
   FROM doc_symbols, sizes, unnest(range(1, len(v) - n + 2)) u(i)
-), hits AS (
-  SELECT r, doc_id, item_id, wins.n, i, bv, dv, ds, row_number() OVER () AS hit FROM wins JOIN bench ON wins.n = bench.n AND ds = bs
-), slots AS (
-  SELECT hit, count(*) AS k, count(DISTINCT bv[j] || chr(10) || dv[j]) AS pairs, count(DISTINCT bv[j]) AS b, count(DISTINCT dv[j]) AS d
-  FROM hits, unnest(range(1, n + 1)) u(j) WHERE ds[j] IN ('{NUMBER}', '{NAME}', '{UNIT}') GROUP BY hit
+), met AS (  -- windows with a template's symbols, before their slots are compared
+  SELECT w.*, {_SLOTS_SQL.format(n="w.n", s="ds", v="dv")} AS sv
+  FROM wins w SEMI JOIN templates t ON w.n = t.n AND ds = bs
+), by_template AS (
+  SELECT r, doc_id, met.n, i, t_item FROM met JOIN templates t ON met.n = t.n AND ds = bs AND list_transform(sv, lambda x: list_position(sv, x)) = bp
+), by_values AS (
+  SELECT r, doc_id, wins.n, i, e_item, is_exact FROM wins JOIN same_values e ON wins.n = e.n AND dv = bv
 )
-SELECT doc_id, item_id, count(*) AS n_windows, count(*) FILTER (WHERE bv = dv) AS n_exact
-FROM hits LEFT JOIN slots USING (hit)
-WHERE bv = dv OR (coalesce(pairs = b AND pairs = d, true) AND coalesce(k, 0) * 2 <= n)
-GROUP BY doc_id, item_id
+SELECT coalesce(t.doc_id, e.doc_id) AS doc_id, CASE WHEN is_exact THEN e_item ELSE t_item END AS item_id, count(*) AS n_windows, count(is_exact) AS n_exact
+FROM by_template t FULL JOIN by_values e USING (r, n, i)
+GROUP BY ALL
 """

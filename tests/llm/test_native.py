@@ -192,6 +192,10 @@ def test_sketch_order_with_ties_and_nulls(spark, monkeypatch):
     rows = [(None, "null id " * 9), (5, "first of five " * 8), (5, "second of five " * 8), (-3, "negative " * 9), (5, "first of five " * 8), (10**15, "far " * 9)]
     docs = spark.createDataFrame([(d, t, "h") for d, t in rows], "doc_id long, text string, head string")
     got = sketch.with_next(docs).collect()
+    assert sum(r["copies"] for r in got) == len(rows)
+    again = [r for r in got if r["next_print"] is None]  # a repeated row: its first copy has its second one next
+    assert [(r["doc_id"], r["text"], r["head"], r["copies"]) for r in again] == [(5, rows[1][1], rows[1][1][: len(rows[1][1]) // 4], 1)]
+    got = [r for r in got if r["next_print"] is not None]
     assert len(got) == 5
     heads = {r["text"]: (len(r["text"]) // 4, r["head"]) for r in got}
     n, head = heads["null id " * 9]
@@ -205,6 +209,22 @@ def test_sketch_order_with_ties_and_nulls(spark, monkeypatch):
     assert sketch.with_next(docs.where("false")).collect() == []
 
 
+def test_sketch_repeated_rows_equal_the_oracle(spark):
+    folder = tempfile.mkdtemp(prefix="funnelworks-test-sketch-")
+    texts = ["a b c d e f g " * 9, "other words here " * 200, "", None, "third text of a tie"]
+    rows = [(d, t) for d in (None, 5, 5, 6) for t in texts] + [(7, texts[0])] * 40 + [(None, texts[1])] * 3 + [(8, "é👍 x " * 50)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    assert same_rows(spark, con, "op2_scaled_sketch", folder).count() == len(rows)
+
+
+def test_each_copy_over_several_lists(spark):
+    rows = spark.createDataFrame([("a", (1 << 16) + 3), ("b", 1), ("c", 1 << 16)], "x string, copies long")
+    got = {r["x"]: r["count"] for r in sketch.each_copy(rows).groupBy("x").count().collect()}
+    assert got == {"a": (1 << 16) + 3, "b": 1, "c": 1 << 16}
+
+
 # -- decontamination
 
 
@@ -223,6 +243,38 @@ def test_template_slots(spark, odd_dir, monkeypatch):
     assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == want
 
 
+def test_items_of_one_template_are_one_row(spark):
+    """300 items of a template against 300 documents of it: rows by document, not by pair."""
+    ask = "If {} buys {} kg of apples for {} dollars and gives {} of them away how many are left".format
+    bench = spark.createDataFrame([(i, ask("Anna", i, 1000 + i, 2000 + i)) for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, ask("Tom", 5000 + d, 6000 + d, 7000 + d)) for d in range(300)] + [(300, ask("Anna", 7, 1007, 2007))], "doc_id long, text string")
+    rows = decontaminate.contaminated(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["doc_id"] < 300} == {(d, 0) for d in range(300)}
+    assert {(r["item_id"], r["n_exact"] == r["n_windows"]) for r in rows if r["doc_id"] == 300} == {(7, True)}
+    assert len(rows) == 301
+    items = decontaminate.template_items(bench)
+    assert {r["template"] for r in items.collect()} == {0} and items.select("item_id").distinct().count() == 300
+
+
+def test_short_items_by_their_values(spark):
+    bench = spark.createDataFrame([(1, "Who was Rosa Parks?"), (2, "kg of tea"), (3, None), (4, "?!")], "item_id long, text string")
+    texts = ["so: Who was Rosa Parks", "Who was Rosa Luxemburg", "buy 3 kg of tea now", "who was rosa parks", "? !", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == [(0, 1, 1, 1), (2, 2, 1, 1)]
+
+
+def test_template_repeated_rows_equal_the_oracle(spark):
+    folder = tempfile.mkdtemp(prefix="funnelworks-test-windows-")
+    docs = [(d, t) for d in (None, 1, 1, 2) for t in [*LEAKY, None, "Who was Rosa Parks?"]]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    items = [*enumerate(BENCH), (None, BENCH[1]), (None, "Who was Rosa Parks?"), (50, LEAKY[0][7:-5]), (51, BENCH[0])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    assert same_rows(spark, con, "op7_template_windows", folder).count() > 10
+
+
 def test_template_repeated_rows_and_null_ids(spark):
     bench = spark.createDataFrame([(1, BENCH[0])], "item_id long, text string")
     docs = spark.createDataFrame([(None, BENCH[0]), (None, "fine"), (1, BENCH[0]), (1, BENCH[0]), (1, "other text")], "doc_id long, text string")
