@@ -116,20 +116,21 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.concat(F.when(F.col("doc_id").isNull(), "-").otherwise("+"), F.md5(F.coalesce("text", F.lit("")))).alias("tie"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows = keyed.groupBy("doc_id", "k", "tie").agg(F.floor(F.first(F.length("text")) / 4).cast("int").alias("quarter"))
+    rows = keyed.groupBy("doc_id", "k", "tie").agg(F.floor(F.first(F.length("text")) / 4).cast("int").alias("quarter"), F.count("*").alias("n"))
     placed = with_position(rows, F.col("doc_id").asc_nulls_first(), F.col("tie"), name="doc-order")
     count = placed.count()
     after = placed.select("k", "tie", "position")
     before = placed.select(
         ((F.col("position") + 1) % F.lit(max(count, 1))).alias("position"),
-        F.struct("doc_id", "k", "tie", "quarter").alias("prev"),
+        F.struct("doc_id", "k", "tie", "quarter", "n").alias("prev"),
     )
     links = after.join(before, "position").select("k", "tie", "prev")
-    texts = keyed.groupBy("k", "tie").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    texts = keyed.groupBy("k", "tie").agg(F.first("text").alias("text"))
     sent = texts.join(links, ["k", "tie"]).select(
         F.col("prev.k").alias("k"),
         F.col("prev.tie").alias("tie"),
         F.col("prev.doc_id").alias("doc_id"),
+        F.col("prev.n").alias("n"),
         F.substring("text", F.lit(1), F.col("prev.quarter")).alias("head"),
         fingerprint(sketch(F.col("text"))).alias("next_print"),
     )
