@@ -9,23 +9,29 @@ site style tree:
 * presentation importance of a node: the entropy of its styles, to the base of
   its instances, so a layout that never varies has none;
 * content importance: 1 - ln k / ln m, averaged over its blocks, where k of the
-  host's m pages have the block: what every page says has none;
+  host's m pages have the block: what every page says has none; times the part
+  of the node's text on the host that is not in links, so outside an article a
+  list of links has none either, whatever it says (headings may be links);
 * composite importance: (1 - g**l) * presentation + g**l * the children's mean
   (``DAMPING`` g, l styles); a node without element children has its content
   importance.  A node whose tag, class, id or role names page furniture (menu,
   header, footer, sidebar, notice, advert, form, reader comments ...) has none.
 
-Branches below ``LEAST_IMPORTANCE`` go, on hosts of ``LEAST_PAGES`` pages or
-more; furniture by name goes on every host.  Plain text elements (paragraphs,
+Branches below ``LEAST_IMPORTANCE`` go, from two different pages of a host on;
+inside an article below that times 1 - 2/m, as few articles repeat a passage by
+chance.  Furniture by name goes on every host: a class or id names furniture when
+all its words do, apart from those for a place (``site-nav``) or a box
+(``comment-list``), so ``related-work`` is none.  Plain text elements (paragraphs,
 headings, lists ...) inside an article are never judged on their own, so a line
 that many articles repeat stays.  Pages of a host with the same paths, styles
 and blocks count once, however often they occur.  Where a page marks its article
 (``article``, ``main``) the text is taken from there alone: from the main element
 where that has text of its own beside articles (and no less than the articles
-outside it), else from the articles.  Inside an article only the classes of
-containers tell furniture, as names of headings, paragraphs and sections there
-are anchors.  Low branches that hold most of an article's text, or all but its
-headings, stay.  If the tree leaves a page nothing, its branches come back.
+outside it), else from the articles.  Inside an article ids are mostly anchors and
+plain elements mostly text: there ids and classes of plain elements tell furniture
+by fewer names, and headings never do.  Low branches that hold most of an article's
+text, or all but its headings, stay.  If the tree leaves a page nothing, or nothing
+but headings, its branches come back.
 
 White space inside a block becomes one space, blocks are joined by one line
 feed, character references are decoded; nothing else is changed.
@@ -53,15 +59,15 @@ from pyspark.sql import functions as F
 from funnelworks.llm.common import stored, table
 
 LEAST_IMPORTANCE = 0.3
-LEAST_PAGES = 8
 #: An article of which the low branches are more than this part keeps them.
 MOST = 0.6
 DAMPING = 0.9
 #: Elements nested deeper become siblings, as in browsers.
 DEPTH = 512
-#: Noise paths of up to this many hosts are broadcast (some hundred bytes a
-#: host); more are joined by shuffle.  The texts are the same.
+#: Noise paths of up to this many hosts and characters are broadcast; more are
+#: joined by shuffle.  The texts are the same.
 BROADCAST_HOSTS = 50_000
+BROADCAST_CHARS = 8 << 20
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -85,13 +91,25 @@ CLOSED_BY = {
 }
 #: An implied end does not reach past these.
 SCOPES = frozenset("table ul ol dl select article section div body main aside nav header footer form".split())
-FURNITURE_TAGS = frozenset("head nav footer aside form button select input dialog menu svg canvas object".split()) | RAW
+FURNITURE_TAGS = frozenset("head nav footer aside form button select input dialog menu svg canvas object template".split()) | RAW
 FURNITURE_NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead ad ads advert adverts advertisement "
     "advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal "
     "overlay comment comments respond disqus share sharing social related recommended newsletter subscribe subscription "
-    "login signup search pagination pager toolbar widget skip".split()
+    "login signup search pagination pager toolbar widget skip skiplink".split()
 )
+#: Words beside a furniture name: for a place on the page, or for a box, list or link.
+PLACES = frozenset("site main top bottom left right primary secondary page global header post article user reader mobile sticky wp".split())
+BOXES = frozenset(
+    "list box links link bar block section area container wrapper wrap slot item items unit panel form button buttons "
+    "group inner thread posts articles stories".split()
+)
+#: What names furniture inside an article, too: classes of plain elements, ids.
+TEXT_CLASSES = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar ad ads advert adverts advertisement advertising sponsor "
+    "sponsored comment comments respond disqus share sharing newsletter pagination".split()
+)
+TEXT_IDS = frozenset("breadcrumb breadcrumbs sidebar ad ads advert adverts advertisement comment comments respond disqus".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: Furniture outside an article only: an article's own header holds its title.
 OUTER_NAMES = frozenset(["header", "topbar", "hero"])
@@ -104,8 +122,26 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAMES = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
+_HASH = re.compile(r"(?<![^_-])(?=[^_-]*\d)[^_-]{5,}(?![^_-])")
+
+
+def names(given: str, places: frozenset[str] = PLACES) -> Iterator[frozenset[str]]:
+    """Of each class or id that is there, what it names, without words for places
+    and boxes; ``skip`` needs a link or menu beside it."""
+    for token in given.split():
+        found = [w.lower() for w in _WORDS.findall(token) if len(w) > 1]
+        left = frozenset(found) - places - BOXES
+        if left == {"skip"} and len(found) > 1 and not {"link", "links", "main"} & set(found):
+            continue
+        if left:
+            yield left
+
+
+def label(tag: str, classes: str) -> str:
+    """Tag and class names; numbers and hashes in them are folded."""
+    return ".".join([tag, *sorted({_DIGITS.sub("0", _HASH.sub("0", c)) for c in classes.split()})])
 
 
 class Node:
@@ -119,20 +155,30 @@ class Node:
         self.furniture, self.label = tag in FURNITURE_TAGS, tag
         if rest.strip(" \t\r\n/"):
             given = {k.lower(): references.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(rest)}
-            names = f"{given.get('class', '')} {given.get('id', '')}"
-            if within and tag not in ARTICLE:
-                if tag not in BLOCKS or tag in PLAIN:
-                    names = ""
-                elif within == "article" or tag != "div":
-                    names = given.get("class", "")
-            found = set(_NAMES.findall(names.lower()))
             roles = set(given.get("role", "").lower().split())
             hidden = "hidden" in given or "display:none" in given.get("style", "").replace(" ", "").lower()
-            if tag not in ARTICLE | {"body", "html"} or roles & FURNITURE_ROLES or "comment" in found:
-                self.furniture |= bool(found & FURNITURE_NAMES or roles & FURNITURE_ROLES or hidden)
-            self.outer |= bool(found & OUTER_NAMES)
+            found = list(self._names(given))
+            if tag not in ARTICLE | {"body", "html"} or roles & FURNITURE_ROLES or any("comment" in f for f in found):
+                self.furniture |= bool(any(f <= FURNITURE_NAMES for f in found) or roles & FURNITURE_ROLES or hidden)
+            self.outer |= any(f <= OUTER_NAMES for f in names(f"{given.get('class', '')} {given.get('id', '')}", PLACES - OUTER_NAMES))
             if classes := given.get("class"):
-                self.label = ".".join([tag, *sorted(_DIGITS.sub("0", c) for c in set(classes.split()))])
+                self.label = label(tag, classes)
+
+    def _names(self, given: dict[str, str]) -> Iterator[frozenset[str]]:
+        """What its class and id name, as far as that counts where it stands."""
+        classes, own = given.get("class", ""), given.get("id", "")
+        if not self.within and self.tag in HEADINGS & PLAIN:  # outside, any such word in a heading's name tells a box's heading
+            yield from (frozenset([w.lower()]) for w in _WORDS.findall(f"{classes} {own}"))
+        elif not self.within or self.tag in ARTICLE:
+            yield from names(f"{classes} {own}")
+        elif self.tag in HEADINGS & PLAIN or self.tag not in BLOCKS:
+            return
+        elif self.tag in PLAIN:
+            yield from (f for f in names(classes) if f <= TEXT_CLASSES)
+        else:
+            yield from names(classes)
+            whole = self.within == "main" and self.tag == "div"
+            yield from (f for f in names(own) if whole or f <= TEXT_IDS)
 
     @property
     def is_article(self) -> bool:
@@ -260,13 +306,34 @@ def _style(node: Node) -> int:
     return crc32(",".join(a for a, b in zip(labels, [None, *labels]) if a != b).encode())
 
 
+def link_shares(root: Node) -> dict[str, tuple[int, int]]:
+    """Per path of a block element: characters of text in links, and of all text,
+    in that element itself; headings count as without links."""
+    found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    todo: list[tuple] = [(root, "", False, False)]
+    while todo:
+        node, path, inside, linked = todo.pop()
+        if isinstance(node, str):
+            size = len(clean(node))
+            found[path][0] += size * linked
+            found[path][1] += size
+        elif not _by_name(node, path, inside):
+            linked = (linked or node.tag == "a") and node.tag not in HEADINGS
+            here, inside = _below(path, node), inside or node.is_article
+            todo += [(c, here, inside, linked and not _is_heading(here)) for c in node.children]
+    return {path: (a, b) for path, (a, b) in found.items() if b}
+
+
 def page_features(page: str | None) -> list[tuple[str, str, str, int]]:
-    """(path, parent's path, 's' or 't', number) of a page's styles and blocks, each once."""
+    """(path, parent's path, kind, number) of a page, each once: 's' a style, 't' a
+    block, 'a' the characters of its links (times 2**32) and of all its text."""
     root = parse(page or "")
     found = {(path, parent, "s", _style(node)) for parent, path, node in nodes(root)}
     for path, text in blocks(root, _by_name):
         digest = blake2b(text.encode("utf-8", "replace"), digest_size=8).digest()
         found.add((path, path.rpartition(">")[0], "t", int.from_bytes(digest, "big", signed=True)))
+    for path, (linked, size) in link_shares(root).items():
+        found.add((path, path.rpartition(">")[0], "a", min(linked, 2**31 - 1) << 32 | min(size, 2**31 - 1)))
     return sorted(found)
 
 
@@ -282,7 +349,10 @@ def main_text(page: str | None, noise: frozenset[str] = frozenset()) -> str:
             if texts := _article_texts(root, tag, skip):
                 break
         else:
-            texts = [text for _, text in blocks(root, skip)]
+            found = list(blocks(root, skip))
+            if skip is by_tree and all(_is_heading(path) for path, _ in found):
+                continue
+            texts = [text for _, text in found]
         if texts:
             return "\n".join(texts)
     return ""
@@ -328,7 +398,11 @@ def _holds_most(blocks: list[tuple[str, str]], left: list[tuple[str, str]]) -> b
     """Whether what is not ``left`` of the blocks is most of them, or all but headings."""
     if sum(len(t) for _, t in left) < (1 - MOST) * sum(len(t) for _, t in blocks):
         return True
-    return len(left) < len(blocks) and all(path.rpartition(">")[2].split(".")[0] in HEADINGS for path, _ in left)
+    return len(left) < len(blocks) and all(_is_heading(path) for path, _ in left)
+
+
+def _is_heading(path: str) -> bool:
+    return path.rpartition(">")[2].split(".")[0] in HEADINGS
 
 
 def _outermost(root: Node, tag: str, skip, path: str = "", inside: bool = False) -> list[tuple[Node, str, bool]]:
@@ -353,7 +427,7 @@ def host(url: Column) -> Column:
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """The merged tree: host, path, parent, and per path the sums that its
-    importance needs (instances, styles, entropy terms)."""
+    importance needs (instances, styles, entropy terms, characters)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,7 +452,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
     # by value first, which spreads a large host over all tasks; a row per node is left of it
     each = features.groupBy("host", "path", "parent", "kind", "value").agg(F.count("*").alias("k"))
     return each.groupBy("host", "path", "parent", "kind").agg(
-        F.sum("k").alias("n"), F.count("*").alias("values"), F.sum(F.col("k") * F.log("k")).alias("k_ln_k")
+        F.sum("k").alias("n"), F.count("*").alias("values"), F.sum(F.col("k") * F.log("k")).alias("k_ln_k"),
+        F.sum(F.when(F.col("kind") == "a", F.col("k") * F.shiftright("value", 32))).alias("linked"),
+        F.sum(F.when(F.col("kind") == "a", F.col("k") * F.col("value").bitwiseAND(2**32 - 1))).alias("size"),
     )
 
 
@@ -394,11 +470,16 @@ def noise_paths(tree: DataFrame) -> DataFrame:
     return tree.groupBy("host").applyInArrow(judge, "host string, noise array<string>")
 
 
+def _in_article(path: str) -> bool:
+    return any(step.split(".")[0] in ARTICLE for step in path.split(">"))
+
+
 def low_branches(rows: list[dict]) -> list[str]:
     """The topmost paths of one host's tree whose importance is too low."""
     m = sum(r["n"] for r in rows if r["kind"] == "m")
-    if m < LEAST_PAGES:
+    if m < 2:
         return []
+    plain = {r["path"]: 1 - r["linked"] / r["size"] for r in rows if r["kind"] == "a"}
     looks = {r["path"]: r for r in rows if r["kind"] == "s"}
     texts = {r["path"]: r for r in rows if r["kind"] == "t"}
     children = defaultdict(list)
@@ -410,6 +491,8 @@ def low_branches(rows: list[dict]) -> list[str]:
         if path in texts:
             t = texts[path]
             content = 1 - t["k_ln_k"] / t["n"] / log(m)
+            if not _in_article(path):
+                content *= plain.get(path, 1.0)
         below = [worth[c] for c in children[path] if c in worth]
         if not below:
             worth[path] = (1.0 if content is None else content, texts[path]["n"] if path in texts else 0)
@@ -424,11 +507,10 @@ def low_branches(rows: list[dict]) -> list[str]:
         worth[path] = ((1 - fade) * look + fade * inner, weight)
     low: list[str] = []
     for path in sorted(worth, key=lambda p: p.count(">")):
-        steps = path.split(">")
-        tag = steps[-1].split(".")[0]
-        in_article = any(s.split(".")[0] in ARTICLE for s in steps)
+        tag, in_article = path.rpartition(">")[2].split(".")[0], _in_article(path)
         judged = tag not in ("html", "body") and tag not in ARTICLE and not (in_article and tag in PLAIN)
-        if judged and worth[path][1] and worth[path][0] < LEAST_IMPORTANCE and not any(path.startswith(f"{p}>") for p in low):
+        least = LEAST_IMPORTANCE * (1 - 2 / m) if in_article else LEAST_IMPORTANCE
+        if judged and worth[path][1] and worth[path][0] < least and not any(path.startswith(f"{p}>") for p in low):
             low.append(path)
     return sorted(low)
 
@@ -436,7 +518,8 @@ def low_branches(rows: list[dict]) -> list[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
     noise = stored(noise_paths(style_tree(pages)), "noise-paths")
-    if noise.count() <= BROADCAST_HOSTS:
+    size = noise.agg(F.count("*").alias("hosts"), F.sum(F.length(F.concat_ws(",", "noise"))).alias("chars")).first()
+    if size["hosts"] <= BROADCAST_HOSTS and (size["chars"] or 0) <= BROADCAST_CHARS:
         noise = F.broadcast(noise)
     asked = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(noise, "host", "left")
 

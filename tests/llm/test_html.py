@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter, defaultdict
+from math import log
 
 import pytest
 
@@ -79,6 +81,94 @@ def test_names_in_articles_and_main(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "branch",
+    [
+        '<ol class="comment-list"><li class="comment">x</li></ol>', '<div id="comments">x</div>', '<section id="comments">x</section>',
+        '<p class="advert">x</p>', '<ul class="menu"><li>x</ul>', "<template><p>x</p></template>", '<div class="siteNav">x</div>',
+        '<div class="ad-300x250">x</div>', '<div class="share-links">x</div>', '<div class="skip-link">x</div>',
+    ],
+)
+def test_furniture_inside_an_article(branch):
+    assert html.main_text(f"<article><h1>T</h1><p>a</p>{branch}<p>b</p></article>") == "T\na\nb"
+    assert html.main_text(f"<p>a</p>{branch}<p>b</p>") == "a\nb"
+
+
+@pytest.mark.parametrize("name", ["social-science", "skip-list", "research-search", "related-work", "menu-history", "no-comment"])
+def test_names_of_article_text(name):
+    for page in (f'<article><div class="{name}">x</div></article>', f'<div class="{name}" id="{name}"><p>x</p></div>'):
+        assert html.main_text(page) == "x"
+
+
+def brute_low(pages):
+    """The topmost low branches of a host's pages, from their features one by one."""
+    looks = list({tuple(html.page_features(p)) for p in pages})
+    m, at, parent = len(looks), defaultdict(Counter), {}
+    for found in looks:
+        for path, above, kind, value in found:
+            at[path, kind][value] += 1
+            parent[path] = above
+
+    def entropy(counts):
+        n = sum(counts.values())
+        return -sum(k / n * log(k / n) for k in counts.values()) / log(n) if n > 1 else 1.0
+
+    def worth(path):
+        parts = [worth(c) for c in parent if parent[c] == path and c != path and (c, "s") in at]
+        if at[path, "t"]:
+            spread = [1 - log(k) / log(m) for k in at[path, "t"].values() for _ in range(k)]
+            chars = [(v >> 32, v & (2**32 - 1)) for v, k in at[path, "a"].items() for _ in range(k)]
+            text = 1.0 if "article" in path else 1 - sum(a for a, _ in chars) / sum(b for _, b in chars)
+            own = (sum(spread) / len(spread) * text, len(spread))
+        if not parts:
+            return own if at[path, "t"] else (1.0, 0)
+        parts += [own] if at[path, "t"] else []
+        size = sum(w for _, w in parts)
+        inner = sum(c * w for c, w in parts) / size if size else 1.0
+        fade = 0.9 ** len(at[path, "s"])
+        return (1 - fade) * entropy(at[path, "s"]) + fade * inner, size
+
+    low = set()
+    for path in parent:
+        tag = path.rpartition(">")[2].split(".")[0]
+        inside = "article" in path
+        if tag in ("html", "body", "article") or (inside and tag in html.PLAIN) or not path:
+            continue
+        w, size = worth(path)
+        if size and w < 0.3 * (1 - 2 / m if inside else 1):
+            low.add(path)
+    return sorted(p for p in low if not any(p.startswith(f"{q}>") for q in low))
+
+
+def unnamed_site(n):
+    """Pages whose furniture has no telling names: a greeting, a strip of links that differ, a note in the article."""
+    return [
+        f"<body><div class=a1><p>Welcome to us</p></div><div class=b2><ul><li><a href=/{i}>topic {i}</a></li><li><a href=/x{i}>field {i}</a></ul></div>"
+        f"<div class=c3><h2><a href=/{i}>Title {i}</a></h2><p>Own text {i} with <a href=/>a link</a> in it.</p></div>"
+        f"<div class=d-{i}f3a7c{i}><span>Imprint and terms</span></div></body>"
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 12])
+def test_tree_equals_brute_force_and_needs_no_names(spark, n):
+    sites = {
+        "plain.example.com": unnamed_site(n),
+        "art.example.com": [f"<article><div class=q1><p>long own text {i} of this page</p></div><div class=z9>Read on</div></article>" for i in range(n)],
+        "links.example.com": [f"<article><p>text {i}</p><div class=refs><a href=/{i}>source {i}</a></div></article>" for i in range(n)],
+    }
+    rows = [(i, f"http://{h}/{i}", page) for h, pages in sites.items() for i, page in enumerate(pages)]
+    docs = spark.createDataFrame(rows * 2, "page_id long, url string, html string")
+    got = {r["host"]: sorted(r["noise"]) for r in html.noise_paths(html.style_tree(docs)).collect()}
+    want = {h: brute_low(pages) for h, pages in sites.items() if n > 1}
+    assert got == {h: low for h, low in want.items() if low}
+    texts = {(r["url"].split("/")[2], r["page_id"]): r["text"] for r in html.extract(docs).collect()}
+    if n > 1:
+        assert texts["plain.example.com", 1] == "Title 1\nOwn text 1 with a link in it."
+    assert texts["art.example.com", 0] == "long own text 0 of this page" + ("" if n > 2 else "\nRead on")
+    assert texts["links.example.com", 0] == "text 0\nsource 0"
+
+
 def site(spark):
     """A host whose pages share a block with a telling name nowhere, and small hosts."""
     rows = []
