@@ -7,7 +7,7 @@ probability count / (total + distinct); else the language pays the escape
 distinct / (total + distinct) and asks the context one byte shorter, at last a
 uniform distribution over the 256 bytes (method C).  The tree is of variable
 order: a context is kept only when it was seen ``LEAST_COUNT`` times, in at
-most ``NODES`` nodes (the most frequent ones).  Statistics are frozen after
+most ``NODES`` nodes a language (its most frequent ones).  Statistics are frozen after
 learning, so a text's exact code length is a sum of table entries, kept in
 2**-16 bits as integers: equal texts score equal in any batch.
 
@@ -17,9 +17,11 @@ columns than the text are never read for a prediction.
 
 The training sample is bounded: about ``SAMPLE_BYTES`` of whole texts a
 language, chosen by a hash of text and id, after one pass that sums the bytes
-of each language.  The model has at most ``LANGUAGES`` languages (the largest).
+of each language.  Every language that occurs is learned, each with its own
+nodes, so one with few texts has the same share of the model as a large one; the
+model grows with the number of languages, not with the texts.
 
-Defined results: a null text, or one without a letter, gives ``und`` with score
+Defined results: a text of any length is read whole, piece by piece; a null text, or one without a letter, gives ``und`` with score
 0; so does every text when nothing could be learned; repeated rows are scored
 each; an empty table gives no rows.
 """
@@ -34,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from funnelworks.llm.common import stored, table
 from funnelworks.llm.words import blocks, text_bytes
@@ -41,9 +44,10 @@ from funnelworks.llm.words import blocks, text_bytes
 ORDER = 4
 SAMPLE_BYTES = 4 << 20
 LEAST_COUNT = 24
-#: With four languages; more share the same number of table entries.
-NODES = 8_192
-LANGUAGES = 64
+#: Contexts of a language.
+NODES = 4_096
+#: Shares of up to this many languages are broadcast (a name and a number each).
+BROADCAST_LANGUAGES = 10_000
 PIECE_BYTES = 1 << 18
 #: Code lengths are counted in this part of a bit.
 UNIT = 1 << 16
@@ -54,10 +58,11 @@ UNKNOWN = "und"
 class Model:
     """``symbol``: byte to symbol (0: never seen in training, or the text's
     start); ``child``: node and symbol before it to the longer context's node,
-    the last row where there is none; ``cost``: node and next symbol to code length per
-    language; ``languages``: names in order."""
+    the last row where there is none; ``cost``: node and next symbol to code
+    length; ``languages``: names in order; ``roots``: each one's empty context."""
 
     languages: list[str]
+    roots: np.ndarray
     symbol: np.ndarray
     child: np.ndarray
     cost: np.ndarray
@@ -93,14 +98,16 @@ class Model:
 
     def _costs(self, padded: np.ndarray) -> np.ndarray:
         """The cost of every symbol but the first ``order``, which are context only."""
-        n, width = len(padded) - self.order, self.child.shape[1]
-        child, stopped = self.child.ravel(), len(self.child) - 1
-        at = np.zeros(n, np.int32)
-        node = at
-        for k in range(1, self.order + 1):
-            at = child[at * np.int32(width) + padded[self.order - k : self.order - k + n]]
-            node = np.where(at != stopped, at, node)
-        return self.cost[node * np.int32(width) + padded[self.order :]]
+        n, width = len(padded) - self.order, np.int32(self.child.shape[1])
+        child, cost, stopped = self.child.ravel(), self.cost.ravel(), len(self.child) - 1
+        out = np.empty((n, len(self.roots)), np.int32)
+        for j, root in enumerate(self.roots):
+            at = node = np.full(n, root, np.int32)
+            for k in range(1, self.order + 1):
+                at = child[at * width + padded[self.order - k : self.order - k + n]]
+                node = np.where(at != stopped, at, node)
+            out[:, j] = cost[node * width + padded[self.order :]]
+        return out
 
 
 def sampled(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
@@ -108,10 +115,12 @@ def sampled(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     ``docs`` has doc_id, text, lang; rows without text or lang are left out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
     sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    largest = sizes.orderBy(F.col("bytes").desc(), "lang").limit(LANGUAGES)  # a row per language
     share = F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.col("bytes"), F.lit(1)))
     chosen = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    return rows.join(F.broadcast(largest.select("lang", share.alias("share"))), "lang").where(chosen).select("lang", "text")
+    shares = stored(sizes.select("lang", share.alias("share")), "language-shares")
+    if shares.count() <= BROADCAST_LANGUAGES:
+        shares = F.broadcast(shares)
+    return rows.join(shares, "lang").where(chosen).select("lang", "text")
 
 
 def context_counts(sample: DataFrame, order: int = ORDER) -> DataFrame:
@@ -149,12 +158,12 @@ def context_counts(sample: DataFrame, order: int = ORDER) -> DataFrame:
 def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER, least: int = LEAST_COUNT, nodes: int = NODES) -> Model:
     """The model of the labelled ``docs`` (doc_id, text, lang)."""
     counts = stored(context_counts(sampled(docs, sample_bytes), order), "context-counts")
-    languages = counts.select("lang").distinct().count()
-    # contexts worth a node, by their count over all languages: at most ``nodes`` rows
+    # each language's contexts worth a node, by their count
     context = F.shiftright("gram", 8).alias("context")
-    seen = counts.groupBy("k", context).agg(F.sum("n").alias("total")).where((F.col("total") >= least) & (F.col("k") > 0))
-    kept = seen.orderBy(F.col("total").desc(), "k", "context").limit(nodes * 4 // max(4, languages))
-    wanted = counts.withColumn("context", F.shiftright("gram", 8)).join(F.broadcast(kept.select("k", "context")), ["k", "context"])
+    seen = counts.groupBy("lang", "k", context).agg(F.sum("n").alias("total")).where((F.col("total") >= least) & (F.col("k") > 0))
+    order_of = Window.partitionBy("lang").orderBy(F.col("total").desc(), "k", "context")
+    kept = seen.withColumn("rank", F.row_number().over(order_of)).where(F.col("rank") <= nodes).select("lang", "k", "context")
+    wanted = counts.withColumn("context", F.shiftright("gram", 8)).join(kept, ["lang", "k", "context"])
     rows = wanted.select("lang", "k", "gram", "n").unionByName(counts.where("k = 0").select("lang", "k", "gram", "n")).toArrow()
     return build(*(rows[c].to_numpy() for c in ("lang", "k", "gram", "n")), order)
 
@@ -168,34 +177,30 @@ def build(langs, ks, grams, ns, order: int = ORDER) -> Model:
     symbol = np.zeros(256, np.int32)
     known = np.unique(grams[ks == 0] & 255)
     symbol[known] = np.arange(1, len(known) + 1)
-    width, n_languages = len(known) + 1, max(len(languages), 1)
-    # a context is its length and bytes; a child comes after its parent, the context one byte shorter
-    keys = (ks << 32) | (grams >> 8)
+    width = len(known) + 1
+    # a context is its language, length and bytes; a child comes after its parent, the context one byte shorter
+    keys = lang.astype(np.int64) << 35 | ks << 32 | grams >> 8
     contexts = np.unique(keys)
     number = {int(c): i for i, c in enumerate(contexts)}
-    starts = np.append(np.searchsorted(np.sort(keys), contexts), len(keys))
     by_context = np.argsort(keys, kind="stable")
-    n = max(len(contexts), 1)
+    starts = np.append(np.searchsorted(keys[by_context], contexts), len(keys))
+    n = len(contexts)
     child = np.full((n + 1, width), n, np.int32)
-    bits = np.full((n, width, n_languages), 8.0)
+    bits = np.full((n, width), 8.0)
     for i, c in enumerate(contexts.tolist()):
-        k, own = c >> 32, c & 0xFFFFFFFF
-        parent = number.get((k - 1) << 32 | own & ((1 << 8 * (k - 1)) - 1)) if k else None
+        k, own = c >> 32 & 7, c & 0xFFFFFFFF
+        parent = number.get(c >> 35 << 35 | (k - 1) << 32 | own & ((1 << 8 * (k - 1)) - 1)) if k else None
         if k and parent is None:
             continue  # cannot be reached
         rows = by_context[starts[i] : starts[i + 1]]
-        counts = np.zeros((width, n_languages), np.int64)
-        np.add.at(counts, (symbol[grams[rows] & 255], lang[rows]), ns[rows])
-        total, distinct = counts.sum(0), (counts > 0).sum(0)
-        whole = total + distinct
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(total > 0, np.log2(whole) - np.log2(distinct), 0.0)
-            shorter = bits[parent] if k else 8.0
-            bits[i] = np.where(counts > 0, np.log2(whole) - np.log2(counts), escape + shorter)
+        counts = ns[rows]
+        whole = np.log2(counts.sum() + len(rows))
+        bits[i] = whole - np.log2(len(rows)) + (bits[parent] if k else 8.0)  # escape, and the shorter context
+        bits[i, symbol[grams[rows] & 255]] = whole - np.log2(counts)
         if k:
             child[parent, symbol[own >> 8 * (k - 1)]] = i
-    cost = np.round(bits * UNIT).astype(np.int32).reshape(-1, n_languages)
-    return Model(languages.tolist(), symbol, child, cost, order)
+    roots = np.array([number[j << 35] for j in range(len(languages))], np.int32)
+    return Model(languages.tolist(), roots, symbol, child, np.round(bits * UNIT).astype(np.int32), order)
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
@@ -207,7 +212,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     text = F.when(F.rlike("text", F.lit(r"\p{L}")), F.col("text"))
     asked = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_read"))
     schema = T.StructType([*asked.schema.fields[:-1], *added])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by NODES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by NODES and the languages
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

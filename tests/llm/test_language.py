@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -87,6 +88,25 @@ def test_odd_rows(spark):
     assert language.learn(docs, least=1).languages == ["en", "fr"]
 
 
+def test_many_languages_and_repeated_rows(spark):
+    """A hundred languages, one of them with nearly all texts: each is learned, with its own contexts."""
+    rows, n = [], 100
+    for j in range(n):
+        pick = random.Random(j)
+        words = ["".join(pick.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(12)]
+        for i in range(200 if j == 0 else 6):
+            rows.append((len(rows), " ".join(pick.choice(words) for _ in range(40)), f"l{j:03}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs.where("doc_id % 6 <> 1"), least=4, nodes=300)
+    assert len(model.languages) == n and len(model.child) - 1 <= n * 301
+    assert len(set(np.diff([*model.roots, len(model.child) - 1]))) <= n and max(np.diff(model.roots)) <= 301
+    got = language.predict(docs.union(docs), model).collect()
+    assert len(got) == 2 * len(rows)
+    assert sum(r["lang"] == r["lang_pred"] for r in got if r["doc_id"] % 6 == 1) > 0.97 * sum(r["doc_id"] % 6 == 1 for r in got)
+    once = {tuple(r) for r in got}
+    assert len(once) == len(rows)  # copies score equal
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF_MEDIUM}/documents.parquet").select("doc_id", "lang")
     rows = language.op1_ppm_language(spark, SF_MEDIUM).join(docs, "doc_id").collect()
