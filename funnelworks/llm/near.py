@@ -368,33 +368,52 @@ def _in_order(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def all_links(links: DataFrame, texts: DataFrame, left: DataFrame, common: Common) -> DataFrame:
-    """``links`` and what else it takes to join every near pair of the nodes ``left``."""
+def sets(postings: DataFrame, label: DataFrame) -> DataFrame:
+    """set, node, weight, rest: the texts that meet under a key, for the keys
+    whose texts are of several classes (``label``).  Keys with the same texts
+    are one set, where each text has the most weight left that one of the keys
+    leaves it; so two texts with many shingles in common meet a few times, not
+    once for each.  Sets that share a name by chance are looked at together."""
+    name = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2)]
+    classed = _classed(postings, label).groupBy("key").agg(
+        F.min("class").alias("lo"), F.max("class").alias("hi"), F.xxhash64(*name, F.count("*")).alias("set")
+    )
+    mixed = classed.where("lo < hi").select("key", "set")
+    return postings.join(mixed, "key").groupBy("set", "node").agg(F.max("weight").alias("weight"), F.max("rest").alias("rest"))
+
+
+def _classed(df: DataFrame, label: DataFrame) -> DataFrame:
+    return df.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+
+def all_links(links: DataFrame, label: DataFrame, texts: DataFrame, left: DataFrame, common: Common) -> DataFrame:
+    """``links`` and what else it takes to join every near pair of the nodes
+    ``left``; ``label`` has the classes of ``links``."""
     posted = stored(postings(texts.join(left, "node", "left_semi"), common), "postings")
+    met = stored(sets(posted, label), "sets")
+    discard(posted)
     while True:
-        label = components(links)
-        classed = posted.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-        rows = stored(classed.join(mixed, "key").select("key", "class", F.struct("node", "weight", "rest").alias("t")), "mixed-postings")
-        discard(posted)
-        posted = stored(rows.select("key", "t.*"), "postings")  # pairs of one class need no further look
-        heads = rows.groupBy("key").agg(F.min(F.struct("t", "class")).alias("h"))
-        met = rows.join(heads, "key").where(F.col("class") != F.col("h.class")).where(_can_be_near("t", "h.t"))
-        pairs = stored(met.select(*_in_order("t.node", "h.t.node")).distinct(), "pairs")
+        classed = _classed(met, label)
+        mixed = classed.groupBy("set").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("set")
+        rows = stored(classed.join(mixed, "set").select("set", "class", F.struct("node", "weight", "rest").alias("t")), "mixed-sets")
+        discard(met)
+        met = rows.select("set", "t.*")  # pairs of one class need no further look
+        met._stored_at = rows._stored_at
+        heads = rows.groupBy("set").agg(F.min(F.struct("t", "class")).alias("h"))
+        first = rows.join(heads, "set").where(F.col("class") != F.col("h.class")).where(_can_be_near("t", "h.t"))
+        pairs = stored(first.select(*_in_order("t.node", "h.t.node")).distinct(), "pairs")
         more = stored(verified(pairs, texts, common), "links")
         discard(pairs)
         if more.isEmpty():
             break
-        discard(rows)
         links = stored(links.unionByName(more), "links")
-    groups = rows.select("key", "class").distinct()
-    two = groups.join(groups.select("key", F.col("class").alias("class2")), "key").where("class < class2")
-    one = rows.select("key", "class", F.col("t").alias("x"))
-    other = rows.select("key", F.col("class").alias("class2"), F.col("t").alias("y"))
-    met = two.join(one, ["key", "class"]).join(other, ["key", "class2"]).where(_can_be_near("x", "y"))
-    pairs = stored(met.select(*_in_order("x.node", "y.node")).distinct(), "pairs")
+        label = components(links)
+    one = rows.select("set", "class", F.col("t").alias("x"))
+    other = rows.select("set", F.col("class").alias("class2"), F.col("t").alias("y"))
+    both = one.join(other, "set").where("class < class2").where(_can_be_near("x", "y"))
+    pairs = stored(both.select(*_in_order("x.node", "y.node")).distinct(), "pairs")
     more = stored(verified(pairs, texts, common), "links")
-    for done in (rows, posted, pairs):
+    for done in (rows, pairs):
         discard(done)
     return links.unionByName(more)
 
@@ -441,7 +460,7 @@ def classes(docs: DataFrame) -> DataFrame:
     mixed = now.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
     left = stored(members.join(mixed, ["band", "key"], "left_semi").select("node").distinct(), "mixed-buckets")
     if not left.isEmpty():
-        label = components(all_links(links, texts, left, common))
+        label = components(all_links(links, label, texts, left, common))
     discard(left)
     discard(texts)
     discard(members)
