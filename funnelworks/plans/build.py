@@ -1,10 +1,9 @@
 """Build the whole project: views for staging and intermediate models, tables
 for marts (full rebuild), then optionally the data tests.
 
-The deduplicated opportunities feed the lead journey and the data tests of
-their model (stored where those run), and the lead journey (the main join) feeds
-the funnel and a dozen data tests, so each is stored once for the build.  The
-lead funnel feeds six other marts and both analyses: it is written once.  The account-LTV mart reads it, and one rollup of
+The lead journey (the main join) feeds the funnel and a dozen data tests, so it
+is stored once for the build.  The lead funnel feeds six other marts and both
+analyses: it is written once.  The account-LTV mart reads it, and one rollup of
 it feeds the four marts by month and channel, so it is scanned twice in all.
 A lost executor later re-runs only the small mart stages from the stored files,
 not the join and dedupe.  ``fct_unit_economics`` reads the stored
@@ -61,12 +60,9 @@ def build_project(
     register_views(m)
     summaries: dict[str, DataFrame] = {}
     joined = "int_lead_opportunity_joined"
-    opportunities = journey = rollup = None
+    journey = quality_suite.written(joined, m[joined], lambda df: stored(df, "journey"), summaries)
+    rollup = None
     try:
-        if run_checks:
-            opportunities = stored(m.stg_opportunities, "opportunities")
-            m = m.with_overrides(stg_opportunities=opportunities)
-        journey = quality_suite.written(joined, m[joined], lambda df: stored(df, "journey"), summaries)
         with Store(spark, out_dir).begin() as pending:
             based = m.with_overrides(int_lead_opportunity_joined=journey)
             built: dict[str, DataFrame] = {}
@@ -90,7 +86,7 @@ def build_project(
             if database is not None:
                 places = {name: show_table(spark, f"{database}.{name}", path) for name, path in places.items()}
     finally:
-        for done in (opportunities, journey, rollup):
-            if done is not None:
-                discard(done)
+        discard(journey)
+        if rollup is not None:
+            discard(rollup)
     return places
