@@ -18,7 +18,7 @@ def with_position(df: DataFrame, *order: Column, position: str = "position", nam
     """``df`` plus a gapless position from 0 in the given total order.
 
     A distributed sort numbers the rows within each sorted partition; the
-    sorted rows are stored, and a running sum over the partitions' row counts
+    sorted rows are stored (``discard`` takes the result), and a running sum over the partitions' row counts
     (one row a partition) gives each partition its offset.  No task ever sees
     more than its own range.  Rows that tie on ``order`` get positions in any
     order, so pass enough columns where that matters.
@@ -32,9 +32,11 @@ def with_position(df: DataFrame, *order: Column, position: str = "position", nam
         offsets.append((part_id, total))
         total += n
     starts = spark.createDataFrame(offsets, "_part long, _offset long")  # a row per partition
-    return (
+    placed = (
         numbered.withColumn("_part", F.shiftright("_at", 33))
         .join(F.broadcast(starts), "_part")
         .withColumn(position, F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_at", "_part", "_offset")
     )
+    placed._stored_at = numbered._stored_at
+    return placed

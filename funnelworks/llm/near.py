@@ -286,10 +286,16 @@ def verified(pairs: DataFrame, texts: DataFrame, common: Common) -> DataFrame:
             links = batch.select(["a", "b"]).filter(pa.array(near))
             yield links
 
-    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    return first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(
-        check, "a long, b long"
-    )
+    first = joined(pairs, texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = joined(first, texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+
+
+def joined(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """Both tables dealt out by their keys, however small.  They grow with the
+    documents; as a broadcast each would be built as a hash table in the
+    driver, a hundred and more of them in a run."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -298,13 +304,16 @@ def components(links: DataFrame) -> DataFrame:
     Each round every node takes the least class among its neighbours' and then
     that class's own class, so classes reach along paths of doubling length.
     """
-    edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("class")), "labels")
+    ways = [F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in ("ab", "ba", "aa", "bb")]  # a node hears itself too
+    edges = stored(links.select(F.inline(F.array(*ways))).distinct(), "edges")
+    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("class")), "labels")
     while True:
-        heard = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("heard"))
-        nearer = labels.join(heard, "node").select("node", F.col("class").alias("old"), F.least("class", "heard").alias("class"))
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("class")))
+        heard = joined(edges, labels.withColumnRenamed("node", "b"), "b")
+        nearer = heard.groupBy(F.col("a").alias("node")).agg(F.min("class").alias("class"), own.alias("old"))
         further = labels.select(F.col("node").alias("class"), F.col("class").alias("jump"))
-        moved = stored(nearer.join(further, "class").select("node", F.col("jump").alias("class"), (F.col("jump") != F.col("old")).alias("new")), "labels")
+        jumped = joined(nearer, further, "class").select("node", F.col("jump").alias("class"), (F.col("jump") != F.col("old")).alias("new"))
+        moved = stored(jumped, "labels")
         discard(labels)
         labels = moved
         if moved.where("new").isEmpty():
@@ -395,28 +404,28 @@ def sets(postings: DataFrame, label: DataFrame) -> DataFrame:
         F.min("class").alias("lo"), F.max("class").alias("hi"), F.xxhash64(*name, F.count("*")).alias("set")
     )
     mixed = classed.where("lo < hi").select("key", "set")
-    return postings.join(mixed, "key").groupBy("set", "node").agg(F.max("weight").alias("weight"), F.max("rest").alias("rest"))
+    return joined(postings, mixed, "key").groupBy("set", "node").agg(F.max("weight").alias("weight"), F.max("rest").alias("rest"))
 
 
 def _classed(df: DataFrame, label: DataFrame) -> DataFrame:
-    return df.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    return joined(df, label, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
-def all_links(links: DataFrame, label: DataFrame, texts: DataFrame, left: DataFrame, common: Common) -> DataFrame:
-    """``links`` and what else it takes to join every near pair of the nodes
-    ``left``; ``label`` has the classes of ``links``."""
-    posted = stored(postings(texts.join(left, "node", "left_semi"), common), "postings")
+def joined_exactly(links: DataFrame, label: DataFrame, texts: DataFrame, left: DataFrame, common: Common) -> DataFrame:
+    """The classes of ``links`` and of what else it takes to join every near pair
+    of the nodes ``left``; ``label`` has the classes of ``links``."""
+    posted = stored(postings(joined(texts, left, "node", "left_semi"), common), "postings")
     met = stored(sets(posted, label), "sets")
     discard(posted)
     while True:
         classed = _classed(met, label)
         mixed = classed.groupBy("set").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("set")
-        rows = stored(classed.join(mixed, "set").select("set", "class", F.struct("node", "weight", "rest").alias("t")), "mixed-sets")
+        rows = stored(joined(classed, mixed, "set").select("set", "class", F.struct("node", "weight", "rest").alias("t")), "mixed-sets")
         discard(met)
         met = rows.select("set", "t.*")  # pairs of one class need no further look
         met._stored_at = rows._stored_at
         heads = rows.groupBy("set").agg(F.min(F.struct("t", "class")).alias("h"))
-        first = rows.join(heads, "set").where(F.col("class") != F.col("h.class")).where(_can_be_near("t", "h.t"))
+        first = joined(rows, heads, "set").where(F.col("class") != F.col("h.class")).where(_can_be_near("t", "h.t"))
         pairs = stored(first.select(*_in_order("t.node", "h.t.node")).distinct(), "pairs")
         more = stored(verified(pairs, texts, common), "links")
         discard(pairs)
@@ -426,79 +435,88 @@ def all_links(links: DataFrame, label: DataFrame, texts: DataFrame, left: DataFr
         label = components(links)
     one = rows.select("set", "class", F.col("t").alias("x"))
     other = rows.select("set", F.col("class").alias("class2"), F.col("t").alias("y"))
-    both = one.join(other, "set").where("class < class2").where(_can_be_near("x", "y"))
+    both = joined(one, other, "set").where("class < class2").where(_can_be_near("x", "y"))
     pairs = stored(both.select(*_in_order("x.node", "y.node")).distinct(), "pairs")
     more = stored(verified(pairs, texts, common), "links")
     for done in (rows, pairs):
         discard(done)
-    return links.unionByName(more)
+    return label if more.isEmpty() else components(links.unionByName(more))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, t1, t2, class_id, class_no, first_t1, first_t2: every row of
-    ``docs`` with its class: the least doc_id in it, and the text that has it."""
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as doc_id, t1, t2, bands, and their distinct texts: node, t1, t2,
+    least (the first doc_id), bands, class_no (the least node of its class)."""
     docs = docs.select("doc_id", "text")
     common = common_shingles(docs)
     signed = stored(signatures(docs, common), "signatures")
     distinct = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    nodes = with_position(distinct, F.col("least").asc_nulls_last(), F.col("t1"), F.col("t2"), position="node", name="texts")
+    ordered = with_position(distinct, F.col("least").asc_nulls_last(), F.col("t1"), F.col("t2"), position="node", name="texts")
+    nodes = stored(ordered, "nodes")  # read some times below, each time with the positions' join else
+    discard(ordered)
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stored(banded.join(buckets, ["band", "key"]), "bucket-members")
+    members = stored(joined(banded, buckets, ["band", "key"]), "bucket-members")
     met = members.select("node").distinct()
-    chosen = nodes.join(met, "node").select("node", "t1", "t2", "least")
+    chosen = joined(nodes, met, "node").select("node", "t1", "t2", "least")
     named = _named(docs)
     same = (named["t1"] == chosen["t1"]) & (named["t2"] == chosen["t2"]) & named["doc_id"].eqNullSafe(chosen["least"])
-    texts = stored(named.join(chosen, same).select("node", "text").dropDuplicates(["node"]), "candidate-texts")
+    texts = stored(joined(named, chosen, same).select("node", "text").dropDuplicates(["node"]), "candidate-texts")
 
     pairs = stored(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = stored(verified(pairs, texts, common), "links")
     label = components(links)
-    now = members.select("band", "key", "node").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    now = _classed(members.select("band", "key", "node"), label)
     heads = now.groupBy("band", "key", "class").agg(F.min("node").alias("node"))
     mixed = heads.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    apart = stored(joined(heads, mixed, ["band", "key"]), "mixed-heads")  # asked for twice below
     split = (
-        heads.join(mixed, ["band", "key"])
-        .join(nodes.select("node", "bands"), "node")
+        joined(apart, nodes.select("node", "bands"), "node")
         .select("band", "key", "class", "node", F.posexplode("bands").alias("band2", "key2"))
         .where("band2 <> band")
     )
     finer = ["band", "key", "band2", "key2"]
     first = split.groupBy(*finer).agg(F.min(F.struct("node", "class")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    across = split.join(first.drop("n"), finer).where(F.col("class") != F.col("first.class"))
+    across = joined(split, first.drop("n"), finer).where(F.col("class") != F.col("first.class"))
     fresh = across.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct()
-    fresh = stored(fresh.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    fresh = stored(joined(fresh, pairs, ["a", "b"], "left_anti"), "pairs")
+    discard(apart)
     more = stored(verified(fresh, texts, common), "links")
     links = links.unionByName(more)
     if not more.isEmpty():
         label = components(links)
-    now = members.select("band", "key", "node").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    now = _classed(members.select("band", "key", "node"), label)
     mixed = now.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-    left = stored(members.join(mixed, ["band", "key"], "left_semi").select("node").distinct(), "mixed-buckets")
+    left = stored(joined(members, mixed, ["band", "key"], "left_semi").select("node").distinct(), "mixed-buckets")
     if not left.isEmpty():
-        label = components(all_links(links, label, texts, left, common))
+        label = joined_exactly(links, label, texts, left, common)
     discard(left)
     discard(texts)
     discard(members)
-    found = nodes.select("node", "t1", "t2").join(label, "node", "left").withColumn("class_no", F.coalesce("class", "node"))
-    heads = nodes.select(
-        F.col("node").alias("class_no"), F.col("least").alias("class_id"), F.col("t1").alias("first_t1"), F.col("t2").alias("first_t2")
+    return signed, joined(nodes, label, "node", "left").withColumn("class_no", F.coalesce("class", "node")).drop("class")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2, class_id, class_no, first_t1, first_t2: every row of
+    ``docs`` with its class: the least doc_id in it, and the text that has it."""
+    signed, nodes = distinct_texts(docs)
+    heads = nodes.where("node = class_no").select(
+        "class_no", F.col("least").alias("class_id"), F.col("t1").alias("first_t1"), F.col("t2").alias("first_t2")
     )
-    named_classes = found.join(heads, "class_no").select("t1", "t2", "class_id", "class_no", "first_t1", "first_t2")
-    return signed.select("doc_id", "t1", "t2").join(named_classes, ["t1", "t2"])
+    found = joined(nodes.select("t1", "t2", "class_no"), heads, "class_no")
+    named_classes = found.select("t1", "t2", "class_id", "class_no", "first_t1", "first_t2")
+    return signed.select("doc_id", "t1", "t2").join(named_classes, ["t1", "t2"])  # copies in number: Spark may broadcast
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that stand for their class: a row with
     the class's least doc_id and its text."""
-    found = classes(docs)
-    heads = found.select("class_id", "first_t1", "first_t2").distinct()
+    heads = distinct_texts(docs)[1].where("node = class_no").select("t1", "t2", "least")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.struct("*").alias("row"), "doc_id", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")
     )
-    same = (rows["t1"] == heads["first_t1"]) & (rows["t2"] == heads["first_t2"]) & rows["doc_id"].eqNullSafe(heads["class_id"])
-    kept = rows.join(heads, same, "left_semi").dropDuplicates(["t1", "t2", "doc_id"])
+    same = (rows["t1"] == heads["t1"]) & (rows["t2"] == heads["t2"]) & rows["doc_id"].eqNullSafe(heads["least"])
+    kept = joined(rows, heads, same, "left_semi").dropDuplicates(["t1", "t2", "doc_id"])
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

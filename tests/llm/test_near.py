@@ -222,6 +222,30 @@ def test_near_texts_share_a_prefix_key():
         assert n_near > 100
 
 
+def test_no_table_of_the_documents_goes_through_the_driver(spark, monkeypatch):
+    """Every join but that of the positions (a row per partition) deals out both sides, however small,
+    and the rows kept are looked up by the classes' first texts, without the rows of every copy."""
+    pick = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    base = [pick.choice(words) for _ in range(120)]
+    rows = [(i, " ".join([*base[:i], f"edit{i}", *base[i + 1 :]])) for i in range(40)]
+    rows += [(100 + i, " ".join(pick.choice(words) for _ in range(40))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, real = {}, near.stored
+
+    def stored(df, name, **options):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, **options)
+
+    monkeypatch.setattr(near, "stored", stored)
+    kept = near.one_of_each(docs)
+    plans["kept"] = [kept._jdf.queryExecution().executedPlan().toString()]
+    assert {r["doc_id"] for r in kept.collect()} == set(brute_classes(rows).values())
+    assert {"bucket-members", "candidate-texts", "links", "labels"} <= set(plans)
+    assert [n for n, found in plans.items() if n != "nodes" and any("Broadcast" in p for p in found)] == []
+    assert plans["kept"][0].count("SortMergeJoin") == 2
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near.classes(none).collect() == [] and near.one_of_each(none).collect() == []
