@@ -26,9 +26,10 @@ second band as well, and is compared with the first text there.  What then is
 left, the texts of buckets of several classes, is joined exactly by prefixes:
 with the shingles of each text in one order, rare ones first, the first shingle
 that two near texts share leaves both enough weight for the overlap that the
-threshold asks for.  So a text is looked up by its leading shingles only (for
-each class of weights that a near text can have), which a passage shared by many
-texts that are not near is not part of.  Texts that meet there are compared with
+threshold asks for.  So a text is looked up by its leading shingles only, which
+a passage shared by many texts that are not near is not part of: a row for each,
+at most a fifth of the text, and of those that texts of several classes share a
+row for each class of weights that occurs there.  Texts that meet are compared with
 the first one of theirs, round by round over the classes found, until nothing
 new appears, then with every text of another class.  Pairs inside a class are
 never made.  Classes are the connected components of the verified links.  Only
@@ -339,11 +340,9 @@ def cell_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(f: Features, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, its weight, its weight from that shingle on): a row for each
-    leading shingle of each text and each class of weights of the other text.
-    Two texts that are near share the key of their first common shingle, and
-    there the weights left to both reach the overlap the threshold asks for."""
+def leading(f: Features, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, text, its weight, its weight from that shingle on): the leading
+    shingles of each text, as far as any near text asks for."""
     doc = np.repeat(np.arange(len(f.first) - 1), np.diff(f.first))
     number = counts[(f.keys % np.uint64(len(counts))).astype(np.int64)]
     order = np.lexsort((f.keys, number, doc))
@@ -351,37 +350,78 @@ def prefixes(f: Features, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     sums = np.concatenate([[0.0], np.cumsum(weights)])
     weight = (sums[f.first[1:]] - sums[f.first[:-1]])[doc]
     rest = sums[f.first[1:]][doc] - sums[:-1]
-    step = -np.log(THRESHOLD) / WEIGHT_CLASSES
-    mine = np.floor(np.log(weight) / step).astype(np.int64)
     shared = number > 1  # a shingle alone in its cell is in no other text
+    leads = np.flatnonzero(shared & (rest >= needed(weight, THRESHOLD * weight)))
+    return keys[leads], doc[leads], weight[leads], rest[leads]
+
+
+def class_keys(
+    shingle: np.ndarray, weight: np.ndarray, rest: np.ndarray, lightest: np.ndarray, heaviest: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(key, which of the leading shingles): a row for each of them and each
+    class of weights of the other text that it still leads for, from the
+    ``lightest`` to the ``heaviest`` text it leads."""
+    step = -np.log(THRESHOLD) / WEIGHT_CLASSES
+    mine, low, high = (np.floor(np.log(w) / step).astype(np.int64) for w in (weight, lightest, heaviest))
     found = []
     for d in range(-WEIGHT_CLASSES - 1, WEIGHT_CLASSES + 2):
         least = np.maximum(np.exp((mine + d) * step), THRESHOLD * weight)
-        leads = np.flatnonzero(shared & (rest >= needed(weight, least)))
+        leads = np.flatnonzero((low <= mine + d) & (mine + d <= high) & (rest >= needed(weight, least)))
         code = (np.minimum(mine, mine + d)[leads] * 64 + abs(d)).astype(np.uint64)
-        found.append((mix(keys[leads] + mix(code)).view(np.int64), doc[leads], weight[leads], rest[leads]))
+        found.append((mix(shingle[leads] + mix(code)).view(np.int64), leads))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def prefixes(f: Features, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, its weight, its weight from that shingle on): a row for each
+    leading shingle of each text and each class of weights of the other text.
+    Two texts that are near share the key of their first common shingle, and
+    there the weights left to both reach the overlap the threshold asks for."""
+    shingle, doc, weight, rest = leading(f, counts)
+    others = (np.full(len(weight), w) for w in (weight.min(initial=np.inf), weight.max(initial=0)))
+    key, at = class_keys(shingle, weight, rest, *others)
+    return key, doc[at], weight[at], rest[at]
+
+
 def needed(a, b):
     """The least overlap of two near texts of the given weights, less rounding."""
     return (a + b) * (THRESHOLD / (1 + THRESHOLD) * (1 - 1e-7))
 
 
-def postings(texts: DataFrame, common: Common) -> DataFrame:
-    """key, node, weight, rest: the prefixes of ``texts`` (node, text)."""
+def leads(texts: DataFrame, common: Common) -> DataFrame:
+    """shingle, node, class, weight, rest: the leading shingles of ``texts``
+    (node, class, text)."""
     counts = cell_counts(texts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column("node").to_numpy()
+            node, own = batch.column("node").to_numpy(), batch.column("class").to_numpy()
             for lo, f in _column_features(batch.column("text"), common):
-                key, doc, weight, rest = prefixes(f, counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(node[lo + doc]), pa.array(weight), pa.array(rest)], names=["key", "node", "weight", "rest"]
-                )
+                shingle, doc, weight, rest = leading(f, counts)
+                columns = [shingle.view(np.int64), node[lo + doc], own[lo + doc], weight, rest]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "class", "weight", "rest"])
+
+    return texts.select("node", "class", "text").mapInArrow(cut, "shingle long, node long, class long, weight double, rest double")
+
+
+def of_several_classes(rows: DataFrame, key: str, *more: Column) -> DataFrame:
+    """The ``rows`` whose ``key`` has texts of several classes, and ``more`` of the key's rows."""
+    mixed = rows.groupBy(key).agg(F.min("class").alias("lo"), F.max("class").alias("hi"), *more).where("lo < hi").drop("lo", "hi")
+    return joined(rows, mixed, key)
+
+
+def postings(leads: DataFrame) -> DataFrame:
+    """key, node, class, weight, rest: the prefixes that ``leads`` stand for,
+    each with the weights of the lightest and the heaviest text it leads."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingle, *weights = (batch.column(c).to_numpy() for c in ("shingle", "weight", "rest", "lightest", "heaviest"))
+            key, at = class_keys(shingle.view(np.uint64), *weights)
+            kept = batch.select(["node", "class", "weight", "rest"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *kept.columns], names=["key", *kept.schema.names])
 
-    return texts.select("node", "text").mapInArrow(cut, "key long, node long, weight double, rest double")
+    return leads.mapInArrow(spread, "key long, node long, class long, weight double, rest double")
 
 
 def _can_be_near(a: str, b: str) -> Column:
@@ -393,17 +433,17 @@ def _in_order(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def sets(postings: DataFrame, label: DataFrame) -> DataFrame:
+def sets(postings: DataFrame) -> DataFrame:
     """set, node, weight, rest: the texts that meet under a key, for the keys
-    whose texts are of several classes (``label``).  Keys with the same texts
-    are one set, where each text has the most weight left that one of the keys
-    leaves it; so two texts with many shingles in common meet a few times, not
-    once for each.  Sets that share a name by chance are looked at together."""
+    whose texts are of several classes.  Keys with the same texts are one set,
+    where each text has the most weight left that one of the keys leaves it; so
+    two texts with many shingles in common meet a few times, not once for each.
+    Sets that share a name by chance are looked at together."""
     name = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2)]
-    classed = _classed(postings, label).groupBy("key").agg(
+    named = postings.groupBy("key").agg(
         F.min("class").alias("lo"), F.max("class").alias("hi"), F.xxhash64(*name, F.count("*")).alias("set")
     )
-    mixed = classed.where("lo < hi").select("key", "set")
+    mixed = named.where("lo < hi").select("key", "set")
     return joined(postings, mixed, "key").groupBy("set", "node").agg(F.max("weight").alias("weight"), F.max("rest").alias("rest"))
 
 
@@ -414,13 +454,16 @@ def _classed(df: DataFrame, label: DataFrame) -> DataFrame:
 def joined_exactly(links: DataFrame, label: DataFrame, texts: DataFrame, left: DataFrame, common: Common) -> DataFrame:
     """The classes of ``links`` and of what else it takes to join every near pair
     of the nodes ``left``; ``label`` has the classes of ``links``."""
-    posted = stored(postings(joined(texts, left, "node", "left_semi"), common), "postings")
-    met = stored(sets(posted, label), "sets")
-    discard(posted)
+    led = stored(leads(_classed(joined(texts, left, "node", "left_semi"), label), common), "leads")
+    # most leading shingles are of one class only: they go before a row is made per class of weights
+    weights = [F.min("weight").alias("lightest"), F.max("weight").alias("heaviest")]
+    mixed = stored(of_several_classes(led, "shingle", *weights), "mixed-leads")
+    discard(led)
+    met = stored(sets(postings(mixed)), "sets")
+    discard(mixed)
     while True:
-        classed = _classed(met, label)
-        mixed = classed.groupBy("set").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("set")
-        rows = stored(joined(classed, mixed, "set").select("set", "class", F.struct("node", "weight", "rest").alias("t")), "mixed-sets")
+        classed = of_several_classes(_classed(met, label), "set")
+        rows = stored(classed.select("set", "class", F.struct("node", "weight", "rest").alias("t")), "mixed-sets")
         discard(met)
         met = rows.select("set", "t.*")  # pairs of one class need no further look
         met._stored_at = rows._stored_at

@@ -196,6 +196,29 @@ def test_near_pairs_of_a_template_family(spark, seed):
     assert got == want
 
 
+def test_shingles_of_one_class_are_not_stored_per_class_of_weights(spark, monkeypatch):
+    """As in a large table, where every cell of the shingles' order has several shingles: what is kept
+    to look up texts by is a row per leading shingle, then only those that several classes share."""
+    rows = template_family(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, real = defaultdict(list), near.stored
+
+    def stored(df, name, **options):
+        out = real(df, name, **options)
+        kept[name].append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(near, "stored", stored)
+    monkeypatch.setattr(near, "cell_counts", lambda texts: np.full(64, 2, np.int32))
+    got = {r["doc_id"]: r["class_id"] for r in near.classes(docs).collect()}
+    assert got == brute_classes(rows)
+    n = sum(len(weights(t)) for _, t in rows)  # all shingles of all texts
+    per_shingle = {name: rows for name, found in kept.items() for columns, rows in found if {"rest", "node"} <= set(columns)}
+    assert 0 < max(per_shingle.values()) < 0.25 * n
+    assert 0 < per_shingle["mixed-leads"] < per_shingle["leads"]
+    assert per_shingle["sets"] > 0
+
+
 def test_near_texts_share_a_prefix_key():
     pick = random.Random(3)
     base = [f"w{pick.randrange(40)}" for _ in range(400)]
