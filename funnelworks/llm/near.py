@@ -28,8 +28,10 @@ with the shingles of each text in one order, rare ones first, the first shingle
 that two near texts share leaves both enough weight for the overlap that the
 threshold asks for.  So a text is looked up by its leading shingles only, which
 a passage shared by many texts that are not near is not part of: a row for each,
-at most a fifth of the text, and of those that texts of several classes share a
-row for each class of weights that occurs there.  Texts that meet are compared with
+at most a fifth of the text.  Shingles that lead the same texts are one set of
+texts, so a passage that some texts share is looked at once and not shingle by
+shingle; a text of a set of several classes gets a row there for each class of
+weights among them that it can be near to.  Texts that meet are compared with
 the first one of theirs, round by round over the classes found, until nothing
 new appears, then with every text of another class.  Pairs inside a class are
 never made.  Classes are the connected components of the verified links.  Only
@@ -356,11 +358,12 @@ def leading(f: Features, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def class_keys(
-    shingle: np.ndarray, weight: np.ndarray, rest: np.ndarray, lightest: np.ndarray, heaviest: np.ndarray
+    name: np.ndarray, weight: np.ndarray, rest: np.ndarray, lightest: np.ndarray, heaviest: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(key, which of the leading shingles): a row for each of them and each
-    class of weights of the other text that it still leads for, from the
-    ``lightest`` to the ``heaviest`` text it leads."""
+    """(key, which of the rows): for each row, a text under the ``name`` of a
+    leading shingle or a set of them, and each class of weights of the other
+    text that it still leads for, from the ``lightest`` to the ``heaviest`` text
+    under that name."""
     step = -np.log(THRESHOLD) / WEIGHT_CLASSES
     mine, low, high = (np.floor(np.log(w) / step).astype(np.int64) for w in (weight, lightest, heaviest))
     found = []
@@ -368,7 +371,7 @@ def class_keys(
         least = np.maximum(np.exp((mine + d) * step), THRESHOLD * weight)
         leads = np.flatnonzero((low <= mine + d) & (mine + d <= high) & (rest >= needed(weight, least)))
         code = (np.minimum(mine, mine + d)[leads] * 64 + abs(d)).astype(np.uint64)
-        found.append((mix(shingle[leads] + mix(code)).view(np.int64), leads))
+        found.append((mix(name[leads] + mix(code)).view(np.int64), leads))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -410,18 +413,18 @@ def of_several_classes(rows: DataFrame, key: str, *more: Column) -> DataFrame:
     return joined(rows, mixed, key)
 
 
-def postings(leads: DataFrame) -> DataFrame:
-    """key, node, class, weight, rest: the prefixes that ``leads`` stand for,
-    each with the weights of the lightest and the heaviest text it leads."""
+def postings(sets: DataFrame) -> DataFrame:
+    """key, node, class, weight, rest: a row for each text of ``sets`` and each
+    class of weights of the other texts there that it can be near to."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shingle, *weights = (batch.column(c).to_numpy() for c in ("shingle", "weight", "rest", "lightest", "heaviest"))
-            key, at = class_keys(shingle.view(np.uint64), *weights)
+            name, *weights = (batch.column(c).to_numpy() for c in ("set", "weight", "rest", "lightest", "heaviest"))
+            key, at = class_keys(name.view(np.uint64), *weights)
             kept = batch.select(["node", "class", "weight", "rest"]).take(pa.array(at))
             yield pa.RecordBatch.from_arrays([pa.array(key), *kept.columns], names=["key", *kept.schema.names])
 
-    return leads.mapInArrow(spread, "key long, node long, class long, weight double, rest double")
+    return sets.mapInArrow(spread, "key long, node long, class long, weight double, rest double")
 
 
 def _can_be_near(a: str, b: str) -> Column:
@@ -433,18 +436,18 @@ def _in_order(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def sets(postings: DataFrame) -> DataFrame:
-    """set, node, weight, rest: the texts that meet under a key, for the keys
-    whose texts are of several classes.  Keys with the same texts are one set,
-    where each text has the most weight left that one of the keys leaves it; so
-    two texts with many shingles in common meet a few times, not once for each.
-    Sets that share a name by chance are looked at together."""
-    name = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2)]
-    named = postings.groupBy("key").agg(
-        F.min("class").alias("lo"), F.max("class").alias("hi"), F.xxhash64(*name, F.count("*")).alias("set")
-    )
-    mixed = named.where("lo < hi").select("key", "set")
-    return joined(postings, mixed, "key").groupBy("set", "node").agg(F.max("weight").alias("weight"), F.max("rest").alias("rest"))
+def sets(rows: DataFrame, key: str) -> DataFrame:
+    """set, node, class, weight, rest, lightest, heaviest: the texts that meet
+    under a ``key``, for the keys whose texts are of several classes, and the
+    weights of the lightest and the heaviest of them.  Keys with the same texts
+    are one set, where each text has the most weight left that one of the keys
+    leaves it; so two texts with many shingles in common meet a few times, not
+    once for each.  Sets that share a name by chance are looked at together."""
+    names = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2)]
+    texts = [F.xxhash64(*names, F.count("*")).alias("set"), F.min("weight").alias("lightest"), F.max("weight").alias("heaviest")]
+    found = of_several_classes(rows, key, *texts)
+    most = [F.max(c).alias(c) for c in ("class", "weight", "rest", "heaviest")]
+    return found.groupBy("set", "node").agg(*most, F.min("lightest").alias("lightest"))
 
 
 def _classed(df: DataFrame, label: DataFrame) -> DataFrame:
@@ -455,11 +458,10 @@ def joined_exactly(links: DataFrame, label: DataFrame, texts: DataFrame, left: D
     """The classes of ``links`` and of what else it takes to join every near pair
     of the nodes ``left``; ``label`` has the classes of ``links``."""
     led = stored(leads(_classed(joined(texts, left, "node", "left_semi"), label), common), "leads")
-    # most leading shingles are of one class only: they go before a row is made per class of weights
-    weights = [F.min("weight").alias("lightest"), F.max("weight").alias("heaviest")]
-    mixed = stored(of_several_classes(led, "shingle", *weights), "mixed-leads")
+    # shingles of the same texts are one set before a row is made per class of weights
+    mixed = stored(sets(led, "shingle"), "mixed-leads")
     discard(led)
-    met = stored(sets(postings(mixed)), "sets")
+    met = stored(sets(postings(mixed), "key").select("set", "node", "weight", "rest"), "sets")
     discard(mixed)
     while True:
         classed = of_several_classes(_classed(met, label), "set")

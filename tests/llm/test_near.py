@@ -219,6 +219,35 @@ def test_shingles_of_one_class_are_not_stored_per_class_of_weights(spark, monkey
     assert per_shingle["sets"] > 0
 
 
+def test_rows_per_class_of_weights_are_made_of_sets_not_of_shingles(spark, monkeypatch):
+    """Texts three times as long share three times as many shingles, but meet in the same sets: the rows
+    made for each class of weights do not follow."""
+    made, real = [], near.postings
+
+    def postings(rows):
+        out = real(rows)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "postings", postings)
+    for words in (1, 3):
+        rows = [(i, " ".join(f"{w}{k}" for w in t.split() for k in range(words))) for i, t in template_family(4)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r["doc_id"]: r["class_id"] for r in near.classes(docs).collect()} == brute_classes(rows)
+    short, long = made
+    assert 0 < long < 1.5 * short
+
+
+def test_sets_of_the_same_texts_are_one(spark):
+    rows = [(k, n, n // 2, 10.0 + n, 5.0 + k) for k, nodes in ((1, (0, 1, 4)), (2, (0, 1, 4)), (3, (0, 1)), (4, (2, 4)), (5, (4,))) for n in nodes]
+    led = spark.createDataFrame(rows, "shingle long, node long, class long, weight double, rest double")
+    found = defaultdict(set)
+    for r in near.sets(led, "shingle").collect():
+        found[r["set"]].add((r["node"], r["class"], r["weight"], r["rest"], r["lightest"], r["heaviest"]))
+    one = {(n, n // 2, 10.0 + n, 7.0, 10.0, 14.0) for n in (0, 1, 4)}  # the most that shingles 1 and 2 leave
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, [one, {(n, n // 2, 10.0 + n, 9.0, 12.0, 14.0) for n in (2, 4)}]))
+
+
 def test_near_texts_share_a_prefix_key():
     pick = random.Random(3)
     base = [f"w{pick.randrange(40)}" for _ in range(400)]
